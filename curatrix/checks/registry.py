@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from curatrix.checks.standins import COMMON_SQL, Tables
 
-MODULES = ("scalars",)
+MODULES = ("scalars", "extraction", "shaping")
 
 
 @dataclass(frozen=True)

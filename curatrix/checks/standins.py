@@ -95,7 +95,7 @@ class Tables:
         return self.table("lineitem").select(
             F.col("l_partkey").alias("appid"), F.col("l_orderkey").alias("order_id"),
             F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("playtime"),
-            (F.col("l_returnflag") != "R").alias("voted_up"), F.col("l_shipdate").alias("ts"))
+            (F.col("l_returnflag") != "R").alias("voted_up"), F.col("l_shipdate").cast("timestamp").alias("ts"))
 
     @cached_property
     def votes(self) -> DataFrame:
@@ -177,7 +177,7 @@ class Tables:
                .when(k % 10 == 6, F.concat(F.lit("Q"), F.quarter(d).cast("string"), F.lit(" "), F.year(d).cast("string")))
                .when(k % 10 == 7, F.concat(F.lit("some day "), F.col("o_custkey").cast("string")))
                .when(k % 10 == 8, F.date_format(d, "MMM d, yyyy")).otherwise(F.lit("May 9998")))
-        return self.table("orders").select(k.alias("appid"), d.alias("true_date"), raw.alias("raw"))
+        return self.table("orders").select(k.alias("appid"), d.cast("timestamp").alias("true_date"), raw.alias("raw"))
 
     @cached_property
     def vectors(self) -> DataFrame:

@@ -133,11 +133,13 @@ def stop_word_hits(tokens: Column, language: str) -> Column:
 
 def detect_language(text: Column) -> Column:
     """Language whose function words occur most; null when none occurs. Ties go to the earlier code."""
-    tokens = words(text)
-    hits = F.array(*[F.struct(stop_word_hits(tokens, lang).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang"))
-                     for i, lang in enumerate(sorted(STOP_WORDS))])
-    best = F.array_max(hits)
-    return F.when(best["n"] > 0, best["lang"])
+    codes = sorted(STOP_WORDS)
+
+    def most_hits(tokens: Column) -> Column:
+        return F.array_max(F.array(*[F.struct(stop_word_hits(tokens, lang).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang"))
+                                     for i, lang in enumerate(codes)]))
+
+    return bind(bind(words(text), most_hits), lambda best: F.when(best["n"] > 0, best["lang"]))
 
 
 def is_english(text: Column) -> Column:

@@ -92,7 +92,7 @@ def difficulty_z(df: DataFrame, predictions: DataFrame, tagged: Column, neutral:
 
 
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), pieces: int | None = None) -> DataFrame:
-    """Average rank of every distinct value: columns ``by``, ``value``, ``rank_avg``, ``n``.
+    """Average rank of every distinct value: columns ``by``, ``value``, ``rank_avg``, ``ties``, ``n``.
 
     Equal values collapse first, so a hot value is one row. The distinct values are then cut into
     ranges by approximate quantiles (a bounded sketch, ``pieces`` numbers per group), counted within
@@ -128,7 +128,7 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), pieces: int |
                            F.sum("_t").over(whole).alias("n"))
     joined = local.join(F.broadcast(shifts), [*by, "_piece"])  # at most groups x pieces rows
     rank = F.col("_shift") + F.col("_upto") - (F.col("_c") - 1) / F.lit(2.0)
-    return joined.select(*by, value, rank.alias("rank_avg"), "n")
+    return joined.select(*by, value, rank.alias("rank_avg"), F.col("_c").alias("ties"), "n")
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
