@@ -214,18 +214,19 @@ def tag_effects(ratings: DataFrame, tags: DataFrame, min_size: int = 5) -> DataF
     total = ratings.groupBy("user_id").agg(*sums).select("user_id", F.col("n").alias("tn"), F.col("s").alias("ts"), F.col("q").alias("tq"))
     with_tag = ratings.join(tags.select("appid", "tag"), "appid").groupBy("user_id", "tag").agg(*sums)
     both = with_tag.join(total, "user_id").withColumns({"m": F.col("tn") - F.col("n")}).filter((F.col("n") >= min_size) & (F.col("m") >= min_size))
-    mean_with, mean_without = F.col("s") / F.col("n"), (F.col("ts") - F.col("s")) / F.col("m")
-    var_with = (F.col("q") - F.col("s") * mean_with) / (F.col("n") - 1)
-    var_without = (F.col("tq") - F.col("q") - (F.col("ts") - F.col("s")) * mean_without) / (F.col("m") - 1)
-    a, b = F.greatest(var_with, F.lit(0.0)) / F.col("n"), F.greatest(var_without, F.lit(0.0)) / F.col("m")
+    # try_divide: a pushed-down condition may meet rows that the size filter has yet to drop
+    mean_with, mean_without = F.try_divide("s", "n"), F.try_divide(F.col("ts") - F.col("s"), "m")
+    var_with = F.try_divide(F.col("q") - F.col("s") * mean_with, F.col("n") - 1)
+    var_without = F.try_divide(F.col("tq") - F.col("q") - (F.col("ts") - F.col("s")) * mean_without, F.col("m") - 1)
+    a, b = F.try_divide(F.greatest(var_with, F.lit(0.0)), "n"), F.try_divide(F.greatest(var_without, F.lit(0.0)), "m")
     parts = both.select("user_id", "tag", F.col("n").alias("n_with"), F.col("m").alias("n_without"), mean_with.alias("mean_with"),
                         mean_without.alias("mean_without"), a.alias("a"), b.alias("b"))
     diff = F.col("mean_with") - F.col("mean_without")
     spread = F.col("a") + F.col("b")
     return parts.select("user_id", "tag", "n_with", "n_without", "mean_with", "mean_without", diff.alias("diff"),
-                        F.when(spread > 1e-12, diff / F.sqrt(spread)).alias("t"),
-                        F.when(spread > 1e-12, spread * spread / (F.col("a") * F.col("a") / (F.col("n_with") - 1)
-                                                                 + F.col("b") * F.col("b") / (F.col("n_without") - 1))).alias("df"))
+                        F.when(spread > 1e-12, F.try_divide(diff, F.sqrt(spread))).alias("t"),
+                        F.when(spread > 1e-12, F.try_divide(spread * spread, F.try_divide(F.col("a") * F.col("a"), F.col("n_with") - 1)
+                                                            + F.try_divide(F.col("b") * F.col("b"), F.col("n_without") - 1))).alias("df"))
 
 
 def significant_effects(effects: DataFrame, level: float = 0.05, positive_only: bool = True) -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +39,9 @@ def gram(df: DataFrame, vector: str, dims: int) -> DataFrame:
                                          schema=pa.schema([("i", pa.int32()), ("block", pa.list_(pa.float64()))]))
 
     parts = df.select(vector).mapInArrow(partial, "i int, block array<double>")
-    long = parts.select("i", F.posexplode("block").alias("j", "x"))
-    return long.groupBy("i", "j").agg(F.sum("x").alias("x"))
+    # whole matrix rows are summed: dims rows per partition are shuffled, not dims x dims
+    rows = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("block"))).alias("block"))
+    return rows.select("i", F.posexplode("block").alias("j", "x"))
 
 
 def moments(df: DataFrame, vector: str, dims: int) -> tuple[int, np.ndarray, np.ndarray]:

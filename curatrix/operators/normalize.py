@@ -91,17 +91,20 @@ def difficulty_z(df: DataFrame, predictions: DataFrame, tagged: Column, neutral:
     return joined.withColumn("_s", s).withColumn("difficulty_z", F.coalesce(z, F.lit(0.0))).drop("_s")
 
 
-def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), pieces: int | None = None) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), pieces: int | None = None,
+                weight: str | None = None) -> DataFrame:
     """Average rank of every distinct value: columns ``by``, ``value``, ``rank_avg``, ``ties``, ``n``.
 
     Equal values collapse first, so a hot value is one row. The distinct values are then cut into
     ranges by approximate quantiles (a bounded sketch, ``pieces`` numbers per group), counted within
     each range in parallel, and shifted by the totals of the ranges below. ``by`` names a short list of
-    groups, such as features or discovery steps; for many small groups use ``group_ranks``.
+    groups, such as features or discovery steps; for many small groups use ``group_ranks``. ``weight`` is a
+    column with the number of rows a row stands for.
     """
     by = list(by)
     pieces = pieces or max(8, parallelism(df))
-    distinct = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    distinct = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(
+        (F.sum(weight) if weight else F.count("*")).alias("_c"))
     cuts = [i / pieces for i in range(1, pieces)]
     rows = distinct.groupBy(*by).agg(F.percentile_approx(value, cuts, 1000).alias("b")).collect()
 

@@ -119,3 +119,50 @@ def tag_playlists(tag_effects: DataFrame, item_tags: DataFrame, scored: DataFram
     rows = strongest.select("user_id", "tag", "diff", "tag_rank").join(item_tags.select("appid", "tag"), "tag").join(
         scored.select("user_id", "appid", "projected_rating"), ["user_id", "appid"])
     return top_k_by_group(rows, ["user_id", "tag"], [F.desc("projected_rating"), F.asc("appid")], k)
+
+
+def smooth_curve(curve: DataFrame, x: str, y: str, sigma: float) -> DataFrame:
+    """Gaussian smoothing of a short metric curve over its index, and its peak. Points meet their neighbours within
+    four deviations by index, so the work grows with the curve, not its square."""
+    reach = int(4 * sigma)
+    spread = curve.select(F.explode(F.sequence(F.col(x) - reach, F.col(x) + reach)).alias("_at"), F.col(x).alias("_from"), F.col(y).alias("_y"))
+    weight = F.exp(F.lit(-0.5) * F.pow((F.col("_at") - F.col("_from")) / F.lit(float(sigma)), F.lit(2.0)))
+    smooth = spread.groupBy("_at").agg((F.sum(F.col("_y") * weight) / F.sum(weight)).alias("smooth"))
+    out = curve.join(smooth, F.col(x) == F.col("_at")).drop("_at")
+    top = out.agg(F.max_by(x, F.struct("smooth", -F.col(x))).alias("p")).scalar()
+    return out.withColumn("peak", F.col(x) == top)
+
+
+def rank_shifts(df: DataFrame, before: dict[int, Column], after: dict[int, Column], top: int, window: int) -> DataFrame:
+    """How far a weight step moves a ranking, per scenario: squared shift of the old top, clamped shift of the old or new top.
+
+    Only rows near the top matter: ranks are counted against the scores at the top's edge, never by sorting the whole table.
+    """
+    out = None
+    for scenario in before:
+        scored = df.select("appid", before[scenario].alias("s0"), after[scenario].alias("s1"))
+        old = scored.orderBy(F.desc("s0"), "appid").limit(max(top, window))
+        new = scored.orderBy(F.desc("s1"), "appid").limit(window)
+        watched = old.union(new).distinct()  # at most twice the window
+        probes = watched.agg(F.collect_list(F.struct("appid", "s0", "s1")).alias("x")).scalar()
+
+        def ahead(score: str, row: Column) -> Column:
+            return (F.col(score) > row[score]) | ((F.col(score) == row[score]) & (F.col("appid") < row["appid"]))
+
+        hits = scored.withColumn("_w", probes).select("*", F.explode("_w").alias("w"))
+        ranks = hits.groupBy(F.col("w.appid").alias("appid")).agg(
+            (F.count_if(ahead("s0", F.col("w"))) + 1).alias("r0"), (F.count_if(ahead("s1", F.col("w"))) + 1).alias("r1"))
+        r0, r1, edge = F.col("r0"), F.col("r1"), window + 1
+        part = ranks.agg(F.avg(F.when(r0 <= top, F.pow((r1 - r0).cast("double"), F.lit(2.0)))).alias("squared_shift"),
+                         F.avg(F.when((r0 <= window) | (r1 <= window), F.abs(F.least(r1, F.lit(edge)) - F.least(r0, F.lit(edge))))).alias("clamped_shift"))
+        part = part.select(F.lit(scenario).alias("scenario"), "squared_shift", "clamped_shift")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def target_ranks(scored: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rank of a named target among its seed's candidates: the number of better rows plus one, without sorting them."""
+    goal = scored.join(pairs, (scored["seed"] == pairs["seed"]) & (scored["appid"] == pairs["target"])).select(
+        pairs["seed"].alias("seed"), pairs["target"].alias("target"), scored["score"].alias("goal"))
+    better = (F.col("score") > F.col("goal")) | ((F.col("score") == F.col("goal")) & (F.col("appid") < F.col("target")))
+    return scored.join(goal, "seed").groupBy("seed", "target").agg((F.count_if(better) + 1).cast("int").alias("rank"))
