@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curatrix.functions import normal
 from curatrix.operators.normalize import value_ranks
@@ -198,7 +199,7 @@ def _student_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.clip(np.where(swap, 1 - tail, tail), 0.0, 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     known = t.notna() & df.notna() & (df > 0)
     out = pd.Series(np.nan, index=t.index)

@@ -119,14 +119,11 @@ def _distinct_titles(df: DataFrame, key: str, title: str) -> DataFrame:
 def contained_titles(external: DataFrame, items: DataFrame, min_ratio: float = 0.7) -> DataFrame:
     """Titles where one contains the other: length ratio above the bound, same numbers, not one plain word.
 
-    Containment above the ratio means a shared run of whole words or a shared prefix or suffix; candidate
-    pairs come from the shortest-word blocks of the contained text: each title offers all its word tokens,
-    the shorter text is looked up by its first word only.
+    Every word of a contained text but its first and last is a whole word of the container, and the first
+    ends a word there. So the shorter text is looked up by one word among all word endings of the longer.
     """
     left, right = _distinct_titles(external, "ext_id", "title"), _distinct_titles(items, "appid", "name")
     lw, rw = F.split("folded", " "), F.split("folded", " ")
-    # a contained text's middle words are whole words of the container; single-word texts are excluded by rule,
-    # so the first and last words of the shorter text reach the container through its word prefixes and suffixes
     l = left.withColumns({"l_words": lw, "l_n": F.length("folded")}).withColumnRenamed("folded", "l_text")
     r = right.withColumns({"r_words": rw, "r_n": F.length("folded")}).withColumnRenamed("folded", "r_text")
     inner_l = l.withColumn("block", F.when(F.size("l_words") > 2, F.col("l_words")[1]).otherwise(F.col("l_words")[0]))
@@ -189,7 +186,7 @@ def closest_titles(external: DataFrame, items: DataFrame, min_similarity: float
 
 
 def series_twins(titles: DataFrame, min_shared: int = 2, min_share: float = 0.7) -> DataFrame:
-    """Pairs of titles of one series: enough shared words, and more than a share of the shorter title's words.
+    """Pairs of titles of one series: enough shared words, and more than a share of the longer title's words.
 
     Word sets are compared once per distinct set; titles with equal sets are linked through that set, so
     copies do not multiply. A prefix of the rarest words is enough to meet: two sets that share at least
@@ -206,7 +203,7 @@ def series_twins(titles: DataFrame, min_shared: int = 2, min_share: float = 0.7)
              .select(F.col("a.set_id").alias("left_id"), F.col("b.set_id").alias("right_id")).distinct())
     lw, rw = sets.select(F.col("set_id").alias("left_id"), F.col("w").alias("lw")), sets.select(F.col("set_id").alias("right_id"), F.col("w").alias("rw"))
     full = pairs.join(lw, "left_id").join(rw, "right_id").withColumn("shared", F.size(F.array_intersect("lw", "rw")))
-    share = F.col("shared") / F.least(F.size("lw"), F.size("rw"))
+    share = F.col("shared") / F.greatest(F.size("lw"), F.size("rw"))
     return full.filter((F.col("shared") >= min_shared) & (share > min_share)).select("left_id", "right_id", "shared")
 
 
