@@ -153,25 +153,33 @@ def project_on_axis(df: DataFrame, low: DataFrame, high: DataFrame, target: str
 def diverse_seeds(items: DataFrame, count: int = 20, ceiling: float = 0.1, penalty: float = 0.5, vector: str = "vec", popularity: str = "n") -> DataFrame:
     """Most reviewed items first, each unlike all chosen before it.
 
-    Every accepted seed filters the remaining candidates in one distributed pass, and the next seed is the
-    most reviewed one left; only accepted seeds (at most ``count``) reach the driver.
+    The pool is read in pages of the most reviewed items left. Accepting within a page is exact because a page
+    is in order; before the next page, one distributed pass drops what the chosen seeds rule out.
     """
-    pool = items.select("appid", popularity, vector)
-    chosen: list[tuple[int, int, list[float]]] = []
-    while len(chosen) < count:
-        left = pool
-        for _, _, v in chosen:
-            other = F.array(*[F.lit(float(x)) for x in v])
-            length = float(np.sqrt(np.dot(v, v)))
-            dot = F.aggregate(F.zip_with(vector, other, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-            own = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x * x))
-            left = left.filter(dot / (own * length + penalty) < ceiling)
-        head = left.orderBy(F.desc(popularity), "appid").limit(1).collect()
-        if not head or any(head[0]["appid"] == c[0] for c in chosen):
+    page = 1000  # rows of one vector each on the driver
+    left = items.select("appid", F.col(popularity).cast("long").alias(popularity), vector)
+    chosen: list[tuple[int, int, np.ndarray]] = []
+    while True:
+        rows = left.orderBy(F.desc(popularity), "appid").limit(page).collect()
+        for r in rows:
+            v = np.asarray(r[vector])
+            if all(v @ w / (np.linalg.norm(v) * np.linalg.norm(w) + penalty) < ceiling for _, _, w in chosen):
+                chosen.append((r["appid"], r[popularity], v))
+                if len(chosen) == count:
+                    break
+        if len(chosen) == count or len(rows) < page:
             break
-        chosen.append((head[0]["appid"], head[0][popularity], list(head[0][vector])))
-    rows = [(i + 1, a, int(n), v) for i, (a, n, v) in enumerate(chosen)]
-    return items.sparkSession.createDataFrame(rows, f"rank int, appid long, n long, {vector} array<double>")
+        seeds = items.sparkSession.createDataFrame([(int(a), [float(x) for x in v]) for a, _, v in chosen], f"appid long, {vector} array<double>")
+        last = rows[-1]
+
+        def unlike(batch: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+            sims = similarity_block(stack(batch[vector]), stack(known[vector]), "cosine", penalty)
+            return batch[(sims < ceiling).all(axis=1)]
+
+        after = left.filter((F.col(popularity) < last[popularity]) | ((F.col(popularity) == last[popularity]) & (F.col("appid") > last["appid"])))
+        left = pairwise(after, seeds, unlike, f"appid long, {popularity} long, {vector} array<double>")
+    out = [(i + 1, int(a), int(n), [float(x) for x in v]) for i, (a, n, v) in enumerate(chosen)]
+    return items.sparkSession.createDataFrame(out, f"rank int, appid long, n long, {vector} array<double>")
 
 
 def modality_blend(parts: list[tuple[str, float]], rows: pd.DataFrame, seeds: pd.DataFrame, discount: np.ndarray | None, discounted: str | None) -> np.ndarray:
