@@ -90,9 +90,12 @@ class Fit:
 
 
 def _centred(m: np.ndarray, index: Sequence[int]) -> tuple[float, np.ndarray, float, np.ndarray, np.ndarray]:
-    n, at = m[0, 0], [i + 1 for i in index]
-    mx, my = m[0, at] / n, m[0, -1] / n
-    return n, mx, my, m[np.ix_(at, at)] - n * np.outer(mx, mx), m[at, -1] - n * mx * my
+    n, at = float(m[0, 0]), [i + 1 for i in index]
+    mx, my = m[0, at] / n, float(m[0, -1] / n)
+    xx, xy = m[np.ix_(at, at)] - n * np.outer(mx, mx), m[at, -1] - n * mx * my
+    flat = np.diag(xx) <= 1e-10 * m[at, at]  # what cancellation leaves of a constant column
+    xx[flat, :] = xx[:, flat] = xy[flat] = 0.0
+    return n, mx, my, xx, xy
 
 
 def fit(m: np.ndarray, index: Sequence[int], alpha: float = 0.0, l1_ratio: float = 0.0, standardize: bool = True, rounds: int = 2000) -> Fit:
@@ -130,14 +133,14 @@ def rss(m: np.ndarray, model: Fit) -> float:
 
 
 def scores(m: np.ndarray, model: Fit) -> dict[str, float]:
-    n = m[0, 0]
-    error, spread = rss(m, model), m[-1, -1] - m[0, -1] ** 2 / n
-    return {"n": float(n), "r2": 1.0 - error / spread if spread > 0 else 0.0, "mse": error / n, "rmse": math.sqrt(error / n),
+    n = float(m[0, 0])
+    error, spread = rss(m, model), float(m[-1, -1] - m[0, -1] ** 2 / n)
+    return {"n": n, "r2": 1.0 - error / spread if spread > 0 else 0.0, "mse": error / n, "rmse": math.sqrt(error / n),
             "nonzero": float(np.sum(np.abs(model.beta) > 1e-9))}
 
 
 def information(n: float, error: float, k: int, criterion: str) -> float:
-    error = max(error, 1e-12)
+    n, error = float(n), max(error, 1e-12)
     base = n * math.log(error / n)
     if criterion == "bic":
         return base + k * math.log(n)
