@@ -14,6 +14,7 @@ from curatrix.operators import aggregates, bayes, kernel, matrix, regression, ta
 from curatrix.operators.normalize import r6, to_z
 from curatrix.plans import recommend as R
 from curatrix.plans import solve as S
+from curatrix.session import checkpointed
 
 # ----------------------------------------------------------------------------- one model over all items
 
@@ -94,7 +95,7 @@ def _(t):
 
 @check("composite_target", """
 , v AS (SELECT i.appid, coalesce(max(votes) FILTER (tag = 'NATION_1'), 0) AS a, coalesce(max(votes) FILTER (tag = 'NATION_2'), 0) AS b FROM items i LEFT JOIN votes o ON i.appid = o.appid GROUP BY 1),
-s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM v) SELECT appid, round((a - ma) / sa + (b - mb) / sb, 6) + 0e0 AS target FROM v, s""")
+s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM v) SELECT appid, round((a - ma) / CASE WHEN sa > 1e-9 THEN sa ELSE 1 END + (b - mb) / CASE WHEN sb > 1e-9 THEN sb ELSE 1 END, 6) + 0e0 AS target FROM v, s""")
 def _(t):
     two = t.votes.filter(F.col("tag").isin("NATION_1", "NATION_2")).groupBy("appid").pivot("tag", ["NATION_1", "NATION_2"]).agg(F.max("votes"))
     z = to_z(t.items.select("appid").join(two, "appid", "left").na.fill(0), {"NATION_1": "a", "NATION_2": "b"})
@@ -109,8 +110,8 @@ def tag_products(t, folds=5):
 
 
 @check("relevant_features", """
-, d AS (SELECT s.appid, n_name AS feature, CAST(coalesce(votes, 0) AS DOUBLE) AS x, positive / CAST(n AS DOUBLE) AS y FROM review_stats s CROSS JOIN nation LEFT JOIN votes v ON v.appid = s.appid AND v.tag = n_name),
-r AS (SELECT feature, corr(x, y) AS r FROM d GROUP BY 1) SELECT feature, round(r, 6) + 0e0 AS r FROM r ORDER BY abs(r.r) DESC, feature LIMIT 19""")
+, d AS (SELECT s.appid, o.tag AS feature, CAST(coalesce(votes, 0) AS DOUBLE) AS x, positive / CAST(n AS DOUBLE) AS y FROM review_stats s CROSS JOIN tag_names o LEFT JOIN votes v ON v.appid = s.appid AND v.tag = o.tag),
+r AS (SELECT feature, corr(x, y) AS r FROM d GROUP BY 1) SELECT feature, round(r, 6) + 0e0 AS r FROM r ORDER BY abs(r.r) DESC, feature LIMIT (SELECT count(*) - 6 FROM tag_names)""")
 def _(t):
     _, p = tag_products(t)
     keep = regression.relevant_features(p, len(p.features) - 6)
@@ -206,7 +207,7 @@ def _(t):
 
 USER_SQL = """
 , ur AS (SELECT r.user_id, r.appid, CAST(rating AS DOUBLE) AS y, CAST(c.n AS DOUBLE) AS x, v.vec FROM ratings r JOIN catalogue c ON r.appid = c.appid JOIN vectors v ON v.appid = r.appid),
-ub AS (SELECT user_id, count(*) AS k, coalesce(regr_slope(y, x), 0) AS b, CASE WHEN var_pop(x) > 0 THEN regr_intercept(y, x) ELSE avg(y) END AS a FROM ur GROUP BY 1),
+ub AS (SELECT user_id, count(*) AS k, CASE WHEN var_pop(x) > 0 THEN regr_slope(y, x) ELSE 0 END AS b, CASE WHEN var_pop(x) > 0 THEN regr_intercept(y, x) ELSE avg(y) END AS a FROM ur GROUP BY 1),
 res AS (SELECT ur.*, y - a - b * x AS e FROM ur JOIN ub ON ur.user_id = ub.user_id)"""
 
 
@@ -244,7 +245,7 @@ def _(t):
 , ps AS (SELECT r.user_id, c.appid, sum(CASE WHEN r.appid = c.appid THEN 0 ELSE sign(s) * s * s * e END) AS num, sum(CASE WHEN r.appid = c.appid THEN 0 ELSE s * s END) AS den
   FROM (SELECT r.user_id, r.appid, r.e, c.appid AS cid, {COS.format(a='c', b='r')} AS s FROM res r CROSS JOIN vectors c) r JOIN vectors c ON r.cid = c.appid GROUP BY 1, 2),
 pr AS (SELECT ps.user_id, ps.appid, greatest(0, least(10, a + b * c.n + coalesce(num / nullif(den, 0), 0))) AS p FROM ps JOIN ub ON ps.user_id = ub.user_id JOIN catalogue c ON c.appid = ps.appid),
-rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(p, 9) DESC, appid) AS rank FROM pr) SELECT user_id, CAST(rank AS INTEGER) AS rank, round(p, 5) AS projected_rating FROM rk WHERE rank <= 10""")
+rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(p, 9) DESC, appid) AS rank FROM pr) SELECT user_id, CAST(rank AS INTEGER) AS rank, round(round(p, 9), 5) AS projected_rating FROM rk WHERE rank <= 10""")
 def _(t):
     models, rows = rated_vectors(t)
     smooth = taste.project(t.vectors.select("appid", "vec"), rows.withColumn("power", F.lit(2.0)).select("user_id", "appid", "residual", "power", "vec"), [("vec", 1.0)], None)
@@ -304,7 +305,8 @@ def _(t):
 @check("user_report")
 def _(t):
     items, rated, out = solved(t)
-    return S.report(rated.join(items.select("appid"), "appid", "left_semi"), out["projected"], t.votes, items.select("appid", "vec"))
+    projected = checkpointed(out["projected"])  # read by every section
+    return S.report(rated.join(items.select("appid"), "appid", "left_semi"), projected, t.votes, items.select("appid", "vec"))
 
 
 # ----------------------------------------------------------------------------- recommendation
@@ -313,11 +315,11 @@ LAST_SQL = ", lastv AS (SELECT vec AS pv FROM vectors ORDER BY appid DESC LIMIT
 
 
 def recommend_items(t):
-    rows = features(t).drop("difficulty_z").join(flagged(t).drop("name", "tags", "price"), "appid").join(
+    """Every item with features; one that the catalogue left out counts as delisted, so only the kernel sees it."""
+    base = features(t).join(flagged(t).drop("name", "tags", "price"), "appid", "left").join(
         t.catalogue.select("appid", F.col("first_ts").cast("double").alias("age_s"), F.col("mid_playtime").alias("mins")), "appid")
-    z = {"age_s": "date_z", "mins": "playtime_z", "price": "price_z", "size": "difficulty_z"}
-    full = to_z(features(t).select("appid", "size"), {"size": "difficulty_z"}).select("appid", "difficulty_z")
-    made = to_z(rows.drop("size").join(features(t).select("appid", F.col("size")), "appid"), {k: v for k, v in z.items() if k != "size"}).join(full, "appid")
+    flags = base.na.fill(True, ["is_delisted"]).na.fill(False, ["is_vr_only", "is_utility", "is_nsfw", "is_hollow", "is_english"])
+    made = to_z(flags, {"age_s": "date_z", "mins": "playtime_z", "price": "price_z"})
     return made.withColumn("pop_z", F.log1p(F.col("positive") + F.col("negative")))
 
 

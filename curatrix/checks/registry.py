@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from curatrix.checks.standins import COMMON_SQL, Tables
 
-MODULES = ("scalars", "extraction", "shaping", "aggregation", "ranking", "scoring", "similarity", "modelling")
+MODULES = ("scalars", "extraction", "shaping", "aggregation", "ranking", "scoring", "similarity", "modelling", "reporting", "arriving")
 
 
 @dataclass(frozen=True)

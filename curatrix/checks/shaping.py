@@ -10,7 +10,8 @@ from curatrix.checks.registry import check
 from curatrix.checks.scalars import FOLD_NAME_SQL, fold_title_sql
 from curatrix.operators import joins, toplists
 from curatrix.operators.normalize import r6
-from curatrix.sources import readers
+from curatrix.session import shared_folder
+from curatrix.sources import readers, sinks
 
 NOW = dt.datetime(1998, 6, 1)
 
@@ -235,3 +236,34 @@ def _(t):
     family = t.table("nation").filter("n_regionkey = 1").agg(F.collect_set("n_name").alias("x")).scalar()
     sets = t.votes.groupBy("appid").agg(F.collect_set("tag").alias("tags")).withColumn("fam", family)
     return sets.select("appid", F.size(F.array_intersect("tags", "fam")).alias("shared"), F.size(F.array_union("tags", "fam")).alias("joined"))
+
+
+@check("written_csv", "SELECT doc_id AS appid, text AS review_text, lang AS review_id FROM documents")
+def _(t):
+    path = shared_folder(t.spark, "csv")
+    rows = t.table("documents").select(F.col("doc_id").alias("appid"), F.col("lang").alias("review_id"), F.col("text").alias("review_text"))
+    sinks.write_csv(rows, path)
+    return readers.read_csv(t.spark, path, "appid LONG, review_id STRING, review_text STRING").select("appid", "review_text", "review_id")
+
+
+@check("written_items", "SELECT appid, name, title, price FROM items")
+def _(t):
+    path = shared_folder(t.spark, "items")
+    sinks.write_items(t.items, path)
+    return t.spark.read.parquet(path).select("appid", "name", "title", "price")
+
+
+@check("written_vectors", "SELECT appid, CAST(i - 1 AS INTEGER) AS dim, round(vec[i], 6) + 0e0 AS x FROM vectors, range(1, 65) g(i)")
+def _(t):
+    path = shared_folder(t.spark, "vectors")
+    sinks.write_vectors(t.vectors, path)
+    return sinks.read_vectors(t.spark, path).select("appid", F.posexplode("vec").alias("dim", "x")).select("appid", "dim", r6("x"))
+
+
+@check("appended_reviews", "SELECT appid, order_id, line FROM reviews WHERE voted_up UNION ALL SELECT appid, order_id, line FROM reviews WHERE NOT voted_up")
+def _(t):
+    path = shared_folder(t.spark, "appended")
+    rows = t.reviews.select("appid", "order_id", "line", "voted_up")
+    sinks.append_rows(rows.filter("voted_up"), path)
+    sinks.append_rows(rows.filter("NOT voted_up"), path)
+    return t.spark.read.parquet(path).select("appid", "order_id", "line")

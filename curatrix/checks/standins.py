@@ -21,6 +21,7 @@ votes AS (
   SELECT l_partkey AS appid, n_name AS tag, count(*) AS votes
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
   GROUP BY 1, 2),
+tag_names AS (SELECT DISTINCT tag FROM votes),
 ratings AS (
   SELECT o_custkey AS user_id, l_partkey AS appid, CAST(max(round(l_discount * 100)) AS INTEGER) AS rating,
          sum(l_quantity) AS playtime

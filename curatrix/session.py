@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,12 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "12
     )
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a table written by a job, under the cluster's shared folder where one is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="curatrix-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iterative plan through reliable storage.
 

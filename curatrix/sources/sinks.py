@@ -12,6 +12,12 @@ def write_items(df: DataFrame, path: str, files: int | None = None) -> None:
     out.sortWithinPartitions("appid").write.mode("overwrite").option("compression", "snappy").parquet(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """Every field quoted, quotes doubled, line breaks kept."""
+    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("quote", '"').option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
 def write_vectors(df: DataFrame, path: str, vector: str = "vec") -> None:
     """Vectors as 4-byte floats, keyed by id."""
     df.select("appid", F.col(vector).cast("array<float>").alias(vector)).write.mode("overwrite").parquet(path)
