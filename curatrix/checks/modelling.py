@@ -245,13 +245,14 @@ def _(t):
 , ps AS (SELECT r.user_id, c.appid, sum(CASE WHEN r.appid = c.appid THEN 0 ELSE sign(s) * s * s * e END) AS num, sum(CASE WHEN r.appid = c.appid THEN 0 ELSE s * s END) AS den
   FROM (SELECT r.user_id, r.appid, r.e, c.appid AS cid, {COS.format(a='c', b='r')} AS s FROM res r CROSS JOIN vectors c) r JOIN vectors c ON r.cid = c.appid GROUP BY 1, 2),
 pr AS (SELECT ps.user_id, ps.appid, greatest(0, least(10, a + b * c.n + coalesce(num / nullif(den, 0), 0))) AS p FROM ps JOIN ub ON ps.user_id = ub.user_id JOIN catalogue c ON c.appid = ps.appid),
-rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(p, 9) DESC, appid) AS rank FROM pr) SELECT user_id, CAST(rank AS INTEGER) AS rank, round(round(p, 9), 5) AS projected_rating FROM rk WHERE rank <= 10""")
+rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(p, 9) DESC, appid) AS rank FROM pr) SELECT user_id, CAST(rank AS INTEGER) AS rank, round(p, 5) AS projected_rating FROM rk WHERE rank <= 10""")
 def _(t):
     models, rows = rated_vectors(t)
     smooth = taste.project(t.vectors.select("appid", "vec"), rows.withColumn("power", F.lit(2.0)).select("user_id", "appid", "residual", "power", "vec"), [("vec", 1.0)], None)
     base = regression.user_predictions(smooth.join(t.catalogue.select("appid", F.col("n").cast("double").alias("x")), "appid"), models, ["x"])
-    out = base.withColumn("projected_rating", F.round(F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.col("base") + F.col("smoothed"))), 9))
-    top = toplists.top_k_by_group(out.select("user_id", "appid", "projected_rating"), ["user_id"], [F.desc("projected_rating"), F.asc("appid")], 10)
+    out = base.withColumn("projected_rating", F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.col("base") + F.col("smoothed"))))
+    by = [F.desc(F.round("projected_rating", 9)), F.asc("appid")]
+    top = toplists.top_k_by_group(out.select("user_id", "appid", "projected_rating"), ["user_id"], by, 10)
     return top.select("user_id", "rank", r6("projected_rating", 5))
 
 

@@ -18,7 +18,7 @@ from curatrix.operators.normalize import r6, to_z
 from curatrix.plans import catalogue, validate
 
 TAG_DIM_SQL = DIM_SQL + """
-, td AS (SELECT o.tag, d.dim, corr(d.x, CAST(coalesce(votes, 0) AS DOUBLE)) AS r FROM dims d CROSS JOIN tag_names o LEFT JOIN votes v ON v.appid = d.appid AND v.tag = o.tag GROUP BY 1, 2)"""
+, td AS (SELECT o.tag, d.dim, corr(d.x, CAST(coalesce(votes, 0) AS DOUBLE)) AS r FROM (SELECT * FROM dims WHERE appid IN (SELECT appid FROM votes)) d CROSS JOIN tag_names o LEFT JOIN votes v ON v.appid = d.appid AND v.tag = o.tag GROUP BY 1, 2)"""
 
 
 def tag_dimensions(t):

@@ -38,7 +38,7 @@ def pairwise(candidates: DataFrame, seeds: DataFrame, work: Work, schema: str, s
     left = candidates.withColumn("_piece", F.pmod(F.xxhash64(*candidates.columns), F.lit(pieces))).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = seeds.withColumn("_block", F.pmod(F.xxhash64(*seeds.columns), F.lit(blocks)).cast("int")).withColumn(
-        "_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).cast("long"))
+        "_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))))
     right = right.toDF(*right.columns)  # fresh attributes: both sides may have one origin
     out = [f.name for f in candidates.sparkSession.createDataFrame([], schema).schema]
 

@@ -55,17 +55,19 @@ def kernel_sums(asked: DataFrame, histogram: DataFrame, widths: Sequence[float])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for appid, x, kx, kn, kup in zip(batch["appid"], batch["x"], batch["kx"], batch["kn"], batch["kup"]):
+            if not len(batch):
+                continue
+            totals, positives, sizes = [], [], []
+            for x, kx, kn, kup in zip(batch["x"], batch["kx"], batch["kn"], batch["kup"]):
                 gap = np.log(np.asarray(x) + 1e-9)[:, None] - np.log(np.asarray(kx) + 1e-9)[None, :]
                 half = -0.5 * gap * gap
-                total, positive = np.empty((len(gap), len(gammas))), np.empty((len(gap), len(gammas)))
-                for g, width in enumerate(gammas):
-                    w = np.exp(half / (width * width))
-                    total[:, g], positive[:, g] = w @ np.asarray(kn), w @ np.asarray(kup)
-                out.append(pd.DataFrame({"appid": appid, "x": np.asarray(x), "total": list(total), "positive": list(positive)}))
-            if out:
-                yield pd.concat(out)
+                both = np.column_stack([kn, kup])
+                found = np.stack([np.exp(half / (width * width)) @ both for width in gammas], axis=1)  # rows x widths x 2
+                totals.extend(found[:, :, 0])
+                positives.extend(found[:, :, 1])
+                sizes.append(len(x))
+            yield pd.DataFrame({"appid": np.repeat(batch["appid"].to_numpy(), sizes), "x": np.concatenate(batch["x"].to_numpy()),
+                                "total": totals, "positive": positives})
 
     sums = blocks.mapInPandas(work, "appid long, x double, total array<double>, positive array<double>")
 
