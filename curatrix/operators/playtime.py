@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,29 +54,36 @@ def kernel_sums(asked: DataFrame, histogram: DataFrame, widths: Sequence[float])
     routed = wanted.join(parts, "appid").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select("appid", "x", "_other")
     blocks = routed.join(known.drop("_parts"), ["appid", "_other"])
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        offsets = column.offsets.to_numpy()
+        return column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
+
+    def packed(rows: list[np.ndarray]) -> pa.ListArray:
+        flat = np.concatenate(rows)
+        return pa.ListArray.from_arrays(np.arange(0, flat.size + 1, len(gammas), dtype=np.int32), flat.ravel())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            totals, positives, sizes = [], [], []
-            for x, kx, kn, kup in zip(batch["x"], batch["kx"], batch["kn"], batch["kup"]):
-                gap = np.log(np.asarray(x) + 1e-9)[:, None] - np.log(np.asarray(kx) + 1e-9)[None, :]
+            (x, at), (kx, kat), (kn, _), (kup, _) = (lists(batch.column(i)) for i in range(1, 5))
+            logs, klogs, votes = np.log(x + 1e-9), np.log(kx + 1e-9), np.column_stack([kn, kup])
+            totals, positives = [], []
+            for i in range(batch.num_rows):
+                gap = logs[at[i]:at[i + 1], None] - klogs[None, kat[i]:kat[i + 1]]
                 half = -0.5 * gap * gap
-                both = np.column_stack([kn, kup])
-                found = np.stack([np.exp(half / (width * width)) @ both for width in gammas], axis=1)  # rows x widths x 2
-                totals.extend(found[:, :, 0])
-                positives.extend(found[:, :, 1])
-                sizes.append(len(x))
-            yield pd.DataFrame({"appid": np.repeat(batch["appid"].to_numpy(), sizes), "x": np.concatenate(batch["x"].to_numpy()),
-                                "total": totals, "positive": positives})
+                found = np.stack([np.exp(half / (width * width)) @ votes[kat[i]:kat[i + 1]] for width in gammas], axis=1)
+                totals.append(found[:, :, 0])
+                positives.append(found[:, :, 1])
+            appid = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(at))
+            yield pa.RecordBatch.from_arrays([pa.array(appid), pa.array(x), packed(totals), packed(positives)], names=["appid", "x", "total", "positive"])
 
-    sums = blocks.mapInPandas(work, "appid long, x double, total array<double>, positive array<double>")
+    sums = blocks.select("appid", "x", "kx", "kn", "kup").mapInArrow(work, "appid long, x double, total array<double>, positive array<double>")
 
     def add(column: str) -> Column:
-        zero = F.array(*[F.lit(0.0)] * len(gammas))
-        return F.aggregate(F.collect_list(column), zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b)).alias(column)
+        return F.array(*[F.sum(F.col(column)[i]) for i in range(len(gammas))]).alias(column)
 
-    return sums.groupBy("appid", "x").agg(add("total"), add("positive"))  # as many rows per group as the item has chunks
+    return sums.groupBy("appid", "x").agg(add("total"), add("positive"))
 
 
 def vote_probability(asked: DataFrame, histogram: DataFrame, rate: Column, width: float = KERNEL_WIDTH, prior: float = KERNEL_PRIOR) -> DataFrame:
