@@ -6,15 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from curatrix.llm.decontaminate import contaminated
+from curatrix.llm.neardup import near_duplicates
 from curatrix.llm.storage import table
 from curatrix.llm.toxicity import toxicity
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_near_duplicates": op5_near_duplicates,
     "op8_toxicity": op8_toxicity,
+    "op9_decontamination": op9_decontamination,
 }
 SQL: dict[str, str] = {}
