@@ -6,16 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from curatrix.llm import pii, secret_scan
 from curatrix.llm.decontaminate import contaminated
 from curatrix.llm.neardup import near_duplicates
 from curatrix.llm.storage import table
 from curatrix.llm.toxicity import toxicity
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -25,8 +34,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_pii": op4_pii,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_secrets": op6_secrets,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_pii": pii.SQL,
+    "op6_secrets": secret_scan.digest_sql(),
+}
