@@ -1,22 +1,56 @@
-"""A training corpus from raw documents: five stages, each reads what its predecessor wrote."""
+"""A training corpus from raw documents: five stages, each reads what its predecessor wrote.
+
+Toxic documents go; of every group of near duplicates the first stays; documents that leak benchmark items go; live secrets are cut out
+of the texts that stay; the rest is mixed to target weights. All but the last stage return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from curatrix.llm.decontaminate import clean
+from curatrix.llm.mixing import label_quality, mixed_texts
+from curatrix.llm.neardup import near_duplicates
+from curatrix.llm.secret_scan import without_live
 from curatrix.llm.storage import stored, table
 from curatrix.llm.toxicity import toxicity
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator doesn't reject."""
     return toxicity(docs, table(spark, sf_dir, "labels"), keep=DOCUMENT).where("predicted = 0").select(*DOCUMENT)
 
 
-STAGES = [("toxicity", toxic_out)]
-ORACLE_SQL = None
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less those that link to one with a smaller doc_id; of rows with one doc_id, one stays."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    once = kept.join(again, "doc_id", "left_anti").select(*DOCUMENT)
+    return once.unionByName(kept.join(again, "doc_id", "left_semi").select(*DOCUMENT).dropDuplicates(["doc_id"]))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return clean(docs, table(spark, sf_dir, "benchmark")).select(*DOCUMENT)
+
+
+def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; live secrets are replaced by their kind, and n_chars follows."""
+    cut = without_live(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*DOCUMENT)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with the words it takes of each."""
+    return mixed_texts(docs, quality=label_quality(table(spark, sf_dir, "labels"))).select(*DOCUMENT, "taken")
+
+
+STAGES = [("toxicity", drop_toxic), ("near duplicates", keep_one), ("decontamination", drop_leaks), ("secrets", cut_secrets), ("mixing", mix)]
+ORACLE_SQL = None  # the first two stages learn and connect
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = stored(docs, f"pipeline-{name}")
+            docs = stored(docs, f"pipeline-{name.replace(' ', '-')}")
     return docs

@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import pii, secret_scan
+from curatrix.llm import mixing, pii, secret_scan
 from curatrix.llm.decontaminate import contaminated
 from curatrix.llm.neardup import near_duplicates
 from curatrix.llm.storage import table
 from curatrix.llm.toxicity import toxicity
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quality = mixing.label_quality(table(spark, sf_dir, "labels"))
+    return mixing.mixed(table(spark, sf_dir, "documents"), quality).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op4_pii": op4_pii,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_secrets": op6_secrets,
@@ -41,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
 }
 SQL: dict[str, str] = {
+    "op1_mixing": mixing.sql(),
     "op4_pii": pii.SQL,
     "op6_secrets": secret_scan.digest_sql(),
 }
