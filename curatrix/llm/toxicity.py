@@ -30,6 +30,7 @@ BUCKETS = 1 << 18
 PRIOR = 5000.0
 Z = 2.0
 DRIFT = 0.3
+LABELS = 100_000
 BINS = 400
 SPAN = 100.0
 
@@ -55,7 +56,7 @@ def _buckets(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(batches):
-    """Texts of a task that have a bucket: toxic (0), clean (1), any (2). And for the toxic ones a 64-bit sketch of the words
+    """Texts of a task that have a bucket: toxic (0), clean (1), without label (2). And for the toxic ones a 64-bit sketch of the words
     before each bucket."""
     total = np.zeros((3, 2 * BUCKETS), np.int64)
     before = np.zeros(2 * BUCKETS * 64, bool)
@@ -78,7 +79,7 @@ def _counted(batches):
 
 
 def _counts(texts: DataFrame) -> np.ndarray:
-    """Texts by bucket: toxic, clean, any. A bucket that toxic texts have in few contexts counts these, not the texts:
+    """Texts by bucket: toxic, clean, without label. A bucket that toxic texts have in few contexts counts these, not the texts:
     a family of near copies is one witness."""
     got = (texts.mapInArrow(_counted, "bucket long, c0 long, c1 long, c2 long, s long").groupBy("bucket")
            .agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(3)], F.bit_count(F.bit_or("s")).alias("s")).toPandas())
@@ -160,13 +161,21 @@ def monotone(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(shares)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the labelled texts whose crc32(doc_id as text) mod 3 is not 1; the prior counts all texts."""
-    truth = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = (docs.where("doc_id is not null and crc32(cast(doc_id as string)) % 3 != 1").select("doc_id", "text")
-             .join(truth, "doc_id").select("text", F.expr("if(toxic = 1, 0, 1)").alias("kind")))
-    toxic, clean, _ = _counts(train)
-    everything = _counts(docs.select("text", F.lit(2).alias("kind")))[2]
+def fit(docs: DataFrame, labels: DataFrame, most: int = LABELS) -> Model:
+    """Fit on the labelled texts whose crc32(doc_id as text) mod 3 is not 1; the prior counts all texts.
+
+    With more than ``most`` labels, those of the smallest hashes (about ``most`` rows) are used; they are broadcast, so that no
+    text is shuffled.
+    """
+    truth = (labels.where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 3 != 1")
+             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    share = most / max(most, truth.count())
+    truth = F.broadcast(truth.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select(
+        "doc_id", F.expr("if(toxic = 1, 0, 1)").alias("kind")))
+    texts = docs.select("doc_id", "text")
+    toxic, clean, other = _counts(texts.join(truth, "doc_id", "left").select("text", F.coalesce("kind", F.lit(2)).alias("kind")))
+    everything = toxic + clean + other
+    train = texts.join(truth, "doc_id").select("text", "kind")
     weights = token_weights(toxic, clean, everything)
     rate = decay_rate(weights, clean)
 
