@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import mixing, pii, secret_scan
+from curatrix.llm import mixing, neighbours, pii, secret_scan, url_filter
 from curatrix.llm.decontaminate import contaminated
 from curatrix.llm.neardup import near_duplicates
 from curatrix.llm.storage import table
@@ -30,6 +30,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,16 +42,24 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = neighbours.usable(table(spark, sf_dir, "embeddings"))
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op4_pii": op4_pii,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_secrets": op6_secrets,
+    "op7_url_filter": op7_url_filter,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
+    "op10_neighbours": op10_neighbours,
 }
 SQL: dict[str, str] = {
     "op1_mixing": mixing.sql(),
     "op4_pii": pii.SQL,
     "op6_secrets": secret_scan.digest_sql(),
+    "op7_url_filter": url_filter.sql(),
 }
