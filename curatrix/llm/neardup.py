@@ -15,6 +15,8 @@ nothing and is kept; extra columns are ignored; an empty table gives an empty re
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -112,7 +114,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         (F.least(n, m) * 100 >= percent * F.greatest(n, m)) & (100 * both >= percent * (n + m - both))).select("hub", "rep")
 
 
-def _tile(percent: int):
+def _tile(percent: int, sure: float = SURE):
     def links(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("rep").sort_values("rep")
         rep, side = frame["rep"].to_numpy(), frame["block"].to_numpy()
@@ -129,7 +131,7 @@ def _tile(percent: int):
 
         found = []
         for i in range(len(rep) - 1):
-            alike = (signatures[i + 1:] == signatures[i]).mean(axis=1) >= SURE
+            alike = (signatures[i + 1:] == signatures[i]).mean(axis=1) >= sure
             for j in np.flatnonzero(alike) + i + 1:
                 a, b = find(home[i]), find(home[j])
                 if a == b or crossing and side[i] == side[j]:
@@ -143,25 +145,16 @@ def _tile(percent: int):
     return links
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (it is that document).
+def connect(classes: DataFrame, bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, sure: float = SURE) -> DataFrame:
+    """(node, component) of the classes (rep, signature) that link to others.
 
-    ``doc_id`` must be an integer. Documents are linked if 100 * intersection >= percent * union of their shingle sets.
+    ``bands`` has (band, rep); ``sets_of`` gives the full sets (rep, items) of some reps. Stars first, best hub first, then the
+    other hubs, then tiles of what is still apart in a bucket.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    features = stored(ids.mapInArrow(_features, "doc_id long, n long, k1 long, k2 long, signature binary"), "minmax")
-    named = features.where("n > 0 and doc_id is not null")
-    classes = stored(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
-
-    bands = stored(classes.select("rep", "signature").mapInArrow(_bands, "band long, rep long"), "bands")
+    bands = stored(bands, "bands")
     shared = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1")
     members = stored(bands.join(shared, "band"), "members")
-
-    wanted = members.select("rep").distinct().join(classes.select("rep", "k1", "k2"), "rep")
-    sets = (ids.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-            .mapInArrow(_full_sets, "doc_id long, k1 long, k2 long, items array<long>")
-            .withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "k1", "k2"]).select("rep", "items").dropDuplicates(["rep"]))
-    sets = stored(sets, "sets")
+    sets = stored(sets_of(members.select("rep").distinct()), "sets")
 
     votes = members.where("hub != rep").groupBy("rep", "hub").count()
     best = votes.groupBy("rep").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
@@ -183,9 +176,29 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text") -> D
             .withColumn("other", F.explode(F.sequence(F.lit(0), grid - 1)))
             .select("band", "rep", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
             .join(classes.select("rep", "signature"), "rep").join(sets, "rep"))
-    more = rest.groupBy("band", "i", "j").applyInPandas(_tile(percent), "hub long, rep long")
-    home = components(links.unionByName(more), "hub", "rep")
+    more = rest.groupBy("band", "i", "j").applyInPandas(_tile(percent, sure), "hub long, rep long")
+    return components(links.unionByName(more), "hub", "rep")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (it is that document).
+
+    ``doc_id`` must be an integer. Documents are linked if 100 * intersection >= percent * union of their shingle sets.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    features = stored(ids.mapInArrow(_features, "doc_id long, n long, k1 long, k2 long, signature binary"), "minmax")
+    named = features.where("n > 0 and doc_id is not null")
+    classes = stored(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
+
+    bands = classes.select("rep", "signature").mapInArrow(_bands, "band long, rep long")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        keys = wanted.join(classes.select("rep", "k1", "k2"), "rep")
+        return (ids.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+                .mapInArrow(_full_sets, "doc_id long, k1 long, k2 long, items array<long>")
+                .withColumnRenamed("doc_id", "rep").join(keys, ["rep", "k1", "k2"]).select("rep", "items").dropDuplicates(["rep"]))
 
+    home = connect(classes.select("rep", "signature"), bands, sets_of, percent)
     return _labelled(features, classes, home)
 
 

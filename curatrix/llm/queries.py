@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from curatrix.llm import mixing, neighbours, pii, secret_scan, url_filter
 from curatrix.llm.decontaminate import contaminated
 from curatrix.llm.neardup import near_duplicates
+from curatrix.llm.paragraphs import repeated_paragraphs
 from curatrix.llm.storage import table
+from curatrix.llm.suffixes import deduplicated
 from curatrix.llm.toxicity import toxicity
 
 
@@ -18,6 +20,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), quality).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -49,6 +59,8 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_suffixes": op2_suffixes,
+    "op3_paragraphs": op3_paragraphs,
     "op4_pii": op4_pii,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_secrets": op6_secrets,
