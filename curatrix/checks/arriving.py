@@ -24,7 +24,7 @@ def review_stream(t):
 SELECT DISTINCT l_orderkey || '-' || l_linenumber AS review_id FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01'""")
 def _(t):
     base = shared_folder(t.spark, "reviews")
-    ingest.drain_to_files(ingest.new_reviews(review_stream(t), dt.datetime(1997, 1, 1), "4000 days"), f"{base}/rows", f"{base}/checkpoint")
+    ingest.append_new_reviews(review_stream(t), dt.datetime(1997, 1, 1), f"{base}/rows", f"{base}/checkpoint")
     return t.spark.read.parquet(f"{base}/rows").select("review_id")
 
 

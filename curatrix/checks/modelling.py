@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from curatrix.checks.ranking import GRID_SQL, grid
 from curatrix.checks.registry import check
 from curatrix.checks.scalars import FLAGS_SQL, busiest_user, flagged
-from curatrix.checks.similarity import FEATURES_SQL, SEED_KERNEL_SQL, active_users, features, taxonomy
+from curatrix.checks.similarity import FEATURES_SQL, SEED_KERNEL_SQL, features, taxonomy
 from curatrix.functions import normal
 from curatrix.operators import aggregates, bayes, kernel, matrix, regression, tags, taste, toplists
 from curatrix.operators.normalize import r6, to_z
@@ -199,8 +199,8 @@ def _(t):
 
 
 @check("best_discovery_step", GRID_SQL + """
-, c AS (SELECT user_id, step, corr(q, rating) AS r FROM ratings r JOIN grid g ON r.appid = g.appid GROUP BY 1, 2 HAVING stddev_pop(q) > 1e-12 AND stddev_pop(rating) > 0),
-w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(r, 12) DESC, step) AS rn FROM c) SELECT user_id, round(r, 6) + 0e0 AS r FROM w WHERE rn = 1""")
+, c AS (SELECT user_id, step, CASE WHEN stddev_pop(q) > 1e-12 AND stddev_pop(rating) > 0 THEN corr(q, rating) END AS r FROM ratings r JOIN grid g ON r.appid = g.appid GROUP BY 1, 2),
+w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(r, 12) DESC NULLS LAST, step) AS rn FROM c) SELECT user_id, round(r, 6) + 0e0 AS r FROM w WHERE rn = 1""")
 def _(t):
     return taste.best_step(t.ratings, grid(t)).select("user_id", r6("r"))
 
@@ -217,10 +217,11 @@ def rated_vectors(t):
     return models, regression.user_predictions(rows, models, ["x"]).withColumn("residual", F.col("rating") - F.col("base"))
 
 
-@check("user_linear_models", USER_SQL + " SELECT user_id, k AS n, round(a, 5) + 0e0 AS intercept, round(b, 6) + 0e0 AS beta FROM ub WHERE k >= 5")
+@check("user_linear_models", USER_SQL + " SELECT user_id, k AS n, round(round(a, 12), 5) + 0e0 AS intercept, round(round(b, 12), 6) + 0e0 AS beta FROM ub WHERE k >= 5")
 def _(t):
     models, _ = rated_vectors(t)
-    return models.filter("n >= 5").select("user_id", F.col("n").cast("long").alias("n"), r6("intercept", 5), (F.round(F.col("beta")[0], 6) + 0.0).alias("beta"))
+    exact = models.withColumns({"intercept": F.round("intercept", 12), "slope": F.round(F.col("beta")[0], 12)})
+    return exact.filter("n >= 5").select("user_id", F.col("n").cast("long").alias("n"), r6("intercept", 5), (F.round("slope", 6) + 0.0).alias("beta"))
 
 
 @check("forward_selected_models")
@@ -375,7 +376,7 @@ def _(t):
 @check("recommend_linear")
 def _(t):
     items = recommend_items(t)
-    mine = active_users(t).join(busiest_user(t).select("user_id").limit(1), "user_id", "left_semi")
+    mine = t.ratings.join(busiest_user(t).select("user_id").limit(1), "user_id", "left_semi")
     rating = kernel.rating_feature(features(t), mine, taxonomy(t)).join(kernel.graph_feature(t.vectors, mine), ["user_id", "appid"]).drop("user_id")
     request = recommend_request(t, coefficients={"kernel": 0.8, "graph": 0.3, "quality": 1.0, "age": -0.2, "popularity": 0.1, "length": 0.1, "difficulty": 0.0, "price": -0.1, "tone": 0.2},
                                 group_coefficients={"ASIA": 0.3}, topic_coefficients=tuple(0.1 * i for i in range(10)), switches={}, profile_filter="all")

@@ -193,13 +193,12 @@ def _(t):
 
 
 @check("series_twins", """
-, s AS (SELECT list_sort(list_distinct(regexp_extract_all(lower(substr(text, 1, strpos(text, '.'))), '([\\p{L}]{1,})', 1))) AS w, min(doc_id) AS id FROM documents GROUP BY 1),
+, s AS (SELECT list_sort(list_distinct(regexp_extract_all(lower(text), '([\\p{L}]{1,})', 1))) AS w, min(doc_id) AS id FROM documents GROUP BY 1),
 q AS (SELECT * FROM s WHERE len(w) >= 2)
 SELECT a.id AS left_id, b.id AS right_id, CAST(len(list_intersect(a.w, b.w)) AS INTEGER) AS shared FROM q a JOIN q b ON a.id < b.id
 WHERE len(list_intersect(a.w, b.w)) >= 2 AND len(list_intersect(a.w, b.w)) / CAST(greatest(len(a.w), len(b.w)) AS DOUBLE) > 0.7""")
 def _(t):
-    first_sentence = F.substring(F.col("text"), F.lit(1), F.instr("text", "."))
-    return joins.series_twins(t.table("documents").select(F.col("doc_id").alias("appid"), first_sentence.alias("name")))
+    return joins.series_twins(t.table("documents").select(F.col("doc_id").alias("appid"), F.col("text").alias("name")))
 
 
 @check("curve_interpolation", """

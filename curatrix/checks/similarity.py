@@ -281,29 +281,22 @@ def _(t):
     return K.evaluate_labels(K.pairwise_kernel(rows, seeds, taxonomy(t)), labels)
 
 
-RATED_SQL = ", me AS (SELECT user_id FROM ratings GROUP BY 1 HAVING count(*) >= (SELECT max(c) FROM (SELECT count(*) AS c FROM ratings GROUP BY user_id)) - 8)"
+TOP_SQL = """ SELECT user_id, appid, CAST(rank AS INTEGER) AS rank, round(x, 6) + 0e0 AS {name} FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(x, 9) DESC, appid) AS rank FROM ux) WHERE rank <= 10"""
 
 
-def active_users(t):
-    """Ratings of the most active users: those within eight ratings of the longest list."""
-    sizes = t.ratings.groupBy("user_id").agg(F.count("*").alias("c"))
-    top = sizes.agg(F.max("c").alias("x")).scalar()
-    return t.ratings.join(sizes.withColumn("_x", top).filter("c >= _x - 8").select("user_id"), "user_id", "left_semi")
-
-
-@check("kernel_rating_feature", PAIR_KERNEL_SQL + RATED_SQL + PAIR_VALUE_SQL.format(
-    keys="a.appid, b.appid AS seed, r.user_id, r.rating", source="ratings r JOIN me ON r.user_id = me.user_id JOIN feat b ON b.appid = r.appid CROSS JOIN feat a JOIN gs ga ON ga.appid = a.appid JOIN gs gb ON gb.appid = b.appid") + """
-SELECT user_id, appid, round(sum(CASE WHEN appid = seed THEN 0 ELSE exp(10 * k) END * (rating - 5)) / (sum(CASE WHEN appid = seed THEN 0 ELSE exp(10 * k) END) + 1e-9), 6) + 0e0 AS x_kernel FROM pv GROUP BY 1, 2""")
+@check("kernel_rating_feature", PAIR_KERNEL_SQL + PAIR_VALUE_SQL.format(
+    keys="a.appid, b.appid AS seed", source="feat b CROSS JOIN feat a JOIN gs ga ON ga.appid = a.appid JOIN gs gb ON gb.appid = b.appid") + """
+, ux AS (SELECT user_id, pv.appid, sum(CASE WHEN pv.appid = seed THEN 0 ELSE exp(10 * k) END * (rating - 5)) / (sum(CASE WHEN pv.appid = seed THEN 0 ELSE exp(10 * k) END) + 1e-9) AS x
+  FROM ratings r JOIN pv ON r.appid = pv.seed GROUP BY 1, 2)""" + TOP_SQL.format(name="x_kernel"))
 def _(t):
-    return K.rating_feature(features(t), active_users(t), taxonomy(t)).select("user_id", "appid", r6("x_kernel"))
+    return K.rating_feature(features(t), t.ratings, taxonomy(t), k=10).select("user_id", "appid", "rank", r6("x_kernel"))
 
 
-@check("graph_rating_feature", RATED_SQL + """
-, p AS (SELECT r.user_id, a.appid, b.appid AS seed, rating, CASE WHEN a.appid = b.appid THEN 0 ELSE greatest(0, list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec)) + 1e-9)) END AS w
-  FROM ratings r JOIN me ON r.user_id = me.user_id JOIN vectors b ON b.appid = r.appid CROSS JOIN vectors a)
-SELECT user_id, appid, round(sum(w * (rating - 5)) / (sum(w) + 1e-9), 6) + 0e0 AS x_graph FROM p GROUP BY 1, 2""")
+@check("graph_rating_feature", """
+, p AS (SELECT a.appid, b.appid AS seed, CASE WHEN a.appid = b.appid THEN 0 ELSE greatest(0, list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec)) + 1e-9)) END AS w FROM vectors b CROSS JOIN vectors a),
+ux AS (SELECT user_id, p.appid, sum(w * (rating - 5)) / (sum(w) + 1e-9) AS x FROM ratings r JOIN p ON r.appid = p.seed GROUP BY 1, 2)""" + TOP_SQL.format(name="x_graph"))
 def _(t):
-    return K.graph_feature(t.vectors, active_users(t)).select("user_id", "appid", r6("x_graph"))
+    return K.graph_feature(t.vectors, t.ratings, k=10).select("user_id", "appid", "rank", r6("x_graph"))
 
 
 @check("softmin_blends", FEATURES_SQL + """

@@ -189,8 +189,9 @@ def series_twins(titles: DataFrame, min_shared: int = 2, min_share: float = 0.7)
     """Pairs of titles of one series: enough shared words, and more than a share of the longer title's words.
 
     Word sets are compared once per distinct set; titles with equal sets are linked through that set, so
-    copies do not multiply. A prefix of the rarest words is enough to meet: two sets that share at least
-    ``min_shared`` words also share one outside their ``min_shared - 1`` most frequent words.
+    copies do not multiply. A prefix of the rarest words is enough to meet: a set needs
+    ``max(min_shared, floor(min_share * len) + 1)`` of its words in common, so two such sets share one outside all but that many
+    less one of their most frequent words.
     """
     sets = (titles.select("appid", F.array_sort(F.array_distinct(words(F.col("name")))).alias("w"))
             .filter(F.size("w") >= min_shared).groupBy("w").agg(F.min("appid").alias("set_id")))
@@ -198,7 +199,8 @@ def series_twins(titles: DataFrame, min_shared: int = 2, min_share: float = 0.7)
     counts = tokens.groupBy("word").agg(F.count("*").alias("df"))
     order = W.partitionBy("set_id").orderBy("df", "word")
     ranked = tokens.join(counts, "word").withColumns({"r": F.row_number().over(order), "len": F.count("*").over(W.partitionBy("set_id"))})
-    probe = ranked.filter(F.col("r") <= F.col("len") - (min_shared - 1)).select("set_id", "word")
+    need = F.greatest(F.lit(min_shared), F.floor(F.lit(min_share) * F.col("len")).cast("int") + 1)
+    probe = ranked.filter(F.col("r") <= F.col("len") - need + 1).select("set_id", "word")
     pairs = (probe.alias("a").join(probe.alias("b"), "word").filter(F.col("a.set_id") < F.col("b.set_id"))
              .select(F.col("a.set_id").alias("left_id"), F.col("b.set_id").alias("right_id")).distinct())
     lw, rw = sets.select(F.col("set_id").alias("left_id"), F.col("w").alias("lw")), sets.select(F.col("set_id").alias("right_id"), F.col("w").alias("rw"))

@@ -1,8 +1,8 @@
-"""Work over (candidate, seed) pairs as blocks of numpy, merged by Spark. No pair becomes a row on the way.
+"""Work over (candidate, seed) pairs as tiles of numpy, merged by Spark. No pair becomes a row on the way.
 
-``pairwise`` gives every candidate batch all seeds. Seeds within a checked bound are broadcast; beyond it
-candidates and seeds are cut in fragments that meet once each through an equi-join key. ``work`` returns
-partial results (sums, local top lists), so its results merge the same way on both paths.
+Candidates and seeds are cut in pieces bounded in bytes that meet once each through an equi-join key; within a task
+``work`` sees one tile of at most ``TILE`` x ``TILE`` pairs at a time. It returns partial results (sums, local top lists)
+that merge the same way whatever the tiles.
 """
 
 from __future__ import annotations
@@ -13,39 +13,47 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from curatrix.operators.toplists import top_k_by_group
+from curatrix.session import parallelism
 
-SEED_LIMIT, FRAGMENT_ROWS = 20_000, 50_000
+TILE, PIECE_BYTES, PIECE_ROWS = 1024, 64 << 20, 8192
 
 Work = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
 
-def pairwise(candidates: DataFrame, seeds: DataFrame, work: Work, schema: str, seed_limit: int = SEED_LIMIT) -> DataFrame:
-    """``work(candidate rows, seed rows)`` over all blocks."""
-    head = seeds.limit(seed_limit + 1).toPandas()  # bounded: decides between the two ways
-    if len(head) <= seed_limit:
-        shared = candidates.sparkSession.sparkContext.broadcast(head)
+def piece_rows(df: DataFrame) -> tuple[int, int]:
+    """(rows of ``df``, rows a piece may have so that its arrays stay within ``PIECE_BYTES``)."""
+    widest = [F.max(F.size(f.name)) for f in df.schema if isinstance(f.dataType, ArrayType)]
+    count, *widths = df.agg(F.count("*"), *widest).first()
+    return count, int(max(64, min(PIECE_ROWS, PIECE_BYTES // (8 * max(1, sum(w or 0 for w in widths))))))
 
-        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    yield work(batch, shared.value)
 
-        return candidates.mapInPandas(each, schema)
-    blocks = -(-seeds.count() // seed_limit)
-    pieces = max(1, -(-candidates.count() // FRAGMENT_ROWS))
-    left = candidates.withColumn("_piece", F.pmod(F.xxhash64(*candidates.columns), F.lit(pieces))).withColumn(
+def tiles(frame: pd.DataFrame, size: int | None = None) -> Iterator[pd.DataFrame]:
+    size = size or TILE
+    for at in range(0, len(frame), size):
+        yield frame.iloc[at:at + size]
+
+
+def pairwise(candidates: DataFrame, seeds: DataFrame, work: Work, schema: str, rows: int | None = None) -> DataFrame:
+    """``work(candidate rows, seed rows)`` over all tiles; ``rows`` lowers the rows of a piece."""
+    (n, high), (m, wide) = piece_rows(candidates), piece_rows(seeds)
+    pieces = max(1, min(n, max(parallelism(candidates), -(-n // min(high, rows or high)))))
+    blocks = max(1, -(-m // min(wide, rows or wide)))
+    left = candidates.withColumn("_piece", F.pmod(F.xxhash64(*candidates.columns), F.lit(pieces)).cast("int")).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = seeds.withColumn("_block", F.pmod(F.xxhash64(*seeds.columns), F.lit(blocks)).cast("int")).withColumn(
-        "_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))))
+        "_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
     right = right.toDF(*right.columns)  # fresh attributes: both sides may have one origin
     out = [f.name for f in candidates.sparkSession.createDataFrame([], schema).schema]
+    size = min(TILE, rows or TILE)
 
     def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame(columns=out)
-        return work(a.drop(columns=["_piece", "_block"]), b.drop(columns=["_piece", "_block"]))
+        known = list(tiles(b.drop(columns=["_piece", "_block"]), size))
+        return pd.concat([work(x, y) for x in tiles(a.drop(columns=["_piece", "_block"]), size) for y in known])
 
     keys = ["_block", "_piece"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(both, schema)
@@ -59,6 +67,16 @@ def _lengths(m: np.ndarray) -> np.ndarray:
     return np.sqrt((m * m).sum(axis=1))
 
 
+def _divergence(a: np.ndarray, b: np.ndarray, tiny: float = 1e-10) -> np.ndarray:
+    """Jensen-Shannon divergence of all rows of ``a`` and ``b``: own entropies less the cross terms with the mean, a dimension at a time."""
+    own_a, own_b = (a * np.log(a + tiny)).sum(axis=1), (b * np.log(b + tiny)).sum(axis=1)
+    cross = np.zeros((len(a), len(b)))
+    for x, y in zip(a.T, b.T):
+        total = x[:, None] + y[None, :]
+        cross += total * np.log((total + tiny) / 2)
+    return (own_a[:, None] + own_b[None, :] - cross) / 2
+
+
 def similarity_block(a: np.ndarray, b: np.ndarray, metric: str, penalty: float = 0.0) -> np.ndarray:
     """Candidates x seeds similarities: ``dot``, ``cosine`` (penalty added to the product of lengths) or ``jsd``."""
     if metric == "dot":
@@ -66,42 +84,35 @@ def similarity_block(a: np.ndarray, b: np.ndarray, metric: str, penalty: float =
     if metric == "cosine":
         return (a @ b.T) / (_lengths(a)[:, None] * _lengths(b)[None, :] + (penalty or 1e-9))
     if metric == "jsd":
-        out = np.empty((len(a), len(b)))
-        for j, q in enumerate(b):
-            m = 0.5 * (a + q + 1e-10)
-            gap = 0.5 * ((a * np.log((a + 1e-10) / m)).sum(axis=1) + (q * np.log((q + 1e-10) / m)).sum(axis=1))
-            out[:, j] = 1.0 - np.sqrt(np.maximum(gap, 0.0))
-        return out
+        return 1.0 - np.sqrt(np.maximum(_divergence(a, b), 0.0))
     raise ValueError(f"unknown metric {metric}")
 
 
-def best_rows(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best scores, ids breaking ties, without sorting all of them."""
-    if len(scores) > 4 * k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        kept = np.flatnonzero(scores >= edge)
-    else:
-        kept = np.arange(len(scores))
-    return kept[np.lexsort((ids[kept], -scores[kept]))[:k]]
-
-
 def neighbours(candidates: DataFrame, seeds: DataFrame, k: int, metric: str = "cosine", penalty: float = 0.0,
-               vector: str = "vec", seed_limit: int = SEED_LIMIT) -> DataFrame:
-    """Exact ``k`` nearest candidates of every seed, itself excluded: (seed, appid, similarity, rank)."""
+               vector: str = "vec", rows: int | None = None, barred: DataFrame | None = None) -> DataFrame:
+    """Exact ``k`` nearest candidates of every seed, itself excluded: (seed, appid, similarity, rank).
 
-    def work(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        ids, sims = rows["appid"].to_numpy(), similarity_block(stack(rows[vector]), stack(wanted[vector]), metric, penalty)
-        found = []
-        for j, seed in enumerate(wanted["appid"].to_numpy()):
-            scores = np.where(ids == seed, -np.inf, sims[:, j])
-            top = best_rows(ids, scores, k)
-            top = top[np.isfinite(scores[top])]
-            found.append(pd.DataFrame({"seed": seed, "appid": ids[top], "similarity": scores[top]}))
-        return pd.concat(found)
-
-    local = pairwise(candidates.select("appid", vector), seeds.select("appid", vector), work,
-                     "seed long, appid long, similarity double", seed_limit)
-    return top_k_by_group(local, ["seed"], [F.desc("similarity"), F.asc("appid")], k)
+    With ``barred`` (owner, appid) and seeds that carry ``owner``, every owner's barred candidates are left out before the k are taken.
+    """
+    extra = ["owner"] if barred is not None else []
+
+    def work(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        ids, names = own["appid"].to_numpy(), wanted["appid"].to_numpy()
+        scores = np.where(ids[:, None] == names[None, :], -np.inf, similarity_block(stack(own[vector]), stack(wanted[vector]), metric, penalty))
+        if extra:
+            for j, gone in enumerate(wanted["barred"]):
+                scores[np.isin(ids, gone), j] = -np.inf
+        edge = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k] if len(ids) > k else np.full(len(names), -np.inf)
+        at, of = np.nonzero((scores >= edge) & np.isfinite(scores))  # ties at the edge stay, ids decide below
+        return pd.DataFrame({**{c: wanted[c].to_numpy()[of] for c in extra}, "seed": names[of], "appid": ids[at], "similarity": scores[at, of]})
+
+    columns = ["appid", vector, *extra]
+    if barred is not None:
+        lists = barred.groupBy("owner").agg(F.collect_set("appid").alias("barred"))
+        seeds, columns = seeds.join(lists, "owner", "left").withColumn("barred", F.coalesce("barred", F.array().cast("array<long>"))), [*columns, "barred"]
+    shape = "owner long, seed long, appid long, similarity double" if extra else "seed long, appid long, similarity double"
+    local = pairwise(candidates.select("appid", vector), seeds.select(*columns), work, shape, rows)
+    return top_k_by_group(local, [*extra, "seed"], [F.desc("similarity"), F.asc("appid")], k)
 
 
 def similarity_ladder(near: DataFrame, steps: tuple[int, ...] = (1, 10, 50, 100)) -> DataFrame:
@@ -123,19 +134,17 @@ def centroids(df: DataFrame, by: str, vector: str = "vec", normalize: str | None
 
 
 def topic_distributions(df: DataFrame, topics: DataFrame, temperature: float = 0.2) -> DataFrame:
-    """Softmax of each row's dot products with topic centroids (columns ``topic``, ``vec``): ``topics`` vector."""
-    order = topics.orderBy("topic")
+    """Softmax of each row's dot products with topic centroids (columns ``topic``, ``vec``), in order of topic: ``topics`` vector."""
 
     def work(rows: pd.DataFrame, centre: pd.DataFrame) -> pd.DataFrame:
-        c = stack(centre.sort_values("topic")["vec"])
-        s = stack(rows["vec"]) @ c.T
-        e = np.exp((s - s.max(axis=1, keepdims=True)) / temperature)
-        return pd.DataFrame({"appid": rows["appid"], "topics": list(e / e.sum(axis=1, keepdims=True))})
+        scores = stack(rows["vec"]) @ stack(centre["vec"]).T / temperature
+        return pd.DataFrame({"appid": rows["appid"].to_numpy(), "part": [[{"topic": int(t), "s": float(x)} for t, x in zip(centre["topic"], row)] for row in scores]})
 
-    # one distribution needs all topics at once, so their number is bounded here and never split
-    if topics.limit(5001).count() > 5000:
-        raise ValueError("more than 5000 topics")
-    return pairwise(df.select("appid", "vec"), order.select("topic", "vec"), work, "appid long, topics array<double>", seed_limit=5000)
+    parts = pairwise(df.select("appid", "vec"), topics.select("topic", "vec"), work, "appid long, part array<struct<topic:long,s:double>>")
+    scores = parts.groupBy("appid").agg(F.transform(F.array_sort(F.flatten(F.collect_list("part"))), lambda p: p["s"]).alias("s"))
+    odds = scores.withColumn("top", F.array_max("s")).select("appid", F.transform("s", lambda x: F.exp(x - F.col("top"))).alias("e"))
+    total = F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x)
+    return odds.withColumn("total", total).select("appid", F.transform("e", lambda x: x / F.col("total")).alias("topics"))
 
 
 def project_on_axis(df: DataFrame, low: DataFrame, high: DataFrame, target: str = "projection", vector: str = "vec") -> DataFrame:
@@ -173,12 +182,12 @@ def diverse_seeds(items: DataFrame, count: int = 20, ceiling: float = 0.1, penal
         seeds = items.sparkSession.createDataFrame([(int(a), [float(x) for x in v]) for a, _, v in chosen], f"appid long, {vector} array<double>")
         last = rows[-1]
 
-        def unlike(batch: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        def alike(batch: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
             sims = similarity_block(stack(batch[vector]), stack(known[vector]), "cosine", penalty)
-            return batch[(sims < ceiling).all(axis=1)]
+            return batch.loc[(sims >= ceiling).any(axis=1), ["appid"]]
 
         after = left.filter((F.col(popularity) < last[popularity]) | ((F.col(popularity) == last[popularity]) & (F.col("appid") > last["appid"])))
-        left = pairwise(after, seeds, unlike, f"appid long, {popularity} long, {vector} array<double>")
+        left = after.join(pairwise(after.select("appid", vector), seeds, alike, "appid long").distinct(), "appid", "left_anti")
     out = [(i + 1, int(a), int(n), [float(x) for x in v]) for i, (a, n, v) in enumerate(chosen)]
     return items.sparkSession.createDataFrame(out, f"rank int, appid long, n long, {vector} array<double>")
 

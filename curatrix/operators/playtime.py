@@ -178,7 +178,8 @@ def median_samples(histogram: DataFrame, least: int = 80, draws: int = 20, seed:
             for appid, x, n, pool in zip(batch["appid"], batch["x"], batch["n"], batch["sizes"]):
                 x, n = np.asarray(x), np.asarray(n)
                 rng = np.random.default_rng([seed, int(appid) & 0xFFFFFFFF])
-                true = np.log1p(np.median(np.repeat(x, n.astype(int)))) if n.sum() < 1e6 else np.log1p(x[np.searchsorted(np.cumsum(n), n.sum() / 2)])
+                run = np.cumsum(n)
+                true = np.log1p((x[np.searchsorted(run, (run[-1] + 1) // 2)] + x[np.searchsorted(run, run[-1] // 2 + 1)]) / 2)
                 for size in rng.choice(np.asarray(pool), draws):
                     picked = rng.multinomial(int(max(size, 1)), n / n.sum())
                     order = np.cumsum(picked)

@@ -315,6 +315,13 @@ def user_products(df: DataFrame, features: Sequence[str], target: str) -> DataFr
     return df.groupBy("user_id").agg(F.array(*sums).alias("sums"))
 
 
+def user_spreads(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """Per user the number of rows, the means of (features, target) and the upper triangle of their covariances, by aggregates that don't cancel."""
+    cells = [F.col(c).cast("double") for c in [*features, target]]
+    spread = [F.covar_pop(cells[i], cells[j]) for i in range(len(cells)) for j in range(i, len(cells))]
+    return df.groupBy("user_id").agg(F.count("*").cast("double").alias("n"), F.array(*[F.avg(c) for c in cells]).alias("means"), F.array(*spread).alias("spread"))
+
+
 def _square(flat: np.ndarray, width: int) -> np.ndarray:
     m = np.zeros((width, width))
     m[np.triu_indices(width)] = flat
@@ -326,14 +333,14 @@ FIT_SCHEMA = "struct<features:array<string>,intercept:double,beta:array<double>,
 
 def user_models(df: DataFrame, features: Sequence[str], target: str, first: str | None = None) -> DataFrame:
     """Per user: least squares on all features, or forward selection by AICc from ``first``. One row per user."""
-    names, width = list(features), len(features) + 2
+    names, width = list(features), len(features) + 1
 
     @F.pandas_udf(FIT_SCHEMA)
-    def solve(column: pd.Series) -> pd.DataFrame:
+    def solve(counts: pd.Series, means: pd.Series, spreads: pd.Series) -> pd.DataFrame:
         out = []
-        for flat in column:
-            m = _square(np.asarray(flat), width)
-            n = m[0, 0]
+        for n, mean, spread in zip(counts, means, spreads):
+            m = np.zeros((width + 1, width + 1))  # sums of products about the means
+            m[0, 0], m[1:, 1:] = n, n * _square(np.asarray(spread), width)
 
             def cost(chosen: list[int]) -> float:
                 return information(n, rss(m, fit(m, chosen)), len(chosen) + 1, "aicc")  # noqa: B023
@@ -347,11 +354,12 @@ def user_models(df: DataFrame, features: Sequence[str], target: str, first: str
                         break
                     value, chosen = tried[0][0], [*chosen, tried[0][1]]
             model = fit(m, chosen)
-            out.append({"features": [names[i] for i in chosen], "intercept": model.intercept, "beta": [float(b) for b in model.beta],
+            level = float(mean[-1] - sum(b * mean[i] for b, i in zip(model.beta, chosen)))
+            out.append({"features": [names[i] for i in chosen], "intercept": level, "beta": [float(b) for b in model.beta],
                         "aicc": value if math.isfinite(value) else None, "n": float(n), "rss": rss(m, model)})
         return pd.DataFrame(out, columns=["features", "intercept", "beta", "aicc", "n", "rss"])
 
-    return user_products(df, features, target).select("user_id", solve("sums").alias("m")).select("user_id", "m.*")
+    return user_spreads(df, features, target).select("user_id", solve("n", "means", "spread").alias("m")).select("user_id", "m.*")
 
 
 def user_predictions(df: DataFrame, models: DataFrame, features: Sequence[str], target: str = "base") -> DataFrame:

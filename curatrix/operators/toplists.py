@@ -10,17 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import fold_name
-from curatrix.session import parallelism
 
 
 def top_k_by_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """First ``k`` rows per group. A group is cut in salted parts first, so a hot group is never one task;
-    only ``k`` rows per part reach the last ranking."""
-    by, parts = list(by), parallelism(df)
-    salted = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
-    local = salted.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_part").orderBy(*order))).filter(F.col("_r") <= k)
-    final = local.drop("_part", "_r").withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
-    return final.filter(F.col(rank) <= k)
+    """First ``k`` rows per group; each input partition passes on k rows of a group at most before the shuffle."""
+    return df.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
 
 
 def ends(df: DataFrame, value: str, k: int = 50, key: str = "appid") -> DataFrame:

@@ -57,10 +57,10 @@ def test_information_criterion():
     assert regression.information(100, 10, 2, "bic") == pytest.approx(2 * np.log(100) + 100 * np.log(.1))
 
 
-def test_pairwise_is_the_same_broadcast_or_fragmented(spark):
+def test_pairwise_is_the_same_in_one_tile_or_many(spark):
     rng = np.random.default_rng(1)
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(60, 5)))], "appid long, vec array<double>")
-    a, b = (sorted(map(tuple, pairs.neighbours(df, df, 4, seed_limit=limit).select("seed", "appid", "rank").collect())) for limit in (1000, 7))
+    a, b = (sorted(map(tuple, pairs.neighbours(df, df, 4, rows=limit).select("seed", "appid", "rank").collect())) for limit in (1000, 7))
     assert a == b and len(a) == 240
 
 

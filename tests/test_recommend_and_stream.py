@@ -76,8 +76,8 @@ def test_reviews_resume_without_duplicates(spark, tmp_path):
     day = dt.datetime(2024, 1, 1)
 
     def drain():
-        rows = ingest.new_reviews(ingest.file_stream(spark, f"{base}/in", "*.parquet", schema), dt.datetime(2023, 1, 1))
-        ingest.drain_to_files(rows, f"{base}/out", f"{base}/checkpoint")
+        rows = ingest.file_stream(spark, f"{base}/in", "*.parquet", schema)
+        ingest.append_new_reviews(rows, dt.datetime(2023, 1, 1), f"{base}/out", f"{base}/checkpoint")
 
     spark.createDataFrame([("a", day), ("b", day), ("old", dt.datetime(2020, 1, 1))], schema).write.parquet(f"{base}/in")
     drain()
