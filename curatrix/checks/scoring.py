@@ -225,11 +225,15 @@ def _(t):
     return tags.smoothing_loss(samples, g, [0.5, 2, 8, 30, 120]).select("k", r6("loss", 5))
 
 
-@check("smoothing_loss_resampled")
+@check("smoothing_loss_resampled", TAG_CTES + """
+, tot AS (SELECT appid, CAST(sum(votes) AS DOUBLE) AS n FROM votes GROUP BY 1),
+d AS (SELECT o.appid, p.tag, p.g, coalesce(v.votes, 0) / o.n AS pr FROM tot o CROSS JOIN prior p LEFT JOIN votes v ON v.appid = o.appid AND v.tag = p.tag WHERE o.n >= 30),
+s AS (SELECT sum(pr * (1 - pr)) AS noise, sum((g - pr) * (g - pr)) AS bias FROM d), z AS (SELECT n, count(*) AS m FROM tot GROUP BY 1), k AS (SELECT unnest([0.5, 2, 8, 30, 120, 1000]::DOUBLE[]) AS k)
+SELECT k, round(sum(m * (n * noise + k * k * bias) / power(n + k, 2)) / sum(m), 6) AS loss FROM k, z, s GROUP BY 1""")
 def _(t):
     names, g, _ = smoothed(t)
     rows = tags.dense(t.votes, names).withColumn("votes", F.aggregate("counts", F.lit(0.0), lambda a, x: a + x))
-    return tags.smoothing_loss(tags.synthetic_samples(rows, reliable=30), g, [float(x) for x in np.geomspace(0.1, 5000, 13)], likelihood=True)
+    return tags.expected_smoothing_loss(rows, g, [0.5, 2, 8, 30, 120, 1000], reliable=30).select("k", r6("loss"))
 
 
 @check("whitened_tag_vectors")

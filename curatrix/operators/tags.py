@@ -153,25 +153,25 @@ def limit_of_detection(votes: DataFrame, tags: Sequence[str], reliable: float =
     return base.select("appid", fill("counts", "p", "low").alias("counts"))
 
 
-def synthetic_samples(rows: DataFrame, draws: int = 20, seed: int = 42, reliable: float = RELIABLE_VOTES) -> DataFrame:
-    """Small seeded samples of reliable profiles: (c, g) vectors. Sample sizes are quantiles of the vote totals."""
-    sizes = rows.filter("votes > 0").agg(F.percentile_approx("votes", [i / 200 for i in range(1, 200)], 10000).alias("x")).scalar()
-    strict = rows.filter(F.col("votes") >= reliable)
-    pool = (rows.filter("votes > 0") if strict.isEmpty() else strict).select("appid", "counts").withColumn("sizes", sizes)
+def expected_smoothing_loss(rows: DataFrame, prior: Sequence[float], grid: Sequence[float], reliable: float = RELIABLE_VOTES) -> DataFrame:
+    """Expected squared error of smoothed samples of the reliable profiles, per strength K: (k, loss).
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            c, g = [], []
-            for appid, counts, options in zip(batch["appid"], batch["counts"], batch["sizes"]):
-                p = np.asarray(counts, dtype=float)
-                p = p / p.sum()
-                rng = np.random.default_rng([seed, int(appid) & 0xFFFFFFFF])
-                for n in rng.choice(np.asarray(options), draws):
-                    c.append(rng.multinomial(int(max(n, 1)), p).astype(float))
-                    g.append(p)
-            yield pd.DataFrame({"c": c, "g": g})
-
-    return pool.mapInPandas(draw, "c array<double>, g array<double>")
+    A sample of n votes from profile p, pulled to g with strength K, errs by ``(n p (1 - p) + K^2 (g - p)^2) / (n + K)^2`` in expectation, so two
+    sums over the profiles and the distribution of the vote totals say everything; no sample is drawn. ``rows`` has ``counts`` and ``votes``.
+    """
+    some = rows.filter("votes > 0")
+    strict = some.filter(F.col("votes") >= reliable)
+    pool = some if strict.isEmpty() else strict
+    total = F.aggregate("counts", F.lit(0.0), lambda acc, x: acc + x)
+    p = F.transform("counts", lambda x: x / total)
+    g = F.array(*[F.lit(float(x)) for x in prior])
+    noise = F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x * (1 - x))
+    bias = F.aggregate(F.zip_with(p, g, lambda x, y: (y - x) * (y - x)), F.lit(0.0), lambda acc, x: acc + x)
+    sums = pool.agg(F.sum(noise).alias("noise"), F.sum(bias).alias("bias"))
+    sizes = some.groupBy(F.col("votes").cast("double").alias("n")).agg(F.count("*").alias("m"))
+    spread = sizes.withColumns({"_s": sums.select(F.struct("noise", "bias")).scalar(), "k": F.explode(F.array(*[F.lit(float(k)) for k in grid]))})
+    loss = F.col("m") * (F.col("n") * F.col("_s.noise") + F.col("k") * F.col("k") * F.col("_s.bias")) / ((F.col("n") + F.col("k")) * (F.col("n") + F.col("k")))
+    return spread.groupBy("k").agg((F.sum(loss) / F.sum("m")).alias("loss"))
 
 
 def smoothing_loss(samples: DataFrame, prior: Sequence[float], grid: Sequence[float], likelihood: bool = False) -> DataFrame:
@@ -193,11 +193,10 @@ def smoothing_loss(samples: DataFrame, prior: Sequence[float], grid: Sequence[fl
     return samples.select("c", "g").mapInPandas(fold, "k double, loss double").groupBy("k").agg(F.sum("loss").alias("loss"))
 
 
-def smoothing_strength(samples: DataFrame, prior: Sequence[float], low: float = 0.1, high: float = 5000.0, points: int = 41, likelihood: bool = False) -> float:
-    """Best K on a logarithmic grid with one refinement."""
-    kept = checkpointed(samples)
+def smoothing_strength(rows: DataFrame, prior: Sequence[float], low: float = 0.1, high: float = 5000.0, points: int = 41, reliable: float = RELIABLE_VOTES) -> float:
+    """K of least expected loss on a logarithmic grid with one refinement."""
     for _ in range(2):
-        best = smoothing_loss(kept, prior, np.geomspace(low, high, points), likelihood).agg(F.min_by("k", "loss").alias("b")).first()["b"]
+        best = expected_smoothing_loss(rows, prior, np.geomspace(low, high, points), reliable).agg(F.min_by("k", "loss").alias("b")).first()["b"]
         step = (high / low) ** (1 / (points - 1))
         low, high = max(0.1, best / step), min(5000.0, best * step)
     return float(best)
@@ -207,7 +206,7 @@ def tag_vectors(votes: DataFrame, kind: str = "anscombe", keep: float = 0.95, le
     """Whitened tag vectors from raw votes: imputation, smoothing strength, transform, whitening, norm."""
     tags = tag_list(votes)
     rows, mean = impute(votes, tags, reliable=reliable)
-    strength = smoothing_strength(synthetic_samples(rows, reliable=reliable), mean)
+    strength = smoothing_strength(rows, mean, reliable=reliable)
     mean_total = rows.agg(F.avg("votes").alias("x")).first()["x"]
     shaped = transform_profiles(smoothed_profiles(rows, mean, strength, F.col("votes")), mean, kind, mean_total)
     white = matrix.whiten(shaped.select("appid", "vec"), "vec", len(tags), "white", keep, least)
