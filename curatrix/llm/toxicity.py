@@ -9,7 +9,7 @@
    is the sum of ``lambda S - log(K n)`` over its significant segments, or the largest value if none is significant.
 4. Evidence becomes a probability by monotone regression on a histogram of the training texts.
 
-What leaves Spark is the bucket table and the histogram, both of fixed size. Empty and null texts have the lowest evidence,
+What leaves Spark is the significant part of the bucket table and the histogram, both of bounded size. Empty and null texts have the lowest evidence,
 ties have equal scores, repeated rows are scored each, a null id is never training data; extra columns are ignored. With no
 training text of either label every score is the base rate, or 0.
 """
@@ -78,27 +78,24 @@ def _counted(batches):
                                      names=["bucket", "c0", "c1", "c2", "s"])
 
 
-def _counts(texts: DataFrame) -> np.ndarray:
-    """Texts by bucket: toxic, clean, without label. A bucket that toxic texts have in few contexts counts these, not the texts:
+def _counts(texts: DataFrame) -> DataFrame:
+    """Texts by bucket: toxic, clean, all. A bucket that toxic texts have in few contexts counts these, not the texts:
     a family of near copies is one witness."""
-    got = (texts.mapInArrow(_counted, "bucket long, c0 long, c1 long, c2 long, s long").groupBy("bucket")
-           .agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(3)], F.bit_count(F.bit_or("s")).alias("s")).toPandas())
-    out = np.zeros((3, 2 * BUCKETS))
-    at = got["bucket"].to_numpy()
-    out[:, at] = got[["c0", "c1", "c2"]].to_numpy().T
-    bits = got["s"].to_numpy()
-    contexts = np.where(bits < 60, -64 * np.log1p(-np.minimum(bits, 60) / 64), np.inf)
-    out[0, at] = np.minimum(out[0, at], contexts)
-    return out
-
-
-def token_weights(toxic: np.ndarray, clean: np.ndarray, everything: np.ndarray) -> np.ndarray:
-    """Significant log-odds of the buckets under the Dirichlet prior of all texts, less the drift."""
-    share = (everything + 0.5) / (everything.sum() + BUCKETS)
-    a, b = toxic + PRIOR * share, clean + PRIOR * share
-    odds = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
-    sure = np.sign(odds) * np.maximum(0, np.abs(odds) - Z * np.sqrt(1 / a + 1 / b))
-    return sure - DRIFT
+    sums = (texts.mapInArrow(_counted, "bucket long, c0 long, c1 long, c2 long, s long").groupBy("bucket")
+            .agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(3)], F.bit_count(F.bit_or("s")).alias("bits")))
+    contexts = F.when(F.col("bits") < 60, -64 * F.log1p(-F.least("bits", F.lit(60)) / 64)).otherwise(F.lit(float("inf")))
+    return sums.select("bucket", F.least(F.col("c0").cast("double"), contexts).alias("toxic"), F.col("c1").cast("double").alias("clean"),
+                       (F.col("c0") + F.col("c1") + F.col("c2")).cast("double").alias("everything"))
+
+
+def token_odds(counts: DataFrame) -> tuple[DataFrame, float]:
+    """(bucket, clean, sure): the log-odds that exceed ``Z`` standard errors under the Dirichlet prior of all texts; and the sum of clean counts."""
+    total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("toxic", "clean", "everything")]).first()
+    prior = PRIOR * (F.col("everything") + 0.5) / (total["everything"] + BUCKETS)
+    a, b = F.col("toxic") + prior, F.col("clean") + prior
+    odds = F.ln(a / (total["toxic"] + PRIOR - a)) - F.ln(b / (total["clean"] + PRIOR - b))
+    sure = F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - Z * F.sqrt(1 / a + 1 / b))
+    return counts.select("bucket", "clean", sure.alias("sure")).where("sure != 0"), total["clean"]
 
 
 def decay_rate(weights: np.ndarray, clean: np.ndarray) -> float:
@@ -173,15 +170,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELS) -> Model:
     truth = F.broadcast(truth.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select(
         "doc_id", F.expr("if(toxic = 1, 0, 1)").alias("kind")))
     texts = docs.select("doc_id", "text")
-    toxic, clean, other = _counts(texts.join(truth, "doc_id", "left").select("text", F.coalesce("kind", F.lit(2)).alias("kind")))
-    everything = toxic + clean + other
+    counts = stored(_counts(texts.join(truth, "doc_id", "left").select("text", F.coalesce("kind", F.lit(2)).alias("kind"))), "toxicity-counts")
     train = texts.join(truth, "doc_id").select("text", "kind")
-    weights = token_weights(toxic, clean, everything)
-    rate = decay_rate(weights, clean)
+    odds, everything = token_odds(counts)
+    odds = odds.toPandas()
+    weights = np.full(2 * BUCKETS, -DRIFT, np.float32)
+    weights[odds["bucket"].to_numpy(np.int64)] += odds["sure"].to_numpy(np.float32)
+    seen = odds["clean"].to_numpy(float)
+    rate = decay_rate(np.append(odds["sure"].to_numpy(float), 0.0) - DRIFT, np.append(seen, everything - seen.sum()))
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def best(batches):
         for batch in batches:
-            rows = [(int(n), [s for *_, s in found]) for n, found in _scanned(batch.column("text"), weights)]
+            rows = [(int(n), [s for *_, s in found]) for n, found in _scanned(batch.column("text"), shared.value)]
             yield pa.RecordBatch.from_arrays([batch.column("kind").cast(pa.int32()), pa.array([n for n, _ in rows], pa.int64()),
                                               pa.array([s for _, s in rows], pa.list_(pa.float64()))], names=["kind", "n", "scores"])
 
@@ -197,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELS) -> Model:
     table = np.zeros((2, BINS))
     for b, k, c in zip(shares["bin"], shares["kind"], shares["count"]):
         table[int(k), int(b)] += c
-    return Model(weights.astype(np.float32), rate, log_k, monotone(*table) if table.sum() else np.zeros(BINS))
+    return Model(weights, rate, log_k, monotone(*table) if table.sum() else np.zeros(BINS))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
