@@ -249,11 +249,9 @@ pr AS (SELECT ps.user_id, ps.appid, greatest(0, least(10, a + b * c.n + coalesce
 rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(p, 9) DESC, appid) AS rank FROM pr) SELECT user_id, CAST(rank AS INTEGER) AS rank, round(p, 5) AS projected_rating FROM rk WHERE rank <= 10""")
 def _(t):
     models, rows = rated_vectors(t)
-    smooth = taste.project(t.vectors.select("appid", "vec"), rows.withColumn("power", F.lit(2.0)).select("user_id", "appid", "residual", "power", "vec"), [("vec", 1.0)], None)
-    base = regression.user_predictions(smooth.join(t.catalogue.select("appid", F.col("n").cast("double").alias("x")), "appid"), models, ["x"])
-    out = base.withColumn("projected_rating", F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.col("base") + F.col("smoothed"))))
-    by = [F.desc(F.round("projected_rating", 9)), F.asc("appid")]
-    top = toplists.top_k_by_group(out.select("user_id", "appid", "projected_rating"), ["user_id"], by, 10)
+    items = t.vectors.select("appid", "vec").join(t.catalogue.select("appid", F.col("n").cast("double").alias("x")), "appid")
+    known = rows.withColumn("power", F.lit(2.0)).select("user_id", "appid", "residual", "power", "vec")
+    top = taste.project_top(items, known, models, ["x"], 10, [("vec", 1.0)], None)
     return top.select("user_id", "rank", r6("projected_rating", 5))
 
 

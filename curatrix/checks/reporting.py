@@ -110,14 +110,14 @@ def word_vectors(t):
 
 @check("dimension_word_bags")
 def _(t):
-    return explain.label_dimensions(word_vectors(t), 64, 200)
+    return explain.label_dimensions(word_vectors(t), 64)
 
 
 @check("dimension_word_pairs")
 def _(t):
     words = t.once("words", lambda: word_vectors(t))
-    opposite = explain.label_pairs(words, 100).withColumn("form", F.lit("difference"))
-    return opposite.unionByName(explain.label_pairs(words, 100, difference=False).withColumn("form", F.lit("sum")))
+    opposite = explain.label_pairs(words).withColumn("form", F.lit("difference"))
+    return opposite.unionByName(explain.label_pairs(words, difference=False).withColumn("form", F.lit("sum")))
 
 
 @check("motivation_scores", DIM_SQL + """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -56,54 +56,61 @@ def ideal_profile(spark, taste: Sequence[float], weights: np.ndarray, names: Seq
     return spark.createDataFrame([(r + 1, names[i], float(share[i])) for r, i in enumerate(order)], "rank int, tag string, share double")
 
 
-def label_dimensions(words: DataFrame, dims: int, pool: int = 500, bag: int = 3) -> DataFrame:
+def label_dimensions(words: DataFrame, dims: int, bag: int = 3) -> DataFrame:
     """Words whose summed vectors best point along each dimension, chosen greedily (columns ``word``, ``vec``).
 
-    Per dimension only its ``pool`` strongest words are kept, ranked in Spark; the search inside that short list
-    maximizes the share of the summed vector's length that lies on the dimension.
+    Every step looks at all words: it maximizes the share of the summed vector's length that lies on the dimension, for all
+    dimensions in one pass. A dimension stops when no word raises its share. Only one row per dimension and step comes to the driver.
     """
-    long = words.select("word", "vec", F.posexplode("vec").alias("dim", "x"))
-    near = top_k_by_group(long.select("dim", "word", "x"), ["dim"], [F.desc("x"), F.asc("word")], pool).join(words, "word")
-
-    def pick(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["x", "word"], ascending=[False, True])
-        d, m, names = int(part["dim"].iloc[0]), pairs.stack(part["vec"]), part["word"].to_numpy()
-        chosen: list[int] = []
-        total = np.zeros(m.shape[1])
-        score = -np.inf
-        while len(chosen) < bag:
-            sums = total + m
-            value = sums[:, d] / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)
-            value[chosen] = -np.inf
-            best = int(np.argmax(value))
-            if value[best] <= score:
-                break
-            score, total = float(value[best]), total + m[best]
-            chosen.append(best)
-        return pd.DataFrame({"dim": [d], "words": [[str(names[i]) for i in chosen]], "score": [score]})
-
-    return near.groupBy("dim").applyInPandas(pick, "dim int, words array<string>, score double")  # at most ``pool`` words each
-
-
-def label_pairs(words: DataFrame, pool: int = 500, difference: bool = True) -> DataFrame:
-    """Best two words per dimension: their difference (opposites) or sum pointing along it."""
-    long = words.select("word", F.posexplode("vec").alias("dim", "x"))
-    high = top_k_by_group(long, ["dim"], [F.desc("x"), F.asc("word")], pool, "r").join(words, "word")
-    low = top_k_by_group(long, ["dim"], [F.asc("x"), F.asc("word")], pool, "r").join(words, "word") if difference else None
+    total, score = np.zeros((dims, dims)), np.full(dims, -np.inf)
+    chosen: list[list[str]] = [[] for _ in range(dims)]
+    for _ in range(bag):
+        own, taken = total.copy(), [set(c) for c in chosen]
+
+        def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not len(batch):
+                    continue
+                part = batch.sort_values("word")
+                m, names = pairs.stack(part["vec"]), part["word"].to_numpy()
+                length = np.sqrt(np.maximum((m * m).sum(axis=1)[:, None] + (own * own).sum(axis=1)[None, :] + 2 * m @ own.T, 1e-24))  # noqa: B023
+                value = (m[:, :dims] + np.diag(own)[None, :]) / length  # noqa: B023
+                for d, words_of in enumerate(taken):  # noqa: B023
+                    value[np.isin(names, list(words_of)), d] = -np.inf
+                at = value.argmax(axis=0)
+                yield pd.DataFrame({"dim": np.arange(dims), "word": names[at], "vec": list(m[at]), "score": value[at, np.arange(dims)]})
+
+        local = words.select("word", "vec").mapInPandas(step, "dim int, word string, vec array<double>, score double")
+        for r in top_k_by_group(local, ["dim"], [F.desc(F.round("score", 12)), F.asc("word")], 1).collect():
+            if len(chosen[r["dim"]]) == len(taken[r["dim"]]) and r["score"] > score[r["dim"]] and np.isfinite(r["score"]):
+                score[r["dim"]] = r["score"]
+                total[r["dim"]] += np.asarray(r["vec"])
+                chosen[r["dim"]].append(r["word"])
+        if all(len(c) == len(t) for c, t in zip(chosen, taken)):
+            break
+    rows = [(d, c, float(score[d])) for d, c in enumerate(chosen) if c]
+    return words.sparkSession.createDataFrame(rows, "dim int, words array<string>, score double")
+
+
+def label_pairs(words: DataFrame, difference: bool = True) -> DataFrame:
+    """Best two of all words per dimension: their difference (opposites) or sum pointing along it; ties go to the smaller words."""
+    sign = -1.0 if difference else 1.0
 
     def pick(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = (p.sort_values("word") for p in (a, b))
-        d, m, k = int(a["dim"].iloc[0]), pairs.stack(a["vec"]), pairs.stack(b["vec"])
-        sign = -1.0 if difference else 1.0
-        lengths = np.sqrt(np.maximum((m * m).sum(axis=1)[:, None] + (k * k).sum(axis=1)[None, :] + 2 * sign * (m @ k.T), 1e-12))
-        value = (m[:, d][:, None] + sign * k[:, d][None, :]) / lengths
-        value[a["word"].to_numpy()[:, None] == b["word"].to_numpy()[None, :]] = -np.inf
-        i, j = np.unravel_index(np.argmax(value), value.shape)
-        return pd.DataFrame({"dim": [d], "first": [a["word"].iloc[i]], "second": [b["word"].iloc[j]], "score": [float(value[i, j])]})
-
-    schema = "dim int, first string, second string, score double"
-    other = low if low is not None else high
-    return high.groupBy("dim").cogroup(other.toDF(*other.columns).groupBy("dim")).applyInPandas(pick, schema)  # ``pool`` words each side
+        m, k, first, second = pairs.stack(a["vec"]), pairs.stack(b["vec"]), a["word"].to_numpy(), b["word"].to_numpy()
+        scale = 1 / np.sqrt(np.maximum((m * m).sum(axis=1)[:, None] + (k * k).sum(axis=1)[None, :] + 2 * sign * (m @ k.T), 1e-12))
+        scale[first[:, None] == second[None, :]] = np.nan
+        found = []
+        for d in range(m.shape[1]):
+            value = (m[:, d, None] + sign * k[None, :, d]) * scale
+            if not np.isnan(value).all():
+                i, j = np.unravel_index(np.nanargmax(value), value.shape)
+                found.append((d, first[i], second[j], float(value[i, j])))
+        return pd.DataFrame(found, columns=["dim", "first", "second", "score"])
+
+    local = pairs.pairwise(words.select("word", "vec"), words.select("word", "vec"), pick, "dim int, first string, second string, score double")
+    return top_k_by_group(local, ["dim"], [F.desc(F.round("score", 12)), F.asc("first"), F.asc("second")], 1).drop("rank")
 
 
 def motivation_scores(users: DataFrame, motives: DataFrame, weights: dict[str, float]) -> DataFrame:

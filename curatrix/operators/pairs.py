@@ -59,6 +59,99 @@ def pairwise(candidates: DataFrame, seeds: DataFrame, work: Work, schema: str, r
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(both, schema)
 
 
+USER_ROWS = 2048
+
+
+def user_sums(weigh: Work, value: str, shift: float) -> Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For a tile of items and rated rows (any number): users, and per user the weighted sum of ``value - shift`` and of absolute weights, item by item.
+
+    ``weigh(items, rated rows)`` is the weight matrix of a tile; an item has no weight for itself.
+    """
+
+    def sums(rows: pd.DataFrame, known: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        known = known.sort_values("user_id", kind="stable")
+        users, starts = np.unique(known["user_id"].to_numpy(), return_index=True)
+        num, den = np.zeros((2, len(users), len(rows)))
+        for at in range(0, len(known), TILE):
+            tile = known.iloc[at:at + TILE]
+            w = np.where(rows["appid"].to_numpy()[:, None] == tile["appid"].to_numpy()[None, :], 0.0, weigh(rows, tile))
+            own = np.searchsorted(starts, np.arange(at, at + len(tile)), side="right") - 1
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            num[own[first]] += np.add.reduceat(w * (tile[value].to_numpy(float) - shift), first, axis=1).T
+            den[own[first]] += np.add.reduceat(np.abs(w), first, axis=1).T
+        return users, num, den
+
+    return sums
+
+
+def summed(items: DataFrame, rated: DataFrame, sums: Callable) -> DataFrame:
+    """(user_id, appid, num, den) of all users and items, for few users or on request."""
+
+    def work(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        users, num, den = sums(rows, known)
+        return pd.DataFrame({"user_id": np.repeat(users, len(rows)), "appid": np.tile(rows["appid"].to_numpy(), len(users)), "num": num.ravel(), "den": den.ravel()})
+
+    parts = pairwise(items, rated, work, "user_id long, appid long, num double, den double")
+    return parts.groupBy("user_id", "appid").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+
+
+def user_top(items: DataFrame, rated: DataFrame, sums: Callable, score: Callable, k: int, name: str) -> DataFrame:
+    """Each user's ``k`` highest (user_id, appid, ``name``, rank). ``score(items, first rated row of each user, num, den)`` is users x items; what is
+    not finite is left out.
+
+    A user's rows stay in one seed block, so only local top lists leave a task. Users of more than ``USER_ROWS`` ratings are cut in tiles like any
+    other seeds; their partial sums meet by user and item first.
+    """
+    sizes = rated.groupBy("user_id").agg(F.count("*").alias("_n"))
+    heavy = rated.join(sizes.filter(F.col("_n") > USER_ROWS).select("user_id"), "user_id", "left_semi")
+    rated = rated.join(sizes.filter(F.col("_n") <= USER_ROWS).select("user_id"), "user_id", "left_semi")
+    (n, high), (m, _) = piece_rows(items), piece_rows(rated)
+    pieces = max(1, min(n, max(parallelism(items), -(-n // min(high, TILE)))))
+    blocks = max(1, -(-m // USER_ROWS))
+    left = items.withColumn("_piece", F.pmod(F.xxhash64("appid"), F.lit(pieces)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = rated.withColumn("_block", F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("int")).withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    right = right.toDF(*right.columns)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame(columns=["user_id", "appid", name])]
+        for rows in tiles(a) if len(b) else ():
+            users, num, den = sums(rows, b)
+            facts = b.drop_duplicates("user_id").sort_values("user_id")
+            values = np.asarray(score(rows, facts, num, den), float)
+            rounded, ids = np.round(values, 9), rows["appid"].to_numpy()
+            edge = np.partition(rounded, len(ids) - k, axis=1)[:, len(ids) - k, None] if len(ids) > k else -np.inf
+            of, at = np.nonzero((rounded >= edge) & np.isfinite(rounded))  # ties at the edge stay, ids decide below
+            found.append(pd.DataFrame({"user_id": users[of], "appid": ids[at], name: values[of, at]}))
+        return pd.concat(found[1:] or found)
+
+    keys = ["_block", "_piece"]
+    shape = f"user_id long, appid long, {name} double"
+    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, shape)
+    facts = heavy.dropDuplicates(["user_id"])
+    facts = facts.toDF(*[f"f_{c}" for c in facts.columns])
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for user, at in batch.groupby("f_user_id").indices.items():
+                part = batch.iloc[at]
+                own = part.iloc[:1][[c for c in part if c.startswith("f_")]]
+                own.columns = [c[2:] for c in own.columns]
+                values = np.asarray(score(part, own, part["num"].to_numpy()[None], part["den"].to_numpy()[None]), float)[0]
+                yield pd.DataFrame({"user_id": user, "appid": part["appid"], name: values})[np.isfinite(values)]
+
+    whole = summed(items, heavy, sums).withColumnRenamed("user_id", "f_user_id").join(items, "appid").join(facts, "f_user_id")
+    return top_k_by_group(local.unionByName(whole.mapInPandas(scored, shape)), ["user_id"], [F.desc(F.round(name, 9)), F.asc("appid")], k)
+
+
+def user_means(items: DataFrame, rated: DataFrame, weigh: Work, k: int | None, name: str) -> DataFrame:
+    """Weighted mean of each user's rating deviations for every item: (user_id, appid, ``name``), or each user's ``k`` highest."""
+    sums = user_sums(weigh, "rating", 5.0)
+    if k is not None:
+        return user_top(items, rated, sums, lambda rows, facts, num, den: num / (den + 1e-9), k, name)
+
+    return summed(items, rated, sums).select("user_id", "appid", (F.col("num") / (F.col("den") + F.lit(1e-9))).alias(name))
+
+
 def stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curatrix.operators import aggregates, bayes, filters, matrix, normalize, pairs, playtime, regression, tags, taste, toplists
+from curatrix.operators import aggregates, bayes, explain, filters, kernel, matrix, normalize, pairs, playtime, regression, tags, taste, toplists
 from curatrix.operators import joins
 from curatrix.sources import readers
 
@@ -64,6 +64,20 @@ def test_pairwise_is_the_same_in_one_tile_or_many(spark):
     assert a == b and len(a) == 240
 
 
+def test_users_with_long_lists_get_the_same_top(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    items = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(40, 4)))], "appid long, vec array<double>")
+    rated = spark.createDataFrame([(u, int(i), float(rng.integers(1, 10))) for u in range(4) for i in rng.choice(40, 3 + 5 * u, replace=False)], "user_id long, appid long, rating double")
+    found = []
+    for limit in (2048, 6):
+        monkeypatch.setattr(pairs, "USER_ROWS", limit)
+        found.append(sorted((r.user_id, r["rank"], r.appid, round(r.x_graph, 9)) for r in kernel.graph_feature(items, rated, k=5).collect()))
+    assert found[0] == found[1] and len(found[0]) == 20
+    full = kernel.graph_feature(items, rated).collect()
+    best = {u: sorted([(-round(r.x_graph, 9), r.appid) for r in full if r.user_id == u])[:5] for u in range(4)}
+    assert {u: [(x, a) for v, _, a, x in found[0] if v == u] for u in best} == {u: [(-x, a) for x, a in rows] for u, rows in best.items()}
+
+
 def test_diverse_seeds_match_the_greedy_rule(spark):
     rng = np.random.default_rng(2)
     m = rng.normal(size=(50, 4))
@@ -282,3 +296,23 @@ def test_csv_with_breaks_and_quotes(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿"appid","review_id","review_text"\n"1","x","line\nbreak ""quoted"", comma"\n', encoding="utf-8")
     row = readers.read_csv(spark, str(tmp_path), "appid LONG, review_id STRING, review_text STRING").first()
     assert (row["appid"], row["review_text"]) == (1, 'line\nbreak "quoted", comma')
+
+
+def test_word_pairs_and_bags_look_at_all_words(spark):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(40, 3))
+    names = [f"w{i:02d}" for i in range(40)]
+    df = spark.createDataFrame([(n, [float(x) for x in v]) for n, v in zip(names, m)], "word string, vec array<double>")
+    for sign, difference in ((-1.0, True), (1.0, False)):
+        got = {r.dim: (r.first, r.second) for r in explain.label_pairs(df, difference).collect()}
+        for d in range(3):
+            best = max(((m[i, d] + sign * m[j, d]) / np.linalg.norm(m[i] + sign * m[j]), -i, -j) for i in range(40) for j in range(40) if i != j)
+            want = (names[-best[1]], names[-best[2]])
+            assert got[d] == (min(want), max(want)) if not difference else got[d] == want
+    bags = {r.dim: r.words for r in explain.label_dimensions(df, 3, 2).collect()}
+    for d in range(3):
+        first = int(np.argmax(m[:, d] / np.linalg.norm(m, axis=1)))
+        value = (m[first, d] + m[:, d]) / np.linalg.norm(m[first] + m, axis=1)
+        value[first] = -np.inf
+        more = int(np.argmax(value))
+        assert bags[d] == [names[first], names[more]][: 1 + (value[more] > m[first, d] / np.linalg.norm(m[first]))]
