@@ -62,23 +62,32 @@ def pairwise(candidates: DataFrame, seeds: DataFrame, work: Work, schema: str, r
 USER_ROWS = 2048
 
 
-def user_sums(weigh: Work, value: str, shift: float) -> Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def user_sums(weigh: Work, value: str, shift: float, by_item: bool = False) -> Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For a tile of items and rated rows (any number): users, and per user the weighted sum of ``value - shift`` and of absolute weights, item by item.
 
-    ``weigh(items, rated rows)`` is the weight matrix of a tile; an item has no weight for itself.
+    ``weigh(items, rated rows)`` is the weight matrix of a tile; an item has no weight for itself. Where weights depend on the rated item alone
+    (``by_item``), each is worked out once for all its users.
     """
 
     def sums(rows: pd.DataFrame, known: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         known = known.sort_values("user_id", kind="stable")
         users, starts = np.unique(known["user_id"].to_numpy(), return_index=True)
         num, den = np.zeros((2, len(users), len(rows)))
-        for at in range(0, len(known), TILE):
-            tile = known.iloc[at:at + TILE]
-            w = np.where(rows["appid"].to_numpy()[:, None] == tile["appid"].to_numpy()[None, :], 0.0, weigh(rows, tile))
-            own = np.searchsorted(starts, np.arange(at, at + len(tile)), side="right") - 1
-            first = np.flatnonzero(np.diff(own, prepend=-1))
-            num[own[first]] += np.add.reduceat(w * (tile[value].to_numpy(float) - shift), first, axis=1).T
-            den[own[first]] += np.add.reduceat(np.abs(w), first, axis=1).T
+        owner, gap, ids = np.searchsorted(starts, np.arange(len(known)), side="right") - 1, known[value].to_numpy(float) - shift, rows["appid"].to_numpy()
+        if by_item:
+            _, some, column = np.unique(known["appid"].to_numpy(), return_index=True, return_inverse=True)
+        else:
+            some = column = np.arange(len(known))
+        for at in range(0, len(some), TILE):
+            tile = known.iloc[some[at:at + TILE]]
+            w = np.where(tile["appid"].to_numpy()[:, None] == ids[None, :], 0.0, weigh(rows, tile).T)
+            hits = np.flatnonzero((column >= at) & (column < at + TILE))  # in order of user
+            for part in np.array_split(hits, max(1, -(-len(hits) // (4 * TILE)))):
+                if len(part):
+                    first = np.flatnonzero(np.diff(owner[part], prepend=-1))
+                    own, mine = owner[part][first], w[column[part] - at]
+                    num[own] += np.add.reduceat(mine * gap[part, None], first, axis=0)
+                    den[own] += np.add.reduceat(np.abs(mine), first, axis=0)
         return users, num, den
 
     return sums
@@ -95,34 +104,36 @@ def summed(items: DataFrame, rated: DataFrame, sums: Callable) -> DataFrame:
     return parts.groupBy("user_id", "appid").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
 
 
-def user_top(items: DataFrame, rated: DataFrame, sums: Callable, score: Callable, k: int, name: str) -> DataFrame:
+def user_top(items: DataFrame, rated: DataFrame, sums: Callable, score: Callable, k: int, name: str, shared: int = 1) -> DataFrame:
     """Each user's ``k`` highest (user_id, appid, ``name``, rank). ``score(items, first rated row of each user, num, den)`` is users x items; what is
     not finite is left out.
 
     A user's rows stay in one seed block, so only local top lists leave a task. Users of more than ``USER_ROWS`` ratings are cut in tiles like any
-    other seeds; their partial sums meet by user and item first.
+    other seeds; their partial sums meet by user and item first. ``shared`` times as many rows make a block where users share weights.
     """
     sizes = rated.groupBy("user_id").agg(F.count("*").alias("_n"))
     heavy = rated.join(sizes.filter(F.col("_n") > USER_ROWS).select("user_id"), "user_id", "left_semi")
     rated = rated.join(sizes.filter(F.col("_n") <= USER_ROWS).select("user_id"), "user_id", "left_semi")
     (n, high), (m, _) = piece_rows(items), piece_rows(rated)
-    pieces = max(1, min(n, max(parallelism(items), -(-n // min(high, TILE)))))
-    blocks = max(1, -(-m // USER_ROWS))
+    pieces = max(1, min(n, max(parallelism(items), -(-n // high))))
+    blocks = max(1, -(-m // (shared * USER_ROWS)))
     left = items.withColumn("_piece", F.pmod(F.xxhash64("appid"), F.lit(pieces)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = rated.withColumn("_block", F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("int")).withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
     right = right.toDF(*right.columns)
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = [pd.DataFrame(columns=["user_id", "appid", name])]
-        for rows in tiles(a) if len(b) else ():
+        facts = b.drop_duplicates("user_id").sort_values("user_id")
+        for rows in tiles(a, max(64, min(TILE, (1 << 22) // max(1, len(facts))))) if len(b) else ():
             users, num, den = sums(rows, b)
-            facts = b.drop_duplicates("user_id").sort_values("user_id")
             values = np.asarray(score(rows, facts, num, den), float)
             rounded, ids = np.round(values, 9), rows["appid"].to_numpy()
             edge = np.partition(rounded, len(ids) - k, axis=1)[:, len(ids) - k, None] if len(ids) > k else -np.inf
             of, at = np.nonzero((rounded >= edge) & np.isfinite(rounded))  # ties at the edge stay, ids decide below
             found.append(pd.DataFrame({"user_id": users[of], "appid": ids[at], name: values[of, at]}))
-        return pd.concat(found[1:] or found)
+        out = pd.concat(found[1:] or found)
+        out["_r"] = out[name].astype(float).round(9)
+        return out.sort_values(["user_id", "_r", "appid"], ascending=[True, False, True]).groupby("user_id").head(k)[["user_id", "appid", name]]
 
     keys = ["_block", "_piece"]
     shape = f"user_id long, appid long, {name} double"
@@ -145,9 +156,9 @@ def user_top(items: DataFrame, rated: DataFrame, sums: Callable, score: Callable
 
 def user_means(items: DataFrame, rated: DataFrame, weigh: Work, k: int | None, name: str) -> DataFrame:
     """Weighted mean of each user's rating deviations for every item: (user_id, appid, ``name``), or each user's ``k`` highest."""
-    sums = user_sums(weigh, "rating", 5.0)
+    sums = user_sums(weigh, "rating", 5.0, by_item=True)
     if k is not None:
-        return user_top(items, rated, sums, lambda rows, facts, num, den: num / (den + 1e-9), k, name)
+        return user_top(items, rated, sums, lambda rows, facts, num, den: num / (den + 1e-9), k, name, shared=64)
 
     return summed(items, rated, sums).select("user_id", "appid", (F.col("num") / (F.col("den") + F.lit(1e-9))).alias(name))
 
