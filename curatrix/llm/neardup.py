@@ -6,8 +6,9 @@ with a chance of 5e-6. All links are confirmed on full shingle sets.
 
 Equal sets form one class first; only class representatives take part in what follows. In a band's bucket every class meets the
 bucket's smallest class (a star, linear in the bucket), and components follow. Where a bucket then still holds several
-components, its classes are compared in tiles of two blocks of ``BLOCK`` classes: tiles are tasks of their own, compare signatures
-first, then sets, skip what is already connected, and return at most a spanning forest.
+components, the classes outside its largest one are compared with that one and among themselves, in tiles of two blocks of ``BLOCK``
+classes: tiles are tasks of their own, compare signatures first, then sets, skip what is already connected, and return at most a
+spanning forest. A family of copies is never compared within itself.
 
 Null or blank texts have no shingles and link with nothing; repeated rows fall in one class; a row without doc_id links with
 nothing and is kept; extra columns are ignored; an empty table gives an empty result.
@@ -123,6 +124,8 @@ def _tile(percent: int, sure: float = SURE):
         root = {c: c for c in frame["component"]}
         home = frame["component"].to_numpy()
         crossing = len(set(side)) > 1
+        if not crossing and frame["kind"].iloc[0] == 0:
+            return pd.DataFrame({"hub": [], "rep": []}, dtype="int64")
 
         def find(x):
             while root[x] != x:
@@ -170,13 +173,18 @@ def connect(classes: DataFrame, bands: DataFrame, sets_of: Callable[[DataFrame],
     home = stored(components(links, "hub", "rep"), "home")
 
     apart = placed(members.select("band", "rep", "size"), "rep", "component", home)
-    open_bands = apart.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("band")
-    grid = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = (apart.join(open_bands, "band").withColumn("block", F.pmod(F.xxhash64("rep"), grid).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), grid - 1)))
-            .select("band", "rep", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-            .join(classes.select("rep", "signature"), "rep").join(sets, "rep"))
-    more = rest.groupBy("band", "i", "j").applyInPandas(_tile(percent, sure), "hub long, rep long")
+    parts = apart.groupBy("band", "component").agg(F.count("*").alias("n"))
+    open_bands = parts.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("core"), F.max("n").alias("n_core"), F.sum("n").alias("n")).where("n > n_core")
+    placed_rows = (apart.join(open_bands, "band").withColumn("inside", F.col("component") == F.col("core"))
+                   .withColumn("core_blocks", F.ceil(F.col("n_core") / BLOCK).cast("int")).withColumn("rest_blocks", F.ceil((F.col("n") - F.col("n_core")) / BLOCK).cast("int"))
+                   .withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("inside"), F.col("core_blocks")).otherwise(F.col("rest_blocks"))).cast("int")))
+    across = placed_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("inside"), F.col("rest_blocks")).otherwise(F.col("core_blocks")) - 1))).select(
+        "band", "rep", "component", F.col("inside").cast("int").alias("block"), F.lit(0).alias("kind"),
+        F.when(F.col("inside"), F.col("block")).otherwise(F.col("other")).alias("i"), F.when(F.col("inside"), F.col("other")).otherwise(F.col("block")).alias("j"))
+    beside = placed_rows.where("not inside").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1))).select(
+        "band", "rep", "component", "block", F.lit(1).alias("kind"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rest = across.unionByName(beside).join(classes.select("rep", "signature"), "rep").join(sets, "rep")
+    more = rest.groupBy("band", "kind", "i", "j").applyInPandas(_tile(percent, sure), "hub long, rep long")
     return components(links.unionByName(more), "hub", "rep")
 
 
