@@ -31,6 +31,7 @@ from curatrix.llm.words import blocks, distinct_by_row, mix, shingles, word_hash
 PERMUTATIONS = 64
 BANDS = 32
 BLOCK = 512
+LOT = 4096
 SURE = 0.58
 _A = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _HIGH = np.uint64(32)
@@ -115,34 +116,41 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         (F.least(n, m) * 100 >= percent * F.greatest(n, m)) & (100 * both >= percent * (n + m - both))).select("hub", "rep")
 
 
+TILE_KEYS = ["band", "kind", "i", "j"]
+
+
 def _tile(percent: int, sure: float = SURE):
+    """Links of all tiles of a lot; a tile is the rows of one (band, kind, i, j)."""
+
     def links(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("rep").sort_values("rep")
-        rep, side = frame["rep"].to_numpy(), frame["block"].to_numpy()
+        frame = frame.drop_duplicates([*TILE_KEYS, "rep"]).sort_values([*TILE_KEYS, "rep"])
+        keys, kind = frame[TILE_KEYS].to_numpy(), frame["kind"].to_numpy()
+        rep, side, home = (frame[c].to_numpy() for c in ("rep", "block", "component"))
         signatures = np.frombuffer(b"".join(frame["signature"]), np.uint32).reshape(len(frame), -1)
-        sets = [np.asarray(x) for x in frame["items"]]
-        root = {c: c for c in frame["component"]}
-        home = frame["component"].to_numpy()
-        crossing = len(set(side)) > 1
-        if not crossing and frame["kind"].iloc[0] == 0:
-            return pd.DataFrame({"hub": [], "rep": []}, dtype="int64")
+        sets = frame["items"].to_numpy()
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        root: dict = {}
 
         def find(x):
-            while root[x] != x:
+            while root.setdefault(x, x) != x:
                 root[x] = x = root[root[x]]
             return x
 
         found = []
-        for i in range(len(rep) - 1):
-            alike = (signatures[i + 1:] == signatures[i]).mean(axis=1) >= sure
-            for j in np.flatnonzero(alike) + i + 1:
-                a, b = find(home[i]), find(home[j])
-                if a == b or crossing and side[i] == side[j]:
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if _linked(both, len(sets[i]), len(sets[j]), percent):
-                    root[max(a, b)] = min(a, b)
-                    found.append((rep[i], rep[j]))
+        for first, end in zip([0, *cuts], [*cuts, len(frame)]):
+            crossing = (side[first:end] != side[first]).any()
+            if not crossing and kind[first] == 0:
+                continue
+            for i in range(first, end - 1):
+                alike = (signatures[i + 1:end] == signatures[i]).mean(axis=1) >= sure
+                for j in np.flatnonzero(alike) + i + 1:
+                    a, b = find(home[i]), find(home[j])
+                    if a == b or crossing and side[i] == side[j]:
+                        continue
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if _linked(both, len(sets[i]), len(sets[j]), percent):
+                        root[max(a, b)] = min(a, b)
+                        found.append((rep[i], rep[j]))
         return pd.DataFrame(found, columns=["hub", "rep"], dtype="int64")
 
     return links
@@ -183,8 +191,10 @@ def connect(classes: DataFrame, bands: DataFrame, sets_of: Callable[[DataFrame],
         F.when(F.col("inside"), F.col("block")).otherwise(F.col("other")).alias("i"), F.when(F.col("inside"), F.col("other")).otherwise(F.col("block")).alias("j"))
     beside = placed_rows.where("not inside").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1))).select(
         "band", "rep", "component", "block", F.lit(1).alias("kind"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rest = across.unionByName(beside).join(classes.select("rep", "signature"), "rep").join(sets, "rep")
-    more = rest.groupBy("band", "kind", "i", "j").applyInPandas(_tile(percent, sure), "hub long, rep long")
+    tiles = stored(across.unionByName(beside), "tiles")
+    lots = max(1, -(-tiles.count() // LOT))  # small tiles share a task's batch, which is bounded in rows
+    rest = tiles.join(classes.select("rep", "signature"), "rep").join(sets, "rep")
+    more = rest.groupBy(F.pmod(F.xxhash64(*TILE_KEYS), F.lit(lots)).alias("lot")).applyInPandas(_tile(percent, sure), "hub long, rep long")
     return components(links.unionByName(more), "hub", "rep")
 
 

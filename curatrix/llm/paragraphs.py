@@ -62,56 +62,64 @@ def _paragraphs(data: np.ndarray, offsets: np.ndarray):
     return words, row, number, starts[at], ends[bounds[1:] - 1], bounds
 
 
+def _sets(batch: pa.RecordBatch):
+    """Block by block: rows, numbers, byte ranges, whether long enough, sets and their first names of a batch's paragraphs."""
+    for start, _, data, offsets in blocks(batch.column("text")):
+        words, row, number, begin, end, bounds = _paragraphs(data, offsets)
+        if len(row):
+            values, counts = distinct_by_row(*shingles(words, bounds))
+            yield start + row, number, begin - offsets[row], end - offsets[row], np.diff(bounds) >= LEAST, values, counts, _keys(values, counts)[0]
+
+
 def _units(batches):
-    """Each paragraph's place, set names and signature; no signature if it is too short."""
+    """Each paragraph's place and the name of its set; no name if it is too short."""
     for batch in batches:
-        for start, _, data, offsets in blocks(batch.column("text")):
-            words, row, number, begin, end, bounds = _paragraphs(data, offsets)
-            if not len(row):
-                continue
-            values, counts = distinct_by_row(*shingles(words, bounds))
-            signature = np.empty((len(row), len(_A)), np.uint32)
-            for k, a in enumerate(_A):
-                signature[:, k] = np.minimum.reduceat(((values * a) >> _HIGH).astype(np.uint32), counts[:-1])
-            enough = np.diff(bounds) >= LEAST
-            keys = _keys(values, counts)
-            own = pa.array(start + row)
+        for row, number, begin, end, enough, _, _, key in _sets(batch):
+            own = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(own), batch.column("text_key").take(own), pa.array(number), pa.array(begin - offsets[row]), pa.array(end - offsets[row]),
-                 *[pa.array(k, mask=~enough) for k in keys], pa.array([s.tobytes() if e else None for s, e in zip(signature, enough)], pa.binary())],
-                names=["doc_id", "text_key", "number", "begin", "end", "k1", "k2", "signature"])
+                [batch.column("doc_id").take(own), batch.column("text_key").take(own), pa.array(number), pa.array(begin), pa.array(end), pa.array(key, mask=~enough)],
+                names=["doc_id", "text_key", "number", "begin", "end", "k1"])
+
+
+def _signed(batch: pa.RecordBatch):
+    """Each different set of a block that is long enough: name, values, MinHash signature and band keys (sets x BANDS)."""
+    for _, _, _, _, enough, values, counts, key in _sets(batch):
+        _, once = np.unique(np.where(enough, key, 0), return_index=True)
+        once = once[enough[once]]
+        if not len(once):
+            continue
+        size = np.diff(counts)[once]
+        ends = np.cumsum(size)
+        values = values[np.arange(int(ends[-1])) - np.repeat(ends - size, size) + np.repeat(counts[:-1][once], size)]
+        counts = np.concatenate(([0], ends))
+        signature = np.empty((len(once), len(_A)), np.uint32)
+        for k, a in enumerate(_A):
+            signature[:, k] = np.minimum.reduceat(((values * a) >> _HIGH).astype(np.uint32), counts[:-1])
+        parts = signature.reshape(len(once), BANDS, ROWS).astype(np.uint64)
+        bands = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(once), BANDS)).copy()
+        for r in range(ROWS):
+            bands = mix(bands ^ parts[:, :, r])
+        yield key[once], values, counts, signature, bands
 
 
 def _bands(batches):
     for batch in batches:
-        if not len(batch):
-            continue
-        values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(len(batch), BANDS, ROWS).astype(np.uint64)
-        for band in range(BANDS):
-            key = np.full(len(batch), band, np.uint64)
-            for r in range(ROWS):
-                key = mix(key ^ values[:, band, r])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("rep")], names=["band", "rep"])
+        for key, _, _, _, bands in _signed(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(key, BANDS))], names=["band", "rep"])
 
 
-def _wanted_sets(known):
-    """Sets of the paragraphs whose name is in the bitmap ``known``, each once a batch."""
+def _members(known):
+    """Sets with a band in the bitmap ``known``: name, such bands, signature and values."""
 
     def run(batches):
         for batch in batches:
-            for _, _, data, offsets in blocks(batch.column("text")):
-                words, row, _, _, _, bounds = _paragraphs(data, offsets)
-                if not len(row):
-                    continue
-                values, counts = distinct_by_row(*shingles(words, bounds))
-                key = _keys(values, counts)[0]
-                hit = contains(known.value, key.view(np.uint64)) & (np.diff(bounds) >= LEAST)
-                _, once = np.unique(key, return_index=True)
-                hit &= np.isin(np.arange(len(key)), once)
-                at = np.flatnonzero(hit)
+            for key, values, counts, signature, bands in _signed(batch):
+                hit = contains(known.value, bands.ravel()).reshape(bands.shape)
+                at = np.flatnonzero(hit.any(axis=1))
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array([values[counts[i]:counts[i + 1]].view(np.int64) for i in at], pa.list_(pa.int64()))],
-                                                     names=["rep", "items"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key[at]), pa.array([bands[i][hit[i]].view(np.int64) for i in at], pa.list_(pa.int64())), pa.array([signature[i].tobytes() for i in at], pa.binary()),
+                         pa.array([values[counts[i]:counts[i + 1]].view(np.int64) for i in at], pa.list_(pa.int64()))], names=["rep", "bands", "signature", "items"])
 
     return run
 
@@ -120,19 +128,19 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 75, text: str = "text")
     """Per row of ``docs``: doc_id, text_key, n_paragraphs, n_removed, removed (number, begin and end in UTF-8 bytes, keeper_id, keeper_number)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    units = stored(rows.mapInArrow(_units, "doc_id long, text_key long, number long, begin long, end long, k1 long, k2 long, signature binary"), "paragraphs")
-    classes = stored(units.where("k1 is not null").groupBy(F.col("k1").alias("rep")).agg(F.count("*").alias("copies"), F.first("signature").alias("signature")), "classes")
-    bands = classes.select("rep", "signature").mapInArrow(_bands, "band long, rep long")
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        known = spark.sparkContext.broadcast(bitmap(wanted, "rep", BITS))
-        found = rows.mapInArrow(_wanted_sets(known), "rep long, items array<long>")
-        return found.join(wanted, "rep").groupBy("rep").agg(F.first("items").alias("items"))
-
-    home = stored(connect(classes.select("rep", "signature"), bands, sets_of, percent, sure=0.45), "home")
+    units = stored(rows.mapInArrow(_units, "doc_id long, text_key long, number long, begin long, end long, k1 long"), "paragraphs")
+    classes = units.where("k1 is not null").groupBy(F.col("k1").alias("rep")).agg(F.count("*").alias("copies"))
+    # bands of two sets or more; copies collapse before the shuffle, and sets travel only if a band of theirs is shared
+    shared = rows.mapInArrow(_bands, "band long, rep long").groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("band")
+    shared = stored(shared, "shared-bands")
+    known = spark.sparkContext.broadcast(bitmap(shared, "band", BITS))
+    found = rows.mapInArrow(_members(known), "rep long, bands array<long>, signature binary, items array<long>")
+    found = stored(found.groupBy("rep").agg(*[F.first(c).alias(c) for c in ("bands", "signature", "items")]), "members")
+    bands = found.select(F.explode("bands").alias("band"), "rep").join(shared, "band")
+    home = stored(connect(found.select("rep", "signature"), bands, lambda wanted: found.join(wanted, "rep").select("rep", "items"), percent, sure=0.45), "home")
     open_classes = classes.join(home.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or component is not null").select(
         F.col("rep").alias("k1"), F.coalesce("component", "rep").alias("component"))
-    told = stored(units.drop("signature", "k2").distinct().join(open_classes, "k1"), "told")
+    told = stored(units.distinct().join(open_classes, "k1"), "told")
     keeper = told.groupBy("component").agg(F.min(F.struct("doc_id", "number", "text_key")).alias("keeper"))
     gone = told.join(keeper, "component").where(~F.struct("doc_id", "number", "text_key").eqNullSafe(F.col("keeper")))
     removed = gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct(

@@ -47,7 +47,7 @@ def test_tiles_alone_find_every_link(spark):
     batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
     features = next(neardup._features([batch])).to_pandas()
     sets = next(neardup._full_sets([batch])).to_pandas()
-    frame = pd.DataFrame({"rep": features.doc_id, "component": features.doc_id, "block": 0, "kind": 1, "signature": features.signature, "items": sets["items"]})
+    frame = pd.DataFrame({"rep": features.doc_id, "component": features.doc_id, "block": 0, "kind": 1, "band": 5, "i": 0, "j": 0, "signature": features.signature, "items": sets["items"]})
     root = {i: i for i, _ in rows}
     for a, b in neardup._tile(75)(frame).itertuples(index=False):
         old, new = max(root[a], root[b]), min(root[a], root[b])
