@@ -21,7 +21,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+    return deduplicated(table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
 
 def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     target = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(target)
+    df.write.option("compression", "zstd").parquet(target)
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(target)

@@ -93,10 +93,10 @@ def segments(data: np.ndarray, offsets: np.ndarray):
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return none, none, none, none, np.zeros(0, np.uint64), None
-    sums = _sums(data, 0)
-    place = np.arange(len(data) - GRAM + 1)
-    grams = _hashes(sums, place, place + GRAM)
-    least = (_least((grams & ~_PLACE) | place.astype(np.uint64), LENGTH - GRAM + 1) & _PLACE).astype(np.int64)
+    sums = total, down = _sums(data, 0)
+    grams = mix((total[GRAM:] - total[:-GRAM]) * down[:len(data) - GRAM + 1])
+    place = np.arange(len(grams), dtype=np.uint64)
+    least = (_least((grams & ~_PLACE) | place, LENGTH - GRAM + 1) & _PLACE).astype(np.int64)
     inside = np.zeros(len(data) + 1, np.int64)
     long = np.flatnonzero(np.diff(offsets) >= LENGTH)
     inside[offsets[long]] += 1
@@ -261,7 +261,7 @@ def _window_batches(collection: Collection, names: np.ndarray, begin: np.ndarray
         base += rows
 
 
-def _removed(batches):
+def _removed(batches, texts: bool = True):
     """Each row less its repeated bytes."""
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
@@ -280,14 +280,14 @@ def _removed(batches):
             gone = np.cumsum(cover)[:-1] > 0
             runs = int((np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1).sum())
             kept = np.frombuffer(body, np.uint8)[~gone].tobytes() if runs else body
-            out.append((len(body), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept))
+            out.append((len(body), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept if texts else None))
         cols = list(zip(*out)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())],
                                          names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
+def deduplicated(docs: DataFrame, text: str = "text", texts: bool = True) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes; null without ``texts``)."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -298,8 +298,9 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     classes = found.groupBy("gram", "s1", "s2").agg(F.count("*").alias("copies"), F.first("left").alias("left"), F.first("n").alias("n"), F.first("body").alias("body"))
     classes = stored(classes, "classes")
     several = classes.groupBy("gram").agg(F.count("*").alias("different")).where("different > 1")
-    mixed = stored(classes.join(several, "gram"), "mixed")
-    count = mixed.count()
+    several = stored(several, "several")
+    count = several.agg(F.coalesce(F.sum("different"), F.lit(0))).first()[0]
+    mixed = classes.join(several, "gram")
     parts = F.ceil(F.col("different") / HOT)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // ROWS))
     dealt = mixed.select("gram", F.pmod(F.xxhash64("s1", "s2"), parts).alias("part"), "s1", "s2", "n", "left", "body", (F.col("different") > HOT).cast("long").alias("hot"))
@@ -310,8 +311,9 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     empty = F.expr(f"unhex('{'00' * (-(-(LENGTH - GRAM + 1) // 8))}')")
     judged = (classes.select("gram", "s1", "s2", (F.col("copies") > 1).alias("whole")).join(flags, ["gram", "s1", "s2"], "left")
               .where((F.col("whole")) | (F.col("flags") != empty) | F.col("more").isNotNull()))
+    judged = stored(judged, "judged")  # both sides of the next join are plain exchanges, so that a crowded class can be split there
     places = found.select("doc_id", "text_key", "first", "n", "gram", "s1", "s2").join(judged, ["gram", "s1", "s2"])
-    spans = places.dropDuplicates(["doc_id", "text_key", "first"]).groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(
-        F.collect_list(F.struct(F.col("first").cast("int").alias("first"), F.col("n").cast("int").alias("n"), "whole", F.when(~F.col("whole"), F.col("flags")).alias("flags"), "more")).alias("spans"))
+    spans = places.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(
+        F.collect_set(F.struct(F.col("first").cast("int").alias("first"), F.col("n").cast("int").alias("n"), "whole", F.when(~F.col("whole"), F.col("flags")).alias("flags"), "more")).alias("spans"))
     out = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left").select("doc_id", "text", "spans")
-    return out.mapInArrow(_removed, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return out.mapInArrow(lambda batches: _removed(batches, texts), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
