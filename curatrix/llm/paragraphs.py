@@ -1,10 +1,16 @@
-"""Repeated paragraphs: MinHash banding, exact Jaccard, components; the first of each component stays.
+"""Repeated paragraphs and passages: MinHash banding, exact Jaccard, components; the first of each component stays.
 
 A paragraph is a line; lines of more than ``LONG`` words are also cut after sentence ends that a hash of the words before picks, so that cuts
 follow the content. Paragraphs of fewer than ``LEAST`` words are never removed. Paragraphs with equal sets of 5-word shingles are one
 class; class signatures are banded, where ``tune_bands`` picks the cheapest bands of ``RECALL`` at the threshold; colliding classes are
 confirmed on full sets and connected as near-duplicate documents are (stars, then tiles). Sets are named by 64-bit hashes.
 
+A repeated passage may stand anywhere, also inside lines and across them: every window of ``PASSAGE`` words that stands at an earlier place
+(doc_id, then text and position) goes, whatever the lines. The smallest hash of the ``GRAM`` words long pieces of a window is its anchor;
+neighbouring windows with one anchor are a segment. Only segments whose anchor stands twice travel, equal ones collapse, and only where an anchor has
+different segments are the windows of the first of each compared. The windows of a document join to runs of bytes; of the paragraphs that
+stay, ``removed`` lists the parts that lie in a run. Every removal points to an earlier copy. Words are compared by 64-bit hashes of the windows.
+
 Of a component's paragraphs, the one with the smallest (doc_id, number) stays. Null and empty texts have no paragraphs; rows that
 repeat a doc_id and text count as one document and get equal results; a null doc_id sorts first; extra columns are ignored; an
 empty table gives an empty result.
@@ -14,18 +20,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.llm.bitmap import bitmap, contains
 from curatrix.llm.neardup import _keys, connect
 from curatrix.llm.storage import stored
-from curatrix.llm.words import blocks, distinct_by_row, hashes_of, mix, shingles, word_bounds
+from curatrix.llm.words import blocks, distinct_by_row, hashes_of, mix, powers, shingles, word_bounds
 
 LONG, LEAST = 100, 10
 RECALL = 0.9995
+PASSAGE, GRAM = 50, 24
 BITS = 1 << 24
 _HIGH = np.uint64(32)
+_BASE = np.uint64(0x9E6C63D0876A9A35)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def tune_bands(threshold: float, recall: float, most_rows: int = 4) -> tuple[int, int]:
@@ -39,13 +48,17 @@ BANDS, ROWS = tune_bands(0.75, RECALL)
 _A = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) + np.uint64(500)) | np.uint64(1)
 
 
-def _paragraphs(data: np.ndarray, offsets: np.ndarray):
-    """Word hashes of a block; for each paragraph its row, number in the row, byte range and the words before it (len + 1)."""
+def _words(data: np.ndarray, offsets: np.ndarray):
+    """Word hashes of a block, their starts and ends, and the words before each row (len + 1)."""
     starts, ends, rows = word_bounds(data, offsets)
-    words = hashes_of(data, starts, ends)
+    return hashes_of(data, starts, ends), starts, ends, rows
+
+
+def _paragraphs(data: np.ndarray, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray):
+    """For each paragraph of a block its row, number in the row, byte range and the words before it (len + 1)."""
     if not len(words):
         none = np.zeros(0, np.int64)
-        return words, none, none, none, none, np.zeros(1, np.int64)
+        return none, none, none, none, np.zeros(1, np.int64)
     lines = np.concatenate(([0], np.cumsum(data == 10)))
     first = np.zeros(len(words), bool)
     first[rows[:-1][rows[:-1] < rows[1:]]] = True
@@ -59,13 +72,14 @@ def _paragraphs(data: np.ndarray, offsets: np.ndarray):
     bounds = np.append(at, len(words))
     row = np.searchsorted(rows, at, side="right") - 1
     number = np.arange(len(at)) - np.searchsorted(row, row)
-    return words, row, number, starts[at], ends[bounds[1:] - 1], bounds
+    return row, number, starts[at], ends[bounds[1:] - 1], bounds
 
 
 def _sets(batch: pa.RecordBatch):
     """Block by block: rows, numbers, byte ranges, whether long enough, sets and their first names of a batch's paragraphs."""
     for start, _, data, offsets in blocks(batch.column("text")):
-        words, row, number, begin, end, bounds = _paragraphs(data, offsets)
+        words, *where = _words(data, offsets)
+        row, number, begin, end, bounds = _paragraphs(data, words, *where)
         if len(row):
             values, counts = distinct_by_row(*shingles(words, bounds))
             yield start + row, number, begin - offsets[row], end - offsets[row], np.diff(bounds) >= LEAST, values, counts, _keys(values, counts)[0]
@@ -124,8 +138,110 @@ def _members(known):
     return run
 
 
+def _named(total: np.ndarray, inverse: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of words from ``first`` to before ``end``; they don't depend on the place."""
+    return mix((total[end] - total[first]) * inverse[first] ^ mix((end - first).astype(np.uint64)))
+
+
+def _anchored(words: np.ndarray, rows: np.ndarray):
+    """Segments of a block: anchor, name, first window and number of windows; and the parts of ``_named``."""
+    n = len(words)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * powers(n, _BASE), dtype=np.uint64)))
+    inverse = powers(n, _INVERSE)
+    place = np.arange(n)
+    place = place[place + PASSAGE <= np.repeat(rows[1:], np.diff(rows))]
+    if not len(place):
+        none = np.zeros(0, np.int64)
+        return none.view(np.uint64), none.view(np.uint64), none, none, total, inverse
+    at = np.arange(n - GRAM + 1)
+    gram = _named(total, inverse, at, at + GRAM)
+    pick = place + np.lib.stride_tricks.sliding_window_view(gram, PASSAGE - GRAM + 1)[place].argmin(axis=1)
+    fresh = np.ones(len(place), bool)
+    fresh[1:] = (pick[1:] != pick[:-1]) | (place[1:] != place[:-1] + 1)
+    cut = np.flatnonzero(fresh)
+    first, count = place[cut], np.diff(np.append(cut, len(place)))
+    return gram[pick[cut]], _named(total, inverse, first, first + count - 1 + PASSAGE), first, count, total, inverse
+
+
+def _anchors(batches):
+    for batch in batches:
+        for _, _, data, offsets in blocks(batch.column("text")):
+            words, _, _, rows = _words(data, offsets)
+            anchor, n = np.unique(_anchored(words, rows)[0], return_counts=True)
+            if len(anchor):
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n)], names=["anchor", "n"])
+
+
+def _places(known, single: bool):
+    """Segments whose anchor is in the bitmap ``known``; if ``single``, the windows of the segments whose mark is in it."""
+
+    def run(batches):
+        for batch in batches:
+            ids, keys = (batch.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("doc_id", "text_key"))
+            for start, _, data, offsets in blocks(batch.column("text")):
+                words, starts, ends, rows = _words(data, offsets)
+                anchor, name, first, count, total, inverse = _anchored(words, rows)
+                row = np.searchsorted(rows, first, side="right") - 1
+                mark = mix(name ^ mix(ids[start + row] ^ mix(keys[start + row] ^ mix((first - rows[row]).astype(np.uint64)))))
+                hit = np.flatnonzero(contains(known.value, mark if single else anchor))
+                if not len(hit):
+                    continue
+                anchor, name, first, count, row, mark = (x[hit] for x in (anchor, name, first, count, row, mark))
+                end = first + count - 1 + PASSAGE
+                if single:
+                    size = np.cumsum(count)
+                    first = np.arange(int(size[-1])) - np.repeat(size - count, count) + np.repeat(first, count)
+                    row, mark, end = np.repeat(row, count), np.repeat(mark, count), first + PASSAGE
+                    anchor = name = _named(total, inverse, first, end)
+                own, number, _, _, bounds = _paragraphs(data, words, starts, ends, rows)
+                number = number[np.searchsorted(bounds, first, side="right") - 1]
+                doc = pa.array(start + row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor.view(np.int64)), pa.array(name.view(np.int64)), batch.column("doc_id").take(doc), batch.column("text_key").take(doc), pa.array(number),
+                     pa.array(starts[first] - offsets[row]), pa.array(ends[end - 1] - offsets[row]), pa.array(mark.view(np.int64))],
+                    names=["anchor", "name", "doc_id", "text_key", "number", "begin", "end", "mark"])
+
+    return run
+
+
+_PLACE = "anchor long, name long, doc_id long, text_key long, number long, begin long, end long, mark long"
+
+
+def _passages(rows: DataFrame) -> DataFrame:
+    """(d, t, runs) of the documents with repeated passages: runs of bytes, each with the id and paragraph of an earlier copy."""
+    spark = rows.sparkSession
+
+    def known(keys: DataFrame, column: str):
+        return spark.sparkContext.broadcast(bitmap(keys, column, BITS))
+
+    place = F.struct("doc_id", "text_key", "begin", "number", "mark")
+
+    def later(found: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFrame:
+        again = firsts.where(~F.col("first").eqNullSafe(F.col("last"))).select(*keys, "first")
+        return found.join(again, keys).where(~place.eqNullSafe(F.col("first"))).select(
+            "doc_id", "text_key", "begin", "end", F.col("first.doc_id").alias("keeper_id"), F.col("first.number").alias("keeper_number"))
+
+    ends = [F.min(place).alias("first"), F.max(place).alias("last")]
+    twice = rows.mapInArrow(_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    segments = stored(rows.mapInArrow(_places(known(twice, "anchor"), False), _PLACE), "segments")
+    classes = stored(segments.groupBy("anchor", "name").agg(*ends), "segment-classes")
+    mixed = classes.groupBy("anchor").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a != b").select("anchor")
+    marks = classes.join(mixed, "anchor").select(F.col("first.mark").alias("mark"))
+    windows = stored(rows.mapInArrow(_places(known(marks, "mark"), True), _PLACE).drop("anchor"), "windows")
+    cut = later(segments, classes, ["anchor", "name"]).unionByName(later(windows, windows.groupBy("name").agg(*ends), ["name"]))
+    before = Window.partitionBy("doc_id", "text_key").orderBy("begin", "end")
+    opens = F.coalesce(F.col("begin") > F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    cut = cut.withColumn("opens", opens).withColumn("run", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = cut.groupBy("doc_id", "text_key", "run").agg(F.min(F.struct("begin", "keeper_id", "keeper_number")).alias("s"), F.max("end").alias("end"))
+    return runs.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(
+        F.collect_list(F.struct("s.begin", "end", "s.keeper_id", "s.keeper_number")).alias("runs"))
+
+
 def repeated_paragraphs(docs: DataFrame, percent: int = 75, text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, text_key, n_paragraphs, n_removed, removed (number, begin and end in UTF-8 bytes, keeper_id, keeper_number)."""
+    """Per row of ``docs``: doc_id, text_key, n_paragraphs, n_removed, removed (number, begin and end in UTF-8 bytes, keeper_id, keeper_number).
+
+    An entry of ``removed`` is a whole paragraph, or the part of one that lies in a repeated passage.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     units = stored(rows.mapInArrow(_units, "doc_id long, text_key long, number long, begin long, end long, k1 long"), "paragraphs")
@@ -143,8 +259,15 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 75, text: str = "text")
     told = stored(units.distinct().join(open_classes, "k1"), "told")
     keeper = told.groupBy("component").agg(F.min(F.struct("doc_id", "number", "text_key")).alias("keeper"))
     gone = told.join(keeper, "component").where(~F.struct("doc_id", "number", "text_key").eqNullSafe(F.col("keeper")))
-    removed = gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct(
-        "number", "begin", "end", F.col("keeper.doc_id").alias("keeper_id"), F.col("keeper.number").alias("keeper_number")))).alias("removed"))
+    gone = stored(gone.select("doc_id", "text_key", "number", "begin", "end", F.col("keeper.doc_id").alias("keeper_id"), F.col("keeper.number").alias("keeper_number")), "gone")
+    same = [F.col("doc_id").eqNullSafe(F.col("d")), F.col("text_key") == F.col("t")]
+    whole = gone.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.col("number").alias("n"))
+    parts = units.distinct().join(_passages(rows), same[0] & same[1]).drop("d", "t").withColumn(
+        "run", F.explode(F.filter("runs", lambda r: (r["begin"] < F.col("end")) & (r["end"] > F.col("begin")))))
+    parts = parts.select("doc_id", "text_key", "number", F.greatest("begin", "run.begin").alias("begin"), F.least("end", "run.end").alias("end"), "run.keeper_id", "run.keeper_number")
+    parts = parts.join(whole, same[0] & same[1] & (F.col("number") == F.col("n")), "left_anti")
+    removed = gone.unionByName(parts).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct(
+        "number", "begin", "end", "keeper_id", "keeper_number"))).alias("removed"))
     sizes = units.groupBy("doc_id", "text_key").agg((F.max("number") + 1).alias("n_paragraphs"))
     found = sizes.join(removed.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "removed"),
                        F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left").drop("d", "t")
