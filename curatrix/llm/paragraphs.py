@@ -1,7 +1,8 @@
 """Repeated paragraphs and passages: MinHash banding, exact Jaccard, components; the first of each component stays.
 
 A paragraph is a line; lines of more than ``LONG`` words are also cut after sentence ends that a hash of the words before picks, so that cuts
-follow the content. Paragraphs of fewer than ``LEAST`` words are never removed. Paragraphs with equal sets of 5-word shingles are one
+follow the content. Every paragraph of ``LEAST`` words or more counts, that is every one; the set of fewer than five words is their whole
+sequence, and sets too small to be similar to another one are compared by their names only. Paragraphs with equal sets of 5-word shingles are one
 class; class signatures are banded, where ``tune_bands`` picks the cheapest bands of ``RECALL`` at the threshold; colliding classes are
 confirmed on full sets and connected as near-duplicate documents are (stars, then tiles). Sets are named by 64-bit hashes.
 
@@ -28,7 +29,7 @@ from curatrix.llm.neardup import _keys, connect
 from curatrix.llm.storage import stored
 from curatrix.llm.words import blocks, distinct_by_row, hashes_of, mix, powers, shingles, word_bounds
 
-LONG, LEAST = 100, 10
+LONG, LEAST = 100, 1
 RECALL = 0.9995
 PASSAGE, GRAM = 50, 24
 BITS = 1 << 24
@@ -95,9 +96,11 @@ def _units(batches):
                 names=["doc_id", "text_key", "number", "begin", "end", "k1"])
 
 
-def _signed(batch: pa.RecordBatch):
-    """Each different set of a block that is long enough: name, values, MinHash signature and band keys (sets x BANDS)."""
+def _signed(batch: pa.RecordBatch, percent: int):
+    """Each different set of a block that can be similar to another: name, values, MinHash signature and band keys (sets x BANDS)."""
     for _, _, _, _, enough, values, counts, key in _sets(batch):
+        n = np.diff(counts)
+        enough = enough & (100 * n >= percent * (n + 1))
         _, once = np.unique(np.where(enough, key, 0), return_index=True)
         once = once[enough[once]]
         if not len(once):
@@ -116,18 +119,21 @@ def _signed(batch: pa.RecordBatch):
         yield key[once], values, counts, signature, bands
 
 
-def _bands(batches):
-    for batch in batches:
-        for key, _, _, _, bands in _signed(batch):
-            yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(key, BANDS))], names=["band", "rep"])
+def _bands(percent: int):
+    def run(batches):
+        for batch in batches:
+            for key, _, _, _, bands in _signed(batch, percent):
+                yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(key, BANDS))], names=["band", "rep"])
+
+    return run
 
 
-def _members(known):
+def _members(known, percent: int):
     """Sets with a band in the bitmap ``known``: name, such bands, signature and values."""
 
     def run(batches):
         for batch in batches:
-            for key, values, counts, signature, bands in _signed(batch):
+            for key, values, counts, signature, bands in _signed(batch, percent):
                 hit = contains(known.value, bands.ravel()).reshape(bands.shape)
                 at = np.flatnonzero(hit.any(axis=1))
                 if len(at):
@@ -247,10 +253,10 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 75, text: str = "text")
     units = stored(rows.mapInArrow(_units, "doc_id long, text_key long, number long, begin long, end long, k1 long"), "paragraphs")
     classes = units.where("k1 is not null").groupBy(F.col("k1").alias("rep")).agg(F.count("*").alias("copies"))
     # bands of two sets or more; copies collapse before the shuffle, and sets travel only if a band of theirs is shared
-    shared = rows.mapInArrow(_bands, "band long, rep long").groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("band")
+    shared = rows.mapInArrow(_bands(percent), "band long, rep long").groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("band")
     shared = stored(shared, "shared-bands")
     known = spark.sparkContext.broadcast(bitmap(shared, "band", BITS))
-    found = rows.mapInArrow(_members(known), "rep long, bands array<long>, signature binary, items array<long>")
+    found = rows.mapInArrow(_members(known, percent), "rep long, bands array<long>, signature binary, items array<long>")
     found = stored(found.groupBy("rep").agg(*[F.first(c).alias(c) for c in ("bands", "signature", "items")]), "members")
     bands = found.select(F.explode("bands").alias("band"), "rep").join(shared, "band")
     home = stored(connect(found.select("rep", "signature"), bands, lambda wanted: found.join(wanted, "rep").select("rep", "items"), percent, sure=0.45), "home")

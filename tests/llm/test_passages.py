@@ -34,3 +34,10 @@ def test_passages_inside_lines_same_as_brute_force(spark):
             inside |= held
             lines |= held if held == {k for k in range(len(line)) if line[k] == line[min(held)]} else set()
         assert want.get(i, set()) <= inside and inside - want.get(i, set()) <= lines, i
+
+
+def test_short_paragraphs_count(spark):
+    texts = ["one\na b\nA  b\nsix words are in this line", "six words are in this line\na b c\none\nb a", "a a a a a a a\na b c d e f g", "a b c d e f g h\na a a a a a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(x.number, x.keeper_id, x.keeper_number) for x in r.removed] for r in repeated_paragraphs(df).collect()}
+    assert got == {0: [(2, 0, 1)], 1: [(0, 0, 3), (2, 0, 0)], 2: [], 3: [(0, 2, 1), (1, 2, 0)]}
