@@ -3,9 +3,10 @@
 Every text becomes a sequence of template tokens: lower-cased words without outer punctuation, where numbers, names (a capital
 followed by a small letter) and units are typed placeholders. Windows of eight tokens of the items meet windows of the documents by a hash join;
 documents first pass a fixed-size bitmap of the items' windows, so only few windows travel. Windows in one alignment (document
-position less item position) vote for it if their slots are consistent: equal values of the item stand for equal values of the document
-and the other way round. A document leaks an item if consistent alignments cover ``coverage`` of the item's windows; the leak is exact if
-every slot kept its value.
+position less item position) vote for it if their slots are consistent: equal values of the item stand for equal values of the document (two
+values of the item may have become one). Where a value of the item met several, the one that most windows hold counts, and windows that
+hold another do not vote. A document leaks an item if the windows that vote cover ``coverage`` of the item's windows; the leak is exact if
+every slot of the alignment kept its value.
 
 Items shorter than a window are one window of their own length; windows with fewer than two plain words say nothing, unless an item has no others; items of
 fewer than four tokens can't be told from prose and match nothing. Null or blank texts and
@@ -166,12 +167,16 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", coverage: flo
     met = hits.join(item, ["hash", "size"])
     change: Column = F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda z: z["a"] != 0)
     votes = met.groupBy("id", "key", "item_id", "item_key", "windows", (F.col("place") - F.col("item_place")).alias("shift")).agg(
-        F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(change))).alias("pairs"))
-    n = F.size("pairs")
-    fair = (F.size(F.array_distinct("pairs.a")) == n) & (F.size(F.array_distinct("pairs.b")) == n)
-    exact = ~F.exists("pairs", lambda z: z["a"] != z["b"])
+        F.collect_set(F.struct(F.col("item_place").alias("place"), F.array_distinct(change).alias("pairs"))).alias("hits"))
+    votes = votes.withColumn("all", F.flatten("hits.pairs"))
+    votes = votes.withColumn("pairs", F.transform(F.array_distinct("all"), lambda z: F.struct(
+        z["a"].alias("a"), F.size(F.filter("all", lambda y: y == z)).alias("n"), (z["a"] == z["b"]).alias("same"), z["b"].alias("b"))))
+    beaten = F.filter("pairs", lambda z: F.exists("pairs", lambda y: (y["a"] == z["a"]) & (y > z)))  # of equal a, the largest (n, same, b) holds
+    votes = votes.withColumn("beaten", F.transform(beaten, lambda z: F.struct(z["a"].alias("a"), z["b"].alias("b"))))
+    votes = votes.withColumn("places", F.transform(F.filter("hits", lambda h: ~F.arrays_overlap(h["pairs"], F.col("beaten"))), lambda h: h["place"]))
+    exact = ~F.exists("pairs", lambda z: ~z["same"])
     covered = F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.first("windows")
-    return (votes.where(fair).groupBy("id", "key", "item_id", "item_key").agg(covered.alias("covered"), F.every(exact).alias("exact"))
+    return (votes.where("size(places) > 0").groupBy("id", "key", "item_id", "item_key").agg(covered.alias("covered"), F.every(exact).alias("exact"))
             .where(F.col("covered") >= coverage).groupBy("id", "key", "item_id").agg(F.max("covered").alias("covered"), F.max("exact").alias("exact")))
 
 
