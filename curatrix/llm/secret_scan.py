@@ -3,7 +3,8 @@
 Patterns propose spans; the values of all spans are hashed and counted over the whole corpus by distinct repositories and owners. A
 value of ``EXAMPLE_OWNERS`` owners or more is an example; one of a single owner that has digits and six different characters looks
 live; the rest is shared or weak. Base kinds (assign, access, hex) are always reported; the added ones (signed tokens,
-repository tokens, private key headers) unless they are examples.
+repository tokens, private keys) unless they are examples. A private key is a span from its header to its END line, or over the long
+base64 runs after a header without one; its value is the base64 body less line ends, quotes and comment signs, and the header only if nothing follows.
 
 Counting is in two steps of partial aggregation (value, owner, repository; then value), so a value in a third of all texts is a few rows
 a task. Null and empty texts have no spans; a null owner or repository counts as one; repeated rows are counted as copies; ids may be null; extra
@@ -22,6 +23,10 @@ _WORDS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
 _ASSIGN = rf"""(?:{_WORDS})["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 _VALUE = rf"""(?:{_WORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 EXAMPLE_OWNERS = 3
+_PEM = "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+_CIPHER = r"(?:[\s\\nr]{0,4}+Proc-Type:\x20?4,ENCRYPTED)?+(?:[\s\\nr]{0,4}+DEK-Info:\x20?[A-Z0-9-]++,[0-9A-Fa-f]++)?+"
+_PEM_BODY = (rf"""{_PEM}{_CIPHER}(?:[A-Za-z0-9+/=\s\\"',;#*>|.]*+-----END [A-Z ]{{0,30}}PRIVATE KEY-----"""
+             r"""|(?:(?:\\[nr]|[\s"',;#*>|.+]){0,12}+[A-Za-z0-9+/]{40,}+={0,2}+){0,400}+)""")
 
 
 @keeps("assign")
@@ -41,9 +46,10 @@ KINDS = [
     Kind("signed", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "all", "true",
          "contains(t., 'eyJ')", base=False),
     Kind("repository", r"\bgh[pousr]_[A-Za-z0-9]{20,}", r"\bgh[pousr]_[A-Za-z0-9]{20,}", "all", "true", "contains(t., 'gh')", base=False),
-    Kind("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", "all", "true", "contains(t., '-----BEGIN ')", base=False),
+    Kind("pem", _PEM_BODY, _PEM, "all", "true", "contains(t., '-----BEGIN ')", base=False),
 ]
 _BASE = sum(k.base for k in KINDS)
+_KEY = [k.name for k in KINDS].index("pem")
 
 
 def _located(docs: DataFrame, text: str, owner: str, repository: list[str]) -> DataFrame:
@@ -54,7 +60,8 @@ def _located(docs: DataFrame, text: str, owner: str, repository: list[str]) -> D
     rows = with_spans(rows, "__text", KINDS, "__spans").drop("__text")
 
     def secret(s: Column) -> Column:
-        return F.when(s["rank"] == 0, F.regexp_extract(s["value"], _VALUE, 1)).otherwise(s["value"])
+        body = F.regexp_replace(F.regexp_replace(s["value"], rf"^{_PEM}{_CIPHER}|-----END.*", ""), r"""\\[nr]|["']\s*\+\s*["']|[^A-Za-z0-9+/]""", "")
+        return F.when(s["rank"] == 0, F.regexp_extract(s["value"], _VALUE, 1)).when((s["rank"] == _KEY) & (body != ""), body).otherwise(s["value"])
 
     spans = F.transform("__spans", lambda s: F.struct(s["start"], s["rank"], s["end"], F.sha2(secret(s), 256).alias("hash"), (
         secret(s).rlike("[0-9]") & (F.size(F.array_distinct(F.split(secret(s), ""))) >= 6)).alias("rich")))
