@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import mixing, neighbours, pii, secret_scan, url_filter
+from curatrix.llm import lexical, mixing, neighbours, packing, pii, secret_scan, url_filter, whitening
 from curatrix.llm.decontaminate import contaminated
 from curatrix.llm.neardup import near_duplicates
 from curatrix.llm.paragraphs import repeated_paragraphs
@@ -57,6 +58,18 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_suffixes": op2_suffixes,
@@ -68,10 +81,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_neighbours": op10_neighbours,
+    "op11_packing": op11_packing,
+    "op12_whitening": op12_whitening,
+    "op13_lexical_search": op13_lexical_search,
 }
 SQL: dict[str, str] = {
     "op1_mixing": mixing.sql(),
     "op4_pii": pii.SQL,
     "op6_secrets": secret_scan.digest_sql(),
     "op7_url_filter": url_filter.sql(),
+    "op13_lexical_search": lexical.sql(),
 }

@@ -62,12 +62,12 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.
         at = to
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of all words of a block, and for each row the number of words before it (len + 1)."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of all words of a block, and for each row the number of words before it (len + 1); words end at bytes of ``gap``."""
     if not len(data):
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~gap[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.concatenate(([False], inside[:-1]))
