@@ -35,7 +35,8 @@ CAPACITY = 4096
 END = 1
 LOT = 16384
 SEEN = 1 << 20
-STEPS = 20_000
+SWEEPS = 400
+FEW, NEAR = 8, 8
 IDLE = 2
 _EXACT = mix(np.arange(256, dtype=np.uint64) + np.uint64(3000))
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -235,63 +236,80 @@ class _Lot:
             by_room[left].append(b)
             mask |= 1 << left
 
-    def _better(self, a: int, b: int) -> tuple[int, list[int], list[int]] | None:
-        """The exchange that fills bin b most from bin a: pieces that leave a, pieces that leave b."""
-        room, sizes = self.room[b], self.sizes
-        theirs = sorted([(0, [])] + [(sizes[q], [q]) for q in self.members[b]], key=lambda x: x[0])
-        own = self.members[a]
-        mine = [(sizes[p], [p]) for p in own]
-        few = own[:64]
-        mine += [(sizes[p] + sizes[q], [p, q]) for i, p in enumerate(few) for q in few[i + 1:]]
-        pairs = self.members[b][:64]
-        theirs2 = sorted([(sizes[p] + sizes[q], [p, q]) for i, p in enumerate(pairs) for q in pairs[i + 1:]], key=lambda x: x[0])
-        best = None
-        for size, out in mine:
-            for back, weights in ((theirs, None), (theirs2, None)) if len(out) == 1 else ((theirs, None),):
-                keys = [x[0] for x in back]
-                at = int(np.searchsorted(keys, size - room))  # the lightest return that still fits
-                if at < len(back):
-                    gain = size - back[at][0]
-                    if 0 < gain <= room and (best is None or gain > best[0]):
-                        best = (gain, out, back[at][1])
-                        if gain == room:
-                            return best
-        return best
-
-    def local_search(self, steps: int) -> None:
-        """Exchanges from the emptiest bins to fuller ones until no emptier bin can fill another."""
-        open_ = [b for b in range(len(self.room)) if self.room[b]]
-        while steps > 0 and len(open_) > 1:
-            open_.sort(key=lambda b: (self.room[b], b))
-            changed = False
-            for a in reversed(open_):
-                for b in open_:
-                    if b == a or not self.members[a] or not self.room[b] or self.room[b] >= self.room[a] and b > a:
-                        continue
-                    steps -= 1
-                    found = self._better(a, b)
-                    if found and self.room[b] <= self.room[a]:
-                        gain, out, back = found
-                        self.members[a] = [p for p in self.members[a] if p not in out] + back
-                        self.members[b] = [p for p in self.members[b] if p not in back] + out
-                        self.room[a] += gain
-                        self.room[b] -= gain
-                        changed = True
-                    if not self.members[a] or steps <= 0:
-                        break
-                if changed or steps <= 0:
+    def _options(self, b: int, empty: bool) -> list[list[int]]:
+        """What may change places in bin b: nothing (if ``empty``), one piece, two pieces; of several of one total, one."""
+        own = self.members[b]
+        some = own if len(own) <= FEW else own[:FEW]
+        found = {0: []} if empty else {}
+        for i, p in enumerate(some):
+            for q in some[i + 1:]:
+                found[self.sizes[p] + self.sizes[q]] = [p, q]
+        for p in own:
+            found[self.sizes[p]] = [p]
+        return list(found.values())
+
+    def _index(self, bins: list[int]) -> tuple[np.ndarray, list[tuple[int, list[int]]]]:
+        """All that bins may give back, in order of the weight that would then fill the bin exactly."""
+        back = [(b, x) for b in bins for x in self._options(b, True)]
+        fills = np.array([self.room[b] + sum(self.sizes[p] for p in x) for b, x in back], np.int64)
+        order = np.argsort(fills, kind="stable")
+        return fills[order], [back[i] for i in order]
+
+    def _sweep(self, donor: int, fills: np.ndarray, back: list[tuple[int, list[int]]], stale: set[int]) -> bool:
+        """Exchanges between the donor and fuller bins, each bin and piece once, those that fill most first; whether there was any."""
+        found = []
+        for x in self._options(donor, False):
+            weight = sum(self.sizes[p] for p in x)
+            at = int(np.searchsorted(fills, weight))
+            for j in range(at, min(at + NEAR, len(back))):
+                b, y = back[j]
+                gain = weight - sum(self.sizes[p] for p in y)
+                if b not in stale and gain > 0 and not len(x) == len(y) == 2:
+                    found.append((gain, j, x))
+        used: set[int] = set()
+        changed = False
+        for gain, j, x in sorted(found, key=lambda f: (-f[0], f[1])):
+            b, y = back[j]
+            if b in stale or used & set(x):
+                continue
+            stale.add(b)
+            used |= set(x)
+            self.members[donor] = [p for p in self.members[donor] if p not in x] + y
+            self.members[b] = [p for p in self.members[b] if p not in y] + x
+            self.room[donor] += gain
+            self.room[b] -= gain
+            changed = True
+        return changed
+
+    def local_search(self, bound: int, sweeps: int) -> None:
+        """The emptiest bin gives to the others until it is empty or no exchange is left, then the next one, down to ``bound`` bins."""
+        open_ = sorted((b for b in range(len(self.room)) if self.room[b]), key=lambda b: (self.room[b], b))
+        bins = len(self.room)
+        while len(open_) > 1 and bins > bound and sweeps > 0:
+            donor, fresh = open_.pop(), True
+            open_ = [b for b in open_ if self.room[b]]
+            fills, back = self._index(open_)
+            stale: set[int] = set()
+            while self.members[donor] and sweeps > 0:
+                sweeps -= 1
+                moved = self._sweep(donor, fills, back, stale)
+                if not moved and fresh:
                     break
-            open_ = [b for b in open_ if self.room[b] and self.members[b]]
-            if not changed:
-                break
+                fresh = not moved or len(stale) > len(open_) // 8
+                if fresh:
+                    open_ = [b for b in open_ if self.room[b]]
+                    fills, back = self._index(open_)
+                    stale.clear()
+            bins -= not self.members[donor]
 
 
-def pack(sizes: np.ndarray, capacity: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pack(sizes: np.ndarray, capacity: int, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every piece of a lot its bin, its place there, and whether that bin is full."""
     lot = _Lot(sizes, capacity)
     lot.best_fit()
-    if len(lot.members) > fewest(np.bincount(sizes, minlength=capacity + 1), capacity):
-        lot.local_search(steps)
+    bound = fewest(np.bincount(sizes, minlength=capacity + 1), capacity)
+    if len(lot.members) > bound:
+        lot.local_search(bound, sweeps)
     bins, places, full = (np.zeros(len(sizes), np.int64) for _ in range(3))
     for b, members in enumerate(lot.members):
         at = 0
@@ -301,17 +319,17 @@ def pack(sizes: np.ndarray, capacity: int, steps: int = STEPS) -> tuple[np.ndarr
     return bins, places, full.astype(bool)
 
 
-def _packed(capacity: int, steps: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _packed(capacity: int, sweeps: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(lot: pd.DataFrame) -> pd.DataFrame:
         lot = lot.sort_values("unit", ignore_index=True)
-        bins, places, full = pack(lot["length"].to_numpy(np.int64), capacity, steps)
+        bins, places, full = pack(lot["length"].to_numpy(np.int64), capacity, sweeps)
         first = pd.Series(lot["unit"].to_numpy()).groupby(bins).transform("min")
         return lot.drop(columns="lot").assign(sequence_id=first.to_numpy(), offset=places, full=full)
 
     return run
 
 
-def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, text: str = "text", lot: int = LOT, steps: int = STEPS) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, text: str = "text", lot: int = LOT, sweeps: int = SWEEPS) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A sequence is named by the number of its first piece."""
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "unit"]
     pieces = stored(token_pieces(docs, tokenizer, capacity, end, text).withColumn("unit", F.monotonically_increasing_id()), "pieces")
@@ -328,7 +346,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             break
         lots = -(-n // lot)
         dealt = open_.select(*columns, F.pmod(F.xxhash64("unit", F.lit(turn)), F.lit(lots)).alias("lot"))
-        out = stored(dealt.repartition(min(lots, 4096), "lot").groupBy("lot").applyInPandas(_packed(capacity, steps), shape), "packed")
+        out = stored(dealt.repartition(min(lots, 4096), "lot").groupBy("lot").applyInPandas(_packed(capacity, sweeps), shape), "packed")
         states = {r["full"]: r["n"] for r in out.groupBy("full").agg(F.count_distinct("sequence_id").alias("n")).collect()}
         full += states.get(True, 0)
         bins = full + states.get(False, 0)

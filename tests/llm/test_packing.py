@@ -59,7 +59,7 @@ def test_exchanges_empty_bins_that_best_fit_leaves():
     lot = packing._Lot(sizes, 4096)
     lot.best_fit()
     before, squares = len(lot.members), sum((4096 - r) ** 2 for r in lot.room)
-    lot.local_search(packing.STEPS)
+    lot.local_search(0, packing.SWEEPS)
     assert sum((4096 - r) ** 2 for r in lot.room) > squares and sum(1 for m in lot.members if m) < before
     assert sorted(p for m in lot.members for p in m) == list(range(3000))
 
