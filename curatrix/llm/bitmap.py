@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.llm.words import mix
+
 
 def bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
     """uint64 words with a bit for every key modulo ``bits`` (a power of two); bits / 64 rows at most come to the driver."""
@@ -21,3 +24,21 @@ def contains(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of some uint64 ``keys`` may be in the set."""
     spot = keys & np.uint64(len(words) * 64 - 1)
     return (words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def marks(*columns: pa.Array) -> np.ndarray:
+    """One uint64 for each row of some integer columns; nulls count as 0."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for column in columns:
+        out = mix(out ^ column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+    return out
+
+
+def marked(rows: DataFrame, *names: str) -> DataFrame:
+    """(mark) of some integer columns, equal to ``marks``."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(marks(*(batch.column(n) for n in names)).view(np.int64))], names=["mark"])
+
+    return rows.select(*names).mapInArrow(run, "mark long")

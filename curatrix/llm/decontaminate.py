@@ -8,8 +8,9 @@ values of the item may have become one). Where a value of the item met several,
 hold another do not vote. A document leaks an item if the windows that vote cover ``coverage`` of the item's windows; the leak is exact if
 every slot of the alignment kept its value.
 
-Items shorter than a window are one window of their own length; windows with fewer than two plain words say nothing, unless an item has no others; items of
-fewer than four tokens can't be told from prose and match nothing. Null or blank texts and
+Items shorter than a window are one window of their own length; windows with fewer than two plain words say nothing, unless an item has no others; an item of
+fewer than ``SHORTEST`` tokens, which any prose may hold, leaks into documents that are nothing but its words. Of two document values that
+equally many windows give a value of the item, the unchanged one holds, else the greater hash. Null or blank texts and
 items match nothing; repeated documents are judged each, repeated items all are named; extra columns are ignored; with an empty
 benchmark no document leaks.
 """
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm.storage import stored
@@ -150,6 +151,28 @@ def item_windows(items: DataFrame, name: str, text: str) -> DataFrame:
     return parts.join(total, ["id", "key"])
 
 
+def _sequences(batches):
+    """The word sequences of the texts of fewer than SHORTEST tokens, but at least one, as (length, hash)."""
+    for batch in batches:
+        for start, _, data, offsets in blocks(batch.column("text")):
+            _, words, _, rows = templates(data, offsets)
+            n = np.diff(rows)
+            some = np.flatnonzero((n > 0) & (n < SHORTEST))
+            total = n[some].astype(np.uint64)
+            for j in range(SHORTEST - 1):
+                inside = n[some] > j
+                total[inside] = mix(total[inside] ^ words[rows[some[inside]] + j])
+            own = pa.array(start + some)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(own), batch.column("key").take(own), pa.array(total.view(np.int64))], names=["id", "key", "hash"])
+
+
+def _whole(wide: DataFrame, items: DataFrame) -> DataFrame:
+    """Leaks of the shortest items: documents with the same few words and no others."""
+    asked = items.where("id is not null").mapInArrow(_sequences, "id long, key long, hash long").select(F.col("id").alias("item_id"), "hash").distinct()
+    held = wide.mapInArrow(_sequences, "id long, key long, hash long").distinct()
+    return held.join(asked, "hash").select("id", "key", "item_id", F.lit(1.0).alias("covered"), F.lit(True).alias("exact"))
+
+
 def matches(docs: DataFrame, items: DataFrame, text: str = "text", coverage: float = 0.5) -> DataFrame:
     """(id, key, item_id, covered, exact) of the documents' leaks; key is xxhash64 of the text."""
     spark = docs.sparkSession
@@ -160,24 +183,33 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", coverage: flo
     np.bitwise_or.at(bits, low.astype(np.int64) >> 3, (128 >> (low.astype(np.int64) & 7)).astype(np.uint8))
     bitmap = spark.sparkContext.broadcast(bits)
     wide = _keyed(docs, "doc_id", text)
+    whole = _whole(wide, _keyed(items, "item_id", "text"))
     if not sizes:
-        return wide.where("false").selectExpr("id", "key", "id item_id", "0D covered", "true exact")
+        return whole
     hits = wide.mapInArrow(_hits(sizes, 2 if sizes == [WINDOW] else 0, bitmap), _SHAPE).distinct()
     item = known.select("hash", "size", F.col("id").alias("item_id"), F.col("key").alias("item_key"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "windows")
-    met = hits.join(item, ["hash", "size"])
-    change: Column = F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda z: z["a"] != 0)
-    votes = met.groupBy("id", "key", "item_id", "item_key", "windows", (F.col("place") - F.col("item_place")).alias("shift")).agg(
-        F.collect_set(F.struct(F.col("item_place").alias("place"), F.array_distinct(change).alias("pairs"))).alias("hits"))
-    votes = votes.withColumn("all", F.flatten("hits.pairs"))
-    votes = votes.withColumn("pairs", F.transform(F.array_distinct("all"), lambda z: F.struct(
-        z["a"].alias("a"), F.size(F.filter("all", lambda y: y == z)).alias("n"), (z["a"] == z["b"]).alias("same"), z["b"].alias("b"))))
-    beaten = F.filter("pairs", lambda z: F.exists("pairs", lambda y: (y["a"] == z["a"]) & (y > z)))  # of equal a, the largest (n, same, b) holds
-    votes = votes.withColumn("beaten", F.transform(beaten, lambda z: F.struct(z["a"].alias("a"), z["b"].alias("b"))))
-    votes = votes.withColumn("places", F.transform(F.filter("hits", lambda h: ~F.arrays_overlap(h["pairs"], F.col("beaten"))), lambda h: h["place"]))
-    exact = ~F.exists("pairs", lambda z: ~z["same"])
-    covered = F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.first("windows")
-    return (votes.where("size(places) > 0").groupBy("id", "key", "item_id", "item_key").agg(covered.alias("covered"), F.every(exact).alias("exact"))
-            .where(F.col("covered") >= coverage).groupBy("id", "key", "item_id").agg(F.max("covered").alias("covered"), F.max("exact").alias("exact")))
+    changes = F.array_distinct(F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda z: z["a"] != 0))
+    met = hits.join(item, ["hash", "size"]).select("id", "key", "item_id", "item_key", "windows", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", changes.alias("pairs"))
+    met = stored(met, "alignments")
+
+    line = ["id", "key", "item_id", "item_key", "shift"]
+    pairs = met.select(*line, "item_place", F.explode("pairs").alias("p")).select(*line, "item_place", "p.a", "p.b")
+    counts = pairs.groupBy(*line, "a", "b").agg(F.count("*").alias("n"))
+    order = F.struct("n", (F.col("a") == F.col("b")).alias("same"), "b")
+    holds = counts.groupBy(*line, "a").agg(F.max_by("b", order).alias("held"), F.count("*").alias("several"), F.bool_and(F.col("a") == F.col("b")).alias("kept"))
+    # null ids of documents must meet themselves in these joins
+    def on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+        named = right.select(*[F.col(c).alias(f"r_{c}") for c in keys], *[c for c in right.columns if c not in keys])
+        return left.join(named, [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in keys], how).drop(*[f"r_{c}" for c in keys])
+
+    split = on(pairs, holds.where("several > 1").select(*line, "a", "held"), [*line, "a"], "inner")
+    lost = split.where("b <> held").select(*line, "item_place").distinct()
+    votes = on(met.drop("pairs"), lost, [*line, "item_place"], "left_anti")
+    kept = holds.groupBy(*line).agg(F.every("kept").alias("kept"))
+    votes = on(votes, kept, line, "left")
+    found = votes.groupBy("id", "key", "item_id", "item_key").agg((F.count_distinct("item_place") / F.first("windows")).alias("covered"), F.every(F.coalesce("kept", F.lit(True))).alias("exact"))
+    found = found.where(F.col("covered") >= coverage).select("id", "key", "item_id", "covered", "exact").unionByName(whole)
+    return found.groupBy("id", "key", "item_id").agg(F.max("covered").alias("covered"), F.max("exact").alias("exact"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", coverage: float = 0.5) -> DataFrame:

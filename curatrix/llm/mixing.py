@@ -8,8 +8,8 @@ hash of seed and doc_id, so reruns agree), until their words reach the budget; t
 The order is never made in one task: keys fall in ``BUCKETS`` slots, sums by source and slot (a table of bounded width per source) give the words
 before each slot, and only documents in the slot at a source's edge are put in order.
 
-A null text has no words and is taken zero times; a null source is a source of its own, the last; ids may be null (such rows share
-one key and are told apart by their text); equal keys go by doc_id, then by a hash of the text; exact repeats of a row share one place and are
+A null text has no words and is taken zero times; a null source is a source of its own, the last; rows without an id draw their key by
+their text; equal keys go by doc_id, then by a hash of the text; exact repeats of a row share one place and are
 taken alike. Extra columns are ignored. Empty input gives an empty result.
 """
 
@@ -24,6 +24,7 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 BUCKETS = 1 << 14
 SEED = "mix-1"
+SMALL = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -50,9 +51,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return settled.select("source", "source_size", F.round(value, 6).alias("target"))
 
 
-def sampling_key(quality: Column, doc_id: Column, seed: str = SEED) -> Column:
-    """An exponential of rate ``quality``, the same in every run: small keys come first."""
-    digits = F.substr(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), F.lit(1), F.lit(12))
+def sampling_key(quality: Column, doc_id: Column, seed: str = SEED, text_key: Column | None = None) -> Column:
+    """An exponential of rate ``quality``, the same in every run: small keys come first. Rows without an id draw by ``text_key``."""
+    name = F.coalesce(doc_id.cast("string"), F.lit("") if text_key is None else F.concat(F.lit("text "), text_key.cast("string")))
+    digits = F.substr(F.md5(F.concat(F.lit(seed + ":"), name)), F.lit(1), F.lit(12))
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
     return -F.ln(u) / quality
 
@@ -67,10 +69,11 @@ def mixed(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[floa
     rows = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(text).alias("text_key"))
     if quality is not None:
         known = quality.where("doc_id is not null and quality > 0").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-        rows = rows.join(known, "doc_id", "left").withColumn("quality", F.coalesce("quality", F.lit(1.0)))
+        named = rows.where("doc_id is not null").join(known, "doc_id", "left").withColumn("quality", F.coalesce("quality", F.lit(1.0)))
+        rows = named.unionByName(rows.where("doc_id is null").withColumn("quality", F.lit(1.0)))  # no join gathers them in one task
     else:
         rows = rows.withColumn("quality", F.lit(1.0))
-    key = sampling_key(F.col("quality"), F.col("doc_id"), seed)
+    key = sampling_key(F.col("quality"), F.col("doc_id"), seed, F.col("text_key"))
     rows = rows.withColumn("key", key).withColumn("slot", F.floor(F.col("key") / (F.col("key") + 1) * BUCKETS).cast("int"))
     rows = stored(rows.drop("quality"), "mixing")
 
@@ -87,7 +90,8 @@ def mixed(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[floa
             .select(F.col("s").alias("e"), F.col("slot").alias("edge"), "before"))
     goals = stored(goal.join(edge, F.col("s").eqNullSafe(F.col("e")), "left").drop("e"), "mixing-goals")  # one row a source
 
-    placed = rows.join(goals, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    few = goals.limit(SMALL + 1).count() <= SMALL  # else a plain join, which may shuffle
+    placed = rows.join(F.broadcast(goals) if few else goals, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     at_edge = (F.col("budget") > 0) & (F.col("slot") == F.col("edge"))
     inside = F.when(F.col("edge").isNotNull() & (F.col("slot") < F.col("edge")), F.col("size")).otherwise(F.lit(0))
     rest = placed.where(~F.coalesce(at_edge, F.lit(False))).withColumn("part", inside)

@@ -10,22 +10,22 @@ components, the classes outside its largest one are compared with that one and a
 classes: tiles are tasks of their own, compare signatures first, then sets, skip what is already connected, and return at most a
 spanning forest. A family of copies is never compared within itself.
 
-Null or blank texts have no shingles and link with nothing; repeated rows fall in one class; a row without doc_id links with
-nothing and is kept; extra columns are ignored; an empty table gives an empty result.
+Null or blank texts have no shingles and link with nothing; repeated rows fall in one class; rows that share a doc_id but have different
+sets are classes of their own, each with the smallest doc_id of its component; a row without doc_id links with nothing and is kept; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.llm.bitmap import bitmap, contains, marked, marks
 from curatrix.llm.graph import components
-from curatrix.llm.storage import stored
+from curatrix.llm.storage import forget, stored
 from curatrix.llm.words import blocks, distinct_by_row, mix, shingles, word_hashes
 
 PERMUTATIONS = 64
@@ -33,6 +33,7 @@ BANDS = 32
 BLOCK = 512
 LOT = 4096
 SURE = 0.58
+BITS = 1 << 26
 _A = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _HIGH = np.uint64(32)
 _ONE = np.uint64(1)
@@ -74,17 +75,21 @@ def _features(batches):
                 for i, row in zip(full, minmax(values, np.concatenate((rows[full], rows[-1:])))):
                     signatures[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(at, to - at), pa.array(n), *map(pa.array, _keys(values, rows)), pa.array(signatures, pa.binary())],
-                names=["doc_id", "n", "k1", "k2", "signature"])
+                [batch.column("doc_id").slice(at, to - at), batch.column("text_key").slice(at, to - at), pa.array(n), *map(pa.array, _keys(values, rows)), pa.array(signatures, pa.binary())],
+                names=["doc_id", "text_key", "n", "k1", "k2", "signature"])
 
 
-def _full_sets(batches):
-    for batch in batches:
-        for at, to, values, rows in _sets(batch.column("text")):
-            signed = values.view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(at, to - at), *map(pa.array, _keys(values, rows)),
-                 pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(signed))], names=["doc_id", "k1", "k2", "items"])
+def _full_sets(known):
+    """Keys and sets of the documents whose id may be in the bitmap ``known``."""
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(contains(known.value, marks(batch.column("doc_id")))))
+            for _, _, values, rows in _sets(batch.column("text")):
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, _keys(values, rows)), pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(values.view(np.int64)))], names=["k1", "k2", "items"])
+
+    return run
 
 
 def _bands(batches):
@@ -156,21 +161,22 @@ def _tile(percent: int, sure: float = SURE):
     return links
 
 
-def connect(classes: DataFrame, bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, sure: float = SURE) -> DataFrame:
+def collisions(bands: DataFrame) -> DataFrame:
+    """(band, rep, size, hub) of the bands that several classes share, from distinct (band, rep); the hub is the smallest class. A stored table."""
+    shared = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1")
+    return stored(bands.join(shared, "band"), "members")
+
+
+def connect(classes: DataFrame, members: DataFrame, sets: DataFrame, percent: int, sure: float = SURE) -> DataFrame:
     """(node, component) of the classes (rep, signature) that link to others.
 
-    ``bands`` has (band, rep); ``sets_of`` gives the full sets (rep, items) of some reps. Stars first, best hub first, then the
-    other hubs, then tiles of what is still apart in a bucket.
+    ``members`` is a table of ``collisions``, ``sets`` a stored table of the full sets (rep, items) of its classes; both are deleted here. Stars first, best
+    hub first, then the other hubs, then tiles of what is still apart in a bucket.
     """
-    bands = stored(bands, "bands")
-    shared = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1")
-    members = stored(bands.join(shared, "band"), "members")
-    sets = stored(sets_of(members.select("rep").distinct()), "sets")
-
     votes = members.where("hub != rep").groupBy("rep", "hub").count()
     best = votes.groupBy("rep").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
     links = stored(_confirmed(best, sets, percent), "links")
-    home = components(links, "hub", "rep")
+    home, first = components(links, "hub", "rep"), links
 
     def placed(pairs: DataFrame, key: str, name: str, where: DataFrame) -> DataFrame:
         where = where.select(F.col("node").alias(key), F.col("component").alias(name))
@@ -178,6 +184,7 @@ def connect(classes: DataFrame, bands: DataFrame, sets_of: Callable[[DataFrame],
 
     open_votes = placed(placed(votes, "rep", "c", home), "hub", "d", home).where("c != d").select("hub", "rep")
     links = stored(links.unionByName(_confirmed(open_votes, sets, percent)), "links")
+    forget(first)
     home = stored(components(links, "hub", "rep"), "home")
 
     apart = placed(members.select("band", "rep", "size"), "rep", "component", home)
@@ -193,38 +200,40 @@ def connect(classes: DataFrame, bands: DataFrame, sets_of: Callable[[DataFrame],
         "band", "rep", "component", "block", F.lit(1).alias("kind"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     tiles = stored(across.unionByName(beside), "tiles")
     lots = max(1, -(-tiles.count() // LOT))  # small tiles share a task's batch, which is bounded in rows
-    rest = tiles.join(classes.select("rep", "signature"), "rep").join(sets, "rep")
+    rest = tiles.join(classes.select("rep", "signature"), "rep").join(sets.select("rep", "items"), "rep")
     more = rest.groupBy(F.pmod(F.xxhash64(*TILE_KEYS), F.lit(lots)).alias("lot")).applyInPandas(_tile(percent, sure), "hub long, rep long")
-    return components(links.unionByName(more), "hub", "rep")
+    out = components(links.unionByName(more), "hub", "rep")
+    forget(members, sets, links, home, tiles)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (it is that document).
+    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (it is that document),
+    component (a number for it, null where nothing can link) and text_key (xxhash64 of the text).
 
     ``doc_id`` must be an integer. Documents are linked if 100 * intersection >= percent * union of their shingle sets.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    features = stored(ids.mapInArrow(_features, "doc_id long, n long, k1 long, k2 long, signature binary"), "minmax")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    features = stored(ids.mapInArrow(_features, "doc_id long, text_key long, n long, k1 long, k2 long, signature binary"), "minmax")
     named = features.where("n > 0 and doc_id is not null")
-    classes = stored(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
-
-    bands = classes.select("rep", "signature").mapInArrow(_bands, "band long, rep long")
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        keys = wanted.join(classes.select("rep", "k1", "k2"), "rep")
-        return (ids.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-                .mapInArrow(_full_sets, "doc_id long, k1 long, k2 long, items array<long>")
-                .withColumnRenamed("doc_id", "rep").join(keys, ["rep", "k1", "k2"]).select("rep", "items").dropDuplicates(["rep"]))
-
-    home = connect(classes.select("rep", "signature"), bands, sets_of, percent)
+    classes = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+
+    members = collisions(classes.select("rep", "signature").mapInArrow(_bands, "band long, rep long"))
+    wanted = classes.join(members.select("rep").distinct(), "rep").select("k1", "k2", "rep", "doc_id")
+    known = docs.sparkSession.sparkContext.broadcast(bitmap(marked(wanted, "doc_id"), "mark", BITS))
+    sets = ids.where("doc_id is not null").select("doc_id", "text").mapInArrow(_full_sets(known), "k1 long, k2 long, items array<long>").join(wanted.drop("doc_id"), ["k1", "k2"])
+    sets = stored(sets.select("rep", "items").dropDuplicates(["rep"]), "sets")
+    home = connect(classes.select("rep", "signature"), members, sets, percent)
     return _labelled(features, classes, home)
 
 
 def _labelled(features: DataFrame, classes: DataFrame, home: DataFrame) -> DataFrame:
-    """Every row of ``features`` with its component; small classes are joined by their keys."""
-    final = (classes.select("k1", "k2", "rep").join(home.withColumnRenamed("node", "rep"), "rep", "left")
-             .select("k1", "k2", F.coalesce("component", "rep").alias("component_id")))
-    out = features.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(final, ["k1", "k2"], "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return (out.withColumn("component_id", own)
-            .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+    """Every row of ``features`` with the smallest doc_id of its component; small classes are joined by their keys."""
+    placed = classes.select("k1", "k2", "rep", "doc_id").join(home.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    final = placed.join(least, "component").select("k1", "k2", "component_id", "component")
+    out = features.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "k1", "k2").join(final, ["k1", "k2"], "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    out = out.withColumns({"component_id": F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")), "component": F.when(linked, F.col("component"))})
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "component", "text_key")

@@ -78,12 +78,15 @@ def _nearest(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, own: int,
     if gone.any():
         ids, vectors = ids[~gone], vectors[~gone]
     distance = np.sqrt(((vectors - query) ** 2).sum(axis=1))
+    order = np.lexsort((distance, ids))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = ids[order[1:]] != ids[order[:-1]]
+    if not fresh.all():  # the nearest row of each vec_id, before any is left out
+        ids, distance = ids[order[fresh]], distance[order[fresh]]
     if len(ids) > 4 * k:
         near = distance <= np.partition(distance, k - 1)[k - 1]
         ids, distance = ids[near], distance[near]
-    order = np.lexsort((ids, distance))
-    _, first = np.unique(ids[order], return_index=True)
-    order = order[np.sort(first)][:k]
+    order = np.lexsort((ids, distance))[:k]
     return ids[order], distance[order]
 
 
@@ -129,7 +132,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = T
     total = vectors.select("vec_id").distinct().count()
 
     index = vectors.mapInPandas(_cells(tables, functions, unit, None), "vec_id long, vector array<double>, table int, cell long")
-    visits = queries.selectExpr("query_id vec_id", "vector").mapInPandas(_cells(tables, functions, unit, probes), "query_id long, table int, cell long").distinct()
+    asking = max(1, -(-queries.count() // 64))
+    visits = queries.selectExpr("query_id vec_id", "vector").repartition(asking).mapInPandas(_cells(tables, functions, unit, probes), "query_id long, table int, cell long").distinct()
     index = stored(index, "cells")
     groups = max(1, -(-total // GROUP))
     sizes = index.groupBy("table", "cell").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))

@@ -282,24 +282,24 @@ class _Lot:
         return changed
 
     def local_search(self, bound: int, sweeps: int) -> None:
-        """The emptiest bin gives to the others until it is empty or no exchange is left, then the next one, down to ``bound`` bins."""
-        open_ = sorted((b for b in range(len(self.room)) if self.room[b]), key=lambda b: (self.room[b], b))
-        bins = len(self.room)
-        while len(open_) > 1 and bins > bound and sweeps > 0:
-            donor, fresh = open_.pop(), True
-            open_ = [b for b in open_ if self.room[b]]
-            fills, back = self._index(open_)
+        """The emptiest bin gives to fuller ones until no exchange is left, then the next one, and again from the emptiest, down to ``bound`` bins."""
+        bins, stuck = len(self.room), set()
+        while bins > bound and sweeps > 0:
+            open_ = sorted((b for b in range(len(self.room)) if self.room[b] and self.members[b]), key=lambda b: (self.room[b], b))
+            donor = next((b for b in reversed(open_) if b not in stuck), None)
+            fuller = open_[:open_.index(donor)] if donor is not None else []
+            if not fuller:
+                break
+            fills, back = self._index(fuller)
             stale: set[int] = set()
             while self.members[donor] and sweeps > 0:
                 sweeps -= 1
-                moved = self._sweep(donor, fills, back, stale)
-                if not moved and fresh:
+                if not self._sweep(donor, fills, back, stale) or len(stale) > len(fuller) // 4:
                     break
-                fresh = not moved or len(stale) > len(open_) // 8
-                if fresh:
-                    open_ = [b for b in open_ if self.room[b]]
-                    fills, back = self._index(open_)
-                    stale.clear()
+            if stale:
+                stuck.clear()
+            else:
+                stuck.add(donor)
             bins -= not self.members[donor]
 
 

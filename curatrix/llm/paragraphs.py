@@ -1,9 +1,9 @@
 """Repeated paragraphs and passages: MinHash banding, exact Jaccard, components; the first of each component stays.
 
-A paragraph is a line; lines of more than ``LONG`` words are also cut after sentence ends that a hash of the words before picks, so that cuts
-follow the content. Every paragraph of ``LEAST`` words or more counts, that is every one; the set of fewer than five words is their whole
-sequence, and sets too small to be similar to another one are compared by their names only. Paragraphs with equal sets of 5-word shingles are one
-class; class signatures are banded, where ``tune_bands`` picks the cheapest bands of ``RECALL`` at the threshold; colliding classes are
+A paragraph is a line; lines of more than ``LONG`` words are cut where a hash of two neighbouring words is the smallest within ``REACH`` words on either
+side, so that cuts follow the content and a passage inside lines holds the same pieces wherever it stands. Every paragraph counts; the set of fewer than
+five words is their whole sequence, and sets too small to be similar to another one are compared by their names only. Paragraphs with equal
+sets of 5-word shingles are one class; class signatures are banded, where ``tune_bands`` picks the cheapest bands of ``RECALL`` at the threshold; colliding classes are
 confirmed on full sets and connected as near-duplicate documents are (stars, then tiles). Sets are named by 64-bit hashes.
 
 A repeated passage may stand anywhere, also inside lines and across them: every window of ``PASSAGE`` words that stands at an earlier place
@@ -12,6 +12,10 @@ neighbouring windows with one anchor are a segment. Only segments whose anchor s
 different segments are the windows of the first of each compared. The windows of a document join to runs of bytes; of the paragraphs that
 stay, ``removed`` lists the parts that lie in a run. Every removal points to an earlier copy. Words are compared by 64-bit hashes of the windows.
 
+One pass over the texts writes places, names, bands and anchors. Which bands and anchors two places share is found in parts by hash: each task sends a
+key of a part with its least and greatest owner, and a part answers with bits of a bitmap of ``BITS`` bits. Later passes touch only what the bitmaps
+let through, documents without any of it not at all. Tables are deleted when their last reader is written.
+
 Of a component's paragraphs, the one with the smallest (doc_id, number) stays. Null and empty texts have no paragraphs; rows that
 repeat a doc_id and text count as one document and get equal results; a null doc_id sorts first; extra columns are ignored; an
 empty table gives an empty result.
@@ -24,24 +28,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatrix.llm.bitmap import bitmap, contains
-from curatrix.llm.neardup import _keys, connect
-from curatrix.llm.storage import stored
+from curatrix.llm.bitmap import bitmap, contains, marked, marks
+from curatrix.llm.neardup import _keys, collisions, connect
+from curatrix.llm.storage import forget, stored
 from curatrix.llm.words import blocks, distinct_by_row, hashes_of, mix, powers, shingles, word_bounds
 
-LONG, LEAST = 100, 1
+LONG, REACH = 60, 20
 RECALL = 0.9995
 PASSAGE, GRAM = 50, 24
-BITS = 1 << 24
+BITS = 1 << 26
+HELD = 1 << 20
+SURE = 0.3
 _HIGH = np.uint64(32)
 _BASE = np.uint64(0x9E6C63D0876A9A35)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def tune_bands(threshold: float, recall: float, most_rows: int = 4) -> tuple[int, int]:
-    """(bands, rows): the most selective rows whose bands stay within twice the fewest that reach ``recall`` at ``threshold``."""
+    """(bands, rows): the most selective rows whose bands are at most twice the fewest that reach ``recall`` at ``threshold``."""
     need = {r: int(np.ceil(np.log(1 - recall) / np.log(1 - threshold ** r))) for r in range(1, most_rows + 1)}
-    rows = max(r for r, b in need.items() if b <= 2 * need[2])
+    rows = max(r for r, b in need.items() if b <= 2 * need[1])
     return need[rows], rows
 
 
@@ -66,9 +72,15 @@ def _paragraphs(data: np.ndarray, words: np.ndarray, starts: np.ndarray, ends: n
     first[1:] |= lines[starts[1:]] > lines[ends[:-1]]
     size = np.diff(np.append(np.flatnonzero(first), len(words)))
     long = np.repeat(size > LONG, size)
-    closing = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8))
-    picked = mix(words[1:-1] ^ (words[:-2] << np.uint64(1))) & np.uint64(7) == 0 if len(words) > 2 else np.zeros(0, bool)
-    first[2:] |= closing[1:-1] & picked & long[2:]
+    at = np.flatnonzero(long)
+    if len(at):  # lines stand ``REACH`` apart, so that none decides on another's cuts
+        place = np.arange(len(at)) + REACH * np.cumsum(first[at])
+        pair = mix(words[at] ^ (words[at - 1] << np.uint64(1)))
+        pair[first[at]] = np.iinfo(np.uint64).max
+        wide = np.full(place[-1] + REACH + 1, np.iinfo(np.uint64).max, np.uint64)
+        wide[place] = pair
+        least = np.lib.stride_tricks.sliding_window_view(wide, 2 * REACH + 1).min(axis=1)[place - REACH]
+        first[at[pair == least]] = True
     at = np.flatnonzero(first)
     bounds = np.append(at, len(words))
     row = np.searchsorted(rows, at, side="right") - 1
@@ -76,70 +88,179 @@ def _paragraphs(data: np.ndarray, words: np.ndarray, starts: np.ndarray, ends: n
     return row, number, starts[at], ends[bounds[1:] - 1], bounds
 
 
-def _sets(batch: pa.RecordBatch):
-    """Block by block: rows, numbers, byte ranges, whether long enough, sets and their first names of a batch's paragraphs."""
-    for start, _, data, offsets in blocks(batch.column("text")):
-        words, *where = _words(data, offsets)
-        row, number, begin, end, bounds = _paragraphs(data, words, *where)
-        if len(row):
-            values, counts = distinct_by_row(*shingles(words, bounds))
-            yield start + row, number, begin - offsets[row], end - offsets[row], np.diff(bounds) >= LEAST, values, counts, _keys(values, counts)[0]
-
-
-def _units(batches):
-    """Each paragraph's place and the name of its set; no name if it is too short."""
-    for batch in batches:
-        for row, number, begin, end, enough, _, _, key in _sets(batch):
-            own = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(own), batch.column("text_key").take(own), pa.array(number), pa.array(begin), pa.array(end), pa.array(key, mask=~enough)],
-                names=["doc_id", "text_key", "number", "begin", "end", "k1"])
-
-
-def _signed(batch: pa.RecordBatch, percent: int):
-    """Each different set of a block that can be similar to another: name, values, MinHash signature and band keys (sets x BANDS)."""
-    for _, _, _, _, enough, values, counts, key in _sets(batch):
-        n = np.diff(counts)
-        enough = enough & (100 * n >= percent * (n + 1))
-        _, once = np.unique(np.where(enough, key, 0), return_index=True)
-        once = once[enough[once]]
-        if not len(once):
-            continue
-        size = np.diff(counts)[once]
-        ends = np.cumsum(size)
-        values = values[np.arange(int(ends[-1])) - np.repeat(ends - size, size) + np.repeat(counts[:-1][once], size)]
-        counts = np.concatenate(([0], ends))
-        signature = np.empty((len(once), len(_A)), np.uint32)
-        for k, a in enumerate(_A):
-            signature[:, k] = np.minimum.reduceat(((values * a) >> _HIGH).astype(np.uint32), counts[:-1])
-        parts = signature.reshape(len(once), BANDS, ROWS).astype(np.uint64)
-        bands = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(once), BANDS)).copy()
-        for r in range(ROWS):
-            bands = mix(bands ^ parts[:, :, r])
-        yield key[once], values, counts, signature, bands
-
-
-def _bands(percent: int):
+def _signatures(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """MinHash signatures (sets x permutations) and band keys (sets x BANDS) of sets that are not empty."""
+    signature = np.empty((len(counts) - 1, len(_A)), np.uint32)
+    for k, a in enumerate(_A):
+        signature[:, k] = np.minimum.reduceat(((values * a) >> _HIGH).astype(np.uint32), counts[:-1])
+    parts = signature.reshape(len(signature), BANDS, ROWS).astype(np.uint64)
+    bands = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(signature), BANDS)).copy()
+    for r in range(ROWS):
+        bands = mix(bands ^ parts[:, :, r])
+    return signature, bands
+
+
+def _taken(values: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows ``at`` of ragged values, and their bounds."""
+    size = np.diff(counts)[at]
+    ends = np.cumsum(size)
+    return values[np.arange(int(size.sum())) - np.repeat(ends - size, size) + np.repeat(counts[:-1][at], size)], np.concatenate(([0], ends))
+
+
+def _scan(percent: int):
+    """The one pass over all texts: paragraphs with the names of their sets, bands of each different set of a block, anchors of each document."""
+
     def run(batches):
         for batch in batches:
-            for key, _, _, _, bands in _signed(batch, percent):
-                yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(key, BANDS))], names=["band", "rep"])
+            for start, to, data, offsets in blocks(batch.column("text")):
+                words, starts, ends, rows = _words(data, offsets)
+                row, number, begin, end, bounds = _paragraphs(data, words, starts, ends, rows)
+                n = len(row)
+                values, counts = distinct_by_row(*shingles(words, bounds))
+                size = np.diff(counts)
+                key = _keys(values, counts)[0] if n else np.zeros(0, np.int64)
+                _, once = np.unique(key, return_index=True)
+                once = once[100 * size[once] >= percent * (size[once] + 1)]
+                bands = np.full(n, None, object)
+                if len(once):
+                    for i, line in zip(once, _signatures(*_taken(values, counts, once))[1]):
+                        bands[i] = line.tobytes()
+                anchor, _, first, _, _, _ = _anchored(words, rows)
+                owner = np.searchsorted(rows, first, side="right") - 1
+                cut = np.searchsorted(owner, np.arange(to - start + 1))
+                held = np.flatnonzero(np.diff(cut))
+                doc = pa.array(np.concatenate((start + row, start + held)))
+                extra = len(held)
+
+                def padded(column: np.ndarray) -> pa.Array:
+                    return pa.array(np.concatenate((column, np.zeros(extra, np.int64))), mask=np.arange(n + extra) >= n)  # noqa: B023
+
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(doc), batch.column("text_key").take(doc), padded(number), padded(begin - offsets[row]), padded(end - offsets[row]), padded(key),
+                     pa.array([*bands, *[None] * extra], pa.binary()), pa.array([*[None] * n, *[anchor[cut[i]:cut[i + 1]].tobytes() for i in held]], pa.binary())],
+                    names=["doc_id", "text_key", "number", "begin", "end", "k1", "bands", "anchors"])
 
     return run
 
 
-def _members(known, percent: int):
-    """Sets with a band in the bitmap ``known``: name, such bands, signature and values."""
+class _Parts:
+    """Keys with the least and greatest of their owners, by part, as they gather in a task."""
+
+    def __init__(self, parts: int, kind: int, bits: int):
+        self.parts, self.kind, self.bits, self.held, self.rows = parts, kind, bits, 0, []
+
+    def add(self, keys: np.ndarray, owners: np.ndarray) -> None:
+        self.rows.append((keys, owners))
+        self.held += len(keys)
+
+    def flush(self):
+        if self.held:
+            keys, owners = (np.concatenate(x) for x in zip(*self.rows))
+            order = np.lexsort((owners, keys))
+            keys, owners = keys[order], owners[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            keys, low, high = keys[first], owners[first], owners[np.append(first[1:], len(owners)) - 1]
+            spot = (keys & np.uint64(self.bits - 1)).astype(np.int64)
+            part = spot * self.parts // self.bits
+            order = np.argsort(part, kind="stable")
+            cut = np.searchsorted(part[order], np.arange(self.parts + 1))
+            some = np.flatnonzero(np.diff(cut))
+            lists = [[x[order][cut[p]:cut[p + 1]].tobytes() for p in some] for x in (keys, low, high)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), self.kind, np.int32)), pa.array(some.astype(np.int32)), *[pa.array(x, pa.binary()) for x in lists]],
+                                             names=["kind", "part", "keys", "low", "high"])
+        self.held, self.rows = 0, []
+
+
+def _dealt(parts: int, bits: int):
+    """Band keys owned by sets (kind 0) and anchors owned by places (kind 1), by part."""
 
     def run(batches):
+        bands, anchors = _Parts(parts, 0, bits), _Parts(parts, 1, bits)
         for batch in batches:
-            for key, values, counts, signature, bands in _signed(batch, percent):
+            doc = marks(batch.column("doc_id"), batch.column("text_key"))
+            lines = batch.column("bands")
+            at = np.flatnonzero(lines.is_valid().to_numpy(zero_copy_only=False))
+            if len(at):
+                keys = np.frombuffer(b"".join(lines.take(pa.array(at)).to_pylist()), np.uint64)
+                owners = batch.column("k1").take(pa.array(at)).to_numpy().view(np.uint64)
+                bands.add(keys, np.repeat(owners, BANDS))
+            for i, line in zip(doc, batch.column("anchors").to_pylist()):
+                if line is not None:
+                    keys = np.frombuffer(line, np.uint64)
+                    anchors.add(keys, mix(i ^ np.arange(len(keys), dtype=np.uint64)))
+            for held in (bands, anchors):
+                if held.held >= HELD:
+                    yield from held.flush()
+        for held in (bands, anchors):
+            yield from held.flush()
+
+    return run
+
+
+def _twice(bits: int):
+    """Bits of the keys of a part that have two owners, as words of the bitmap."""
+
+    def run(key, table):
+        keys, low, high = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint64) for c in ("keys", "low", "high"))
+        order = np.argsort(keys, kind="stable")
+        keys, low, high = keys[order], low[order], high[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        several = np.minimum.reduceat(low, first) != np.maximum.reduceat(high, first)
+        spot = (keys[first][several] & np.uint64(bits - 1)).astype(np.int64)
+        word, at = np.unique(spot >> 6, return_inverse=True)
+        mask = np.zeros(len(word), np.uint64)
+        np.bitwise_or.at(mask, at, np.uint64(1) << (spot & 63).astype(np.uint64))
+        return pa.table({"kind": pa.array(np.full(len(word), key[0].as_py(), np.int32)), "word": pa.array(word.astype(np.int32)), "mask": pa.array(mask.view(np.int64))})
+
+    return run
+
+
+def _shared(units: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the bands of two sets and of the anchors of two places; a hot key is two numbers a task."""
+    rows = units.where("bands is not null or anchors is not null").select("doc_id", "text_key", "k1", "bands", "anchors")
+    dealt = rows.mapInArrow(_dealt(parts, BITS), "kind int, part int, keys binary, low binary, high binary")
+    words = dealt.groupBy("kind", "part").applyInArrow(_twice(BITS), "kind int, word int, mask long").groupBy("kind", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    out = np.zeros((2, BITS // 64), np.int64)
+    out[words["kind"].to_numpy(np.int64), words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
+    return out[0].view(np.uint64), out[1].view(np.uint64)
+
+
+def _hits(known):
+    """(band, rep) of the sets with a band in the bitmap."""
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                bands = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint64).reshape(len(batch), -1)
                 hit = contains(known.value, bands.ravel()).reshape(bands.shape)
-                at = np.flatnonzero(hit.any(axis=1))
+                row, _ = np.nonzero(hit)
+                yield pa.RecordBatch.from_arrays([pa.array(bands[hit].view(np.int64)), batch.column("k1").take(pa.array(row))], names=["band", "rep"])
+
+    return run
+
+
+def _chosen(batch: pa.RecordBatch, known) -> pa.RecordBatch:
+    """The documents of a batch that may be in a bitmap of (doc_id, text_key)."""
+    return batch.filter(pa.array(contains(known.value, marks(batch.column("doc_id"), batch.column("text_key")))))
+
+
+def _members(documents, places):
+    """Name, signature and values of the sets of the paragraphs in the bitmap ``places``, of documents in ``documents``."""
+
+    def run(batches):
+        for batch in batches:
+            batch = _chosen(batch, documents)
+            doc = marks(batch.column("doc_id"), batch.column("text_key"))
+            for start, _, data, offsets in blocks(batch.column("text")):
+                words, *where = _words(data, offsets)
+                row, number, _, _, bounds = _paragraphs(data, words, *where)
+                at = np.flatnonzero(contains(places.value, mix(doc[start + row] ^ number.astype(np.uint64))))
                 if len(at):
+                    values, counts = distinct_by_row(*shingles(*_taken(words, bounds, at)))
+                    signature, _ = _signatures(values, counts)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[at]), pa.array([bands[i][hit[i]].view(np.int64) for i in at], pa.list_(pa.int64())), pa.array([signature[i].tobytes() for i in at], pa.binary()),
-                         pa.array([values[counts[i]:counts[i + 1]].view(np.int64) for i in at], pa.list_(pa.int64()))], names=["rep", "bands", "signature", "items"])
+                        [pa.array(_keys(values, counts)[0]), pa.array([x.tobytes() for x in signature], pa.binary()),
+                         pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), pa.array(values.view(np.int64)))], names=["rep", "signature", "items"])
 
     return run
 
@@ -169,26 +290,18 @@ def _anchored(words: np.ndarray, rows: np.ndarray):
     return gram[pick[cut]], _named(total, inverse, first, first + count - 1 + PASSAGE), first, count, total, inverse
 
 
-def _anchors(batches):
-    for batch in batches:
-        for _, _, data, offsets in blocks(batch.column("text")):
-            words, _, _, rows = _words(data, offsets)
-            anchor, n = np.unique(_anchored(words, rows)[0], return_counts=True)
-            if len(anchor):
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n)], names=["anchor", "n"])
-
-
-def _places(known, single: bool):
-    """Segments whose anchor is in the bitmap ``known``; if ``single``, the windows of the segments whose mark is in it."""
+def _places(known, documents, single: bool):
+    """Segments whose anchor is in the bitmap ``known``; if ``single``, the windows of the segments whose mark is in it. Only ``documents`` are read."""
 
     def run(batches):
         for batch in batches:
-            ids, keys = (batch.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("doc_id", "text_key"))
+            batch = _chosen(batch, documents)
+            doc = marks(batch.column("doc_id"), batch.column("text_key"))
             for start, _, data, offsets in blocks(batch.column("text")):
                 words, starts, ends, rows = _words(data, offsets)
                 anchor, name, first, count, total, inverse = _anchored(words, rows)
                 row = np.searchsorted(rows, first, side="right") - 1
-                mark = mix(name ^ mix(ids[start + row] ^ mix(keys[start + row] ^ mix((first - rows[row]).astype(np.uint64)))))
+                mark = mix(name ^ mix(doc[start + row] ^ mix((first - rows[row]).astype(np.uint64))))
                 hit = np.flatnonzero(contains(known.value, mark if single else anchor))
                 if not len(hit):
                     continue
@@ -199,11 +312,11 @@ def _places(known, single: bool):
                     first = np.arange(int(size[-1])) - np.repeat(size - count, count) + np.repeat(first, count)
                     row, mark, end = np.repeat(row, count), np.repeat(mark, count), first + PASSAGE
                     anchor = name = _named(total, inverse, first, end)
-                own, number, _, _, bounds = _paragraphs(data, words, starts, ends, rows)
+                _, number, _, _, bounds = _paragraphs(data, words, starts, ends, rows)
                 number = number[np.searchsorted(bounds, first, side="right") - 1]
-                doc = pa.array(start + row)
+                own = pa.array(start + row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(name.view(np.int64)), batch.column("doc_id").take(doc), batch.column("text_key").take(doc), pa.array(number),
+                    [pa.array(anchor.view(np.int64)), pa.array(name.view(np.int64)), batch.column("doc_id").take(own), batch.column("text_key").take(own), pa.array(number),
                      pa.array(starts[first] - offsets[row]), pa.array(ends[end - 1] - offsets[row]), pa.array(mark.view(np.int64))],
                     names=["anchor", "name", "doc_id", "text_key", "number", "begin", "end", "mark"])
 
@@ -213,8 +326,20 @@ def _places(known, single: bool):
 _PLACE = "anchor long, name long, doc_id long, text_key long, number long, begin long, end long, mark long"
 
 
-def _passages(rows: DataFrame) -> DataFrame:
-    """(d, t, runs) of the documents with repeated passages: runs of bytes, each with the id and paragraph of an earlier copy."""
+def _with_anchor(known):
+    """Documents with an anchor in the bitmap."""
+
+    def run(batches):
+        for batch in batches:
+            lines = batch.column("anchors").to_pylist()
+            hit = [bool(contains(known.value, np.frombuffer(x, np.uint64)).any()) for x in lines]
+            yield batch.filter(pa.array(hit, pa.bool_())).select(["doc_id", "text_key"])
+
+    return run
+
+
+def _passages(rows: DataFrame, anchored: DataFrame, anchors: np.ndarray) -> DataFrame:
+    """(d, t, runs) of the documents with repeated passages: runs of bytes, each with the id and paragraph of an earlier copy. A stored table."""
     spark = rows.sparkSession
 
     def known(keys: DataFrame, column: str):
@@ -228,19 +353,23 @@ def _passages(rows: DataFrame) -> DataFrame:
             "doc_id", "text_key", "begin", "end", F.col("first.doc_id").alias("keeper_id"), F.col("first.number").alias("keeper_number"))
 
     ends = [F.min(place).alias("first"), F.max(place).alias("last")]
-    twice = rows.mapInArrow(_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    segments = stored(rows.mapInArrow(_places(known(twice, "anchor"), False), _PLACE), "segments")
+    shared = spark.sparkContext.broadcast(anchors)
+    documents = known(marked(anchored.mapInArrow(_with_anchor(shared), "doc_id long, text_key long"), "doc_id", "text_key"), "mark")
+    segments = stored(rows.mapInArrow(_places(shared, documents, False), _PLACE), "segments")
     classes = stored(segments.groupBy("anchor", "name").agg(*ends), "segment-classes")
     mixed = classes.groupBy("anchor").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a != b").select("anchor")
-    marks = classes.join(mixed, "anchor").select(F.col("first.mark").alias("mark"))
-    windows = stored(rows.mapInArrow(_places(known(marks, "mark"), True), _PLACE).drop("anchor"), "windows")
+    firsts = stored(classes.join(mixed, "anchor").select("first.mark", "first.doc_id", "first.text_key"), "mixed")
+    windows = rows.mapInArrow(_places(known(firsts, "mark"), known(marked(firsts, "doc_id", "text_key"), "mark"), True), _PLACE)
+    windows = stored(windows.drop("anchor"), "windows")
     cut = later(segments, classes, ["anchor", "name"]).unionByName(later(windows, windows.groupBy("name").agg(*ends), ["name"]))
     before = Window.partitionBy("doc_id", "text_key").orderBy("begin", "end")
     opens = F.coalesce(F.col("begin") > F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
     cut = cut.withColumn("opens", opens).withColumn("run", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0)))
     runs = cut.groupBy("doc_id", "text_key", "run").agg(F.min(F.struct("begin", "keeper_id", "keeper_number")).alias("s"), F.max("end").alias("end"))
-    return runs.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(
-        F.collect_list(F.struct("s.begin", "end", "s.keeper_id", "s.keeper_number")).alias("runs"))
+    out = stored(runs.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(
+        F.collect_list(F.struct("s.begin", "end", "s.keeper_id", "s.keeper_number")).alias("runs")), "runs")
+    forget(segments, classes, firsts, windows)
+    return out
 
 
 def repeated_paragraphs(docs: DataFrame, percent: int = 75, text: str = "text") -> DataFrame:
@@ -250,16 +379,24 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 75, text: str = "text")
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    units = stored(rows.mapInArrow(_units, "doc_id long, text_key long, number long, begin long, end long, k1 long"), "paragraphs")
-    classes = units.where("k1 is not null").groupBy(F.col("k1").alias("rep")).agg(F.count("*").alias("copies"))
-    # bands of two sets or more; copies collapse before the shuffle, and sets travel only if a band of theirs is shared
-    shared = rows.mapInArrow(_bands(percent), "band long, rep long").groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("band")
-    shared = stored(shared, "shared-bands")
-    known = spark.sparkContext.broadcast(bitmap(shared, "band", BITS))
-    found = rows.mapInArrow(_members(known, percent), "rep long, bands array<long>, signature binary, items array<long>")
-    found = stored(found.groupBy("rep").agg(*[F.first(c).alias(c) for c in ("bands", "signature", "items")]), "members")
-    bands = found.select(F.explode("bands").alias("band"), "rep").join(shared, "band")
-    home = stored(connect(found.select("rep", "signature"), bands, lambda wanted: found.join(wanted, "rep").select("rep", "items"), percent, sure=0.45), "home")
+    scanned = stored(rows.mapInArrow(_scan(percent), "doc_id long, text_key long, number long, begin long, end long, k1 long, bands binary, anchors binary"), "paragraphs")
+    bands, anchors = _shared(scanned, max(16, 2 * rows.rdd.getNumPartitions()))
+    passages = _passages(rows, scanned.where("anchors is not null").select("doc_id", "text_key", "anchors"), anchors)
+    hits = scanned.where("bands is not null").select("k1", "bands").mapInArrow(_hits(spark.sparkContext.broadcast(bands)), "band long, rep long")
+    members = collisions(hits.distinct())
+    units = stored(scanned.where("number is not null").drop("bands", "anchors"), "units")
+    forget(scanned)
+
+    wanted = members.select(F.col("rep").alias("k1")).distinct()
+    places = stored(units.join(wanted, "k1").groupBy("k1").agg(F.min(F.struct("doc_id", "text_key", "number")).alias("p")).select("p.*"), "places")
+    documents = spark.sparkContext.broadcast(bitmap(marked(places, "doc_id", "text_key"), "mark", BITS))
+    spots = spark.sparkContext.broadcast(bitmap(marked(places, "doc_id", "text_key", "number"), "mark", BITS))
+    found = rows.mapInArrow(_members(documents, spots), "rep long, signature binary, items array<long>").join(wanted.withColumnRenamed("k1", "rep"), "rep")
+    sets = stored(found.groupBy("rep").agg(F.first("signature").alias("signature"), F.first("items").alias("items")), "sets")
+    home = stored(connect(sets.select("rep", "signature"), members, sets, percent, sure=SURE), "home")
+    forget(places, sets)
+
+    classes = units.groupBy(F.col("k1").alias("rep")).agg(F.count("*").alias("copies"))
     open_classes = classes.join(home.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or component is not null").select(
         F.col("rep").alias("k1"), F.coalesce("component", "rep").alias("component"))
     told = stored(units.distinct().join(open_classes, "k1"), "told")
@@ -268,7 +405,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 75, text: str = "text")
     gone = stored(gone.select("doc_id", "text_key", "number", "begin", "end", F.col("keeper.doc_id").alias("keeper_id"), F.col("keeper.number").alias("keeper_number")), "gone")
     same = [F.col("doc_id").eqNullSafe(F.col("d")), F.col("text_key") == F.col("t")]
     whole = gone.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.col("number").alias("n"))
-    parts = units.distinct().join(_passages(rows), same[0] & same[1]).drop("d", "t").withColumn(
+    parts = units.distinct().join(passages, same[0] & same[1]).drop("d", "t").withColumn(
         "run", F.explode(F.filter("runs", lambda r: (r["begin"] < F.col("end")) & (r["end"] > F.col("begin")))))
     parts = parts.select("doc_id", "text_key", "number", F.greatest("begin", "run.begin").alias("begin"), F.least("end", "run.end").alias("end"), "run.keeper_id", "run.keeper_number")
     parts = parts.join(whole, same[0] & same[1] & (F.col("number") == F.col("n")), "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -21,14 +22,29 @@ def shared_root(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: a short lineage that outlives executors.
 
-    The files go when the driver's JVM ends.
+    The files go with ``forget``, at the latest when the driver's JVM ends.
     """
     spark = df.sparkSession
     target = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(target)
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(target)
+    out = spark.read.schema(df.schema).parquet(target)
+    out.stored_at = target
+    return out
+
+
+def forget(*frames: DataFrame, sweep: bool = True) -> None:
+    """Delete tables of ``stored`` whose readers have all been written; with ``sweep``, Spark's cleaner also drops the shuffle files of finished jobs."""
+    for df in frames:
+        if getattr(df, "stored_at", None):
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            df.stored_at = None
+    if sweep and frames:
+        gc.collect()
+        frames[0].sparkSession._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

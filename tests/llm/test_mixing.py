@@ -58,3 +58,13 @@ def test_good_documents_come_first(spark):
     got = mixed(df, quality).where("source = 'a'").groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.avg("taken").alias("t")).collect()
     share = {r.odd: r.t for r in got}
     assert share[0] > share[1]
+
+
+def test_rows_without_ids_spread_over_keys(spark):
+    """Rows without an id are drawn by their text: as many keys as texts, equal texts alike."""
+    rows = [(None, f"word{i} of many", "a") for i in range(300)] + [(None, "same text", "a")] * 20 + [(None, None, "b"), (None, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixed(df, spark.createDataFrame([(None, 9.0)], "doc_id long, quality double"), weights=(1.0,), share=0.5).collect()
+    assert len(out) == len(rows) and len({r.key for r in out}) == 303
+    assert len({r.taken for r in out if r["size"] == 2}) == 1
+    assert abs(sum(r.taken for r in out if r.source == "a") - next(r.target for r in out if r.source == "a")) <= 20 + 3

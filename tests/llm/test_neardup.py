@@ -1,5 +1,7 @@
 import random
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
 
 from curatrix.llm import neardup
@@ -46,7 +48,8 @@ def test_tiles_alone_find_every_link(spark):
     rows = [(i, t) for i, t in enumerate(family(3, 40))]
     batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
     features = next(neardup._features([batch])).to_pandas()
-    sets = next(neardup._full_sets([batch])).to_pandas()
+    everything = SimpleNamespace(value=np.full(16, 2 ** 64 - 1, np.uint64))
+    sets = next(neardup._full_sets(everything)([batch])).to_pandas()
     frame = pd.DataFrame({"rep": features.doc_id, "component": features.doc_id, "block": 0, "kind": 1, "band": 5, "i": 0, "j": 0, "signature": features.signature, "items": sets["items"]})
     root = {i: i for i, _ in rows}
     for a, b in neardup._tile(75)(frame).itertuples(index=False):
@@ -64,6 +67,14 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert neardup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_texts_that_share_a_doc_id(spark):
+    """Each text of a repeated doc_id keeps its own links."""
+    a, b = ([x, x + " end"] for x in (family(21, 1)[0], family(22, 1)[0]))
+    rows = [(5, a[0]), (5, b[0]), (3, a[1]), (9, b[1]), (7, "alone in the world of many words")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 7, True), (9, 5, False)]
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 50), (60, 61), (61, 60)], "a long, b long")
     got = {r.node: r.component for r in components(chain, "a", "b").collect()}

@@ -51,3 +51,18 @@ def test_probe_order_is_by_success():
     order = nn.probe_order(inside, 27)
     cost = [sum((inside[k] if d < 0 else 1 - inside[k]) ** 2 for k, d in moves) for moves in order]
     assert cost == pytest.approx(sorted(cost)) and len({frozenset(m) for m in order}) == len(order) == 27
+
+
+def test_rows_of_one_id_are_one_candidate():
+    """A vec_id that comes twice takes one place among the k, also where rows are cut to the nearest first."""
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((62, 4))
+    ids = np.append(np.arange(61), 0)
+    vectors[0] = vectors[61] = 0.01
+    query = np.zeros(4)
+    found, distance = nn._nearest(ids, vectors, query, -1, 10)
+    best = {}
+    for i, d in zip(ids, np.sqrt((vectors ** 2).sum(axis=1))):
+        best[i] = min(d, best.get(i, np.inf))
+    want = sorted(best.items(), key=lambda x: (x[1], x[0]))[:10]
+    assert found.tolist() == [i for i, _ in want] and np.allclose(distance, [d for _, d in want])

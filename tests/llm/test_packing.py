@@ -54,14 +54,17 @@ def test_small_lots_are_packed_best():
             assert places[own].tolist() == (np.cumsum(sizes[own]) - sizes[own]).tolist()
 
 
-def test_exchanges_empty_bins_that_best_fit_leaves():
-    sizes = np.random.default_rng(1).integers(900, 1800, 3000)
-    lot = packing._Lot(sizes, 4096)
+@pytest.mark.parametrize("seed", [1, 3, 7, 29, 37])
+def test_exchanges_empty_bins_that_best_fit_leaves(seed):
+    sizes = np.random.default_rng(seed).integers(8, 60, 80)
+    lot, bound = packing._Lot(sizes, 100), packing.fewest(np.bincount(sizes, minlength=101), 100)
     lot.best_fit()
-    before, squares = len(lot.members), sum((4096 - r) ** 2 for r in lot.room)
-    lot.local_search(0, packing.SWEEPS)
-    assert sum((4096 - r) ** 2 for r in lot.room) > squares and sum(1 for m in lot.members if m) < before
-    assert sorted(p for m in lot.members for p in m) == list(range(3000))
+    before, squares = len(lot.members), sum((100 - r) ** 2 for r in lot.room)
+    lot.local_search(bound, packing.SWEEPS)
+    assert sum((100 - r) ** 2 for r in lot.room) > squares
+    assert sum(1 for m in lot.members if m) == bound < before
+    assert sorted(p for m in lot.members for p in m) == list(range(80))
+    assert all(sum(sizes[m]) == 100 - r for m, r in zip(lot.members, lot.room))
 
 
 def test_documents_in_sequences(spark):

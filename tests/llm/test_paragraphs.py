@@ -1,8 +1,18 @@
 import random
 
-from curatrix.llm.paragraphs import LEAST, repeated_paragraphs, tune_bands
+import pytest
 
-from .brute import WORD, near_components
+from curatrix.llm import neardup, paragraphs
+from curatrix.llm.paragraphs import repeated_paragraphs, tune_bands
+
+from .brute import pieces, repeated_pieces
+
+
+@pytest.fixture(autouse=True)
+def small_bitmaps(monkeypatch):
+    """Bitmaps that let some strangers through, and are fast to send."""
+    monkeypatch.setattr(paragraphs, "BITS", 1 << 14)
+    monkeypatch.setattr(neardup, "BITS", 1 << 14)
 
 
 def fixture(seed=4):
@@ -21,23 +31,17 @@ def fixture(seed=4):
     return docs + [(200, None), (201, ""), (202, " \n "), (203, docs[0][1]), (204, passages[0] + "\n" + passages[0])]
 
 
-def brute(docs):
-    units = [((i, n), line) for i, t in docs for n, line in enumerate(x for x in (t or "").split("\n") if x.strip())]
-    ids = [k for k, line in units if len(WORD.findall(line)) >= LEAST]
-    text = dict(units)
-    comp = near_components([(k, text[k]) for k in ids])
-    return {i: {n for (d, n), (_, c) in comp.items() if d == i and c != (d, n)} for i, _ in docs}
-
-
 def test_same_as_brute_force(spark):
     docs = fixture()
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, number int, removed string")
     got = {r.doc_id: r for r in repeated_paragraphs(df).collect()}
-    assert {i: {x.number for x in r.removed} for i, r in got.items()} == brute(docs)
+    want = repeated_pieces(docs)
+    whole = {(i, x.number) for i, r in got.items() for x in r.removed if (x.number, x.begin, x.end) in pieces(dict(docs)[i])}
+    assert want <= whole and len(want) > 100
     for i, t in docs:
         for x in got[i].removed:
             line = (t or "").encode()[x.begin:x.end].decode()
-            assert "\n" not in line and len(line.split()) >= LEAST
+            assert "\n" not in line and line.split()
     assert got[200].n_paragraphs == got[202].n_paragraphs == 0 and got[204].n_removed >= 1
 
 
@@ -52,3 +56,18 @@ def test_repeats_nulls_and_empty_table(spark):
 def test_bands_reach_the_recall():
     bands, rows = tune_bands(0.75, 0.9995)
     assert 1 - (1 - 0.75 ** rows) ** bands >= 0.9995
+
+
+def test_cuts_follow_the_content():
+    """A passage inside two long lines is cut at the same words, wherever it stands."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(9000)}"
+    passage = [word() for _ in range(400)]
+    found = []
+    for before in (37, 90):
+        words = [word() for _ in range(before)] + passage + [word() for _ in range(70)]
+        text = " ".join(words)
+        starts = {len(text[:a].split()) for _, a, _ in pieces(text)}
+        found.append({s - before for s in starts if before + 45 < s < before + 355})
+    assert found[0] == found[1] and len(found[0]) >= 4
+    assert len(pieces(" ".join(passage[:60]))) == 1
