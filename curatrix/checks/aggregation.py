@@ -29,6 +29,14 @@ def _(t):
     return A.bundle_text(docs, 5)
 
 
+@check("assembled_texts", """
+, r AS (SELECT source, string_agg(text, ' | ' ORDER BY n_chars, doc_id) AS whole FROM documents GROUP BY 1)
+SELECT source AS appid, part, substr(whole, CAST(part AS INTEGER) * 5000 + 1, 5000) AS text FROM (SELECT source, whole, unnest(range((length(whole) + 4999) // 5000)) AS part FROM r)""")
+def _(t):
+    docs = t.table("documents").select(F.col("source").alias("appid"), "n_chars", "doc_id", "text")
+    return A.assembled_text(docs, "appid", ["n_chars", "doc_id"], piece=5000)
+
+
 @check("positive_rate", """
 SELECT 'reliable' AS how, round(avg(positive / CAST(n AS DOUBLE)) FILTER (n >= 30), 6) AS rate FROM catalogue
 UNION ALL SELECT 'pooled', round(sum(positive) / CAST(sum(n) AS DOUBLE), 6) FROM catalogue""")
@@ -205,6 +213,31 @@ def _(t):
     return A.natural_range(sampled_pairs(t), V.dot(F.col("vec"), F.col("vec2"))).select(r6("mean"), r6("std"), "n")
 
 
+@check("length_moments", PAIRS_SQL + """
+, l AS (SELECT sqrt(list_sum(list_transform(vec, lambda x: x * x))) * 4 AS v FROM vectors),
+g AS (SELECT sqrt(2) * exp(lgamma(17 / 2.0::DOUBLE) - lgamma(8.0::DOUBLE)) AS m)
+SELECT 'length' AS what, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS variance, round(any_value(m), 6) AS law_mean, round(16 - any_value(m) * any_value(m), 6) AS law_variance FROM l, g
+UNION ALL SELECT 'cosine', round(avg(dot), 6) + 0e0, round(var_pop(dot), 6), 0e0, round(1 / 64.0::DOUBLE, 6) FROM pairs""")
+def _(t):
+    lengths = t.vectors.select((V.norm(F.col("vec")) * 4).alias("v"))
+    dots = sampled_pairs(t).select(V.dot(F.col("vec"), F.col("vec2")).alias("v"))
+    both = A.theoretical_moments(lengths, "v", *A.chi_moments(16)).select(F.lit("length").alias("what"), "*").unionByName(
+        A.theoretical_moments(dots, "v", 0.0, 1 / 64).select(F.lit("cosine").alias("what"), "*"))
+    return both.select("what", *[r6(c) for c in ("mean", "variance", "law_mean", "law_variance")])
+
+
+@check("divergence_natural_range", PAIRS_SQL.replace("list_dot_product(a.vec, b.vec) AS dot", "a.vec AS va, b.vec AS vb") + """
+, d AS (SELECT list_transform(va, lambda x: abs(x) / list_sum(list_transform(va, lambda y: abs(y)))) AS p, list_transform(vb, lambda x: abs(x) / list_sum(list_transform(vb, lambda y: abs(y)))) AS q FROM pairs),
+j AS (SELECT 0.5 * list_sum(list_transform(list_zip(p, q), lambda e: e[1] * ln((e[1] + 1e-10) / (0.5 * (e[1] + e[2] + 1e-10))) + e[2] * ln((e[2] + 1e-10) / (0.5 * (e[2] + e[1] + 1e-10))))) AS js FROM d)
+SELECT round(avg(1 - sqrt(greatest(js, 0))), 6) AS mean, round(stddev_pop(1 - sqrt(greatest(js, 0))), 6) AS std, count(*) AS n FROM j""")
+def _(t):
+    def shares(v):
+        size = F.transform(v, F.abs)
+        return V.scale(size, F.lit(1.0) / V.array_sum(size))
+
+    return A.natural_range(sampled_pairs(t), V.jensen_shannon_similarity(shares(F.col("vec")), shares(F.col("vec2")))).select(r6("mean"), r6("std"), "n")
+
+
 @check("cosine_distribution_fit", PAIRS_SQL + f"""
 , z AS (SELECT round(dot, 9) AS z, avg(round(dot, 9)) OVER () AS m, stddev_pop(round(dot, 9)) OVER () AS s FROM pairs),
 r AS (SELECT z, m, s, (z - m) / s AS u, count(*) OVER (ORDER BY z) AS upto, count(*) OVER (PARTITION BY z) AS ties, count(*) OVER () AS n FROM z),
@@ -261,6 +294,17 @@ def _(t):
     return A.density(tagged, "v", ["tag"], [i * 10 / 39 for i in range(40)]).select("tag", "x", r6("density"))
 
 
+@check("rating_density_without_tag", """
+, r AS (SELECT tag, CAST(rating AS DOUBLE) AS v, count(*) AS c FROM ratings r JOIN votes v ON r.appid = v.appid GROUP BY 1, 2), e AS (SELECT CAST(rating AS DOUBLE) AS v, count(*) AS c FROM ratings GROUP BY 1),
+o AS (SELECT t.tag, e.v, e.c - coalesce(r.c, 0) AS c FROM (SELECT DISTINCT tag FROM r) t CROSS JOIN e LEFT JOIN r ON r.tag = t.tag AND r.v = e.v),
+s AS (SELECT tag, sum(c) AS n, greatest(0.5, 1.06 * power(sqrt(sum(c)), -0.2)) AS h FROM o GROUP BY 1), p AS (SELECT unnest(range(40)) * 10 / 39.0::DOUBLE AS x)
+SELECT o.tag, x, round(sum(c * exp(-0.5 * power((x - v) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) + 0e0 AS density FROM o JOIN s ON o.tag = s.tag CROSS JOIN p WHERE c > 0 GROUP BY 1, 2""")
+def _(t):
+    rated = t.ratings.select("appid", F.col("rating").cast("double").alias("v"))
+    tagged = rated.join(t.votes.select("appid", "tag"), "appid").select("tag", "v")
+    return A.complement_density(rated, tagged, "v", "tag", [i * 10 / 39 for i in range(40)]).select("tag", "x", r6("density"))
+
+
 @check("price_density", """
 , c AS (SELECT price, count(*) AS c FROM items WHERE price <= 960 GROUP BY 1), s AS (SELECT count(*) AS n, 0.05 * stddev_samp(price) AS h FROM items WHERE price <= 960),
 p AS (SELECT 900 + unnest(range(121)) / 2.0::DOUBLE AS x)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from curatrix.checks.ranking import GRID_SQL, grid
@@ -10,8 +13,9 @@ from curatrix.checks.registry import check
 from curatrix.checks.scalars import FLAGS_SQL, busiest_user, flagged
 from curatrix.checks.similarity import FEATURES_SQL, SEED_KERNEL_SQL, features, taxonomy
 from curatrix.functions import normal
-from curatrix.operators import aggregates, bayes, kernel, matrix, regression, tags, taste, toplists
+from curatrix.operators import aggregates, bayes, factors, joins, kernel, regression, tags, taste, toplists
 from curatrix.operators.normalize import r6, to_z
+from curatrix.plans import difficulty
 from curatrix.plans import recommend as R
 from curatrix.plans import solve as S
 from curatrix.session import checkpointed
@@ -145,12 +149,27 @@ def _(t):
     return t.spark.createDataFrame(out, "model string, part string, r2 double, mse double, rmse double, nonzero double")
 
 
+def difficulty_inputs(t):
+    """Tag profiles (CLR) with topics, and labels whose titles match: every third item has a rating that follows its size and one tag."""
+    names = tags.tag_list(t.votes)
+    prior = {r["tag"]: r["share"] for r in aggregates.tag_prior(t.votes).collect()}
+    g = [prior[n] for n in names]
+    clr = tags.transform_profiles(tags.smoothed_profiles(tags.dense(t.votes, names), g, 8.0), g, "clr").select("appid", "vec")
+    rows = clr.join(features(t).select("appid", "topics"), "appid").select("appid", F.concat("vec", "topics").alias("vec"))
+    listed = t.items.join(t.votes.filter("tag = 'NATION_1'").select("appid", "votes"), "appid", "left").filter("appid % 3 = 0")
+    rated = listed.select(F.concat(F.lit("The "), "title", F.lit(": Remastered")).alias("title"), (1 + F.least(F.lit(4.0), F.coalesce("votes", F.lit(0)) * 2 + F.col("size") / 50)).alias("difficulty"))
+    topics = [f"topic_{i}" for i in range(10)]
+    return rows, difficulty.labels(rated, t.items.select("appid", F.col("title").alias("name"))), [*names, *topics]
+
+
 @check("difficulty_model")
 def _(t):
-    rows, p = tag_products(t)
-    model = regression.fit(p.total, p.index(p.features), regression.best_alpha(p, p.features, [1e-5, 1e-4, 1e-3], 1.0), 1.0)
-    out = regression.predict(rows, p, model, "difficulty_predicted")
-    return out.select("appid", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("difficulty_predicted"))).alias("difficulty_predicted"))
+    return difficulty.difficulty_model(*difficulty_inputs(t))[0]
+
+
+@check("difficulty_coefficients")
+def _(t):
+    return difficulty.difficulty_model(*difficulty_inputs(t))[1]
 
 
 @check("feature_set_comparison")
@@ -192,7 +211,7 @@ def _(t):
 @check("tag_factor_loadings")
 def _(t):
     names = tags.tag_list(t.votes)
-    return matrix.principal_loadings(tags.dense(t.votes, names), "counts", len(names), names, 5)
+    return factors.factor_loadings(tags.dense(t.votes, names), "counts", names, 5)
 
 
 # ----------------------------------------------------------------------------- users
@@ -276,10 +295,17 @@ def _(t):
 
 @check("strict_out_of_sample")
 def _(t):
+    """Ridge, lasso and elastic net over strict folds, twins of a series left out, beside the same with every rating known (the leaky contrast)."""
     rows = (t.ratings.join(t.catalogue.select("appid", F.col("n").cast("double").alias("x")), "appid").join(t.vectors.select("appid", "vec"), "appid")
             .withColumn("fold", regression.fold_of(F.col("appid"))))
-    strict = taste.strict_fold_features(rows, 5, [("vec", 1.0)])
-    return named(t.spark, taste.strict_cross_validation(rows, strict, ["x"], [1.0, 10.0, 100.0]))
+    titles = t.items.select("appid", "name")
+    sets, twins = joins.title_sets(titles), joins.series_twins(titles)
+    strict = checkpointed(taste.strict_fold_features(rows, 5, [("vec", 1.0)], sets=sets, twins=twins))
+    found = [taste.strict_cross_validation(rows, strict, ["x"], alphas, l1_ratio=ratio).assign(model=name)
+             for name, ratio, alphas in (("ridge", 0.0, [1.0, 10.0, 100.0]), ("lasso", 1.0, [0.001, 0.01, 0.1]), ("elastic net", 0.5, [0.001, 0.01, 0.1]))]
+    leaky = checkpointed(taste.strict_fold_features(rows.withColumn("fold", F.lit(9)), 5, [("vec", 1.0)]))
+    found.append(taste.strict_cross_validation(rows, leaky, ["x"], [10.0]).assign(model="leaky ridge"))
+    return named(t.spark, pd.concat(found))
 
 
 def solve_inputs(t):
@@ -302,11 +328,35 @@ def _(t):
     return solved(t)[2]["profiles"]
 
 
+def status():
+    r = F.col("rating")
+    return F.when(r >= 7, "rated").when(r >= 4, "played").when(r == 0, "wishlist").otherwise("backlog").alias("status")
+
+
 @check("user_report")
 def _(t):
     items, rated, out = solved(t)
-    projected = checkpointed(out["projected"])  # read by every section
-    return S.report(rated.join(items.select("appid"), "appid", "left_semi"), projected, t.votes, items.select("appid", "vec"))
+    marks = t.catalogue.select("appid", (F.col("n") >= 10).alias("recommendable"), (F.col("price") < 920).alias("is_free"), (F.col("first_ts") > F.lit(dt.datetime(1993, 6, 1))).alias("is_upcoming"))
+    effects = checkpointed(aggregates.significant_effects(aggregates.tag_effects(rated, t.votes)))
+    truth = rated.select("user_id", "appid", status())
+    found = S.lists(out, items.join(marks, "appid"), grid(t), truth, effects, parts=PARTS, discounted="topics")
+    return S.report(found, effects)
+
+
+@check("interactive_pool", FLAGS_SQL + """
+, me AS (SELECT user_id FROM ratings GROUP BY 1 ORDER BY count(*) DESC, user_id LIMIT 1),
+st AS (SELECT appid, CASE WHEN rating >= 7 THEN 'rated' WHEN rating >= 4 THEN 'played' WHEN rating = 0 THEN 'wishlist' ELSE 'backlog' END AS status FROM ratings WHERE user_id = (SELECT user_id FROM me))
+SELECT c.appid, round(least(10, greatest(0, c.size / 5.0::DOUBLE)), 6) AS projected_rating, c.price, coalesce(status IN ('backlog', 'unplayed'), false) AS is_backlog, coalesce(status = 'wishlist', false) AS is_wishlist
+FROM catalogue c JOIN flagged f ON f.appid = c.appid LEFT JOIN st ON st.appid = c.appid
+WHERE c.n >= 30 AND c.positive / (c.n + 1e-9) >= 0.65 AND NOT is_hollow AND NOT is_delisted AND NOT is_utility AND NOT is_nsfw AND coalesce(status, '') NOT IN ('ignored', 'rated', 'played')""")
+def _(t):
+    mine = busiest_user(t)
+    flags = flagged(t).select("appid", "is_hollow", "is_delisted", "is_utility", "is_nsfw")
+    items = t.catalogue.join(flags, "appid").withColumn("tag_set", F.array().cast("array<string>"))
+    projected = t.catalogue.withColumn("user_id", mine.agg(F.max("user_id").alias("x")).scalar()).select(
+        "user_id", "appid", F.least(F.lit(10.0), F.greatest(F.lit(0.0), F.col("size") / 5.0)).alias("projected_rating"))
+    pool = S.interactive_pool(projected, items, mine.select("user_id", "appid", status()), ["price"], min_reviews=30)
+    return pool.select("appid", r6("projected_rating"), "price", "is_backlog", "is_wishlist")
 
 
 # ----------------------------------------------------------------------------- recommendation

@@ -101,9 +101,9 @@ def _(t):
 
 
 def word_vectors(t):
-    """A vector per frequent word: the mean vector of the items whose number its documents carry."""
+    """A vector for each of the 3,000 most frequent words: the mean vector of the items whose number its documents carry."""
     tokens = t.table("documents").select(F.col("doc_id").alias("appid"), F.explode(F.array_distinct(text.words(F.col("text"), 3))).alias("word"))
-    common = tokens.groupBy("word").agg(F.count("*").alias("c")).filter("c >= 20").select("word")
+    common = tokens.groupBy("word").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "word").limit(3000).select("word")
     rows = tokens.join(common, "word", "left_semi").join(t.vectors.select("appid", "vec"), "appid")
     return pairs.centroids(rows, "word")
 

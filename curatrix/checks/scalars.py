@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from curatrix.checks.registry import check
 from curatrix.functions import dates, money, text
-from curatrix.operators import filters, normalize
+from curatrix.operators import filters, language, normalize
 
 AS_OF, NOW = dt.date(1999, 1, 1), dt.datetime(1999, 1, 1)
 
@@ -53,6 +53,15 @@ lang AS (SELECT doc_id, text, CASE WHEN top = 0 THEN NULL
 """
 
 
+@check("learnt_language")
+def _(t):
+    """Languages of all documents by n-grams learnt from two thirds of them; whole texts and their first words (the short texts of reviews)."""
+    docs = t.table("documents")
+    model = language.train(docs.filter("crc32(cast(doc_id AS string)) % 3 <> 1"))
+    short = F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
+    return docs.select("doc_id", "lang", F.expr("crc32(cast(doc_id AS string)) % 3 = 1").alias("held_out"), model.detect(F.col("text")).alias("detected"), model.detect(short).alias("detected_short"))
+
+
 @check("detect_language", LANG_SQL + """
 SELECT doc_id, detected, coalesce(length(trim(text)) >= 10 AND detected = 'en', false) AS english FROM lang""")
 def _(t):

@@ -137,11 +137,38 @@ def _(t):
     return rows.withColumn("strength", bayes.implied_strength(share, F.lit(0.65))).select("appid", r6("strength", 4))
 
 
-@check("playtime_strength_losses")
+STRENGTHS = [float(x) for x in np.geomspace(0.1, 100, 13)]
+
+
+def strength_sql(grid: str, least: int = 20) -> str:
+    """Sample medians by the binomial tail: the middle of m draws is at most x if at least (m + 1) / 2 draws are."""
+    def tail(share: str) -> str:
+        log = f"lgamma(m + 1) - lgamma(j + 1) - lgamma(m - j + 1) + j * ln({share}) + (m - j) * ln(1 - {share})"
+        return f"CASE WHEN {share} <= 0 THEN 0e0 WHEN {share} >= 1 THEN 1e0 ELSE list_sum(list_transform(range((m + 1) // 2, m + 1), lambda j: exp({log}))) END"
+
+    return f"""
+, ups AS (SELECT appid, playtime AS x, count(*) AS n FROM reviews WHERE voted_up AND playtime > 0 GROUP BY 1, 2), cnt AS (SELECT appid, sum(n)::BIGINT AS total FROM ups GROUP BY 1),
+cls AS (SELECT appid, total, 2 * (CAST(floor(CASE WHEN total <= 32 THEN total ELSE floor(power(2e0, floor(log2(total) * 8 + 1e-9) / 8) + 1e-9) END / 2e0) AS BIGINT)) + 1 AS m FROM cnt),
+sz AS (SELECT m, count(*) / CAST((SELECT count(*) FROM cls) AS DOUBLE) AS w FROM cls GROUP BY 1),
+med AS (SELECT r.appid, ln(1 + median(playtime)) AS t FROM reviews r JOIN cnt c ON r.appid = c.appid WHERE voted_up AND playtime > 0 AND total >= {least} GROUP BY 1),
+lv AS (SELECT u.appid, ln(1 + x) AS y, (sum(n) OVER (PARTITION BY u.appid ORDER BY x) - n) / CAST(total AS DOUBLE) AS lo, sum(n) OVER (PARTITION BY u.appid ORDER BY x) / CAST(total AS DOUBLE) AS hi
+  FROM ups u JOIN cnt c ON u.appid = c.appid WHERE total >= {least}),
+pr AS (SELECT appid, m, w, y, {tail('hi')} - {tail('lo')} AS p FROM lv, sz),
+mo AS (SELECT pr.appid, m, any_value(w) AS w, sum(y * p) AS a, sum(y * y * p) AS b, any_value(t) AS t FROM pr JOIN med ON pr.appid = med.appid GROUP BY 1, 2),
+mu AS (SELECT avg(t) AS mu FROM med), cs AS (SELECT unnest({grid}) AS c),
+loss AS (SELECT c AS strength, sum(w * ((m * m * b + 2 * m * c * mu * a + c * c * mu * mu) / ((m + c) * (m + c)) - 2 * t * (m * a + c * mu) / (m + c) + t * t)) / sum(w) AS loss FROM mo, mu, cs GROUP BY 1)"""
+
+
+@check("playtime_strength_losses", strength_sql(f"{STRENGTHS}::DOUBLE[]") + " SELECT round(strength, 6) AS strength, round(loss, 7) AS loss FROM loss")
 def _(t):
-    ups = playtime.vote_histogram(t.reviews.filter("voted_up"))
-    samples = playtime.median_samples(ups, least=20)
-    return playtime.strength_loss(samples, samples.agg(F.avg("true_log").alias("x")).scalar(), [float(x) for x in np.geomspace(0.1, 100, 13)])
+    moments = playtime.median_moments(playtime.vote_histogram(t.reviews.filter("voted_up")), least=20)
+    return playtime.strength_loss(moments, playtime.median_prior(moments), STRENGTHS).select(r6("strength"), r6("loss", 7))
+
+
+@check("playtime_strength")
+def _(t):
+    best = playtime.playtime_strength(playtime.vote_histogram(t.reviews.filter("voted_up")), least=20)
+    return t.spark.createDataFrame([(best,)], "strength double")
 
 
 # ----------------------------------------------------------------------------- tags
@@ -270,16 +297,36 @@ def tag_graph(t):
     return names, rows, tags.similarity_matrix(tags.cooccurrence(rows, t.items, names), len(names))
 
 
-@check("tag_diffusion")
+SIM_SQL = """
+, sim AS (SELECT tag_a AS a, tag_b AS b, jaccard AS s FROM pairs UNION ALL SELECT tag_b, tag_a, jaccard FROM pairs UNION ALL SELECT tag, tag, 1.0 FROM df),
+w AS (SELECT tag, ln((SELECT count(DISTINCT appid) FROM active) / CAST(d + 1 AS DOUBLE)) + 1 AS w FROM df)"""
+
+
+def heat_sql(time: float = 2.0, terms: int = 24) -> str:
+    """The heat kernel as a power series of the scaled adjacency, unit diagonal."""
+    parts = ["""
+, adj AS (SELECT a, b, s FROM sim WHERE a <> b), dg AS (SELECT a, CASE WHEN sum(s) > 0 THEN 1 / sqrt(sum(s) + 1e-9) ELSE 0 END AS r FROM adj GROUP BY 1),
+nm AS MATERIALIZED (SELECT adj.a, adj.b, s * x.r * y.r AS v FROM adj JOIN dg x ON adj.a = x.a JOIN dg y ON adj.b = y.a), p0 AS MATERIALIZED (SELECT tag AS a, tag AS b, 1e0 AS v FROM df)"""]
+    parts += [f"p{k} AS MATERIALIZED (SELECT p.a, n.b, sum(p.v * n.v) * {time / k!r}::DOUBLE AS v FROM p{k - 1} p JOIN nm n ON p.b = n.a GROUP BY 1, 2)" for k in range(1, terms + 1)]
+    every = " UNION ALL ".join(f"SELECT a, b, v FROM p{k}" for k in range(terms + 1))
+    parts += [f"ht AS MATERIALIZED (SELECT a, b, sum(v) AS v FROM ({every}) GROUP BY 1, 2)",
+              "heat AS (SELECT h.a, h.b, h.v / sqrt(x.v * y.v) AS s FROM ht h JOIN ht x ON x.a = h.a AND x.b = h.a JOIN ht y ON y.a = h.b AND y.b = h.b)"]
+    return ", ".join(parts)
+
+
+@check("tag_diffusion", PAIR_SQL + SIM_SQL + heat_sql() + " SELECT a AS tag_a, b AS tag_b, round(s, 6) AS s FROM heat")
 def _(t):
     names, _, sim = tag_graph(t)
     spread = tags.diffuse(sim)
-    return t.spark.createDataFrame([(names[i], names[j], float(spread[i, j])) for i in range(len(names)) for j in range(len(names))], "tag_a string, tag_b string, s double")
+    rows = [(names[i], names[j], float(spread[i, j])) for i in range(len(names)) for j in range(len(names))]
+    return t.spark.createDataFrame(rows, "tag_a string, tag_b string, s double").select("tag_a", "tag_b", r6("s"))
 
 
-SIM_SQL = """
-, sim AS (SELECT tag_a AS a, tag_b AS b, jaccard AS s FROM pairs UNION ALL SELECT tag_b, tag_a, jaccard FROM pairs UNION ALL SELECT tag, tag, 1.0 FROM df),
-w AS (SELECT tag, ln((SELECT count(DISTINCT appid) FROM active) / CAST(d + 1 AS DOUBLE)) + 1 AS w FROM df)"""
+@check("tag_diffusion_time")
+def _(t):
+    _, _, sim = tag_graph(t)
+    times = [0.25, 0.5, 1.0, 2.0, 4.0, 8.0]
+    return t.spark.createDataFrame(list(zip(times, tags.diffusion_time(sim, times)[1])), "time double, score double")
 
 
 def weights(rows, names):
@@ -287,10 +334,14 @@ def weights(rows, names):
     return [found.get(n, 1.0) for n in names]
 
 
-@check("diffused_profiles", PAIR_SQL + SIM_SQL + " SELECT appid, b AS tag, round(sum(w * s), 6) AS x FROM active JOIN w ON active.tag = w.tag JOIN sim ON a = active.tag GROUP BY 1, 2")
+IMPLICIT = ["NATION_1", "NATION_4", "NATION_9"]
+
+
+@check("diffused_profiles", PAIR_SQL + SIM_SQL + heat_sql() + f"""
+SELECT appid, b AS tag, round(sum(w * CASE WHEN active.tag IN {tuple(IMPLICIT)} THEN 0.5 ELSE 1 END * s), 6) AS x FROM active JOIN w ON active.tag = w.tag JOIN heat ON a = active.tag GROUP BY 1, 2""")
 def _(t):
     names, rows, sim = tag_graph(t)
-    return exploded(tags.diffused_profiles(rows, names, weights(rows, names), sim), names, "profile")
+    return exploded(tags.diffused_profiles(rows, names, weights(rows, names), tags.diffuse(sim), IMPLICIT), names, "profile")
 
 
 SEED_TAGS = ["NATION_3", "NATION_7", "NATION_12"]

@@ -307,13 +307,14 @@ def _(t):
     return features(t).select("appid", V.softmin_blend(signals).alias("blend")).select("appid", r6("blend"))
 
 
-@check("puzzle_class_and_subversion", FEATURES_SQL + """
-SELECT appid, CASE WHEN list_has_any(tag_set, ['NATION_2']) THEN 'A' WHEN list_has_any(tag_set, ['NATION_4', 'NATION_5']) THEN 'B' WHEN list_has_any(tag_set, ['NATION_7']) AND list_has_any(tag_set, ['NATION_8', 'NATION_9']) THEN 'C' ELSE 'Generic/Other' END AS puzzle_class,
+PUZZLE_SQL = """SELECT appid, CASE WHEN list_has_any(tag_set, ['NATION_2']) THEN 'A' WHEN list_has_any(tag_set, ['NATION_4', 'NATION_5']) THEN 'B' WHEN list_has_any(tag_set, ['NATION_7']) AND list_has_any(tag_set, ['NATION_8', 'NATION_9']) THEN 'C' ELSE 'Generic/Other' END AS puzzle_class,
   CASE WHEN NOT list_has_any(tag_set, ['NATION_10', 'NATION_11', 'NATION_12']) THEN 0.0::DOUBLE ELSE greatest(CASE WHEN list_contains(tag_set, 'NATION_1') THEN CASE WHEN list_contains(tag_set, 'NATION_10') THEN 0.95 ELSE 0.6 END ELSE 0 END,
     CASE WHEN list_contains(tag_set, 'NATION_3') THEN CASE WHEN list_contains(tag_set, 'NATION_11') THEN 0.4 ELSE 0.25 END ELSE 0 END) END AS chance,
   CAST(CASE WHEN len(list_intersect(tag_set, ['NATION_1', 'NATION_3'])) >= 1 AND list_has_any(tag_set, ['NATION_10', 'NATION_11', 'NATION_12']) THEN 3 WHEN len(list_intersect(tag_set, ['NATION_1', 'NATION_3'])) >= 2 THEN 2
-    ELSE len(list_intersect(tag_set, ['NATION_1', 'NATION_3'])) END AS INTEGER) AS tier FROM ts""")
-def _(t):
+    ELSE len(list_intersect(tag_set, ['NATION_1', 'NATION_3'])) END AS INTEGER) AS tier FROM ts"""
+
+
+def puzzle_rows(t):
     sets = K.soul_tags(t.votes, 0.5).groupBy("appid").agg(F.collect_set("tag").alias("tag_set"))
     innocent = ("NATION_10", "NATION_11", "NATION_12")
     classes = (("A", ("NATION_2",), ()), ("B", ("NATION_4", "NATION_5"), ()), ("C", ("NATION_7",), ("NATION_8", "NATION_9")))
@@ -322,6 +323,23 @@ def _(t):
                        K.subversion_tier(meta=("NATION_1", "NATION_3"), innocent=innocent).alias("tier"))
 
 
+@check("puzzle_class_and_subversion", FEATURES_SQL + PUZZLE_SQL)
+def _(t):
+    return puzzle_rows(t)
+
+
+@check("subversion_of_neighbours", FEATURES_SQL + ", pz AS (" + PUZZLE_SQL + """)
+SELECT a.appid, CASE WHEN a.tier >= 3 THEN CASE WHEN b.tier >= 3 THEN 0.45 WHEN b.tier >= 2 THEN 0.25 ELSE -0.30 END WHEN a.tier >= 2 THEN CASE WHEN b.tier >= 2 THEN 0.25 ELSE -0.20 END
+  WHEN a.tier = 0 AND b.tier >= 2 THEN -0.30 ELSE 0.0 END::DOUBLE AS bonus,
+  round(CASE WHEN a.puzzle_class <> 'Generic/Other' AND b.puzzle_class <> 'Generic/Other' AND a.puzzle_class <> b.puzzle_class THEN -0.3 ELSE 0 END + 0.45 * sqrt(a.chance * b.chance), 6) AS adjustment
+FROM pz a JOIN pz b ON b.appid = a.appid + 1""")
+def _(t):
+    rows = puzzle_rows(t)
+    other = rows.select((F.col("appid") - 1).alias("appid"), F.col("puzzle_class").alias("class_b"), F.col("chance").alias("chance_b"), F.col("tier").alias("tier_b"))
+    adjusted = K.pair_adjustment(F.col("puzzle_class"), F.col("class_b"), F.col("chance"), F.col("chance_b"))
+    return rows.join(other, "appid").select("appid", K.tier_bonus(F.col("tier"), F.col("tier_b")).cast("double").alias("bonus"), adjusted.alias("adjustment")).select("appid", "bonus", r6("adjustment"))
+
+
 @check("three_modality_match", FEATURES_SQL + """
 , s AS (SELECT * FROM feat ORDER BY n DESC, appid LIMIT 1),
 m AS (SELECT f.appid, (list_dot_product(f.vec, s.vec) / (sqrt(list_dot_product(f.vec, f.vec)) * sqrt(list_dot_product(s.vec, s.vec)) + 1e-9) + list_dot_product(f.verbs, s.verbs) / (sqrt(list_dot_product(f.verbs, f.verbs)) * sqrt(list_dot_product(s.verbs, s.verbs)) + 1e-9)

@@ -8,21 +8,31 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curatrix.functions import normal
+from curatrix.operators import orderstats
 from curatrix.operators.normalize import value_ranks
+from curatrix.operators.orderstats import group_percentiles
+from curatrix.session import checkpointed
 
 # ----------------------------------------------------------------------------- reviews
 
 
 def review_stats(reviews: DataFrame) -> DataFrame:
-    """Votes per item, and median and number of playtimes among positive reviews that were played."""
-    played = F.col("voted_up") & (F.col("playtime") > 0)
-    return reviews.groupBy("appid").agg(
-        F.count_if("voted_up").alias("positive"), F.count_if(~F.col("voted_up")).alias("negative"),
-        F.median(F.when(played, F.col("playtime"))).alias("median_playtime"), F.count_if(played).alias("review_count"))
+    """Votes per item, and median and number of playtimes among positive reviews that were played.
+
+    Reviews collapse to one row for each item and playtime; the medians are exact and need no item's values in one place.
+    """
+    played = F.when(F.col("voted_up") & (F.col("playtime") > 0), F.col("playtime"))
+    levels = reviews.groupBy("appid", played.alias("_played")).agg(F.count_if("voted_up").alias("positive"), F.count_if(~F.col("voted_up")).alias("negative"), F.count("*").alias("count"))
+    counts = levels.groupBy("appid").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"),
+                                         F.coalesce(F.sum(F.when(F.col("_played").isNotNull(), F.col("count"))), F.lit(0)).alias("review_count"))
+    medians = group_percentiles(levels, ["appid"], "_played", {"median_playtime": 0.5})
+    return counts.join(medians.withColumnRenamed("appid", "_id"), F.col("appid").eqNullSafe(F.col("_id")), "left").select(
+        "appid", "positive", "negative", "median_playtime", "review_count")
 
 
 def bundle_text(reviews: DataFrame, first: int, separator: str = " ") -> DataFrame:
@@ -33,6 +43,36 @@ def bundle_text(reviews: DataFrame, first: int, separator: str = " ") -> DataFra
     return rows.groupBy("appid").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), separator).alias("bundle"))
 
 
+def assembled_text(rows: DataFrame, key: str, order: Sequence[str], text: str = "text", separator: str = " | ", piece: int = 1 << 16) -> DataFrame:
+    """All texts of a key in order, joined, as rows (``key``, ``part``, ``text``) of ``piece`` characters (the last may be shorter).
+
+    Rows are range-partitioned by key and order, so a hot key spreads over partitions. Lengths are summed within a partition and key, then across
+    partitions (one number for each), which gives every text its place in the joined one; a text that crosses a boundary is cut there. No task holds
+    more of a key than a partition or a piece. Null texts are left out, as are keys without texts; equal orders go by the text.
+    """
+    kept = rows.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(text).alias("_text"))
+    orders = [f"_o{i}" for i in range(len(order))] + ["_text"]
+    placed = checkpointed(kept.repartitionByRange("_key", *orders).withColumn("_part", F.spark_partition_id()))
+    step = F.length("_text") + F.lit(len(separator))
+    inside = W.partitionBy("_key", "_part").orderBy(*orders)
+    local = placed.withColumn("_end", F.sum(step).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    totals = placed.groupBy("_key", "_part").agg(F.sum(step).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(W.partitionBy("_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # at most one row a partition
+    shifts = totals.select(F.col("_key").alias("_k"), F.col("_part").alias("_p"), before.alias("_before"))
+    joined = local.join(shifts, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
+    # every text follows a separator, but the first: places count from the first text's first character
+    start = F.col("_before") + F.col("_end") - step - F.lit(len(separator))
+    pieces = joined.select("_key", F.concat(F.lit(separator), "_text").alias("_text"), start.alias("_at"))
+    pieces = pieces.select("_key", F.expr(f"IF(_at < 0, substring(_text, {len(separator) + 1}), _text)").alias("_text"), F.greatest("_at", F.lit(0)).alias("_at")).filter((F.length("_text") > 0) | (F.col("_at") == 0))
+    last = F.greatest(F.col("_at"), F.col("_at") + F.length("_text") - 1)
+    cut = pieces.withColumn("part", F.explode(F.sequence(F.expr(f"_at div {piece}"), F.floor(last / piece))))
+    low = F.greatest(F.col("part") * piece - F.col("_at"), F.lit(0))
+    high = F.least((F.col("part") + 1) * piece - F.col("_at"), F.length("_text"))
+    bits = cut.select("_key", "part", F.struct((F.col("_at") + low).alias("at"), F.length("_text").alias("n"), F.substring("_text", (low + 1).cast("int"), (high - low).cast("int")).alias("text")).alias("b"))
+    whole = bits.groupBy("_key", "part").agg(F.array_sort(F.collect_list("b")).alias("b"))
+    return whole.select(F.col("_key").alias(key), F.col("part").cast("long").alias("part"), F.array_join(F.transform("b", lambda x: x["text"]), "").alias("text"))
+
+
 def positive_rate(stats: DataFrame, min_reviews: int = 100, fallback: float = 0.86) -> DataFrame:
     """Mean item rate over well reviewed items, else the pooled rate, else a constant: one row."""
     total = F.col("positive") + F.col("negative")
@@ -117,16 +157,17 @@ def family_overlap(tags: DataFrame, items: DataFrame, family: Sequence[str], oth
 def summary(df: DataFrame, value: str, percentiles: Sequence[float] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """Moments, extremes and exact percentiles of a column."""
     x = F.col(value)
+    exact = orderstats.percentiles(df, x, percentiles)
     return df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"),
                   F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"),
-                  *[F.percentile(x, F.lit(p)).alias(f"p{round(p * 100):02d}") for p in percentiles])
+                  *[F.lit(v).cast("double").alias(f"p{round(p * 100):02d}") for p, v in zip(percentiles, exact)])
 
 
 def calibration(df: DataFrame, x: str, predicted: str, actual: str, bins: int = 10) -> DataFrame:
     """Mean prediction and actual rate per quantile bin of ``x`` (bin edges are exact percentiles)."""
-    edges = df.agg(F.percentile(F.col(x), F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("e")).scalar()
-    place = F.size(F.filter(F.array_distinct(F.col("_e")), lambda e: e < F.col(x)))
-    return df.withColumn("_e", edges).withColumn("bin", place).groupBy("bin").agg(
+    edges = sorted({e for e in orderstats.percentiles(df, x, [i / bins for i in range(1, bins)]) if e is not None})
+    place = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(x))) if edges else F.lit(0)
+    return df.withColumn("bin", place).groupBy("bin").agg(
         F.count("*").alias("n"), F.avg(x).alias("mean_x"), F.avg(predicted).alias("mean_predicted"), F.avg(F.col(actual).cast("int")).alias("actual_rate"))
 
 
@@ -161,8 +202,12 @@ def kolmogorov_smirnov(df: DataFrame, value: str, cdf: Column) -> DataFrame:
 def density(df: DataFrame, value: str, by: Sequence[str], points: Sequence[float], bandwidth: Column | None = None) -> DataFrame:
     """Gaussian kernel density per group on fixed points. Equal values are counted once; ``bandwidth`` may use ``n``."""
     by = list(by)
+    return _smoothed_density(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c")), value, by, points, bandwidth)
+
+
+def _smoothed_density(counted: DataFrame, value: str, by: list[str], points: Sequence[float], bandwidth: Column | None = None) -> DataFrame:
+    """Density from counts ``_c`` per group and value."""
     h = bandwidth if bandwidth is not None else F.greatest(F.lit(0.5), F.pow(F.sqrt("n"), F.lit(-0.2)) * 1.06)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
     sized = counted.groupBy(*by).agg(F.sum("_c").alias("n")).withColumn("h", h)
     joined = counted.join(sized, by) if by else counted.withColumn("_s", sized.select(F.struct("n", "h").alias("x")).scalar()).select(value, "_c", "_s.*")
     spread = joined.withColumn("x", F.explode(F.array(*[F.lit(float(p)) for p in points])))
@@ -170,6 +215,30 @@ def density(df: DataFrame, value: str, by: Sequence[str], points: Sequence[float
     return spread.groupBy(*by, "x").agg((F.sum(bump) / (F.first("n") * F.first("h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
 
 
+def complement_density(df: DataFrame, tagged: DataFrame, value: str, by: str, points: Sequence[float]) -> DataFrame:
+    """Density on fixed points of the rows that lack a group: all of ``df`` less the group's rows in ``tagged`` (rows of ``df``, at most one a group).
+
+    Counts per value are subtracted, so no row is matched against the groups it is not in.
+    """
+    every = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_all"))
+    values = every.agg(F.collect_list(F.struct(F.col(value).alias("v"), "_all")).alias("x")).scalar()
+    groups = tagged.select(by).distinct().withColumn("_v", values).select(by, F.inline("_v"))
+    own = tagged.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("_own"))
+    rest = groups.join(own, [by, "v"], "left").withColumn("_c", F.col("_all") - F.coalesce("_own", F.lit(0))).filter("_c > 0").select(by, F.col("v").alias(value), "_c")
+    return _smoothed_density(rest, value, [by], points)
+
+
+def theoretical_moments(df: DataFrame, value: str, mean: float, variance: float) -> DataFrame:
+    """Observed mean and variance of a column beside those a law predicts: one row."""
+    return df.agg(F.avg(value).alias("mean"), F.var_pop(value).alias("variance"), F.lit(mean).alias("law_mean"), F.lit(variance).alias("law_variance"))
+
+
+def chi_moments(degrees: int) -> tuple[float, float]:
+    """Mean and variance of a Chi variable."""
+    mean = math.sqrt(2) * math.exp(math.lgamma((degrees + 1) / 2) - math.lgamma(degrees / 2))
+    return mean, degrees - mean * mean
+
+
 def trend(df: DataFrame, x: Column, y: Column) -> DataFrame:
     pairs = df.select(x.alias("x"), y.alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
     return pairs.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.min("x").alias("x_min"), F.max("x").alias("x_max"))
@@ -267,5 +336,6 @@ def random_pairs(df: DataFrame, left_key: Column, right_key: Column) -> DataFram
 def similarity_penalty(norms: DataFrame, norm: str = "norm", cut: float = 5.0, level: float = 0.95, least: int = 10) -> DataFrame:
     """Penalty added to vector lengths: a high percentile of the usable norms; 1 when too few are usable."""
     usable = norms.filter((F.col(norm) > 1e-6) & (F.col(norm) <= cut))
-    return usable.agg(F.when(F.count("*") > least, F.percentile(F.col(norm), F.lit(level))).otherwise(F.lit(1.0)).alias("penalty"),
+    high = orderstats.percentiles(usable, norm, [level])[0]
+    return usable.agg(F.when(F.count("*") > least, F.lit(high).cast("double")).otherwise(F.lit(1.0)).alias("penalty"),
                       F.avg(norm).alias("mean_norm"), F.var_samp(norm).alias("var_norm"), F.count("*").alias("n"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions.dates import is_placeholder
 from curatrix.functions.text import fold_title, numbers_differ, words
+from curatrix.session import parallelism
 
 
 def with_review_counts(items: DataFrame, counts: DataFrame) -> DataFrame:
@@ -116,38 +117,57 @@ def _distinct_titles(df: DataFrame, key: str, title: str) -> DataFrame:
     return folded.groupBy("folded").agg(F.min(key).alias(key))
 
 
+def _asked_places(df: DataFrame, key: str) -> DataFrame:
+    """(key, word, beside): every place of an index under which a container of the text must stand; texts of two words or more."""
+    words = F.col("words")
+    n = F.size(words)
+    inner = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.get(words, i).alias("word"), F.concat(
+        F.lit("<"), F.when(i > 1, F.get(words, i - 1)).otherwise(F.substring(F.get(words, F.lit(0)), -1, 1))).alias("beside")))
+    ending = F.array(F.struct(F.get(words, n - 2).alias("word"), F.concat(F.lit(">"), F.get(words, n - 1)).alias("beside")))
+    two = F.array(F.struct(F.get(words, F.lit(0)).alias("word"), F.concat(F.lit("~"), F.substring(F.get(words, F.lit(1)), 1, 3)).alias("beside")))
+    return df.filter(n > 1).select(key, F.inline(F.when(n > 2, F.concat(inner, ending)).otherwise(two)))
+
+
+def _held_places(df: DataFrame, key: str) -> DataFrame:
+    """(key, word, beside): the index of all places of a text, each word with its neighbours or the parts of them that a contained text may end in."""
+    words = F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.struct(F.get("words", i).alias("w"), F.when(i > 0, F.get("words", i - 1)).alias("p"), F.get("words", i + 1).alias("q")))
+    rows = df.select(key, F.inline(words))
+    before = rows.filter("p IS NOT NULL").select(key, F.col("w").alias("word"), F.explode(F.array(F.concat(F.lit("<"), "p"), F.concat(F.lit("<"), F.substring("p", -1, 1)))).alias("beside"))
+    nexts = rows.filter("q IS NOT NULL")
+    after = nexts.select(key, F.col("w").alias("word"), F.explode(F.transform(F.sequence(F.lit(1), F.length("q")), lambda i: F.concat(F.lit(">"), F.substring("q", F.lit(1), i)))).alias("beside"))
+    tails = nexts.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring("w", i, F.length("w")))).alias("word"), "q")
+    short = tails.select(key, "word", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length("q"))), lambda i: F.concat(F.lit("~"), F.substring("q", F.lit(1), i)))).alias("beside"))
+    return before.unionByName(after).unionByName(short).distinct()
+
+
+def _containers(asked: DataFrame, ask: str, held: DataFrame, hold: str) -> DataFrame:
+    """(ask, hold) pairs where the held text contains the asked one, each asked text looked up at its rarest place."""
+    index = _held_places(held, hold)
+    counts = index.groupBy("word", "beside").agg(F.count("*").alias("df"))
+    places = _asked_places(asked, ask).join(counts, ["word", "beside"], "left")
+    rarest = places.groupBy(ask).agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "beside")).alias("r"))
+    met = rarest.filter("r.df > 0").select(ask, "r.word", "r.beside").join(index, ["word", "beside"]).select(ask, hold)
+    texts = met.join(asked.select(ask, F.col("folded").alias("inner_text")), ask).join(held.select(hold, F.col("folded").alias("outer_text")), hold)
+    return texts.filter(F.col("outer_text").contains(F.col("inner_text")))
+
+
 def contained_titles(external: DataFrame, items: DataFrame, min_ratio: float = 0.7) -> DataFrame:
     """Titles where one contains the other: length ratio above the bound, same numbers, not one plain word.
 
-    Every word of a contained text but its first and last is a whole word of the container, and the first
-    ends a word there. So the shorter text is looked up by one word among all word endings of the longer.
+    Every word of a contained text but its first and last is a whole word of the container and has its neighbours there. Texts are looked up in an
+    index of (word, what stands beside it) by their rarest place in it, so a word or a pair of words that all titles share is no key
+    while the text has anything rarer. A text with a place that the index lacks meets nothing.
     """
-    left, right = _distinct_titles(external, "ext_id", "title"), _distinct_titles(items, "appid", "name")
-    lw, rw = F.split("folded", " "), F.split("folded", " ")
-    l = left.withColumns({"l_words": lw, "l_n": F.length("folded")}).withColumnRenamed("folded", "l_text")
-    r = right.withColumns({"r_words": rw, "r_n": F.length("folded")}).withColumnRenamed("folded", "r_text")
-    inner_l = l.withColumn("block", F.when(F.size("l_words") > 2, F.col("l_words")[1]).otherwise(F.col("l_words")[0]))
-    inner_r = r.withColumn("block", F.when(F.size("r_words") > 2, F.col("r_words")[1]).otherwise(F.col("r_words")[0]))
-    pieces_r = r.select("*", F.explode(F.array_distinct(_word_tails("r_words"))).alias("block"))
-    pieces_l = l.select("*", F.explode(F.array_distinct(_word_tails("l_words"))).alias("block"))
-    a = inner_l.join(pieces_r, "block").filter(F.col("r_text").contains(F.col("l_text")))
-    b = inner_r.join(pieces_l, "block").filter(F.col("l_text").contains(F.col("r_text")))
-    cols = ["ext_id", "appid", "l_text", "r_text", "l_n", "r_n"]
-    pairs = a.select(*cols).union(b.select(*cols)).distinct()
+    left, right = (df.withColumn("words", F.split("folded", " ")) for df in (_distinct_titles(external, "ext_id", "title"), _distinct_titles(items, "appid", "name")))
+    a = _containers(left, "ext_id", right, "appid").select("ext_id", "appid", F.col("inner_text").alias("l_text"), F.col("outer_text").alias("r_text"))
+    b = _containers(right, "appid", left, "ext_id").select("ext_id", "appid", F.col("outer_text").alias("l_text"), F.col("inner_text").alias("r_text"))
+    pairs = a.union(b).distinct().withColumns({"l_n": F.length("l_text"), "r_n": F.length("r_text")})
     ratio = F.least("l_n", "r_n") / F.greatest("l_n", "r_n")
-    shorter = F.when(F.col("l_n") <= F.col("r_n"), F.col("l_text")).otherwise(F.col("r_text"))
-    kept = pairs.withColumn("ratio", ratio).filter(
-        (F.col("ratio") > min_ratio) & ~numbers_differ(F.col("l_text"), F.col("r_text")) & shorter.contains(" "))
+    kept = pairs.withColumn("ratio", ratio).filter((F.col("ratio") > min_ratio) & ~numbers_differ(F.col("l_text"), F.col("r_text")))
     best = kept.groupBy("ext_id").agg(F.max_by(F.struct("appid", "ratio"), F.struct("ratio", -F.col("appid"))).alias("b"))
     return best.select("ext_id", F.col("b.appid").alias("appid"), (F.col("b.ratio") * 0.9).alias("confidence"))
 
 
-def _word_tails(words_column: str) -> Column:
-    """All endings of each word: a contained text may start inside a word of its container."""
-    return F.flatten(F.transform(F.col(words_column), lambda w: F.transform(
-        F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, i, F.length(w)))))
-
-
 def closest_titles(external: DataFrame, items: DataFrame, min_similarity: float = 0.9) -> DataFrame:
     """Closest title by edit distance with similarity 1 - distance / longer length.
 
@@ -185,6 +205,17 @@ def closest_titles(external: DataFrame, items: DataFrame, min_similarity: float
     return best.select("ext_id", "b.appid", "b.similarity")
 
 
+def _title_words(titles: DataFrame) -> DataFrame:
+    return titles.select("appid", F.array_sort(F.array_distinct(words(F.col("name")))).alias("w"))
+
+
+def title_sets(titles: DataFrame, min_shared: int = 2) -> DataFrame:
+    """(appid, set_id): the word set of every title, named as in ``series_twins``; titles with few words are sets of their own."""
+    own = _title_words(titles)
+    sets = own.filter(F.size("w") >= min_shared).groupBy("w").agg(F.min("appid").alias("set_id"))
+    return own.join(sets, "w", "left").select("appid", F.coalesce("set_id", "appid").alias("set_id"))
+
+
 def series_twins(titles: DataFrame, min_shared: int = 2, min_share: float = 0.7) -> DataFrame:
     """Pairs of titles of one series: enough shared words, and more than a share of the longer title's words.
 
@@ -193,8 +224,7 @@ def series_twins(titles: DataFrame, min_shared: int = 2, min_share: float = 0.7)
     ``max(min_shared, floor(min_share * len) + 1)`` of its words in common, so two such sets share one outside all but that many
     less one of their most frequent words.
     """
-    sets = (titles.select("appid", F.array_sort(F.array_distinct(words(F.col("name")))).alias("w"))
-            .filter(F.size("w") >= min_shared).groupBy("w").agg(F.min("appid").alias("set_id")))
+    sets = _title_words(titles).filter(F.size("w") >= min_shared).groupBy("w").agg(F.min("appid").alias("set_id"))
     tokens = sets.select("set_id", F.explode("w").alias("word"))
     counts = tokens.groupBy("word").agg(F.count("*").alias("df"))
     order = W.partitionBy("set_id").orderBy("df", "word")
@@ -209,26 +239,37 @@ def series_twins(titles: DataFrame, min_shared: int = 2, min_share: float = 0.7)
     return full.filter((F.col("shared") >= min_shared) & (share > min_share)).select("left_id", "right_id", "shared")
 
 
-def interpolate(df: DataFrame, x: str, curve: DataFrame, target: str, pieces: int = 64) -> DataFrame:
-    """Linear interpolation of ``x`` on a curve (columns ``cx``, ``cy``), flat beyond its ends.
+def as_of_range(df: DataFrame, x: str, curve: DataFrame, pieces: int | None = None) -> DataFrame:
+    """For every distinct ``x``: the curve's last point at or below it (``low``) and its first at or above (``high``), as structs (cx, cy).
 
-    The curve is reduced to its distinct ``cx`` and cut into ranges; a range carries its points and the
-    nearest point on either side, so each row meets one range and reads one small array.
+    Curve points and distinct values are cut into the same ranges by a quantile sketch and read in order within each range; the nearest
+    points of the ranges below and above come from one small table with a row for each range, so ranges need not hold points.
     """
-    points = curve.groupBy("cx").agg(F.avg("cy").alias("cy"))
-    cuts = points.agg(F.percentile_approx("cx", [i / pieces for i in range(1, pieces)], 1000).alias("b")).first()["b"] or []
+    pieces = pieces or max(64, parallelism(df))
+    point = F.struct("cx", "cy")
+    points = curve.filter(F.col("cx").isNotNull()).groupBy(F.col("cx").cast("double").alias("cx")).agg(F.avg("cy").alias("cy")).select(F.col("cx").alias("_x"), point.alias("_p"), F.lit(False).alias("_asked"))
+    asked = df.select(F.col(x).cast("double").alias("_x")).filter(F.col("_x").isNotNull()).distinct().select("_x", F.lit(None).cast(points.schema["_p"].dataType).alias("_p"), F.lit(True).alias("_asked"))
+    both = points.unionByName(asked)
+    cuts = both.agg(F.percentile_approx("_x", [i / pieces for i in range(1, pieces)], 1000).alias("b")).first()["b"] or []
     edges = F.array(*[F.lit(float(e)) for e in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    place = lambda c: F.size(F.filter(edges, lambda e: e < c))
-    grouped = points.withColumn("piece", place(F.col("cx"))).groupBy("piece").agg(
-        F.sort_array(F.collect_list(F.struct("cx", "cy"))).alias("pts"))
-    order = W.partitionBy(F.lit(0)).orderBy("piece")  # at most ``pieces`` rows
-    ranges = grouped.withColumns({"before": F.lag(F.element_at("pts", -1)).over(order), "after": F.lead(F.element_at("pts", 1)).over(order)})
-    last = ranges.agg(F.sort_array(F.collect_list("piece")).alias("x")).scalar()
-    home = F.array_max(F.filter(F.col("_have"), lambda p: p <= place(F.col(x))))
-    placed = df.withColumn("_have", last).withColumn("piece", F.coalesce(home, F.array_min("_have"))).drop("_have")
-    joined = placed.join(F.broadcast(ranges), "piece", "left")
-    known = F.filter(F.concat(F.array("before"), F.col("pts"), F.array("after")), lambda s: s.isNotNull())
-    low = F.array_max(F.filter(known, lambda s: s["cx"] <= F.col(x)))
-    high = F.array_min(F.filter(known, lambda s: s["cx"] >= F.col(x)))
+    placed = both.withColumn("_piece", F.size(F.filter(edges, lambda e: e < F.col("_x"))))
+    ends = placed.groupBy("_piece").agg(F.max_by("_p", F.when(F.col("_p").isNotNull(), F.col("_x"))).alias("_last"), F.min_by("_p", F.when(F.col("_p").isNotNull(), F.col("_x"))).alias("_first"))
+    order = W.partitionBy(F.lit(0)).orderBy("_piece")  # at most ``pieces`` rows
+    shifts = ends.select(F.col("_piece").alias("_at"), F.last("_last", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_below"),
+                         F.first("_first", True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("_above"))
+    inside = W.partitionBy("_piece").orderBy("_x")
+    near = placed.withColumns({"low": F.last("_p", True).over(inside.rangeBetween(W.unboundedPreceding, 0)), "high": F.first("_p", True).over(inside.rangeBetween(0, W.unboundedFollowing))})
+    joined = near.filter("_asked").join(shifts, F.col("_piece") == F.col("_at"))
+    return joined.select(F.col("_x").alias(x), F.coalesce("low", "_below").alias("low"), F.coalesce("high", "_above").alias("high"))
+
+
+def interpolate(df: DataFrame, x: str, curve: DataFrame, target: str, pieces: int | None = None) -> DataFrame:
+    """Linear interpolation of ``x`` on a curve (columns ``cx``, ``cy``), flat beyond its ends; null for a null ``x`` or an empty curve.
+
+    Equal values of ``x`` are looked up once (``as_of_range``), and the rows join their value.
+    """
+    near = as_of_range(df, x, curve, pieces)
+    low, high = F.col("low"), F.col("high")
     step = low["cy"] + (high["cy"] - low["cy"]) * (F.col(x) - low["cx"]) / F.when(high["cx"] > low["cx"], high["cx"] - low["cx"]).otherwise(F.lit(1.0))
-    return joined.withColumn(target, F.coalesce(step, low["cy"], high["cy"])).drop("piece", "pts", "before", "after")
+    values = near.select(F.col(x).alias("_value"), F.coalesce(step, low["cy"], high["cy"]).alias(target))
+    return df.join(values, F.col(x).cast("double") == F.col("_value"), "left").drop("_value")

@@ -138,17 +138,3 @@ def as_weights(rows: DataFrame, dims: int, i: str = "i", j: str = "j", value: st
     for r in rows.select(i, j, value).toLocalIterator():
         m[r[i], r[j]] = r[value]
     return m
-
-
-def principal_loadings(df: DataFrame, vector: str, dims: int, names: list[str], factors: int = 20) -> DataFrame:
-    """Loadings of the leading principal factors of the correlation matrix, long form."""
-    n, mean, second = moments(df, vector, dims)
-    cov = second - np.outer(mean, mean)
-    d = np.sqrt(np.maximum(np.diag(cov), 1e-18))
-    values, directions = np.linalg.eigh(cov / np.outer(d, d))
-    order = np.argsort(values)[::-1][:factors]
-    load = directions[:, order] * np.sqrt(np.maximum(values[order], 0.0))
-    load *= np.sign(load[np.abs(load).argmax(axis=0), np.arange(load.shape[1])])
-    rows = [(int(f), names[i], float(load[i, f])) for f in range(load.shape[1]) for i in range(dims)]
-    return df.sparkSession.createDataFrame(rows, "factor int, feature string, loading double")
-

@@ -97,8 +97,8 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), pieces: int |
 
     Equal values collapse first, so a hot value is one row. The distinct values are then cut into
     ranges by approximate quantiles (a bounded sketch, ``pieces`` numbers per group), counted within
-    each range in parallel, and shifted by the totals of the ranges below. ``by`` names a short list of
-    groups, such as features or discovery steps; for many small groups use ``group_ranks``. ``weight`` is a
+    each range in parallel, and shifted by the totals of the ranges below. ``by`` names groups such as features or
+    discovery steps, each with its own ranges; for many small groups use ``group_ranks``. ``weight`` is a
     column with the number of rows a row stands for.
     """
     by = list(by)
@@ -106,22 +106,15 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), pieces: int |
     distinct = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(
         (F.sum(weight) if weight else F.count("*")).alias("_c"))
     cuts = [i / pieces for i in range(1, pieces)]
-    rows = distinct.groupBy(*by).agg(F.percentile_approx(value, cuts, 1000).alias("b")).collect()
-
-    def below(bounds: list[float]) -> Column:
-        edges = sorted(set(bounds or []))
-        return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(value))) if edges else F.lit(0)
-
-    piece = F.lit(0)
+    sketch = F.array_distinct(F.percentile_approx(value, cuts, 1000).cast("array<double>"))
     if by:
-        for r in rows:
-            match = F.lit(True)
-            for name in by:
-                match = match & (F.col(name) == F.lit(r[name]))
-            piece = F.when(match, below(r["b"])).otherwise(piece)
-    elif rows:
-        piece = below(rows[0]["b"])
-    placed = distinct.withColumn("_piece", piece)
+        bounds = distinct.groupBy(*by).agg(sketch.alias("_b"))
+        same = [F.col(f"d.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+        placed = distinct.alias("d").join(bounds.alias("b"), same).select("d.*", F.size(F.filter("b._b", lambda e: e < F.col(f"d.{value}"))).alias("_piece"))
+    else:
+        edges = sorted(set(distinct.agg(sketch.alias("b")).first()["b"] or []))
+        below = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(value))) if edges else F.lit(0)
+        placed = distinct.withColumn("_piece", below)
     inside = W.partitionBy(*by, "_piece").orderBy(value)
     local = placed.withColumn("_upto", F.sum("_c").over(inside.rowsBetween(W.unboundedPreceding, 0)))
     totals = placed.groupBy(*by, "_piece").agg(F.sum("_c").alias("_t"))

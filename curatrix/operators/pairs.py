@@ -154,6 +154,47 @@ def user_top(items: DataFrame, rated: DataFrame, sums: Callable, score: Callable
     return top_k_by_group(local.unionByName(whole.mapInPandas(scored, shape)), ["user_id"], [F.desc(F.round(name, 9)), F.asc("appid")], k)
 
 
+Lists = Callable[[pd.DataFrame, pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray], Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def user_lists(items: DataFrame, rated: DataFrame, sums: Callable, lists: Lists, sizes: dict[str, int]) -> DataFrame:
+    """Several ranked lists of every user from one pass over the pairs: (user_id, section, label, appid, score, value, rank).
+
+    For a tile of items and the rated rows of a block of users, ``lists(items, facts, rated rows, num, den)`` yields (section, user of each line, label of each
+    line, lines x items scores, lines x items values). Scores order a list, -inf keeps an item out of it; ``sizes`` has each section's
+    length. ``facts`` are the rows with ``_first``, one a user in order of user_id. Only local top lists leave a task.
+    """
+    (n, high), (m, _) = piece_rows(items), piece_rows(rated)
+    pieces = max(1, min(n, max(parallelism(items), -(-n // high))))
+    blocks = max(1, -(-m // USER_ROWS))
+    left = items.withColumn("_piece", F.pmod(F.xxhash64("appid"), F.lit(pieces)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = rated.withColumn("_block", F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("int")).withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    right = right.toDF(*right.columns)
+    columns, by = ["user_id", "section", "label", "appid", "score", "value"], ["user_id", "section", "label"]
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame(columns=columns)]
+        if len(a) and len(b):
+            facts = b[b["_first"]].sort_values("user_id")
+            for rows in tiles(a, max(64, min(TILE, (1 << 22) // max(1, len(facts))))):
+                _, num, den = sums(rows, b)
+                ids = rows["appid"].to_numpy()
+                for section, users, labels, scores, values in lists(rows, facts, b, num, den):
+                    k, rounded = sizes[section], np.round(scores, 9)
+                    edge = np.partition(rounded, len(ids) - k, axis=1)[:, len(ids) - k, None] if len(ids) > k else -np.inf
+                    of, at = np.nonzero((rounded >= edge) & np.isfinite(rounded))  # ties at the edge stay, ids decide below
+                    found.append(pd.DataFrame({"user_id": users[of], "section": section, "label": labels[of], "appid": ids[at], "score": rounded[of, at], "value": values[of, at]}))
+        out = pd.concat(found[1:] or found).sort_values([*by, "score", "appid"], ascending=[True, True, True, False, True])
+        out = out[out.groupby(by).cumcount() < out["section"].map(sizes).astype(float)]
+        return out[columns]
+
+    keys = ["_block", "_piece"]
+    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "user_id long, section string, label string, appid long, score double, value double")
+    ranked = top_k_by_group(local, by, [F.desc("score"), F.asc("appid")], max(sizes.values()))
+    length = F.create_map(*[x for name, k in sizes.items() for x in (F.lit(name), F.lit(k))])
+    return ranked.filter(F.col("rank") <= length[F.col("section")])
+
+
 def user_means(items: DataFrame, rated: DataFrame, weigh: Work, k: int | None, name: str) -> DataFrame:
     """Weighted mean of each user's rating deviations for every item: (user_id, appid, ``name``), or each user's ``k`` highest."""
     sums = user_sums(weigh, "rating", 5.0, by_item=True)

@@ -13,11 +13,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curatrix.functions import normal
+from curatrix.functions.beta import incomplete_beta
 from curatrix.operators.aggregates import smoothed_rate
 from curatrix.operators.bayes import KERNEL_PRIOR, KERNEL_WIDTH, personalized_quality, rating_of
+from curatrix.operators.orderstats import group_percentiles
+from curatrix.session import checkpointed
 
 CHUNK = 2048
 
@@ -161,52 +166,66 @@ def soft_labels(library: DataFrame, items: DataFrame, reviews: DataFrame, rate:
                             "has_playtime": ~unplayed}).drop("_a", "positive", "negative", "global_p")
 
 
-def median_samples(histogram: DataFrame, least: int = 80, draws: int = 20, seed: int = 42) -> DataFrame:
-    """Resampled medians of well reviewed items at realistic sample sizes: (syn_log, true_log, n).
+# ----------------------------------------------------------------------------- how far to trust a small sample's median
 
-    ``histogram`` holds positive votes per playtime. Sample sizes come from the quantiles of all items' counts.
+
+def size_class(count: Column) -> Column:
+    """An odd sample size that stands for a count: the count itself up to 32, about eight classes an octave beyond."""
+    class_ = F.when(count <= 32, count.cast("double")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2(count.cast("double")) * 8 + F.lit(1e-9)) / 8) + F.lit(1e-9)))
+    return (F.floor(class_ / 2) * 2 + 1).cast("long")
+
+
+@F.pandas_udf(T.DoubleType())
+def _median_share(low: pd.Series, high: pd.Series, size: pd.Series) -> pd.Series:
+    """Chance that the median of ``size`` draws falls between two cumulative shares (an order statistic's beta law)."""
+    h = (size.to_numpy(float) + 1) / 2
+    return pd.Series(incomplete_beta(high.to_numpy(float), h, h) - incomplete_beta(low.to_numpy(float), h, h))
+
+
+def median_moments(histogram: DataFrame, least: int = 80) -> DataFrame:
+    """First and second moment of the logged sample median of every well reviewed item at every realistic sample size.
+
+    Columns ``appid``, ``size``, ``weight`` (share of all items with that size), ``true_log``, ``first``, ``second``. ``histogram`` holds positive votes per playtime. The
+    law is exact: the middle one of ``size`` draws with replacement is at most x with the chance I_F(x)(h, h), h = (size + 1) / 2, so no sample is
+    drawn. Sizes are odd (``size_class``), at most a few hundred, and come from the counts of all items.
     """
-    counts = histogram.groupBy("appid").agg(F.sum("n").alias("total"))
-    sizes = counts.agg(F.percentile_approx("total", [i / 200 for i in range(1, 200)], 10000).alias("x")).scalar()
+    counts = histogram.groupBy("appid").agg(F.sum("n").cast("long").alias("total"))
+    classes = counts.withColumn("size", size_class(F.col("total"))).groupBy("size").agg(F.count("*").alias("c"))
+    sizes = classes.agg(F.collect_list(F.struct("size", (F.col("c") / F.lit(1.0)).alias("c"))).alias("x")).scalar()
     reliable = counts.filter(F.col("total") >= least)
-    entries = histogram.join(reliable, "appid").groupBy("appid").agg(F.sort_array(F.collect_list(F.struct("x", "n"))).alias("e"))
-    rows = entries.select("appid", F.transform("e", lambda r: r["x"]).alias("x"), F.transform("e", lambda r: r["n"]).alias("n")).withColumn("sizes", sizes)
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for appid, x, n, pool in zip(batch["appid"], batch["x"], batch["n"], batch["sizes"]):
-                x, n = np.asarray(x), np.asarray(n)
-                rng = np.random.default_rng([seed, int(appid) & 0xFFFFFFFF])
-                run = np.cumsum(n)
-                true = np.log1p((x[np.searchsorted(run, (run[-1] + 1) // 2)] + x[np.searchsorted(run, run[-1] // 2 + 1)]) / 2)
-                for size in rng.choice(np.asarray(pool), draws):
-                    picked = rng.multinomial(int(max(size, 1)), n / n.sum())
-                    order = np.cumsum(picked)
-                    low, high = x[np.searchsorted(order, (order[-1] + 1) // 2)], x[np.searchsorted(order, order[-1] // 2 + 1)]
-                    out.append((float(np.log1p((low + high) / 2)), float(true), float(max(size, 1))))
-            yield pd.DataFrame(out, columns=["syn_log", "true_log", "n"])
-
-    return rows.mapInPandas(draw, "syn_log double, true_log double, n double")
-
-
-def strength_loss(samples: DataFrame, prior: Column, grid: Sequence[float]) -> DataFrame:
-    """Squared error of shrunken sample values for every strength in the grid."""
-    spread = samples.withColumn("_m", prior).withColumn("strength", F.explode(F.array(*[F.lit(float(c)) for c in grid])))
-    gap = (F.col("n") * F.col("syn_log") + F.col("strength") * F.col("_m")) / (F.col("n") + F.col("strength")) - F.col("true_log")
-    return spread.groupBy("strength").agg(F.sum(gap * gap).alias("loss"))
-
-
-def playtime_strength(histogram: DataFrame, least: int = 80, low: float = 0.1, high: float = 5000.0, points: int = 41) -> float:
-    """Shrinkage of median playtimes: a logarithmic grid, then one refinement around its best point."""
-    from curatrix.session import checkpointed
-    samples = checkpointed(median_samples(histogram, least))
-    if samples.isEmpty():
+    medians = group_percentiles(histogram.join(reliable.select("appid"), "appid", "left_semi"), ["appid"], "x", {"median": 0.5}, "n")
+    run = F.sum("n").over(W.partitionBy("appid").orderBy("x").rowsBetween(W.unboundedPreceding, 0))
+    levels = histogram.select("appid", "x", "n").join(reliable, "appid").withColumn("run", run)
+    shares = levels.select("appid", F.log1p("x").alias("y"), ((F.col("run") - F.col("n")) / F.col("total")).alias("low"), (F.col("run") / F.col("total")).alias("high"))
+    spread = shares.withColumn("_s", sizes).withColumn("all", F.aggregate("_s", F.lit(0.0), lambda a, e: a + e["c"])).select("appid", "y", "low", "high", "all", F.inline("_s"))
+    chance = spread.withColumn("p", _median_share("low", "high", "size"))
+    moments = chance.groupBy("appid", "size").agg((F.first("c") / F.first("all")).alias("weight"), F.sum(F.col("y") * F.col("p")).alias("first"), F.sum(F.col("y") * F.col("y") * F.col("p")).alias("second"))
+    return moments.join(medians.select("appid", F.log1p("median").alias("true_log")), "appid")
+
+
+def strength_loss(moments: DataFrame, prior: Column, grid: Sequence[float]) -> DataFrame:
+    """Expected squared error of shrunken sample medians for every strength in the grid, mean over items, by size weights."""
+    spread = moments.withColumn("_m", prior).withColumn("strength", F.explode(F.array(*[F.lit(float(c)) for c in grid])))
+    n, c, m, t = (F.col(x) for x in ("size", "strength", "_m", "true_log"))
+    mean = (n * F.col("first") + c * m) / (n + c)
+    square = (n * n * F.col("second") + 2 * n * c * m * F.col("first") + c * c * m * m) / ((n + c) * (n + c))
+    return spread.groupBy("strength").agg((F.sum(F.col("weight") * (square - 2 * t * mean + t * t)) / F.sum("weight")).alias("loss"))
+
+
+def median_prior(moments: DataFrame) -> Column:
+    """Mean of the logged medians of the well reviewed items."""
+    return moments.groupBy("appid").agg(F.first("true_log").alias("t")).agg(F.avg("t").alias("x")).scalar()
+
+
+def playtime_strength(histogram: DataFrame, least: int = 80, low: float = 0.1, high: float = 5000.0, points: int = 41, rounds: int = 3) -> float:
+    """Shrinkage of median playtimes: a logarithmic grid, refined around its best point; 100 where no item is well reviewed."""
+    moments = checkpointed(median_moments(histogram, least))
+    if moments.isEmpty():
         return 100.0
-    prior = samples.agg(F.avg("true_log").alias("x")).scalar()
-    for _ in range(2):
+    prior, best = median_prior(moments), low
+    for _ in range(rounds):
         grid = np.geomspace(low, high, points)
-        best = strength_loss(samples, prior, grid).agg(F.min_by("strength", "loss").alias("b")).first()["b"]
+        best = strength_loss(moments, prior, grid).agg(F.min_by("strength", F.struct("loss", "strength")).alias("b")).first()["b"]
         step = (high / low) ** (1 / (points - 1))
         low, high = max(0.1, best / step), min(5000.0, best * step)
     return float(best)

@@ -82,23 +82,24 @@ def _profile_moments(rows: DataFrame, dims: int, reliable: float) -> tuple[np.nd
     return mean, (second - np.outer(mean, mean)) * (n / max(n - 1, 1))
 
 
-def _expect(mean: np.ndarray, cov: np.ndarray, shown: int):
-    """Conditional expectation of the hidden counts of one item given its shown ones."""
-
-    def fill(row: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        x = np.flatnonzero(seen)
-        total = row.sum()
-        if len(x) < shown or len(x) == len(row) or total <= 0:
-            return row
-        y = np.flatnonzero(~seen)
-        shares = row[x] / total
-        pull = np.linalg.solve(cov[np.ix_(x, x)] + RIDGE * np.eye(len(x)), shares - mean[x])
-        hidden = (mean[y] + cov[np.ix_(y, x)] @ pull) * (row[x].sum() / shares.sum())
-        out = row.copy()
-        out[y] = np.clip(hidden, 0.0, np.sort(row[x])[-shown])
-        return out
-
-    return fill
+def _expect(mean: np.ndarray, cov: np.ndarray, shown: int, counts: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Conditional expectation of the hidden counts of some items given their shown ones; one batched solve for all that show as many."""
+    out, number = counts.copy(), seen.sum(axis=1)
+    for c in np.unique(number[(number >= shown) & (number < counts.shape[1])]):
+        rows = np.flatnonzero((number == c) & (counts.sum(axis=1) > 0))
+        for at in np.array_split(rows, max(1, -(-len(rows) * c * counts.shape[1] // (1 << 22)))):
+            if not len(at):
+                continue
+            own = counts[at]
+            x = np.argsort(~seen[at], axis=1, kind="stable")[:, :c]
+            held = np.take_along_axis(own, x, axis=1)
+            shares = held / own.sum(axis=1, keepdims=True)
+            known = cov[x[:, :, None], x[:, None, :]] + RIDGE * np.eye(c)
+            pull = np.linalg.solve(known, (shares - mean[x])[:, :, None])[:, :, 0]
+            hidden = (mean + np.einsum("ncd,nc->nd", cov[x], pull)) * (held.sum(axis=1) / shares.sum(axis=1))[:, None]
+            cap = np.sort(held, axis=1)[:, -shown, None]
+            out[at] = np.where(seen[at], own, np.clip(hidden, 0.0, cap))
+    return out
 
 
 def impute(votes: DataFrame, tags: Sequence[str], rounds: int = ROUNDS, reliable: float = RELIABLE_VOTES, shown: int = SHOWN_TAGS) -> tuple[DataFrame, np.ndarray]:
@@ -117,8 +118,10 @@ def impute(votes: DataFrame, tags: Sequence[str], rounds: int = ROUNDS, reliable
 
         @F.pandas_udf("array<double>")
         def step(counts: pd.Series, marks: pd.Series) -> pd.Series:
-            fill = _expect(*shared.value, shown)  # noqa: B023 - one broadcast per round
-            return pd.Series([fill(np.asarray(c, dtype=float), np.asarray(m) > 0) for c, m in zip(counts, marks)], index=counts.index)
+            if not len(counts):
+                return pd.Series([], dtype=object)
+            filled = _expect(*shared.value, shown, np.stack(counts.to_numpy()).astype(float), np.stack(marks.to_numpy()) > 0)  # noqa: B023 - one broadcast per round
+            return pd.Series(list(filled), index=counts.index)
 
         rows = checkpointed(rows.withColumn("counts", step("counts", "seen")))
         mean, cov = _profile_moments(rows, dims, reliable)
@@ -277,10 +280,11 @@ def diffusion_time(similarity: np.ndarray, times: Sequence[float], folds: int =
     return float(times[int(np.argmax(scores))]), scores
 
 
-def diffused_profiles(active: DataFrame, tags: Sequence[str], weights: Sequence[float], spread: np.ndarray) -> DataFrame:
-    """Active tags weighted by rarity and spread to related tags: vector per item."""
+def diffused_profiles(active: DataFrame, tags: Sequence[str], weights: Sequence[float], spread: np.ndarray, implicit: Sequence[str] = (), discount: float = 0.5) -> DataFrame:
+    """Active tags weighted by rarity (``implicit`` ones discounted) and spread to related tags by a heat kernel: vector per item."""
     flags = dense(active.withColumn("one", F.lit(1.0)), tags, "one", "flags")
-    return matrix.multiply(flags, "flags", np.asarray(weights)[:, None] * spread, "profile").select("appid", "profile")
+    w = np.asarray(weights) * np.where(np.isin(list(tags), list(implicit)), discount, 1.0)
+    return matrix.multiply(flags, "flags", w[:, None] * spread, "profile").select("appid", "profile")
 
 
 def chamfer(active: DataFrame, tags: Sequence[str], weights: Sequence[float], similarity: np.ndarray, seed_tags: Sequence[str], combine: str = "max") -> DataFrame:

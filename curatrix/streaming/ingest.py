@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from curatrix.session import shared_folder
 
@@ -21,21 +20,56 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema: str, files_
     return reader.parquet(folder)
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _files(spark: SparkSession, folder: str, prefix: str = "") -> list[str]:
+    """Names in a folder of any store; none if it isn't there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(n for n in (s.getPath().getName() for s in store.listStatus(path)) if n.startswith(prefix)) if store.exists(path) else []
+
+
 def append_new_reviews(reviews: DataFrame, cutoff: dt.datetime, path: str, checkpoint: str) -> None:
-    """Each review id once, nothing older than the cutoff, however late it comes: a batch is checked against the stored ids.
+    """Each review id once, nothing older than the cutoff, however late it comes.
 
-    A batch that is run again finds its own rows stored, so nothing is written twice.
+    Seen ids are keyed state (RocksDB, no expiry), so a batch costs what its own rows cost. Rows that other checkpoints stored in the same table (a
+    new or lost checkpoint meets all of them) are taken into that state first: their ids are written beside the checkpoint once, are one more
+    source of the stream, and the batches of this call are also checked against them. Every batch owns the folder
+    ``load=<checkpoint>/batch=<number>`` of the table and replaces only that, so a batch that is run again writes the same place and nothing
+    that was stored before is lost.
     """
-    schema = reviews.schema
+    spark, columns = reviews.sparkSession, reviews.columns
+    ids = reviews.select("review_id").schema
+    load = next(iter(_files(spark, checkpoint, "seed-")), None) or f"seed-{uuid.uuid4().hex}"
+    seed, own = f"{checkpoint}/{load}", f"load={load[5:]}"
+    if not _files(spark, seed, "_SUCCESS"):
+        spark.createDataFrame([], ids).write.mode("append").parquet(seed)
+    fresh = None
+    if any(name != own for name in _files(spark, path, "load=")):
+        known = spark.read.schema(ids).parquet(seed)
+        others = spark.read.parquet(path).filter(F.col("load") != own[5:]).select("review_id").distinct()
+        folder = shared_folder(spark, "ids")
+        others.join(known, "review_id", "left_anti").write.parquet(folder)
+        fresh = spark.read.schema(ids).parquet(folder)
+        fresh.write.mode("append").parquet(seed)
+    seeds = spark.readStream.schema(ids).parquet(seed)
+    arriving = reviews.filter(F.col("ts") >= F.lit(cutoff)).withColumn("_known", F.lit(False))
+    first = arriving.unionByName(seeds.withColumn("_known", F.lit(True)), allowMissingColumns=True).dropDuplicates(["review_id"])
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = batch.filter(F.col("ts") >= F.lit(cutoff)).dropDuplicates(["review_id"])
-        if number:
-            stored = batch.sparkSession.read.schema(schema).parquet(path)
-            fresh = fresh.join(stored.select("review_id"), "review_id", "left_anti").select(*schema.names)
-        fresh.write.mode("append" if number else "overwrite").parquet(path)
+        rows = batch.filter(~F.col("_known")).select(*columns)
+        if fresh is not None:
+            rows = rows.join(batch.sparkSession.read.schema(ids).parquet(folder), "review_id", "left_anti").select(*columns)
+        rows.write.mode("overwrite").parquet(f"{path}/{own}/batch={number}")
 
-    drain_batches(reviews, checkpoint, write, "append")
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        drain_batches(first, checkpoint, write, "append")
+    finally:
+        spark.conf.set(STATE_STORE, before)
 
 
 def drain_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -73,47 +107,6 @@ def latest_status(updates: DataFrame) -> DataFrame:
     return alive.groupBy(*keys).agg(last("actual_rating"), last("ignore"), last("status", True), last("notes", True), last("updated_at"))
 
 
-STATE_SCHEMA = "actual_rating double, ignore boolean, status string, notes string, updated_at timestamp"
-CHANGE_SCHEMA = "user_id long, appid long, actual_rating double, ignore boolean, status string, notes string, updated_at timestamp, deleted boolean, seq long"
-
-
-def status_changes_stream(updates: DataFrame) -> DataFrame:
-    """The changed rows of every micro-batch, merged with the state kept per user and item."""
-
-    def known(value: object) -> object:
-        return None if value is None or value is pd.NaT or value != value else value
-
-    def merge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rating, ignore, status, notes, at = state.get if state.exists else (None, None, None, None, None)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        gone, seq = False, None
-        for r in rows.itertuples(index=False):
-            seq = int(r.seq)
-            if r.delete:
-                rating = ignore = status = notes = at = None
-                gone = True
-                continue
-            gone = False
-            rating, ignore, at = known(r.actual_rating), known(r.ignore), known(r.updated_at)
-            status, notes = known(r.status) or status, known(r.notes) or notes
-        if gone:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((rating, None if ignore is None else bool(ignore), status, notes, at))
-        yield pd.DataFrame([(key[0], key[1], rating, ignore, status, notes, at, gone, seq)],
-                           columns=["user_id", "appid", "actual_rating", "ignore", "status", "notes", "updated_at", "deleted", "seq"])
-
-    return updates.groupBy("user_id", "appid").applyInPandasWithState(merge, CHANGE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-def current_status(changes: DataFrame) -> DataFrame:
-    """Status table from the change log the stream wrote: the last change of every key, deletes left out."""
-    rest = [c for c in changes.columns if c not in ("user_id", "appid")]
-    last = changes.groupBy("user_id", "appid").agg(F.max_by(F.struct(*rest), "seq").alias("r"))
-    return last.select("user_id", "appid", "r.*").filter(~F.col("deleted")).select(*STATUS_COLUMNS)
-
-
 def patch_pool(pool: DataFrame, status: DataFrame) -> DataFrame:
     """A stored pool with the latest status: done items leave, backlog and wishlist flags follow."""
     joined = pool.join(status.select("user_id", "appid", F.col("status").alias("_s")), ["user_id", "appid"], "left")
@@ -123,7 +116,7 @@ def patch_pool(pool: DataFrame, status: DataFrame) -> DataFrame:
 
 
 def run_status_stream(spark: SparkSession, updates: DataFrame) -> DataFrame:
-    """Drain a stream of updates and return the status table."""
+    """Drain a stream of updates into a change log and return the status table: ``latest_status`` of the log."""
     base = shared_folder(spark, "status")
-    drain_to_files(status_changes_stream(updates), f"{base}/changes", f"{base}/checkpoint")
-    return current_status(spark.read.schema(CHANGE_SCHEMA).parquet(f"{base}/changes"))
+    drain_to_files(updates, f"{base}/changes", f"{base}/checkpoint")
+    return latest_status(spark.read.schema(updates.schema).parquet(f"{base}/changes"))

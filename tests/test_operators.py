@@ -127,10 +127,27 @@ def test_imputation_keeps_shown_counts_and_the_cap(spark):
             assert (new[~seen] >= 0).all() and (new[~seen] <= np.sort(old[seen])[0] + 1e-9).all()
         else:
             assert new == pytest.approx(old)
-    strength = tags.smoothing_strength(tags.synthetic_samples(rows, draws=3), mean, points=11)
+    strength = tags.smoothing_strength(rows, mean, points=11)
     assert 0 < strength < 10000
 
 
+def test_hidden_counts_equal_one_solve_an_item():
+    rng = np.random.default_rng(2)
+    x = rng.dirichlet(np.ones(8), 200)
+    mean, cov = x.mean(axis=0), np.cov(x.T)
+    counts, seen = rng.integers(0, 40, (30, 8)).astype(float), rng.random((30, 8)) < 0.6
+    counts[0], seen[1], seen[2] = 0, True, False
+    got = tags._expect(mean, cov, 3, counts, seen)
+    for row, marks, out in zip(counts, seen, got):
+        a, b = np.flatnonzero(marks), np.flatnonzero(~marks)
+        want = row.copy()
+        if len(a) >= 3 and len(b) and row.sum() > 0:
+            shares = row[a] / row.sum()
+            pull = np.linalg.inv(cov[np.ix_(a, a)] + tags.RIDGE * np.eye(len(a))) @ (shares - mean[a])
+            want[b] = np.clip((mean[b] + cov[np.ix_(b, a)] @ pull) * row[a].sum() / shares.sum(), 0, np.sort(row[a])[-3])
+        assert out == pytest.approx(want, nan_ok=True)
+
+
 @pytest.mark.parametrize("kind", ["clr", "anscombe", "none"])
 def test_no_votes_give_the_zero_vector(spark, kind):
     df = spark.createDataFrame([(1, [0.0, 0.0, 0.0])], "appid long, counts array<double>")
