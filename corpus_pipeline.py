@@ -2,6 +2,10 @@
 
 Toxic documents go; of every group of near duplicates the first stays; documents that leak benchmark items go; live secrets are cut out
 of the texts that stay; the rest is mixed to target weights. All but the last stage return the columns of ``documents``.
+
+Every stage takes nulls in any column, blank and very long texts, repeated rows, empty tables and extra columns: null texts are empty and clean, link with
+nothing, leak nothing and hold no words (so the mix takes none of them); rows without a doc_id are judged by their text and stay single;
+a null source is a source; an empty table gives an empty table; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -25,12 +29,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less those that link to one with a smaller doc_id; of rows with one doc_id, one stays."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    once = kept.join(again, "doc_id", "left_anti").select(*DOCUMENT)
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").select(*DOCUMENT).dropDuplicates(["doc_id"]))
+    """One document of every group of near duplicates, the one with the smallest doc_id; of its texts there, one. Exact repeats of a row go.
+
+    Texts that share a doc_id but link with different groups are told apart. Rows without a doc_id and blank texts link with nothing and stay.
+    """
+    found = stored(near_duplicates(docs).select("doc_id", "text_key", "kept", "component"), "groups")
+    linked = found.where("kept and component is not null").groupBy("doc_id", "component").agg(F.min("text_key").alias("t")).select(F.col("doc_id").alias("d"), "t")
+    alone = found.where("component is null").select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"))
+    stay = linked.unionByName(alone).distinct()
+    again = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).count().where("count > 1").drop("count")
+
+    def same(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return rows.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t")), how)
+
+    kept = same(docs, stay, "left_semi")
+    once = same(kept, again, "left_anti").select(*DOCUMENT)
+    return once.unionByName(same(kept, again, "left_semi").select(*DOCUMENT).dropDuplicates(["doc_id", "text"]))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
