@@ -10,14 +10,31 @@ from pyspark.sql import functions as F
 from curatrix.llm.words import mix
 
 
+CHUNK = 4096
+
+
+def _packed(key, table):
+    """The words of one chunk as bytes."""
+    out = np.zeros(CHUNK, np.uint64)
+    np.bitwise_or.at(out, table["word"].to_numpy() % CHUNK, table["mask"].to_numpy().view(np.uint64))
+    return pa.table({"kind": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([out.tobytes()], pa.binary())})
+
+
+def dense(words: DataFrame, bits: int, kinds: int = 1) -> np.ndarray:
+    """Bitmaps (kinds x bits / 64) from (kind, word, mask); chunks of ``CHUNK`` words come to the driver as bytes."""
+    out = np.zeros((kinds, max(CHUNK, bits // 64)), np.uint64)
+    chunks = words.select("kind", "word", "mask").groupBy("kind", F.expr(f"word div {CHUNK}").cast("int").alias("chunk")).applyInArrow(_packed, "kind int, chunk int, data binary")
+    for row in chunks.toLocalIterator():
+        out[row["kind"], row["chunk"] * CHUNK:(row["chunk"] + 1) * CHUNK] |= np.frombuffer(row["data"], np.uint64)
+    return np.ascontiguousarray(out[:, :bits // 64])
+
+
 def bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
-    """uint64 words with a bit for every key modulo ``bits`` (a power of two); bits / 64 rows at most come to the driver."""
+    """uint64 words with a bit for every key modulo ``bits`` (a power of two)."""
     spot = F.pmod(F.col(column), F.lit(bits))
     words = keys.select(spot.alias("spot")).groupBy(F.expr("spot div 64").cast("int").alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("spot") % 64).cast("int"))).alias("mask")).toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
-    return out.view(np.uint64)
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("spot") % 64).cast("int"))).alias("mask"))
+    return dense(words.withColumn("kind", F.lit(0)), bits)[0]
 
 
 def contains(words: np.ndarray, keys: np.ndarray) -> np.ndarray:

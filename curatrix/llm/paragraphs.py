@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatrix.llm.bitmap import bitmap, contains, marked, marks
+from curatrix.llm.bitmap import bitmap, contains, dense, marked, marks
 from curatrix.llm.neardup import _keys, collisions, connect
 from curatrix.llm.storage import forget, stored
 from curatrix.llm.words import blocks, distinct_by_row, hashes_of, mix, powers, shingles, word_bounds
@@ -143,29 +143,36 @@ def _scan(percent: int):
     return run
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All 64-bit values of a column of byte strings, and the values before each row (len + 1); nulls have none."""
+    if not len(column):
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(data[offsets[0]:offsets[-1]].tobytes(), np.uint64), (offsets - offsets[0]) // 8
+
+
 class _Parts:
-    """Keys with the least and greatest of their owners, by part, as they gather in a task."""
+    """Keys with the least and greatest of their owners, by part, as they gather in a task. Keys are turned so that their bit leads."""
 
     def __init__(self, parts: int, kind: int, bits: int):
-        self.parts, self.kind, self.bits, self.held, self.rows = parts, kind, bits, 0, []
+        self.parts, self.kind, self.low, self.held, self.rows = parts, kind, np.uint64(bits.bit_length() - 1), 0, []
 
     def add(self, keys: np.ndarray, owners: np.ndarray) -> None:
-        self.rows.append((keys, owners))
+        self.rows.append(((keys << (np.uint64(64) - self.low)) | (keys >> self.low), owners))
         self.held += len(keys)
 
     def flush(self):
         if self.held:
             keys, owners = (np.concatenate(x) for x in zip(*self.rows))
-            order = np.lexsort((owners, keys))
+            order = np.argsort(keys)
             keys, owners = keys[order], owners[order]
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            keys, low, high = keys[first], owners[first], owners[np.append(first[1:], len(owners)) - 1]
-            spot = (keys & np.uint64(self.bits - 1)).astype(np.int64)
-            part = spot * self.parts // self.bits
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(self.parts + 1))
+            columns = keys[first], np.minimum.reduceat(owners, first), np.maximum.reduceat(owners, first)
+            edges = (np.arange(1, self.parts, dtype=np.uint64) << np.uint64(64 - (self.parts - 1).bit_length()))
+            cut = np.concatenate(([0], np.searchsorted(columns[0], edges), [len(first)]))
             some = np.flatnonzero(np.diff(cut))
-            lists = [[x[order][cut[p]:cut[p + 1]].tobytes() for p in some] for x in (keys, low, high)]
+            lists = [[x[cut[p]:cut[p + 1]].tobytes() for p in some] for x in columns]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), self.kind, np.int32)), pa.array(some.astype(np.int32)), *[pa.array(x, pa.binary()) for x in lists]],
                                              names=["kind", "part", "keys", "low", "high"])
         self.held, self.rows = 0, []
@@ -177,17 +184,15 @@ def _dealt(parts: int, bits: int):
     def run(batches):
         bands, anchors = _Parts(parts, 0, bits), _Parts(parts, 1, bits)
         for batch in batches:
-            doc = marks(batch.column("doc_id"), batch.column("text_key"))
-            lines = batch.column("bands")
-            at = np.flatnonzero(lines.is_valid().to_numpy(zero_copy_only=False))
-            if len(at):
-                keys = np.frombuffer(b"".join(lines.take(pa.array(at)).to_pylist()), np.uint64)
-                owners = batch.column("k1").take(pa.array(at)).to_numpy().view(np.uint64)
-                bands.add(keys, np.repeat(owners, BANDS))
-            for i, line in zip(doc, batch.column("anchors").to_pylist()):
-                if line is not None:
-                    keys = np.frombuffer(line, np.uint64)
-                    anchors.add(keys, mix(i ^ np.arange(len(keys), dtype=np.uint64)))
+            keys, cut = _flat(batch.column("bands"))
+            if len(keys):
+                owners = batch.column("k1").fill_null(0).to_numpy().view(np.uint64)
+                bands.add(keys, np.repeat(owners, np.diff(cut)))
+            keys, cut = _flat(batch.column("anchors"))
+            if len(keys):
+                place = np.arange(len(keys)) - np.repeat(cut[:-1], np.diff(cut))
+                doc = np.repeat(marks(batch.column("doc_id"), batch.column("text_key")), np.diff(cut))
+                anchors.add(keys, mix(doc ^ place.astype(np.uint64)))
             for held in (bands, anchors):
                 if held.held >= HELD:
                     yield from held.flush()
@@ -199,17 +204,18 @@ def _dealt(parts: int, bits: int):
 
 def _twice(bits: int):
     """Bits of the keys of a part that have two owners, as words of the bitmap."""
+    shift = np.uint64(64 - (bits.bit_length() - 1))
 
     def run(key, table):
         keys, low, high = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint64) for c in ("keys", "low", "high"))
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, low, high = keys[order], low[order], high[order]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         several = np.minimum.reduceat(low, first) != np.maximum.reduceat(high, first)
-        spot = (keys[first][several] & np.uint64(bits - 1)).astype(np.int64)
-        word, at = np.unique(spot >> 6, return_inverse=True)
+        spot = keys[first][several] >> shift
+        word, at = np.unique((spot >> np.uint64(6)).astype(np.int64), return_inverse=True)
         mask = np.zeros(len(word), np.uint64)
-        np.bitwise_or.at(mask, at, np.uint64(1) << (spot & 63).astype(np.uint64))
+        np.bitwise_or.at(mask, at, np.uint64(1) << (spot & np.uint64(63)))
         return pa.table({"kind": pa.array(np.full(len(word), key[0].as_py(), np.int32)), "word": pa.array(word.astype(np.int32)), "mask": pa.array(mask.view(np.int64))})
 
     return run
@@ -217,12 +223,12 @@ def _twice(bits: int):
 
 def _shared(units: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Bitmaps of the bands of two sets and of the anchors of two places; a hot key is two numbers a task."""
+    parts = 1 << max(4, (parts - 1).bit_length())
     rows = units.where("bands is not null or anchors is not null").select("doc_id", "text_key", "k1", "bands", "anchors")
     dealt = rows.mapInArrow(_dealt(parts, BITS), "kind int, part int, keys binary, low binary, high binary")
-    words = dealt.groupBy("kind", "part").applyInArrow(_twice(BITS), "kind int, word int, mask long").groupBy("kind", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    out = np.zeros((2, BITS // 64), np.int64)
-    out[words["kind"].to_numpy(np.int64), words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
-    return out[0].view(np.uint64), out[1].view(np.uint64)
+    words = dealt.groupBy("kind", "part").applyInArrow(_twice(BITS), "kind int, word int, mask long")
+    bands, anchors = dense(words, BITS, 2)
+    return bands, anchors
 
 
 def _hits(known):
@@ -231,7 +237,7 @@ def _hits(known):
     def run(batches):
         for batch in batches:
             if len(batch):
-                bands = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint64).reshape(len(batch), -1)
+                bands = _flat(batch.column("bands"))[0].reshape(len(batch), -1)
                 hit = contains(known.value, bands.ravel()).reshape(bands.shape)
                 row, _ = np.nonzero(hit)
                 yield pa.RecordBatch.from_arrays([pa.array(bands[hit].view(np.int64)), batch.column("k1").take(pa.array(row))], names=["band", "rep"])
@@ -331,9 +337,9 @@ def _with_anchor(known):
 
     def run(batches):
         for batch in batches:
-            lines = batch.column("anchors").to_pylist()
-            hit = [bool(contains(known.value, np.frombuffer(x, np.uint64)).any()) for x in lines]
-            yield batch.filter(pa.array(hit, pa.bool_())).select(["doc_id", "text_key"])
+            keys, cut = _flat(batch.column("anchors"))
+            hits = np.concatenate(([0], np.cumsum(contains(known.value, keys))))
+            yield batch.filter(pa.array(hits[cut[1:]] > hits[cut[:-1]])).select(["doc_id", "text_key"])
 
     return run
 

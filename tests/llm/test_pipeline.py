@@ -32,3 +32,35 @@ def test_stages(spark):
     total = sum(len(r.text.split()) for r in cut.values())
     assert abs(sum(r.taken for r in mix.values()) - total) <= 10
     assert set(mix) <= set(cut) and all(mix[i].text == cut[i].text and mix[i].taken > 0 for i in mix)
+
+
+LONG = "the quiet river runs by the old stone mill and the miller counts his sacks of grain while the rain falls on the hills "
+
+
+def odd_documents(spark):
+    rows = [(1, LONG + "one", "en", "a", None), (2, LONG + "one two", "en", "a", 5), (2, "another text under the same id with enough words of its own", "en", "b", 5),
+            (3, LONG + "one", None, None, 5), (3, LONG + "one", None, None, 5), (None, LONG + "one", "en", "a", 5), (None, LONG + "one", "en", "a", 5), (None, None, None, None, None),
+            (4, None, "en", "a", 0), (5, "", "en", "a", 0), (5, "", "en", "a", 0), (6, "x " * 30000, "en", None, 60000), (7, "one", "de", "b", 3)]
+    return spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, component string, kept int")
+
+
+def test_stages_take_odd_rows_and_extra_columns(spark):
+    docs = odd_documents(spark)
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns == (cp.DOCUMENT if name != "mixing" else [*cp.DOCUMENT, "taken"])
+        rows = out.collect()
+        keys = [(r.doc_id, r.text) for r in rows]
+        if name == "near duplicates":
+            assert sorted(map(str, keys)) == sorted(map(str, [(1, LONG + "one"), (2, "another text under the same id with enough words of its own"), (None, LONG + "one"), (None, LONG + "one"),
+                                                              (None, None), (4, None), (5, ""), (6, "x " * 30000), (7, "one")]))
+        elif name == "mixing":
+            assert all(r.taken > 0 for r in rows) and {r.doc_id for r in rows} <= {1, 2, 3, 6, 7, None}
+        else:
+            assert sorted(map(str, keys)) == sorted(str((r.doc_id, r.text)) for r in docs.collect()), name
+
+
+def test_empty_tables(spark):
+    docs = odd_documents(spark).where("false")
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name
