@@ -172,17 +172,30 @@ def _(t):
     return difficulty.difficulty_model(*difficulty_inputs(t))[1]
 
 
+def rated_features(t):
+    """Rated rows of the busiest user with metadata, topics and the two rating-derived features."""
+    mine = busiest_user(t).select("user_id", "appid", F.col("rating").cast("double").alias("rating"))
+    rows = mine.join(t.catalogue.select("appid", F.col("n").cast("double").alias("popularity"), F.col("size").cast("double").alias("size"), "price"), "appid")
+    items = features(t)
+    topics = items.select("appid", *[F.col("topics")[i].alias(f"topic_{i}") for i in range(1, 10)])
+    derived = kernel.rating_feature(items, mine, taxonomy(t)).join(kernel.graph_feature(t.vectors, mine), ["user_id", "appid"])
+    return rows.join(topics, "appid").join(derived, ["user_id", "appid"])
+
+
 @check("feature_set_comparison")
 def _(t):
-    _, p = tag_products(t)
-    half = p.features[: len(p.features) // 2]
-    return named(t.spark, regression.compare_sets(p, {"half": half, "all": p.features}, [1.0, 10.0, 100.0]))
+    meta, topics = ["popularity", "size", "price"], [f"topic_{i}" for i in range(1, 10)]
+    p = regression.products(rated_features(t), [*meta, *topics, "x_kernel", "x_graph"], "rating", regression.fold_of(F.col("appid")), 5)
+    sets = {"metadata": meta, "with kernel": [*meta, "x_kernel"], "with graph": [*meta, "x_graph"], "with topics": [*meta, *topics], "all": p.features}
+    return named(t.spark, regression.compare_sets(p, sets, [1.0, 10.0, 100.0, 1000.0]))
 
 
 @check("learning_curve")
 def _(t):
-    _, p = tag_products(t)
-    return named(t.spark, regression.learning_curve(p, [1, 2, 5, 10, 20, 25], [1.0, 10.0, 100.0]))
+    names = tags.tag_list(t.votes)
+    rows = tags.dense(t.votes, names).join(t.review_stats.select("appid", (F.col("positive") / F.col("n")).alias("y")), "appid")
+    cols = rows.select("appid", "y", *[F.col("counts")[i].alias(n) for i, n in enumerate(names)])
+    return named(t.spark, regression.learning_grid(cols, names, "y", F.col("appid"), [0.2, 0.5, 1.0], [1, 2, 5, 10, 25], [1.0, 10.0, 100.0]))
 
 
 @check("supervised_pca")

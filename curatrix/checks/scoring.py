@@ -72,6 +72,13 @@ def _(t):
     return playtime.best_parameters(playtime.likelihood_grid(playtime.vote_histogram(t.reviews), RATE, widths, priors))
 
 
+@check("playtime_best_of_75")
+def _(t):
+    """The default grid of the survey: 75 widths and 75 prior weights."""
+    widths, priors = [float(x) for x in np.geomspace(0.05, 10, 75)], [float(x) for x in np.geomspace(0.01, 100, 75)]
+    return playtime.best_parameters(playtime.likelihood_grid(playtime.vote_histogram(t.reviews), RATE, widths, priors))
+
+
 @check("response_curves", HIST_SQL + f"""
 , x AS (SELECT unnest([1, 5, 20, 60, 240]::DOUBLE[]) AS x), k AS (SELECT h.appid, x.x, sum(n * {KERNEL.format(x='x.x', w=WIDTH)}) AS t, sum(up * {KERNEL.format(x='x.x', w=WIDTH)}) AS p FROM hist h, x GROUP BY 1, 2)
 SELECT appid, x, round((p + {PRIOR} * {RATE}) / (t + {PRIOR}), 6) AS p_plus FROM k""")

@@ -16,6 +16,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.operators import wide
+
 MAX_DIMS = 2048
 
 
@@ -27,7 +29,7 @@ def _rows(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
 def gram(df: DataFrame, vector: str, dims: int) -> DataFrame:
     """Uncentred sums of products as rows ``(i, block)``: row ``i`` of sum(x x')."""
     if dims > MAX_DIMS:
-        raise ValueError(f"{dims} dimensions exceed the {MAX_DIMS} a driver-side matrix may have")
+        return wide.gram(df, vector, dims)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dims, dims))
@@ -46,6 +48,8 @@ def gram(df: DataFrame, vector: str, dims: int) -> DataFrame:
 
 def moments(df: DataFrame, vector: str, dims: int) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, mean and uncentred second moment. The constant 1 rides along as one more dimension."""
+    if dims >= MAX_DIMS:
+        raise ValueError(f"{dims} dimensions exceed the {MAX_DIMS} a driver-side matrix may have; wide.singular_pairs takes more")
     extended = df.select(F.concat(F.array(F.lit(1.0)), F.col(vector).cast("array<double>")).alias("_v"))
     m = np.zeros((dims + 1, dims + 1))
     for r in gram(extended, "_v", dims + 1).toLocalIterator():  # dims x dims numbers
@@ -96,7 +100,9 @@ def multiply(df: DataFrame, vector: str, weights: np.ndarray, target: str, unit_
 
 def whiten(df: DataFrame, vector: str, dims: int, target: str = "white", keep: float = 0.95, least: int = 128,
            unit_length: bool = False) -> DataFrame:
-    """Rows in the whitened space of their own uncentred second moment."""
+    """Rows in the whitened space of their own uncentred second moment; beyond ``MAX_DIMS`` dimensions through leading singular pairs."""
+    if dims >= MAX_DIMS:
+        return multiply(df, vector, wide.whitening(df, vector, dims, keep, least), target, unit_length)
     _, _, second = moments(df, vector, dims)
     return multiply(df, vector, whitening_matrix(second, keep, least), target, unit_length)
 

@@ -212,6 +212,25 @@ def learning_curve(p: Products, sizes: Sequence[int], alphas: Sequence[float]) -
     return compare_sets(p, {str(k): order[:k] for k in sizes}, alphas)
 
 
+def learning_grid(df: DataFrame, features: Sequence[str], target: str, key: Column, fractions: Sequence[float], sizes: Sequence[int], alphas: Sequence[float], folds: int = 5) -> pd.DataFrame:
+    """Cross-validated score over rows and dimensions: nested shares of the rows (by a hash of ``key``) times the k most correlated features.
+
+    One pass: a row adds to the cell of the smallest share that holds it and its fold; larger shares are running sums of cells.
+    """
+    shares = sorted(float(f) for f in fractions)
+    draw = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1_000_000)) / F.lit(1e6)
+    level = F.size(F.filter(F.array(*[F.lit(f) for f in shares]), lambda f: f <= draw))
+    rows = df.withColumn("_level", level).filter(F.col("_level") < len(shares))
+    cells = products(rows, features, target, F.col("_level") * folds + fold_of(key, folds), len(shares) * folds)
+    total, out = [np.zeros_like(cells.folds[0]) for _ in range(folds)], []
+    for i, share in enumerate(shares):
+        total = [t + cells.folds[i * folds + f] for f, t in enumerate(total)]
+        held = Products(list(features), total)
+        table = learning_curve(held, sizes, alphas)
+        out.append(table.assign(share=share, n=int(held.total[0, 0])))
+    return pd.concat(out)[["share", "n", "k", "alpha", "r2", "mse"]]
+
+
 def zero_sum_fit(m: np.ndarray, index: Sequence[int]) -> Fit:
     """Least squares with coefficients that sum to zero, by differences to the first feature."""
     index = list(index)

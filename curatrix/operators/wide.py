@@ -118,6 +118,16 @@ def singular_pairs(df: DataFrame, vector: str, dims: int, k: int, centre: bool =
     return values[:k], (left * np.where(signs == 0, 1, signs))[:, :k], count
 
 
+def whitening(df: DataFrame, vector: str, dims: int, keep: float = 0.95, least: int = 128, most: int = 512) -> np.ndarray:
+    """dims x k matrix that gives the leading directions unit second moment, as ``matrix.whitening_matrix``, with at most ``most`` of them."""
+    values, right, n = singular_pairs(df, vector, dims, min(most, dims))
+    total = float(summed(df, vector, dims, lambda x: np.array([[(x * x).sum()]]), (1, 1))[0, 0])
+    share = values ** 2
+    needed = int(np.searchsorted(np.cumsum(share) / max(total, 1e-300), keep) + 1)
+    k = min(max(min(least, len(values)), needed), int((share / max(n, 1) > 1e-9).sum()))
+    return right[:, :k] / np.sqrt(share[:k] / max(n, 1) + 1e-6)
+
+
 def wide_lasso(df: DataFrame, vector: str, target: str, dims: int, alpha: float, l1_ratio: float = 1.0, tolerance: float = 1e-7, most: int = MAX_ACTIVE,
                rounds: int = 100) -> tuple[float, np.ndarray]:
     """Intercept and coefficients of lasso or elastic net over a vector column of any width (standardized columns, as ``regression.fit``).

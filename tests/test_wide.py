@@ -44,6 +44,39 @@ def test_tall_factor_in_a_tree(spark, monkeypatch):
     assert r.T @ r == pytest.approx((x @ w).T @ (x @ w))
 
 
+def test_whitening_of_wide_rows(spark, monkeypatch):
+    from curatrix.operators import matrix
+    monkeypatch.setattr(matrix, "MAX_DIMS", 50)
+    x = low_rank(100, 80)
+    white = np.array([r["white"] for r in matrix.whiten(vectors(spark, x), "vec", 80, keep=0.99, least=4).orderBy("appid").collect()])
+    assert white.T @ white / 100 == pytest.approx(np.eye(white.shape[1]), abs=1e-3) and 4 <= white.shape[1] <= 14
+    sums = {(r["i"], r["j"]): r["x"] for r in matrix.gram(vectors(spark, x), "vec", 80).collect()}
+    assert len(sums) == 6400 and sums[3, 70] == pytest.approx(x[:, 3] @ x[:, 70])
+
+
+def test_learning_grid_equals_refits_on_nested_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((200, 4))
+    y = x @ [1.0, 0.5, 0.0, 0.0] + rng.standard_normal(200)
+    df = spark.createDataFrame([(i, *[float(v) for v in a], float(b)) for i, (a, b) in enumerate(zip(x, y))], "appid long, a double, b double, c double, d double, y double")
+    draw = {r["appid"]: (r["u"], r["f"]) for r in df.select("appid", (F.pmod(F.xxhash64("appid", F.lit(7)), F.lit(1_000_000)) / 1e6).alias("u"), regression.fold_of(F.col("appid")).alias("f")).collect()}
+    table = regression.learning_grid(df, list("abcd"), "y", F.col("appid"), [0.3, 1.0], [1, 4], [1.0])
+    for row in table.itertuples():
+        held = np.array([draw[i][0] < row.share for i in range(200)])
+        fold = np.array([draw[i][1] for i in range(200)])
+        assert row.n == held.sum()
+        order = np.argsort([-abs(np.corrcoef(x[held, j], y[held])[0, 1]) for j in range(4)])[:row.k]
+        scores = []
+        for f in range(5):
+            a, b = held & (fold != f), held & (fold == f)
+            m, s = x[a][:, order].mean(axis=0), x[a][:, order].std(axis=0)
+            z = (x[a][:, order] - m) / s
+            beta = np.linalg.solve(z.T @ z + np.eye(row.k), z.T @ (y[a] - y[a].mean()))
+            guess = y[a].mean() + (x[b][:, order] - m) / s @ beta
+            scores.append(1 - ((y[b] - guess) ** 2).sum() / ((y[b] - y[b].mean()) ** 2).sum())
+        assert row.r2 == pytest.approx(np.mean(scores))
+
+
 @pytest.mark.parametrize("ratio, alpha", [(1.0, 0.05), (1.0, 0.5), (0.5, 0.05), (1.0, 100.0)])
 def test_wide_lasso_equals_coordinate_descent(spark, ratio, alpha):
     rng = np.random.default_rng(4)
