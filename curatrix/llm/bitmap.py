@@ -59,3 +59,15 @@ def marked(rows: DataFrame, *names: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(marks(*(batch.column(n) for n in names)).view(np.int64))], names=["mark"])
 
     return rows.select(*names).mapInArrow(run, "mark long")
+
+
+def kept(rows: DataFrame, known, *names: str) -> DataFrame:
+    """Rows that may be in a broadcast bitmap: of the keys in one column, or of the ``marks`` of several."""
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(n) for n in names]
+            keys = marks(*columns) if len(columns) > 1 else columns[0].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            yield batch.filter(pa.array(contains(known.value, keys)))
+
+    return rows.mapInArrow(run, rows.schema)

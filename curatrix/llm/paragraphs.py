@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatrix.llm.bitmap import bitmap, contains, dense, marked, marks
+from curatrix.llm.bitmap import bitmap, contains, dense, kept, marked, marks
 from curatrix.llm.neardup import _keys, collisions, connect
 from curatrix.llm.storage import forget, stored
 from curatrix.llm.words import blocks, distinct_by_row, hashes_of, mix, powers, shingles, word_bounds
@@ -179,11 +179,14 @@ class _Parts:
 
 
 def _dealt(parts: int, bits: int):
-    """Band keys owned by sets (kind 0) and anchors owned by places (kind 1), by part."""
+    """Band keys owned by sets (kind 0), anchors owned by places (kind 1) and names of sets owned by paragraphs (kind 2), by part."""
 
     def run(batches):
-        bands, anchors = _Parts(parts, 0, bits), _Parts(parts, 1, bits)
+        bands, anchors, names = (_Parts(parts, kind, bits) for kind in range(3))
         for batch in batches:
+            own = batch.filter(batch.column("number").is_valid())
+            spot = marks(own.column("doc_id"), own.column("text_key"), own.column("number"))
+            names.add(own.column("k1").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), spot)
             keys, cut = _flat(batch.column("bands"))
             if len(keys):
                 owners = batch.column("k1").fill_null(0).to_numpy().view(np.uint64)
@@ -193,10 +196,10 @@ def _dealt(parts: int, bits: int):
                 place = np.arange(len(keys)) - np.repeat(cut[:-1], np.diff(cut))
                 doc = np.repeat(marks(batch.column("doc_id"), batch.column("text_key")), np.diff(cut))
                 anchors.add(keys, mix(doc ^ place.astype(np.uint64)))
-            for held in (bands, anchors):
+            for held in (bands, anchors, names):
                 if held.held >= HELD:
                     yield from held.flush()
-        for held in (bands, anchors):
+        for held in (bands, anchors, names):
             yield from held.flush()
 
     return run
@@ -221,14 +224,12 @@ def _twice(bits: int):
     return run
 
 
-def _shared(units: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of the bands of two sets and of the anchors of two places; a hot key is two numbers a task."""
+def _shared(units: DataFrame, parts: int) -> np.ndarray:
+    """Bitmaps of the bands of two sets, of the anchors of two places and of the names of two paragraphs; a hot key is two numbers a task."""
     parts = 1 << max(4, (parts - 1).bit_length())
-    rows = units.where("bands is not null or anchors is not null").select("doc_id", "text_key", "k1", "bands", "anchors")
-    dealt = rows.mapInArrow(_dealt(parts, BITS), "kind int, part int, keys binary, low binary, high binary")
+    dealt = units.select("doc_id", "text_key", "number", "k1", "bands", "anchors").mapInArrow(_dealt(parts, BITS), "kind int, part int, keys binary, low binary, high binary")
     words = dealt.groupBy("kind", "part").applyInArrow(_twice(BITS), "kind int, word int, mask long")
-    bands, anchors = dense(words, BITS, 2)
-    return bands, anchors
+    return dense(words, BITS, 3)
 
 
 def _hits(known):
@@ -386,32 +387,43 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 75, text: str = "text")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     scanned = stored(rows.mapInArrow(_scan(percent), "doc_id long, text_key long, number long, begin long, end long, k1 long, bands binary, anchors binary"), "paragraphs")
-    bands, anchors = _shared(scanned, max(16, 2 * rows.rdd.getNumPartitions()))
+    share = spark.sparkContext.broadcast
+
+    def know(keys: DataFrame, *columns: str):
+        """A broadcast bitmap of one column, or of the marks of several."""
+        return share(bitmap(marked(keys, *columns), "mark", BITS) if len(columns) > 1 else bitmap(keys, columns[0], BITS))
+
+    bands, anchors, names = _shared(scanned, max(16, 2 * rows.rdd.getNumPartitions()))
     passages = _passages(rows, scanned.where("anchors is not null").select("doc_id", "text_key", "anchors"), anchors)
-    hits = scanned.where("bands is not null").select("k1", "bands").mapInArrow(_hits(spark.sparkContext.broadcast(bands)), "band long, rep long")
+    hits = scanned.where("bands is not null").select("k1", "bands").mapInArrow(_hits(share(bands)), "band long, rep long")
     members = collisions(hits.distinct())
     units = stored(scanned.where("number is not null").drop("bands", "anchors"), "units")
     forget(scanned)
 
     wanted = members.select(F.col("rep").alias("k1")).distinct()
-    places = stored(units.join(wanted, "k1").groupBy("k1").agg(F.min(F.struct("doc_id", "text_key", "number")).alias("p")).select("p.*"), "places")
-    documents = spark.sparkContext.broadcast(bitmap(marked(places, "doc_id", "text_key"), "mark", BITS))
-    spots = spark.sparkContext.broadcast(bitmap(marked(places, "doc_id", "text_key", "number"), "mark", BITS))
+    places = kept(units, know(wanted, "k1"), "k1").join(wanted, "k1").groupBy("k1").agg(F.min(F.struct("doc_id", "text_key", "number")).alias("p"))
+    places = stored(places.select("p.*"), "places")
+    documents, spots = know(places, "doc_id", "text_key"), know(places, "doc_id", "text_key", "number")
     found = rows.mapInArrow(_members(documents, spots), "rep long, signature binary, items array<long>").join(wanted.withColumnRenamed("k1", "rep"), "rep")
     sets = stored(found.groupBy("rep").agg(F.first("signature").alias("signature"), F.first("items").alias("items")), "sets")
     home = stored(connect(sets.select("rep", "signature"), members, sets, percent, sure=SURE), "home")
     forget(places, sets)
 
-    classes = units.groupBy(F.col("k1").alias("rep")).agg(F.count("*").alias("copies"))
+    # paragraphs whose set stands twice or has a similar one; rows that repeat a document and its text are one document
+    linked = know(home, "node")
+    again = rows.select("doc_id", "text_key").groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count() > 0
+    once = units.distinct() if again else units
+    some = stored(kept(once, share(names | linked.value), "k1"), "repeated")
+    classes = some.groupBy(F.col("k1").alias("rep")).agg(F.count("*").alias("copies"))
     open_classes = classes.join(home.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or component is not null").select(
         F.col("rep").alias("k1"), F.coalesce("component", "rep").alias("component"))
-    told = stored(units.distinct().join(open_classes, "k1"), "told")
+    told = stored(some.join(open_classes, "k1"), "told")
     keeper = told.groupBy("component").agg(F.min(F.struct("doc_id", "number", "text_key")).alias("keeper"))
     gone = told.join(keeper, "component").where(~F.struct("doc_id", "number", "text_key").eqNullSafe(F.col("keeper")))
     gone = stored(gone.select("doc_id", "text_key", "number", "begin", "end", F.col("keeper.doc_id").alias("keeper_id"), F.col("keeper.number").alias("keeper_number")), "gone")
     same = [F.col("doc_id").eqNullSafe(F.col("d")), F.col("text_key") == F.col("t")]
     whole = gone.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.col("number").alias("n"))
-    parts = units.distinct().join(passages, same[0] & same[1]).drop("d", "t").withColumn(
+    parts = kept(once, know(passages.withColumnsRenamed({"d": "doc_id", "t": "text_key"}), "doc_id", "text_key"), "doc_id", "text_key").join(passages, same[0] & same[1]).drop("d", "t").withColumn(
         "run", F.explode(F.filter("runs", lambda r: (r["begin"] < F.col("end")) & (r["end"] > F.col("begin")))))
     parts = parts.select("doc_id", "text_key", "number", F.greatest("begin", "run.begin").alias("begin"), F.least("end", "run.end").alias("end"), "run.keeper_id", "run.keeper_number")
     parts = parts.join(whole, same[0] & same[1] & (F.col("number") == F.col("n")), "left_anti")

@@ -46,7 +46,7 @@ def test_tiles_alone_find_every_link(spark):
     import pandas as pd
     import pyarrow as pa
     rows = [(i, t) for i, t in enumerate(family(3, 40))]
-    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text_key": [0] * len(rows), "text": [t for _, t in rows]})
     features = next(neardup._features([batch])).to_pandas()
     everything = SimpleNamespace(value=np.full(16, 2 ** 64 - 1, np.uint64))
     sets = next(neardup._full_sets(everything)([batch])).to_pandas()
