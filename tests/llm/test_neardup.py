@@ -4,7 +4,7 @@ from types import SimpleNamespace
 import numpy as np
 import pytest
 
-from curatrix.llm import neardup
+from curatrix.llm import graph, neardup
 from curatrix.llm.graph import components
 
 from .brute import near_components
@@ -75,7 +75,11 @@ def test_texts_that_share_a_doc_id(spark):
     assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 7, True), (9, 5, False)]
 
 
-def test_components_of_a_chain(spark):
-    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 50), (60, 61), (61, 60)], "a long, b long")
+@pytest.mark.parametrize("few", [1 << 18, 0])
+def test_components_of_a_chain(spark, monkeypatch, few):
+    """Small tables in one task and rounds of joins agree."""
+    monkeypatch.setattr(graph, "FEW", few)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 50), (60, 61), (61, 60), (None, 3), (70, 75), (75, 72), (72, 71)], "a long, b long")
     got = {r.node: r.component for r in components(chain, "a", "b").collect()}
-    assert got == {**dict.fromkeys(range(1, 41), 1), 60: 60, 61: 60}
+    assert got == {**dict.fromkeys(range(1, 41), 1), 60: 60, 61: 60, **dict.fromkeys((70, 71, 72, 75), 70)}
+    assert components(chain.where("false"), "a", "b").count() == 0
