@@ -36,8 +36,8 @@ from curatrix.llm.words import blocks, distinct_by_row, hashes_of, mix, powers,
 LONG, REACH = 60, 20
 RECALL = 0.9995
 PASSAGE, GRAM = 50, 24
-BITS = 1 << 26
-HELD = 1 << 20
+BITS = 1 << 25
+HELD = 1 << 18
 SURE = 0.3
 _HIGH = np.uint64(32)
 _BASE = np.uint64(0x9E6C63D0876A9A35)
