@@ -55,3 +55,43 @@ def test_duplicate_rows_of_an_item_count_each(spark):
     a, b = max(unit[3] @ unit[0], 0), max(unit[3] @ unit[1], 0)
     assert once[3] == pytest.approx((a * 4 - b * 3) / (a + b + 1e-9), abs=1e-6)
     assert twice[3] == pytest.approx((2 * a * 4 - b * 3) / (2 * a + b + 1e-9), abs=1e-6)
+
+
+def test_short_lists_share_blocks(spark):
+    items, _ = vectors(spark, 30)
+    rated = spark.createDataFrame([(u, (u + i) % 30) for u in range(400) for i in range(3)], "user_id long, appid long")
+
+    def work(rows, known):
+        users = len(set(rows["user_id"]))
+        assert len(rows) <= 128 and (~taste.apart(rows, known)).sum() == 6 * users
+        return rows.assign(n=users)[["user_id", "appid", "n"]].iloc[:1]
+
+    calls = taste.within_user_blocks(rated, work, "user_id long, appid long, n long").collect()
+    assert sum(r["n"] for r in calls) == 400 and len(calls) < 60
+
+
+def test_users_of_a_block_do_not_mix(spark):
+    items, m = vectors(spark, 30)
+    rng = np.random.default_rng(5)
+    rows = [(u, int(a), int(rng.integers(0, 11))) for u in range(12) for a in rng.choice(30, 2 + u % 4, replace=False)]
+    rated = spark.createDataFrame(rows, "user_id long, appid long, rating int").join(items, "appid")
+    got = {(r["user_id"], r["appid"]): r["predicted"] for r in taste.loo_alternatives(rated, {"exp": ("exp", 5.0)}, [("vec", 1.0)]).collect()}
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for u, a, _ in rows:
+        mine = [(b, r) for v, b, r in rows if v == u]
+        mean = np.mean([r for _, r in mine])
+        w = np.array([np.exp(5 * (unit[a] @ unit[b] - 1)) for b, _ in mine if b != a])
+        y = np.array([r for b, r in mine if b != a])
+        assert got[u, a] == pytest.approx(mean + (w @ (y - mean)) / w.sum())
+
+
+def test_steps_are_spread_after_a_users_rows_met(spark):
+    rated = spark.createDataFrame([(u, a, (u * a) % 7) for u in range(5) for a in range(9)], "user_id long, appid long, rating int")
+    grid = spark.createDataFrame([(s, a, float((a * (s + 2)) % 5)) for s in range(3) for a in range(9)], "step int, appid long, q double")
+    best = taste.best_step(rated, grid)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(user_id" in plan and not [x for x in plan.splitlines() if "hashpartitioning(user_id" in x and "step" in x]
+    for r in best.collect():
+        y = np.array([(r["user_id"] * a) % 7 for a in range(9)], float)
+        fits = [np.corrcoef([(a * (s + 2)) % 5 for a in range(9)], y)[0, 1] if y.std() else -2.0 for s in range(3)]
+        assert r["step"] == int(np.argmax(np.round(fits, 12)))
