@@ -24,7 +24,7 @@ from curatrix.operators.bayes import KERNEL_PRIOR, KERNEL_WIDTH, personalized_qu
 from curatrix.operators.orderstats import group_percentiles
 from curatrix.session import checkpointed
 
-CHUNK = 2048
+CHUNK, POINT_CELLS = 2048, 1 << 19
 
 
 def vote_histogram(reviews: DataFrame) -> DataFrame:
@@ -46,6 +46,35 @@ def _chunks(points: DataFrame, columns: Sequence[str]) -> DataFrame:
     return grouped.select("appid", "parts", "chunk", *[_field("e", c) for c in columns])
 
 
+def weighted_votes(batch: pa.RecordBatch, gammas: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Summed weights of the asked playtimes of blocks (appid, x, kx, kn, kup), given away whenever ``POINT_CELLS`` sums have come together."""
+
+    def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        offsets = column.offsets.to_numpy()
+        return column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
+
+    def packed(flat: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(np.arange(0, flat.size + 1, len(gammas), dtype=np.int32), flat.ravel())
+
+    if not batch.num_rows:
+        return
+    (x, at), (kx, kat), (kn, _), (kup, _) = (lists(batch.column(i)) for i in range(1, 5))
+    ids, logs, klogs, votes = batch.column(0).to_numpy(zero_copy_only=False), np.log(x + 1e-9), np.log(kx + 1e-9), np.column_stack([kn, kup])
+    points, start = max(1, POINT_CELLS // len(gammas)), 0
+    while start < batch.num_rows:
+        end = int(max(start + 1, np.searchsorted(at, at[start] + points, side="right") - 1))
+        totals, positives = np.empty((2, at[end] - at[start], len(gammas)))
+        for i in range(start, end):
+            gap = logs[at[i]:at[i + 1], None] - klogs[None, kat[i]:kat[i + 1]]
+            half, out = -0.5 * gap * gap, slice(at[i] - at[start], at[i + 1] - at[start])
+            for j, width in enumerate(gammas):
+                found = np.exp(half / (width * width)) @ votes[kat[i]:kat[i + 1]]
+                totals[out, j], positives[out, j] = found[:, 0], found[:, 1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[start:end], np.diff(at[start:end + 1]))), pa.array(x[at[start]:at[end]]), packed(totals), packed(positives)],
+                                         names=["appid", "x", "total", "positive"])
+        start = end
+
+
 def kernel_sums(asked: DataFrame, histogram: DataFrame, widths: Sequence[float]) -> DataFrame:
     """For every asked (appid, x): summed weights and positive weights per kernel width.
 
@@ -59,29 +88,9 @@ def kernel_sums(asked: DataFrame, histogram: DataFrame, widths: Sequence[float])
     routed = wanted.join(parts, "appid").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select("appid", "x", "_other")
     blocks = routed.join(known.drop("_parts"), ["appid", "_other"])
 
-    def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        offsets = column.offsets.to_numpy()
-        return column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
-
-    def packed(rows: list[np.ndarray]) -> pa.ListArray:
-        flat = np.concatenate(rows)
-        return pa.ListArray.from_arrays(np.arange(0, flat.size + 1, len(gammas), dtype=np.int32), flat.ravel())
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            (x, at), (kx, kat), (kn, _), (kup, _) = (lists(batch.column(i)) for i in range(1, 5))
-            logs, klogs, votes = np.log(x + 1e-9), np.log(kx + 1e-9), np.column_stack([kn, kup])
-            totals, positives = [], []
-            for i in range(batch.num_rows):
-                gap = logs[at[i]:at[i + 1], None] - klogs[None, kat[i]:kat[i + 1]]
-                half = -0.5 * gap * gap
-                found = np.stack([np.exp(half / (width * width)) @ votes[kat[i]:kat[i + 1]] for width in gammas], axis=1)
-                totals.append(found[:, :, 0])
-                positives.append(found[:, :, 1])
-            appid = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(at))
-            yield pa.RecordBatch.from_arrays([pa.array(appid), pa.array(x), packed(totals), packed(positives)], names=["appid", "x", "total", "positive"])
+            yield from weighted_votes(batch, gammas)
 
     sums = blocks.select("appid", "x", "kx", "kn", "kup").mapInArrow(work, "appid long, x double, total array<double>, positive array<double>")
 
@@ -111,25 +120,44 @@ def likelihood_grid(histogram: DataFrame, rate: float, widths: Sequence[float],
     """Leave-one-out log-likelihood of all reviews for every (width, prior weight)."""
     enough = histogram.groupBy("appid").agg(F.sum("n").alias("_n")).filter(F.col("_n") >= least).select("appid")
     usable = histogram.join(enough, "appid", "left_semi")
-    sums = kernel_sums(usable, usable, widths).join(usable, ["appid", "x"]).select("total", "positive", "n", "up")
-    gammas, strengths = [float(w) for w in widths], np.asarray(priors, dtype=float)
+    gammas, strengths = np.asarray([float(w) for w in widths]), np.asarray(priors, dtype=float)
+    lists = _chunks(usable, ["x", "n", "up"])
+    # the sums of an item in one chunk never leave the task that works them out
+    short = lists.filter("parts = 1").select("appid", "x", F.col("x").alias("kx"), F.col("n").alias("kn"), F.col("up").alias("kup"))
+    long = usable.join(lists.filter("parts > 1").select("appid").distinct(), "appid", "left_semi")
+    sums = kernel_sums(long, long, widths).join(long, ["appid", "x"]).select("total", "positive", "n", "up")
+
+    def add(ll: np.ndarray, total: np.ndarray, p: np.ndarray, n: np.ndarray, up: np.ndarray) -> None:
+        t, down = total - 1.0, (n - up)[:, None]
+        for j, s in enumerate(strengths):
+            base = np.maximum(t + s, 1e-12)
+            yes = np.clip((p - 1.0 + s * rate) / base, 1e-12, 1 - 1e-12)
+            no = np.clip((p + s * rate) / base, 1e-12, 1 - 1e-12)
+            ll[:, j] += (up[:, None] * np.log(yes)).sum(axis=0) + (down * np.log1p(-no)).sum(axis=0)
+
+    def told(ll: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame([(float(g), float(s), ll[i, j]) for i, g in enumerate(gammas) for j, s in enumerate(strengths)], columns=["width", "prior", "log_likelihood"])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ll = np.zeros((len(gammas), len(strengths)))
         for batch in batches:
-            if not len(batch):
-                continue
-            t, p = np.stack(batch["total"].to_numpy()) - 1.0, np.stack(batch["positive"].to_numpy())
-            up, down = batch["up"].to_numpy()[:, None], (batch["n"] - batch["up"]).to_numpy()[:, None]
-            for j, s in enumerate(strengths):
-                base = np.maximum(t + s, 1e-12)
-                yes = np.clip((p - 1.0 + s * rate) / base, 1e-12, 1 - 1e-12)
-                no = np.clip((p + s * rate) / base, 1e-12, 1 - 1e-12)
-                ll[:, j] += (up * np.log(yes)).sum(axis=0) + (down * np.log1p(-no)).sum(axis=0)
-        yield pd.DataFrame([(g, float(s), ll[i, j]) for i, g in enumerate(gammas) for j, s in enumerate(strengths)],
-                           columns=["width", "prior", "log_likelihood"])
-
-    parts = sums.mapInPandas(fold, "width double, prior double, log_likelihood double")
+            if len(batch):
+                add(ll, np.stack(batch["total"].to_numpy()), np.stack(batch["positive"].to_numpy()), batch["n"].to_numpy(), batch["up"].to_numpy())
+        yield told(ll)
+
+    def fold_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ll = np.zeros((len(gammas), len(strengths)))
+        for batch in batches:
+            n, up = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (3, 4))
+            at = 0
+            for found in weighted_votes(batch, gammas):
+                total, positive = (found.column(i).flatten().to_numpy().reshape(-1, len(gammas)) for i in (2, 3))
+                add(ll, total, positive, n[at:at + len(total)], up[at:at + len(total)])
+                at += len(total)
+        yield pa.RecordBatch.from_pandas(told(ll), preserve_index=False)
+
+    shape = "width double, prior double, log_likelihood double"
+    parts = sums.mapInPandas(fold, shape).unionByName(short.mapInArrow(fold_items, shape))
     return parts.groupBy("width", "prior").agg(F.sum("log_likelihood").alias("log_likelihood"))
 
 
