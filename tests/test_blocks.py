@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curatrix.operators import kernel, pairs, taste
+from curatrix.operators import aggregates, kernel, pairs, taste
 
 
 def vectors(spark, n, seed=1):
@@ -95,3 +95,17 @@ def test_steps_are_spread_after_a_users_rows_met(spark):
         y = np.array([(r["user_id"] * a) % 7 for a in range(9)], float)
         fits = [np.corrcoef([(a * (s + 2)) % 5 for a in range(9)], y)[0, 1] if y.std() else -2.0 for s in range(3)]
         assert r["step"] == int(np.argmax(np.round(fits, 12)))
+
+
+def test_tags_are_spread_after_a_users_rows_met(spark):
+    rated = spark.createDataFrame([(u, a, (u * a) % 11) for u in range(4) for a in range(40)], "user_id long, appid long, rating int")
+    tags = spark.createDataFrame([(a, t) for a in range(40) for t in ("x", "y", None) if (a + len(t or "")) % 3], "appid long, tag string")
+    effects = aggregates.tag_effects(rated, tags)
+    plan = effects._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(user_id" in plan and not [x for x in plan.splitlines() if "hashpartitioning(user_id" in x and "tag#" in x]
+    got = {(r["user_id"], r["tag"]): r for r in effects.collect()}
+    pairs_ = {(a, t) for a in range(40) for t in ("x", "y", None) if (a + len(t or "")) % 3}
+    assert len(got) == 12
+    for (u, t), r in got.items():
+        on, off = ([(u * a) % 11 for a in range(40) if ((a, t) in pairs_) == have] for have in (True, False))
+        assert (r["n_with"], r["n_without"]) == (len(on), len(off)) and r["diff"] == pytest.approx(np.mean(on) - np.mean(off))
