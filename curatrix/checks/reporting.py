@@ -23,8 +23,10 @@ TAG_DIM_SQL = DIM_SQL + """
 
 def tag_dimensions(t):
     """Correlation of every tag with every vector dimension, from one Gram matrix of both together."""
+    t.keep("votes")
     names = tags.tag_list(t.votes)
-    both = tags.dense(t.votes, names).join(t.vectors, "appid").select(F.concat("counts", "vec").alias("z"))
+    told = t.votes.join(t.vectors.select("appid"), "appid", "left_semi")
+    both = tags.dense(told, names).join(t.vectors, "appid").select(F.concat("counts", "vec").alias("z"))
     k = len(names)
     order = F.array(*[F.lit(n) for n in names])
     c = matrix.correlations(both, "z", k + 64).filter((F.col("i") < k) & (F.col("j") >= k))
@@ -70,9 +72,10 @@ def _(t):
 c AS (SELECT s, o, d / (x.l * y.l + 1e-9) AS sim FROM p JOIN n x ON x.tag = s JOIN n y ON y.tag = o), k AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY sim DESC, o) AS rank FROM c)
 SELECT s AS tag, o AS partner, CAST(rank AS INTEGER) AS rank, round(sim, 6) + 0e0 AS similarity FROM k WHERE rank <= 5""")
 def _(t):
+    t.keep("votes")
     names = tags.tag_list(t.votes)
     order = F.array(*[F.lit(n) for n in names])
-    rows = tag_weights(t).withColumn("appid", (F.array_position(order, F.col("tag"))).cast("long")).select("appid", "vec")
+    rows = t.once("tag weights", lambda: tag_weights(t)).withColumn("appid", (F.array_position(order, F.col("tag"))).cast("long")).select("appid", "vec")
     near = pairs.neighbours(rows, rows, 5)
     at = lambda c: F.element_at(order, F.col(c).cast("int"))
     return near.select(at("seed").alias("tag"), at("appid").alias("partner"), "rank", r6("similarity"))

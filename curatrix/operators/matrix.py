@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.operators import wide
+from curatrix.session import checkpointed
 
 MAX_DIMS = 2048
 
@@ -60,7 +61,8 @@ def moments(df: DataFrame, vector: str, dims: int) -> tuple[int, np.ndarray, np.
 
 def covariance(df: DataFrame, vector: str, dims: int, sample: bool = False) -> DataFrame:
     """Centred covariance in long form (i, j, cov)."""
-    sums = gram(df.select(F.concat(F.array(F.lit(1.0)), F.col(vector)).alias("_v")), "_v", dims + 1)
+    # read several times: worked out once
+    sums = checkpointed(gram(df.select(F.concat(F.array(F.lit(1.0)), F.col(vector)).alias("_v")), "_v", dims + 1))
     first = sums.filter("i = 0").agg(F.map_from_entries(F.collect_list(F.struct("j", "x"))).alias("m")).scalar()
     wide = sums.filter("i > 0 AND j > 0").withColumn("_m", first)
     n = F.col("_m")[F.lit(0)]

@@ -1,9 +1,11 @@
 """Steps that several queries share are worked out once, and on all tasks."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from curatrix.checks import extraction
 from curatrix.checks.standins import Tables
+from curatrix.operators import matrix
 from curatrix.session import parallelism
 
 
@@ -13,3 +15,18 @@ def test_store_pages_are_dealt_over_all_tasks(spark, tmp_path):
     found = extraction.store_pages(Tables(spark, str(tmp_path))).select("appid", F.spark_partition_id().alias("p")).collect()
     assert sorted(r["appid"] for r in found) == list(range(1, 400))
     assert len({r["p"] for r in found}) == parallelism(spark.range(1)) > 1
+
+
+def test_covariance_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    data = [[1.0, 2.0], [2.0, 1.0], [4.0, 7.0]]
+
+    @F.udf("array<double>")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    df = spark.createDataFrame([(v,) for v in data], "v array<double>").select(counted("v").alias("v"))
+    got = {(r["i"], r["j"]): r["r"] for r in matrix.correlations(df, "v", 2).collect()}
+    assert seen.value == len(data)
+    assert np.isclose(got[0, 1], np.corrcoef(np.array(data).T)[0, 1])
