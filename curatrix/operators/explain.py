@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from curatrix.functions import vectors as V
 from curatrix.operators import matrix, pairs
 from curatrix.operators.toplists import top_k_by_group
+from curatrix.session import checkpointed
 
 
 def weights_as_rows(spark, names: Sequence[str], weights: np.ndarray) -> DataFrame:
@@ -120,7 +121,9 @@ def motivation_scores(users: DataFrame, motives: DataFrame, weights: dict[str, f
         total = sum(w * parts[c] for c, w in weights.items())
         return pd.DataFrame({"user_id": np.repeat(rows["user_id"].to_numpy(), len(known)), "motive": np.tile(known["motive"].to_numpy(), len(rows)), "score": total.ravel()})
 
-    return pairs.pairwise(users.select("user_id", *weights), motives.select("motive", *weights), work, "user_id long, motive string, score double")
+    # both are counted before they are cut in pieces
+    left, right = checkpointed(users.select("user_id", *weights)), checkpointed(motives.select("motive", *weights))
+    return pairs.pairwise(left, right, work, "user_id long, motive string, score double")
 
 
 def topic_motives(topics: DataFrame, motives: DataFrame) -> DataFrame:

@@ -338,10 +338,17 @@ def similarity_ladder(near: DataFrame, steps: tuple[int, ...] = (1, 10, 50, 100)
     return wide.withColumn("drop", F.col(f"s{steps[0]}") - F.col(f"s{steps[-1]}"))
 
 
+MEAN_RUN = 64
+
+
 def centroids(df: DataFrame, by: str, vector: str = "vec", normalize: str | None = None) -> DataFrame:
     """Mean vector per group, optionally of unit length (``l2``) or unit sum (``l1``)."""
-    dims = df.select(by, F.posexplode(vector).alias("dim", "x")).groupBy(by, "dim").agg(F.avg("x").alias("m"))
-    mean = dims.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda e: e["m"]).alias(vector))
+    # a row a run of dimensions, not a row a dimension; beyond a vector's end there is nothing to count
+    starts = F.sequence(F.lit(0), F.size(vector) - 1, F.lit(MEAN_RUN))
+    runs = df.filter(F.size(vector) > 0).select(by, vector, F.explode(starts).alias("_at")).select(by, "_at", F.slice(vector, F.col("_at") + 1, MEAN_RUN).alias("_x"))
+    sums = runs.groupBy(by, "_at").agg(F.max(F.size("_x")).alias("_n"), *[F.avg(F.get("_x", F.lit(i))).alias(f"_{i}") for i in range(MEAN_RUN)])
+    parts = sums.select(by, "_at", F.slice(F.array(*[f"_{i}" for i in range(MEAN_RUN)]), F.lit(1), F.col("_n")).alias("m"))
+    mean = parts.groupBy(by).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_at", "m"))), lambda e: e["m"])).alias(vector))
     if normalize is None:
         return mean
     size = F.aggregate(vector, F.lit(0.0), lambda a, x: a + (x * x if normalize == "l2" else x))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from curatrix.checks import extraction
 from curatrix.checks.standins import Tables
-from curatrix.operators import matrix
+from curatrix.operators import explain, matrix, pairs
 from curatrix.session import parallelism
 
 
@@ -30,3 +30,25 @@ def test_covariance_reads_its_rows_once(spark):
     got = {(r["i"], r["j"]): r["r"] for r in matrix.correlations(df, "v", 2).collect()}
     assert seen.value == len(data)
     assert np.isclose(got[0, 1], np.corrcoef(np.array(data).T)[0, 1])
+
+
+def test_centroids_of_long_short_and_null_vectors(spark):
+    long = [float(i) for i in range(130)]
+    rows = [("a", long), ("a", [2.0, None]), ("a", None), ("b", [1.0, 3.0]), ("b", [3.0]), ("b", [None, 5.0]), ("c", []), (None, [7.0]), ("d", [None, 1.0])]
+    got = {r["k"]: r["vec"] for r in pairs.centroids(spark.createDataFrame(rows, "k string, vec array<double>"), "k").collect()}
+    assert got == {"a": [1.0, *long[1:]], "b": [2.0, 4.0], None: [7.0], "d": [None, 1.0]}
+
+
+def test_motivation_scores_reads_users_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    users = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], "user_id long, v array<double>").select("user_id", counted("v").alias("vec"))
+    motives = spark.createDataFrame([("m", [1.0, 0.0])], "motive string, vec array<double>")
+    got = {r["user_id"]: round(r["score"], 6) for r in explain.motivation_scores(users, motives, {"vec": 2.0}).collect()}
+    assert got == {1: 2.0, 2: round(2 / np.sqrt(2), 6)}
+    assert seen.value == 2
