@@ -21,6 +21,7 @@ from curatrix.session import checkpointed, parallelism
 TILE, PIECE_BYTES, PIECE_ROWS = 1024, 64 << 20, 8192
 
 Work = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
+Whole = Callable[[list[pd.DataFrame], list[pd.DataFrame]], pd.DataFrame]
 
 
 def piece_rows(df: DataFrame) -> tuple[int, int]:
@@ -36,11 +37,23 @@ def tiles(frame: pd.DataFrame, size: int | None = None) -> Iterator[pd.DataFrame
         yield frame.iloc[at:at + size]
 
 
-def pairwise(candidates: DataFrame, seeds: DataFrame, work: Work, schema: str, rows: int | None = None) -> DataFrame:
-    """``work(candidate rows, seed rows)`` over all tiles; ``rows`` lowers the rows of a piece."""
-    (n, high), (m, wide) = piece_rows(candidates), piece_rows(seeds)
-    pieces = max(1, min(n, max(parallelism(candidates), -(-n // min(high, rows or high)))))
-    blocks = max(1, -(-m // min(wide, rows or wide)))
+def _few_pieces(candidates: DataFrame, seeds: DataFrame, rows: int | None) -> tuple[int, int]:
+    """(pieces, blocks) as large as ``PIECE_BYTES`` lets them be, yet enough of them to keep all tasks busy: a piece travels once a block and a block once a piece."""
+    (n, high), (m, wide) = _row_bytes(candidates), _row_bytes(seeds)
+    size, tasks = rows or TILE, 4 * parallelism(candidates)
+    pieces, blocks = (max(1, -(-c // min(max(64, PIECE_BYTES // b), rows or c or 1))) for c, b in ((n, high), (m, wide)))
+    blocks = max(blocks, min(-(-m // size), -(-tasks // pieces)))
+    return max(pieces, min(-(-n // size), -(-tasks // blocks))), blocks
+
+
+def pairwise(candidates: DataFrame, seeds: DataFrame, work: Work | None, schema: str, rows: int | None = None, whole: Whole | None = None) -> DataFrame:
+    """``work(candidate rows, seed rows)`` over all tiles; ``rows`` lowers the rows of a piece. ``whole`` takes all tiles of a piece and a block instead."""
+    if whole is not None:
+        pieces, blocks = _few_pieces(candidates, seeds, rows)
+    else:
+        (n, high), (m, wide) = piece_rows(candidates), piece_rows(seeds)
+        pieces = max(1, min(n, max(parallelism(candidates), -(-n // min(high, rows or high)))))
+        blocks = max(1, -(-m // min(wide, rows or wide)))
     left = candidates.withColumn("_piece", F.pmod(F.xxhash64(*candidates.columns), F.lit(pieces)).cast("int")).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = seeds.withColumn("_block", F.pmod(F.xxhash64(*seeds.columns), F.lit(blocks)).cast("int")).withColumn(
@@ -53,6 +66,8 @@ def pairwise(candidates: DataFrame, seeds: DataFrame, work: Work, schema: str, r
         if not len(a) or not len(b):
             return pd.DataFrame(columns=out)
         known = list(tiles(b.drop(columns=["_piece", "_block"]), size))
+        if whole is not None:
+            return whole(list(tiles(a.drop(columns=["_piece", "_block"]), size)), known)
         return pd.concat([work(x, y) for x in tiles(a.drop(columns=["_piece", "_block"]), size) for y in known])
 
     keys = ["_block", "_piece"]
@@ -312,22 +327,48 @@ def neighbours(candidates: DataFrame, seeds: DataFrame, k: int, metric: str = "c
     """
     extra = ["owner"] if barred is not None else []
 
-    def work(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        ids, names = own["appid"].to_numpy(), wanted["appid"].to_numpy()
-        scores = np.where(ids[:, None] == names[None, :], -np.inf, similarity_block(stack(own[vector]), stack(wanted[vector]), metric, penalty))
-        if extra:
-            for j, gone in enumerate(wanted["barred"]):
-                scores[np.isin(ids, gone), j] = -np.inf
-        edge = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k] if len(ids) > k else np.full(len(names), -np.inf)
-        at, of = np.nonzero((scores >= edge) & np.isfinite(scores))  # ties at the edge stay, ids decide below
-        return pd.DataFrame({**{c: wanted[c].to_numpy()[of] for c in extra}, "seed": names[of], "appid": ids[at], "similarity": scores[at, of]})
+    def nearest(candidate_tiles: list[pd.DataFrame], seed_tiles: list[pd.DataFrame]) -> pd.DataFrame:
+        known = [(tile["appid"].to_numpy(), stack(tile[vector])) for tile in candidate_tiles]
+        return pd.concat([best(known, wanted) for wanted in seed_tiles])
+
+    def best(known: list[tuple[np.ndarray, np.ndarray]], wanted: pd.DataFrame) -> pd.DataFrame:
+        """The k nearest of all tiles to every seed of one; what is below the k-th so far is dropped unsorted."""
+        names, vectors = wanted["appid"].to_numpy(), stack(wanted[vector])
+        edge, held, fresh = np.full(len(names), -np.inf), [], 0
+        for ids, rows_ in known:
+            scores = similarity_block(vectors, rows_, metric, penalty)
+            scores[names[:, None] == ids[None, :]] = -np.inf
+            if extra:
+                for j, gone in enumerate(wanted["barred"]):
+                    scores[j, np.isin(ids, gone)] = -np.inf
+            if len(ids) > k and not held:
+                edge = np.partition(np.where(np.isfinite(scores), scores, -np.inf), len(ids) - k, axis=1)[:, len(ids) - k]
+            of, at = np.nonzero(scores >= edge[:, None])
+            found = scores[of, at]
+            usable = np.isfinite(found)
+            held.append((of[usable], ids[at[usable]], found[usable]))
+            fresh += int(usable.sum())
+            if fresh > 4 * k * len(names):
+                held, edge = tightened(held, edge)
+                fresh = 0
+        (of, ids, found), = tightened(held, edge)[0]
+        return pd.DataFrame({**{c: wanted[c].to_numpy()[of] for c in extra}, "seed": names[of], "appid": ids, "similarity": found})
+
+    def tightened(held: list[tuple[np.ndarray, ...]], edge: np.ndarray) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
+        of, ids, found = (np.concatenate([h[i] for h in held]) for i in range(3))
+        order = np.lexsort((ids, -found, of))  # ids decide ties
+        of, ids, found = of[order], ids[order], found[order]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        edge = edge.copy()
+        edge[of[rank == k - 1]] = found[rank == k - 1]
+        return [(of[rank < k], ids[rank < k], found[rank < k])], edge
 
     columns = ["appid", vector, *extra]
     if barred is not None:
         lists = barred.groupBy("owner").agg(F.collect_set("appid").alias("barred"))
         seeds, columns = seeds.join(lists, "owner", "left").withColumn("barred", F.coalesce("barred", F.array().cast("array<long>"))), [*columns, "barred"]
     shape = "owner long, seed long, appid long, similarity double" if extra else "seed long, appid long, similarity double"
-    local = pairwise(candidates.select("appid", vector), seeds.select(*columns), work, shape, rows)
+    local = pairwise(candidates.select("appid", vector), seeds.select(*columns), None, shape, rows, nearest)
     return top_k_by_group(local, [*extra, "seed"], [F.desc("similarity"), F.asc("appid")], k)
 
 

@@ -1,6 +1,7 @@
 """Steps that several queries share are worked out once, and on all tasks."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from curatrix.checks import extraction
@@ -52,3 +53,22 @@ def test_motivation_scores_reads_users_once(spark):
     got = {r["user_id"]: round(r["score"], 6) for r in explain.motivation_scores(users, motives, {"vec": 2.0}).collect()}
     assert got == {1: 2.0, 2: round(2 / np.sqrt(2), 6)}
     assert seen.value == 2
+
+
+def test_neighbours_over_many_tiles_equal_brute_force_with_copies(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(-2, 3, (60, 3)).astype(float)
+    vectors = base[rng.integers(0, 60, 300)]  # many copies, so many ties
+    df = spark.createDataFrame(pd.DataFrame({"appid": np.arange(300), "vec": [list(map(float, v)) for v in vectors]}))
+    wanted = {s: sorted((-float(vectors[s] @ vectors[c]), c) for c in range(300) if c != s)[:5] for s in range(300)}
+    for rows in (None, 16):
+        got: dict[int, list] = {}
+        for r in sorted(pairs.neighbours(df, df, 5, "dot", rows=rows).collect(), key=lambda r: (r["seed"], r["rank"])):
+            got.setdefault(r["seed"], []).append((-r["similarity"], r["appid"]))
+        assert got == wanted
+
+
+def test_neighbours_pass_on_k_rows_a_seed_and_piece(spark):
+    df = spark.range(3000).select(F.col("id").alias("appid"), F.array((F.col("id") % 7).cast("double"), F.lit(1.0)).alias("vec"))
+    pieces, blocks = pairs._few_pieces(df, df, None)
+    assert pieces * blocks >= 2 and pieces <= 3 and blocks <= 3
