@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from curatrix.checks.ranking import GRID_SQL, grid
+from curatrix.checks.ranking import GRID_SQL, counted, grid
 from curatrix.checks.registry import check
 from curatrix.checks.scalars import FLAGS_SQL, busiest_user, flagged
 from curatrix.checks.similarity import FEATURES_SQL, SEED_KERNEL_SQL, features, taxonomy
@@ -151,6 +151,7 @@ def _(t):
 
 def difficulty_inputs(t):
     """Tag profiles (CLR) with topics, and labels whose titles match: every third item has a rating that follows its size and one tag."""
+    t.keep("votes")
     names = tags.tag_list(t.votes)
     prior = {r["tag"]: r["share"] for r in aggregates.tag_prior(t.votes).collect()}
     g = [prior[n] for n in names]
@@ -379,10 +380,11 @@ LAST_SQL = ", lastv AS (SELECT vec AS pv FROM vectors ORDER BY appid DESC LIMIT
 
 def recommend_items(t):
     """Every item with features; one that the catalogue left out counts as delisted, so only the kernel sees it."""
-    base = features(t).join(flagged(t).drop("name", "tags", "price"), "appid", "left").join(
-        t.catalogue.select("appid", F.col("first_ts").cast("double").alias("age_s"), F.col("mid_playtime").alias("mins")), "appid")
+    stats = t.review_stats.join(features(t).select("appid"), "appid", "left_semi")  # a median of the items with features only
+    base = features(t).join(flagged(t).drop("name", "tags", "price"), "appid", "left").join(t.items.select("appid").join(
+        stats.select("appid", F.col("first_ts").cast("double").alias("age_s"), F.col("mid_playtime").alias("mins")), "appid", "left"), "appid")
     flags = base.na.fill(True, ["is_delisted"]).na.fill(False, ["is_vr_only", "is_utility", "is_nsfw", "is_hollow", "is_english"])
-    made = to_z(flags, {"age_s": "date_z", "mins": "playtime_z", "price": "price_z"})
+    made = to_z(t.once("flags", lambda: flags), {"age_s": "date_z", "mins": "playtime_z", "price": "price_z"})
     return made.withColumn("pop_z", F.log1p(F.col("positive") + F.col("negative")))
 
 
@@ -422,8 +424,8 @@ yy AS (SELECT nb.appid, CASE WHEN lo IS NULL THEN h.cy WHEN hi IS NULL OR hi = l
 SELECT top.appid, name, round(score, 6) AS score, round(greatest(0, least(10, score)), 6) AS weighted_score, round(100 * {normal.cdf_sql('y')}, 4) AS match_percent, is_personalized, round(semantic_sim, 6) + 0e0 AS semantic_sim,
   round(vibe, 6) + 0e0 AS tag_sim, round(z_quality, 6) + 0e0 AS z_quality, round(z_date, 6) + 0e0 AS z_date, round(z_pop, 6) + 0e0 AS z_pop, round(z_price, 6) + 0e0 AS z_price, raw_pop FROM top JOIN yy ON top.appid = yy.appid""")
 def _(t):
-    rate = aggregates.positive_rate(t.review_stats, 30).scalar()
-    natural = bayes.quality(t.review_stats, rate, strength=20.0).select("appid", F.col("q").alias("natural_q"))
+    rate = aggregates.positive_rate(counted(t), 30).scalar()
+    natural = bayes.quality(counted(t), rate, strength=20.0).select("appid", F.col("q").alias("natural_q"))
     out = R.recommend(recommend_items(t), grid(t), recommend_request(t), taxonomy(t), kernel.soul_tags(t.votes, 0.5), recommend_library(t), natural=natural)
     return out.select("appid", "name", r6("score"), r6("weighted_score"), r6("match_percent", 4), "is_personalized", r6("semantic_sim"), r6("tag_sim"), r6("z_quality"), r6("z_date"), r6("z_pop"), r6("z_price"), "raw_pop")
 
@@ -437,7 +439,7 @@ def _(t):
 @check("recommend_linear")
 def _(t):
     items = recommend_items(t)
-    mine = t.ratings.join(busiest_user(t).select("user_id").limit(1), "user_id", "left_semi")
+    mine = busiest_user(t)
     rating = kernel.rating_feature(features(t), mine, taxonomy(t)).join(kernel.graph_feature(t.vectors, mine), ["user_id", "appid"]).drop("user_id")
     request = recommend_request(t, coefficients={"kernel": 0.8, "graph": 0.3, "quality": 1.0, "age": -0.2, "popularity": 0.1, "length": 0.1, "difficulty": 0.0, "price": -0.1, "tone": 0.2},
                                 group_coefficients={"ASIA": 0.3}, topic_coefficients=tuple(0.1 * i for i in range(10)), switches={}, profile_filter="all")

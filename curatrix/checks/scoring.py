@@ -272,6 +272,7 @@ def _(t):
 
 @check("whitened_tag_vectors")
 def _(t):
+    t.keep("votes")
     return tags.tag_vectors(t.votes, reliable=30)
 
 

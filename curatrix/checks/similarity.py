@@ -49,13 +49,14 @@ def features(t):
 
 def build_features(t):
     """Items with a vector: everything the kernel needs."""
+    t.keep("votes")
     soul = K.soul_tags(t.votes, 0.5)
     sets = soul.groupBy("appid").agg(F.collect_set("tag").alias("tag_set")).join(
         K.item_groups(soul, taxonomy(t)).groupBy("appid").agg(F.collect_set("group").alias("groups")), "appid")
     verbs = tags.dense(t.votes, tags.tag_list(t.votes), target="verbs")
     base = (t.vectors.select("appid", "vec").join(t.catalogue.select("appid", F.col("title").alias("name"), "size", "n", "price", "positive", "negative"), "appid")
             .join(verbs, "appid").join(topics(t), "appid").join(sets, "appid"))
-    return to_z(base, {"size": "difficulty_z", "n": "tone_z"})
+    return to_z(t.once("untold features", lambda: base), {"size": "difficulty_z", "n": "tone_z"})
 
 
 @check("cosine_forms", DIM_SQL + """

@@ -13,6 +13,7 @@ from curatrix.functions import vectors as V
 from curatrix.operators import bayes, filters
 from curatrix.operators import kernel as K
 from curatrix.operators.normalize import to_z
+from curatrix.session import checkpointed
 
 CLAMP = (-8.0, 8.0)
 # Scale and penalty of text, tag and topic directions; natural range of topic similarity.
@@ -142,12 +143,13 @@ def score_pool(items: DataFrame, grid: DataFrame, request: Request, taxonomy: K.
     if request.coefficients is not None:
         everywhere = {"q": "x_quality", "date_z": "x_age", "pop_z": "x_popularity", "playtime_z": "x_length", "difficulty_z": "x_difficulty",
                       "price_z": "x_price", "tone_z": "x_tone"}
-        rows = to_z(rows, everywhere, clamp=CLAMP)
+        rows = to_z(checkpointed(rows), everywhere, clamp=CLAMP)
         rows = rows.join(rating_features, "appid", "left") if rating_features is not None else rows
         for c in ("x_kernel", "x_graph"):
             if c not in rows.columns:
                 rows = rows.withColumn(c, F.lit(0.0))
-    pool = to_z(eligible_pool(rows, request), Z_SOURCES, clamp=CLAMP)
+    # moments and rows are two passes: all before them is worked out once
+    pool = to_z(checkpointed(eligible_pool(rows, request)), Z_SOURCES, clamp=CLAMP)
     score = linear_score(request, seeded) if request.coefficients is not None else manual_score(request, seeded)
     scored = pool.withColumn("score", score)
     if seeded:
@@ -166,6 +168,7 @@ def recommend(items: DataFrame, grid: DataFrame, request: Request, taxonomy: K.T
     ``rating_features`` (appid, x_kernel, x_graph) serve the linear mode; ``natural`` (appid, natural_q) places
     scores on the scale of positive votes. The kernel sees every item; z-scores see the filtered pool.
     """
+    grid = checkpointed(grid.filter(F.col("step") == bayes.grid_step(request.discovery)))  # the score and the curve read it
     scored = score_pool(items, grid, request, taxonomy, soul_tags, library, ignored, rating_features)
     seeded = "theme" in scored.columns
     top = scored.orderBy(F.desc("score"), "name", "appid").limit(request.top_k)
@@ -173,8 +176,7 @@ def recommend(items: DataFrame, grid: DataFrame, request: Request, taxonomy: K.T
         weight = request.coefficients.get("quality", 0.0) if request.coefficients is not None else request.quality
         shown = seeded or request.prompt_vector is not None or request.taste_text is not None
         neutral = 5.0 + (request.semantic_mean * request.semantic if shown else 0.0)
-        step = grid.filter(F.col("step") == bayes.grid_step(request.discovery))
-        curve = step.join(natural, "appid").select(F.col("q").alias("cx"), F.col("natural_q").alias("cy"))
+        curve = grid.join(natural, "appid").select(F.col("q").alias("cx"), F.col("natural_q").alias("cy"))
         top = bayes.match_percent(top, "score", curve, weight, neutral)
     else:
         top = top.withColumn("match_percent", F.lit(None).cast("double"))

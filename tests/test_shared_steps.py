@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from curatrix.checks import extraction
+from curatrix.checks import extraction, scalars
 from curatrix.checks.standins import Tables
 from curatrix.operators import explain, matrix, pairs
 from curatrix.session import parallelism
@@ -72,3 +72,15 @@ def test_neighbours_pass_on_k_rows_a_seed_and_piece(spark):
     df = spark.range(3000).select(F.col("id").alias("appid"), F.array((F.col("id") % 7).cast("double"), F.lit(1.0)).alias("vec"))
     pieces, blocks = pairs._few_pieces(df, df, None)
     assert pieces * blocks >= 2 and pieces <= 3 and blocks <= 3
+
+
+def test_busiest_user_and_kept_views_are_worked_out_once(spark, tmp_path):
+    spark.createDataFrame([(1, 7), (2, 8), (3, 7)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(1, 10, 0.01, 2.0), (2, 10, 0.02, 3.0), (3, 11, 0.03, 4.0), (3, 10, 0.05, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_discount double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    t = Tables(spark, str(tmp_path))
+    mine = scalars.busiest_user(t)
+    assert mine is scalars.busiest_user(t) and mine.storageLevel.useMemory
+    assert sorted(map(tuple, mine.collect())) == [(7, 10, 5, 3.0), (7, 11, 3, 4.0)]
+    t.keep("ratings")
+    assert t.ratings.storageLevel.useMemory and t.ratings.count() == 3
