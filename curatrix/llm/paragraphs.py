@@ -334,13 +334,14 @@ _PLACE = "anchor long, name long, doc_id long, text_key long, number long, begin
 
 
 def _with_anchor(known):
-    """Documents with an anchor in the bitmap."""
+    """Marks of the documents with an anchor in the bitmap."""
 
     def run(batches):
         for batch in batches:
             keys, cut = _flat(batch.column("anchors"))
             hits = np.concatenate(([0], np.cumsum(contains(known.value, keys))))
-            yield batch.filter(pa.array(hits[cut[1:]] > hits[cut[:-1]])).select(["doc_id", "text_key"])
+            found = marks(batch.column("doc_id"), batch.column("text_key"))[hits[cut[1:]] > hits[cut[:-1]]]
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["mark"])
 
     return run
 
@@ -361,7 +362,8 @@ def _passages(rows: DataFrame, anchored: DataFrame, anchors: np.ndarray) -> Data
 
     ends = [F.min(place).alias("first"), F.max(place).alias("last")]
     shared = spark.sparkContext.broadcast(anchors)
-    documents = known(marked(anchored.mapInArrow(_with_anchor(shared), "doc_id long, text_key long"), "doc_id", "text_key"), "mark")
+    # one Python function a stage: each further one would be a worker of its own beside it in every task
+    documents = known(anchored.mapInArrow(_with_anchor(shared), "mark long"), "mark")
     segments = stored(rows.mapInArrow(_places(shared, documents, False), _PLACE), "segments")
     classes = stored(segments.groupBy("anchor", "name").agg(*ends), "segment-classes")
     mixed = classes.groupBy("anchor").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a != b").select("anchor")
