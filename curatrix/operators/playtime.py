@@ -38,12 +38,16 @@ def _field(entries: str, name: str) -> Column:
     return F.transform(entries, lambda r: r[name]).alias(name)
 
 
-def _chunks(points: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows (appid, parts, chunk, arrays): at most about ``CHUNK`` distinct playtimes per row."""
-    sizes = points.groupBy("appid").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
-    placed = points.join(sizes, "appid").withColumn("chunk", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
-    grouped = placed.groupBy("appid", "parts", "chunk").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("e"))
-    return grouped.select("appid", "parts", "chunk", *[_field("e", c) for c in columns])
+def _chunks(points: DataFrame, sizes: DataFrame, parts: str, columns: Sequence[str]) -> DataFrame:
+    """Rows (appid, the columns of ``sizes``, chunk, arrays): at most about ``CHUNK`` distinct playtimes per row. ``parts`` names the column of ``sizes`` with an item's chunks."""
+    keys = [*sizes.columns, "chunk"]
+    placed = points.join(sizes, "appid").withColumn("chunk", F.pmod(F.xxhash64("x"), F.col(parts)).cast("int"))
+    grouped = placed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("e"))
+    return grouped.select(*keys, *[_field("e", c) for c in columns])
+
+
+def _parts(count: Column) -> Column:
+    return F.ceil(count / CHUNK).cast("int")
 
 
 def weighted_votes(batch: pa.RecordBatch, gammas: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -81,12 +85,15 @@ def kernel_sums(asked: DataFrame, histogram: DataFrame, widths: Sequence[float])
     Columns ``appid``, ``x``, ``total`` and ``positive`` (arrays over ``widths``).
     """
     gammas = np.asarray(widths, dtype=float)
-    known = _chunks(histogram, ["x", "n", "up"]).select(
-        "appid", F.col("parts").alias("_parts"), F.col("chunk").alias("_other"), F.col("x").alias("kx"), F.col("n").alias("kn"), F.col("up").alias("kup"))
-    wanted = _chunks(asked.select("appid", "x").distinct(), ["x"])
-    parts = known.groupBy("appid").agg(F.first("_parts").alias("_k"))
-    routed = wanted.join(parts, "appid").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select("appid", "x", "_other")
-    blocks = routed.join(known.drop("_parts"), ["appid", "_other"])
+    points = asked.select("appid", "x").distinct()
+    # a row an item for both sides: else every join down to the blocks is by item, and Spark keeps all their sorts in one task
+    both = histogram.select("appid", F.lit(1).alias("k"), F.lit(0).alias("a")).unionByName(points.select("appid", F.lit(0).alias("k"), F.lit(1).alias("a")))
+    sizes = both.groupBy("appid").agg(_parts(F.sum("k")).alias("_k"), _parts(F.sum("a")).alias("_a")).filter("_k > 0 and _a > 0")
+    known = _chunks(histogram, sizes.drop("_a"), "_k", ["x", "n", "up"]).select(
+        "appid", F.col("chunk").alias("_other"), F.col("x").alias("kx"), F.col("n").alias("kn"), F.col("up").alias("kup"))
+    wanted = _chunks(points, sizes, "_a", ["x"])
+    routed = wanted.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select("appid", "x", "_other")
+    blocks = routed.join(known, ["appid", "_other"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,13 +125,11 @@ def leave_one_out(histogram: DataFrame, rate: Column, width: float = KERNEL_WIDT
 
 def likelihood_grid(histogram: DataFrame, rate: float, widths: Sequence[float], priors: Sequence[float], least: int = 2) -> DataFrame:
     """Leave-one-out log-likelihood of all reviews for every (width, prior weight)."""
-    enough = histogram.groupBy("appid").agg(F.sum("n").alias("_n")).filter(F.col("_n") >= least).select("appid")
-    usable = histogram.join(enough, "appid", "left_semi")
+    sizes = histogram.groupBy("appid").agg(F.sum("n").alias("_n"), _parts(F.count("*")).alias("parts")).filter(F.col("_n") >= least).drop("_n")
     gammas, strengths = np.asarray([float(w) for w in widths]), np.asarray(priors, dtype=float)
-    lists = _chunks(usable, ["x", "n", "up"])
     # the sums of an item in one chunk never leave the task that works them out
-    short = lists.filter("parts = 1").select("appid", "x", F.col("x").alias("kx"), F.col("n").alias("kn"), F.col("up").alias("kup"))
-    long = usable.join(lists.filter("parts > 1").select("appid").distinct(), "appid", "left_semi")
+    short = _chunks(histogram, sizes.filter("parts = 1"), "parts", ["x", "n", "up"]).select("appid", "x", F.col("x").alias("kx"), F.col("n").alias("kn"), F.col("up").alias("kup"))
+    long = histogram.join(sizes.filter("parts > 1"), "appid", "left_semi")
     sums = kernel_sums(long, long, widths).join(long, ["appid", "x"]).select("total", "positive", "n", "up")
 
     def add(ll: np.ndarray, total: np.ndarray, p: np.ndarray, n: np.ndarray, up: np.ndarray) -> None:
@@ -179,9 +184,8 @@ def soft_labels(library: DataFrame, items: DataFrame, reviews: DataFrame, rate:
     """
     owned = library.join(items.select("appid", "positive", "negative"), "appid").withColumn("_a", rate)
     scored = owned.withColumn("global_p", smoothed_rate(strength, F.col("_a"))).withColumn("global_q", normal.quantile("global_p"))
-    played = scored.filter(F.col("playtime") > 0)
-    histogram = vote_histogram(reviews.join(played.select("appid").distinct(), "appid", "left_semi"))
-    asked = played.filter(F.col("user_voted_up").isNull()).select("appid", F.col("playtime").alias("x"))
+    asked = library.filter((F.col("playtime") > 0) & F.col("user_voted_up").isNull()).select("appid", F.col("playtime").alias("x"))
+    histogram = vote_histogram(reviews)  # items nobody asks for go where the items' sizes meet
     chances = vote_probability(asked, histogram, rate).withColumnRenamed("x", "playtime")
     joined = scored.join(chances, ["appid", "playtime"], "left")
     unplayed = F.col("playtime") <= 0
