@@ -24,7 +24,7 @@ def dense(words: DataFrame, bits: int, kinds: int = 1) -> np.ndarray:
     """Bitmaps (kinds x bits / 64) from (kind, word, mask); chunks of ``CHUNK`` words come to the driver as bytes."""
     out = np.zeros((kinds, max(CHUNK, bits // 64)), np.uint64)
     chunks = words.select("kind", "word", "mask").groupBy("kind", F.expr(f"word div {CHUNK}").cast("int").alias("chunk")).applyInArrow(_packed, "kind int, chunk int, data binary")
-    for row in chunks.toLocalIterator():
+    for row in chunks.collect():  # bounded by kinds x bits; an iterator would be a job for every partition
         out[row["kind"], row["chunk"] * CHUNK:(row["chunk"] + 1) * CHUNK] |= np.frombuffer(row["data"], np.uint64)
     return np.ascontiguousarray(out[:, :bits // 64])
 

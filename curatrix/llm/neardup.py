@@ -122,18 +122,39 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 TILE_KEYS = ["band", "kind", "i", "j"]
+TILE_PAIRS = 1 << 20
+
+
+def _alike(signatures: np.ndarray, follow: np.ndarray, apart, sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows with j at most ``follow[i]`` after i that are ``apart`` and agree in a share ``sure`` of their signatures, by i, then j."""
+    pairs, step, at = [], 1, np.flatnonzero(follow > 0)
+    while len(at):
+        left = at[apart(at, at + step)]
+        left = left[(signatures[left] == signatures[left + step]).sum(axis=1) / signatures.shape[1] >= sure]
+        pairs.append(np.column_stack((left, left + step)))
+        step += 1
+        at = at[follow[at] >= step]
+    i, j = np.concatenate(pairs).T if pairs else np.zeros((2, 0), np.int64)
+    order = np.lexsort((j, i))
+    return i[order], j[order]
 
 
 def _tile(percent: int, sure: float = SURE):
     """Links of all tiles of a lot; a tile is the rows of one (band, kind, i, j)."""
 
     def links(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates([*TILE_KEYS, "rep"]).sort_values([*TILE_KEYS, "rep"])
-        keys, kind = frame[TILE_KEYS].to_numpy(), frame["kind"].to_numpy()
-        rep, side, home = (frame[c].to_numpy() for c in ("rep", "block", "component"))
-        signatures = np.frombuffer(b"".join(frame["signature"]), np.uint32).reshape(len(frame), -1)
-        sets = frame["items"].to_numpy()
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        columns = [frame[c].to_numpy() for c in (*TILE_KEYS, "rep")]
+        order = np.lexsort(columns[::-1])
+        fresh, new = (np.ones(len(order), bool) for _ in range(2))
+        new[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in columns[:-1]], axis=0)
+        fresh[1:] = new[1:] | (columns[-1][order[1:]] != columns[-1][order[:-1]])
+        order, cuts = order[fresh], np.append(np.flatnonzero(new[fresh]), np.count_nonzero(fresh))
+        kind, rep, side, home, sets, signatures = (frame[c].to_numpy()[order] for c in ("kind", "rep", "block", "component", "items", "signature"))
+        signatures = np.frombuffer(b"".join(signatures), np.uint32).reshape(len(order), -1)
+        size, first = np.array([len(x) for x in sets]), cuts[:-1]
+        crossing = np.minimum.reduceat(side, first) != np.maximum.reduceat(side, first)
+        follow = np.repeat(np.where(crossing | (kind[first] != 0), cuts[1:], 0), np.diff(cuts)) - np.arange(len(order)) - 1
+        crossing = np.repeat(crossing, np.diff(cuts))
         root: dict = {}
 
         def find(x):
@@ -141,21 +162,23 @@ def _tile(percent: int, sure: float = SURE):
                 root[x] = x = root[root[x]]
             return x
 
+        def apart(i, j):
+            return (home[i] != home[j]) & ~(crossing[i] & (side[i] == side[j])) & (np.minimum(size[i], size[j]) * 100 >= percent * np.maximum(size[i], size[j]))
+
         found = []
-        for first, end in zip([0, *cuts], [*cuts, len(frame)]):
-            crossing = (side[first:end] != side[first]).any()
-            if not crossing and kind[first] == 0:
-                continue
-            for i in range(first, end - 1):
-                alike = (signatures[i + 1:end] == signatures[i]).mean(axis=1) >= sure
-                for j in np.flatnonzero(alike) + i + 1:
-                    a, b = find(home[i]), find(home[j])
-                    if a == b or crossing and side[i] == side[j]:
-                        continue
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if _linked(both, len(sets[i]), len(sets[j]), percent):
-                        root[max(a, b)] = min(a, b)
-                        found.append((rep[i], rep[j]))
+        pairs = np.cumsum(np.diff(cuts) ** 2)
+        for run in np.split(np.arange(len(first)), np.flatnonzero(np.diff(pairs // TILE_PAIRS)) + 1):  # runs of tiles, so that the pairs in memory are bounded
+            start, end = cuts[run[0]], cuts[run[-1] + 1]
+            for i, j in zip(*(x.tolist() for x in _alike(signatures[start:end], follow[start:end], lambda i, j: apart(i + start, j + start), sure))):  # noqa: B023
+                i, j = i + start, j + start
+                a, b = find(home[i]), find(home[j])
+                if a == b:
+                    continue
+                both = np.concatenate((sets[i], sets[j]))
+                both.sort()
+                if _linked(np.count_nonzero(both[1:] == both[:-1]), len(sets[i]), len(sets[j]), percent):
+                    root[max(a, b)] = min(a, b)
+                    found.append((rep[i], rep[j]))
         return pd.DataFrame(found, columns=["hub", "rep"], dtype="int64")
 
     return links

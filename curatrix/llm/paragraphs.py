@@ -61,6 +61,16 @@ def _words(data: np.ndarray, offsets: np.ndarray):
     return hashes_of(data, starts, ends), starts, ends, rows
 
 
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the first least value of every window of ``width`` values, by windows of doubled width."""
+    at, span = np.arange(len(values)), 1
+    while span < width:
+        step = min(span, width - span)
+        left, right = at[:-step], at[step:]
+        at, span = np.where(values[left] <= values[right], left, right), span + step
+    return at
+
+
 def _paragraphs(data: np.ndarray, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray):
     """For each paragraph of a block its row, number in the row, byte range and the words before it (len + 1)."""
     if not len(words):
@@ -79,7 +89,7 @@ def _paragraphs(data: np.ndarray, words: np.ndarray, starts: np.ndarray, ends: n
         pair[first[at]] = np.iinfo(np.uint64).max
         wide = np.full(place[-1] + REACH + 1, np.iinfo(np.uint64).max, np.uint64)
         wide[place] = pair
-        least = np.lib.stride_tricks.sliding_window_view(wide, 2 * REACH + 1).min(axis=1)[place - REACH]
+        least = wide[_least(wide, 2 * REACH + 1)[place - REACH]]
         first[at[pair == least]] = True
     at = np.flatnonzero(first)
     bounds = np.append(at, len(words))
@@ -289,7 +299,7 @@ def _anchored(words: np.ndarray, rows: np.ndarray):
         return none.view(np.uint64), none.view(np.uint64), none, none, total, inverse
     at = np.arange(n - GRAM + 1)
     gram = _named(total, inverse, at, at + GRAM)
-    pick = place + np.lib.stride_tricks.sliding_window_view(gram, PASSAGE - GRAM + 1)[place].argmin(axis=1)
+    pick = _least(gram, PASSAGE - GRAM + 1)[place]
     fresh = np.ones(len(place), bool)
     fresh[1:] = (pick[1:] != pick[:-1]) | (place[1:] != place[:-1] + 1)
     cut = np.flatnonzero(fresh)
@@ -355,9 +365,8 @@ def _passages(rows: DataFrame, anchored: DataFrame, anchors: np.ndarray) -> Data
 
     place = F.struct("doc_id", "text_key", "begin", "number", "mark")
 
-    def later(found: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFrame:
-        again = firsts.where(~F.col("first").eqNullSafe(F.col("last"))).select(*keys, "first")
-        return found.join(again, keys).where(~place.eqNullSafe(F.col("first"))).select(
+    def copies(found: DataFrame) -> DataFrame:
+        return found.where(~place.eqNullSafe(F.col("first"))).select(
             "doc_id", "text_key", "begin", "end", F.col("first.doc_id").alias("keeper_id"), F.col("first.number").alias("keeper_number"))
 
     ends = [F.min(place).alias("first"), F.max(place).alias("last")]
@@ -369,14 +378,18 @@ def _passages(rows: DataFrame, anchored: DataFrame, anchors: np.ndarray) -> Data
     mixed = classes.groupBy("anchor").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a != b").select("anchor")
     firsts = stored(classes.join(mixed, "anchor").select("first.mark", "first.doc_id", "first.text_key"), "mixed")
     windows = rows.mapInArrow(_places(known(firsts, "mark"), known(marked(firsts, "doc_id", "text_key"), "mark"), True), _PLACE)
-    windows = stored(windows.drop("anchor"), "windows")
-    cut = later(segments, classes, ["anchor", "name"]).unionByName(later(windows, windows.groupBy("name").agg(*ends), ["name"]))
-    before = Window.partitionBy("doc_id", "text_key").orderBy("begin", "end")
+    windows = windows.drop("anchor").withColumn("first", F.min(place).over(Window.partitionBy("name")))  # nearly all names stand once, so nothing would collapse before the shuffle
+    windows = stored(copies(windows), "windows")
+    again = classes.where(~F.col("first").eqNullSafe(F.col("last"))).select("anchor", "name", "first")
+    cut = copies(segments.join(again, ["anchor", "name"])).unionByName(windows)
+    # the first row of a run has its least (begin, keeper): no struct is aggregated, which would need a sort
+    before = Window.partitionBy("doc_id", "text_key").orderBy("begin", "keeper_id", "keeper_number")
     opens = F.coalesce(F.col("begin") > F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
     cut = cut.withColumn("opens", opens).withColumn("run", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = cut.groupBy("doc_id", "text_key", "run").agg(F.min(F.struct("begin", "keeper_id", "keeper_number")).alias("s"), F.max("end").alias("end"))
+    opening = [F.max(F.when(F.col("opens") == 1, F.col(c))).alias(c) for c in ("begin", "keeper_id", "keeper_number")]
+    runs = cut.groupBy("doc_id", "text_key", "run").agg(*opening, F.max("end").alias("end"))
     out = stored(runs.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(
-        F.collect_list(F.struct("s.begin", "end", "s.keeper_id", "s.keeper_number")).alias("runs")), "runs")
+        F.collect_list(F.struct("begin", "end", "keeper_id", "keeper_number")).alias("runs")), "runs")
     forget(segments, classes, firsts, windows)
     return out
 
@@ -403,7 +416,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 75, text: str = "text")
     forget(scanned)
 
     wanted = members.select(F.col("rep").alias("k1")).distinct()
-    places = kept(units, know(wanted, "k1"), "k1").join(wanted, "k1").groupBy("k1").agg(F.min(F.struct("doc_id", "text_key", "number")).alias("p"))
+    places = kept(units.select("k1", "doc_id", "text_key", "number"), know(wanted, "k1"), "k1").join(wanted, "k1").groupBy("k1").agg(F.min(F.struct("doc_id", "text_key", "number")).alias("p"))
     places = stored(places.select("p.*"), "places")
     documents, spots = know(places, "doc_id", "text_key"), know(places, "doc_id", "text_key", "number")
     found = rows.mapInArrow(_members(documents, spots), "rep long, signature binary, items array<long>").join(wanted.withColumnRenamed("k1", "rep"), "rep")
@@ -425,7 +438,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 75, text: str = "text")
     gone = stored(gone.select("doc_id", "text_key", "number", "begin", "end", F.col("keeper.doc_id").alias("keeper_id"), F.col("keeper.number").alias("keeper_number")), "gone")
     same = [F.col("doc_id").eqNullSafe(F.col("d")), F.col("text_key") == F.col("t")]
     whole = gone.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.col("number").alias("n"))
-    parts = kept(once, know(passages.withColumnsRenamed({"d": "doc_id", "t": "text_key"}), "doc_id", "text_key"), "doc_id", "text_key").join(passages, same[0] & same[1]).drop("d", "t").withColumn(
+    parts = kept(once.drop("k1"), know(passages.withColumnsRenamed({"d": "doc_id", "t": "text_key"}), "doc_id", "text_key"), "doc_id", "text_key").join(passages, same[0] & same[1]).drop("d", "t").withColumn(
         "run", F.explode(F.filter("runs", lambda r: (r["begin"] < F.col("end")) & (r["end"] > F.col("begin")))))
     parts = parts.select("doc_id", "text_key", "number", F.greatest("begin", "run.begin").alias("begin"), F.least("end", "run.end").alias("end"), "run.keeper_id", "run.keeper_number")
     parts = parts.join(whole, same[0] & same[1] & (F.col("number") == F.col("n")), "left_anti")

@@ -116,7 +116,8 @@ def distinct_by_row(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, n
     """The sorted distinct values of each row and the number before each row."""
     n = len(rows) - 1
     owner = np.repeat(np.arange(n), np.diff(rows))
-    order = np.lexsort((values, owner))
+    order = np.argsort(values)
+    order = order[np.argsort(owner[order].astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")]  # 16 bits are sorted by counting
     values, owner = values[order], owner[order]
     fresh = np.ones(len(values), bool)
     fresh[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
