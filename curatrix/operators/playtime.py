@@ -22,9 +22,9 @@ from curatrix.functions.beta import incomplete_beta
 from curatrix.operators.aggregates import smoothed_rate
 from curatrix.operators.bayes import KERNEL_PRIOR, KERNEL_WIDTH, personalized_quality, rating_of
 from curatrix.operators.orderstats import group_percentiles
-from curatrix.session import checkpointed
+from curatrix.session import checkpointed, parallelism
 
-CHUNK, POINT_CELLS = 2048, 1 << 19
+CHUNK, POINT_CELLS, GRID_CELLS = 2048, 1 << 19, 1 << 17
 
 
 def vote_histogram(reviews: DataFrame) -> DataFrame:
@@ -71,9 +71,10 @@ def weighted_votes(batch: pa.RecordBatch, gammas: np.ndarray) -> Iterator[pa.Rec
         for i in range(start, end):
             gap = logs[at[i]:at[i + 1], None] - klogs[None, kat[i]:kat[i + 1]]
             half, out = -0.5 * gap * gap, slice(at[i] - at[start], at[i + 1] - at[start])
-            for j, width in enumerate(gammas):
-                found = np.exp(half / (width * width)) @ votes[kat[i]:kat[i + 1]]
-                totals[out, j], positives[out, j] = found[:, 0], found[:, 1]
+            run = max(1, GRID_CELLS // max(1, half.size))  # widths that share a block
+            for j in range(0, len(gammas), run):
+                found = np.exp(half / (gammas[j:j + run, None, None] ** 2)) @ votes[kat[i]:kat[i + 1]]
+                totals[out, j:j + run], positives[out, j:j + run] = found[:, :, 0].T, found[:, :, 1].T
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[start:end], np.diff(at[start:end + 1]))), pa.array(x[at[start]:at[end]]), packed(totals), packed(positives)],
                                          names=["appid", "x", "total", "positive"])
         start = end
@@ -123,22 +124,61 @@ def leave_one_out(histogram: DataFrame, rate: Column, width: float = KERNEL_WIDT
                                        ((F.col("p") - own + prior * F.col("_a")) / F.greatest(F.col("t") - 1.0 + prior, F.lit(1e-12))).alias("p_plus"))
 
 
+FACTORS = 8
+
+
+def log_powers(x: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums by column of ``count`` times the log of ``x``, rows by falling count; ``x`` is at least 1e-12 and overwritten.
+
+    A log costs many times a product, so up to 16 factors share one: 1e-12 ** 16 is still a normal number.
+    """
+    many = int(np.searchsorted(-count, -FACTORS))  # rows counted more often than that
+    single = int(np.searchsorted(-count, -1.0))
+    if (count != np.floor(count)).any():
+        many = single = len(count)
+    out = count[:many] @ np.log(x[:many]) if many else np.zeros(x.shape[1])
+    few, once = x[many:single], x[single:]
+    own = few.copy()
+    for k in range(2, FACTORS + 1):
+        end = int(np.searchsorted(-count[many:single], -k, side="right"))
+        own[:end] *= few[:end]
+    return out + _folded(own, 1) + _folded(once, 4)
+
+
+def _folded(x: np.ndarray, times: int) -> np.ndarray:
+    """Sums by column of the logs of ``x``, of products of at most 2 ** ``times`` rows each; ``x`` is overwritten."""
+    for _ in range(times):
+        half = (len(x) + 1) // 2
+        x[:len(x) - half] *= x[half:]
+        x = x[:half]
+    return np.log(x).sum(axis=0)
+
+
 def likelihood_grid(histogram: DataFrame, rate: float, widths: Sequence[float], priors: Sequence[float], least: int = 2) -> DataFrame:
     """Leave-one-out log-likelihood of all reviews for every (width, prior weight)."""
     sizes = histogram.groupBy("appid").agg(F.sum("n").alias("_n"), _parts(F.count("*")).alias("parts")).filter(F.col("_n") >= least).drop("_n")
     gammas, strengths = np.asarray([float(w) for w in widths]), np.asarray(priors, dtype=float)
     # the sums of an item in one chunk never leave the task that works them out
     short = _chunks(histogram, sizes.filter("parts = 1"), "parts", ["x", "n", "up"]).select("appid", "x", F.col("x").alias("kx"), F.col("n").alias("kn"), F.col("up").alias("kup"))
+    short = short.repartition(parallelism(histogram), F.xxhash64("appid"))  # few bytes, much work: sized by bytes, one task would get it all
     long = histogram.join(sizes.filter("parts > 1"), "appid", "left_semi")
     sums = kernel_sums(long, long, widths).join(long, ["appid", "x"]).select("total", "positive", "n", "up")
 
     def add(ll: np.ndarray, total: np.ndarray, p: np.ndarray, n: np.ndarray, up: np.ndarray) -> None:
-        t, down = total - 1.0, (n - up)[:, None]
-        for j, s in enumerate(strengths):
-            base = np.maximum(t + s, 1e-12)
-            yes = np.clip((p - 1.0 + s * rate) / base, 1e-12, 1 - 1e-12)
-            no = np.clip((p + s * rate) / base, 1e-12, 1 - 1e-12)
-            ll[:, j] += (up[:, None] * np.log(yes)).sum(axis=0) + (down * np.log1p(-no)).sum(axis=0)
+        rows = max(1, GRID_CELLS // len(gammas))
+        for at in range(0, len(total), rows):
+            own = slice(at, at + rows)
+            for sign, count in ((1, up[own]), (-1, (n - up)[own])):
+                some = np.flatnonzero(count != 0)
+                some = some[np.argsort(-count[some], kind="stable")]
+                c, t, known = count[some], total[own][some] - 1.0, p[own][some] - (1.0 if sign > 0 else 0.0)
+                for j, s in enumerate(strengths):
+                    base = np.maximum(t + s, 1e-12)
+                    share = known + s * rate
+                    if sign < 0:
+                        share = base - share
+                    share /= base
+                    ll[:, j] += log_powers(np.clip(share, 1e-12, 1 - 1e-12, out=share), c)
 
     def told(ll: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame([(float(g), float(s), ll[i, j]) for i, g in enumerate(gammas) for j, s in enumerate(strengths)], columns=["width", "prior", "log_likelihood"])

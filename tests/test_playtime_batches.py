@@ -56,3 +56,18 @@ def test_sums_of_short_items_are_not_shuffled(spark):
     df, _ = histogram(spark)
     plan = playtime.likelihood_grid(df, 0.8, [0.2, 0.9], [0.5]).withColumn("one", F.lit(1))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 2 and "Union" in plan
+
+
+def test_logs_of_products_equal_counted_logs():
+    rng = np.random.default_rng(9)
+    for counts in (rng.integers(1, 14, 70), np.ones(37), np.array([9.0]), np.array([8.0, 2.0, 1.5]), np.zeros(0)):
+        c = np.sort(np.asarray(counts, float))[::-1]
+        x = rng.choice([1e-12, 0.3, 1 - 1e-12, 0.9], (len(c), 5))
+        assert playtime.log_powers(x.copy(), c) == pytest.approx(c @ np.log(x))
+
+
+def test_short_items_are_dealt_over_all_tasks(spark):
+    grid = playtime.likelihood_grid(histogram(spark)[0], 0.7, [0.2], [1.0])
+    assert grid.count() == 1
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(xxhash64(appid" in plan and "REPARTITION_BY_NUM" in plan
