@@ -282,10 +282,13 @@ def tag_effects(ratings: DataFrame, tags: DataFrame, min_size: int = 5) -> DataF
     r = F.col("rating").cast("double")
     sums = [F.count("*").alias("n"), F.sum(r).alias("s"), F.sum(r * r).alias("q")]
     total = ratings.groupBy("user_id").agg(*sums).select("user_id", F.col("n").alias("tn"), F.col("s").alias("ts"), F.col("q").alias("tq"))
-    # an item's tags travel as one list, and a user's rows meet before they are spread over the tags
-    lists = tags.groupBy("appid").agg(F.collect_list(F.struct("tag")).alias("_tags"))
-    mine = ratings.select("user_id", "appid", "rating").join(lists, "appid").select("user_id", "rating", "_tags").repartition("user_id")
-    with_tag = mine.select("user_id", "rating", F.inline("_tags")).groupBy("user_id", "tag").agg(*sums)
+    # an item's tags travel as one list of their places in the vocabulary, and a user's rows meet before they are spread over the tags
+    lists = checkpointed(tags.groupBy("appid").agg(F.collect_list(F.struct("tag")).alias("_tags")))
+    vocabulary = lists.select(F.inline("_tags")).distinct().agg(F.array_sort(F.collect_list("tag")).alias("v")).scalar()
+    coded = lists.withColumn("_v", vocabulary).select("appid", F.sort_array(F.transform("_tags", lambda e: F.array_position("_v", e["tag"]).cast("int"))).alias("_tags"))
+    mine = ratings.select("user_id", "appid", "rating").join(coded, "appid").select("user_id", "rating", "_tags").repartition("user_id")
+    with_tag = mine.select("user_id", "rating", F.explode("_tags").alias("_tag")).groupBy("user_id", "_tag").agg(*sums)
+    with_tag = with_tag.withColumn("_v", vocabulary).withColumn("tag", F.get("_v", F.col("_tag") - 1)).drop("_v", "_tag")
     both = with_tag.join(total, "user_id").withColumns({"m": F.col("tn") - F.col("n")}).filter((F.col("n") >= min_size) & (F.col("m") >= min_size))
     # try_divide: a pushed-down condition may meet rows that the size filter has yet to drop
     mean_with, mean_without = F.try_divide("s", "n"), F.try_divide(F.col("ts") - F.col("s"), "m")

@@ -109,3 +109,12 @@ def test_tags_are_spread_after_a_users_rows_met(spark):
     for (u, t), r in got.items():
         on, off = ([(u * a) % 11 for a in range(40) if ((a, t) in pairs_) == have] for have in (True, False))
         assert (r["n_with"], r["n_without"]) == (len(on), len(off)) and r["diff"] == pytest.approx(np.mean(on) - np.mean(off))
+
+
+
+def test_tags_travel_as_places_in_the_vocabulary(spark):
+    rated = spark.createDataFrame([(u, a, (u * a) % 11) for u in range(4) for a in range(40)], "user_id long, appid long, rating int")
+    tags = spark.createDataFrame([(a, f"a long name {a % 3}") for a in range(40)], "appid long, tag string")
+    effects = aggregates.tag_effects(rated, tags)
+    assert "array_position" in effects._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["tag"] for r in effects.collect()} == {f"a long name {i}" for i in range(3)}
