@@ -118,3 +118,25 @@ def test_tags_travel_as_places_in_the_vocabulary(spark):
     effects = aggregates.tag_effects(rated, tags)
     assert "array_position" in effects._jdf.queryExecution().optimizedPlan().toString()
     assert {r["tag"] for r in effects.collect()} == {f"a long name {i}" for i in range(3)}
+
+
+def exchanges(df):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+
+
+def test_vectors_of_short_lists_are_dealt_out_once(spark):
+    items, _ = vectors(spark, 30)
+    rated = spark.createDataFrame([(u, (u + i) % 30) for u in range(40) for i in range(3)], "user_id long, appid long").join(items, "appid").checkpoint()
+    found = taste.within_user_blocks(rated, lambda rows, known: rows[["user_id", "appid"]], "user_id long, appid long")
+    assert found.count() == 120
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "strategy=broadcast" in plan and not [x for x in exchanges(found) if "SortMergeJoin" in x]
+
+
+def test_twins_meet_without_vectors(spark):
+    items, _ = vectors(spark, 12)
+    rated = spark.createDataFrame([(u, a, (u + a) % 11, a % 5) for u in range(3) for a in range(12)], "user_id long, appid long, rating int, fold int").join(items, "appid")
+    sets = spark.createDataFrame([(a, a % 4) for a in range(12)], "appid long, set_id long")
+    found = taste.strict_fold_features(rated, 5, [("vec", 1.0)], sets=sets)
+    assert "_seed" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 3 * 12 * 5
