@@ -140,3 +140,16 @@ def test_twins_meet_without_vectors(spark):
     found = taste.strict_fold_features(rated, 5, [("vec", 1.0)], sets=sets)
     assert "_seed" in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.count() == 3 * 12 * 5
+
+
+def test_solved_rows_are_stored_without_vectors(spark, monkeypatch):
+    from curatrix.plans import solve
+    held, keep = [], solve.checkpointed
+    monkeypatch.setattr(solve, "checkpointed", lambda df: held.append(df.columns) or keep(df))
+    items, _ = vectors(spark, 12)
+    items = items.withColumns({"size": F.col("appid").cast("double"), "pop_z": F.lit(0.0)})
+    rated = spark.createDataFrame([(u, a, (u * a) % 11) for u in range(3) for a in range(12)], "user_id long, appid long, rating int")
+    grid = spark.createDataFrame([(s, a, float((a * (s + 2)) % 5)) for s in range(2) for a in range(12)], "step int, appid long, q double")
+    out = solve.solve(rated, items, grid, features=("quality", "size"), parts=[("vec", 1.0)], discounted=None, powers=(1.0, 2.0))
+    assert "vec" in out["known"].columns and out["known"].count() == 36
+    assert held and not [c for c in held if "vec" in c]
