@@ -153,3 +153,20 @@ def test_solved_rows_are_stored_without_vectors(spark, monkeypatch):
     out = solve.solve(rated, items, grid, features=("quality", "size"), parts=[("vec", 1.0)], discounted=None, powers=(1.0, 2.0))
     assert "vec" in out["known"].columns and out["known"].count() == 36
     assert held and not [c for c in held if "vec" in c]
+
+@pytest.mark.parametrize("run", [1, 5, 64])
+@pytest.mark.parametrize("signed", [False, True])
+def test_products_of_short_lists_equal_sums(monkeypatch, run, signed):
+    monkeypatch.setattr(pairs, "RUN_ROWS", run)
+    rng = np.random.default_rng(4)
+    w = rng.normal(size=(9, 6)) if signed else rng.random((9, 6))
+    owner = np.array([0, 0, 0, 2, 3, 3, 3, 3, 3, 3, 5])
+    gaps, at = rng.normal(size=len(owner)), rng.integers(0, 9, len(owner))
+    gaps[3] = np.nan  # spoils its own user only
+    num, den = np.zeros((2, 6, 6))
+    pairs._add_products(owner, gaps, at, w, signed, num, den)
+    want_num, want_den = np.zeros((2, 6, 6))
+    np.add.at(want_num, owner, gaps[:, None] * w[at])
+    np.add.at(want_den, owner, np.abs(w[at]))
+    assert num == pytest.approx(want_num, nan_ok=True) and den == pytest.approx(want_den)
+    assert np.isnan(num[2]).all() and np.isfinite(num[[0, 1, 3, 4, 5]]).all()
